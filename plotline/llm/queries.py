@@ -6,9 +6,15 @@ import importlib
 
 #: query name -> module of this package that holds the function of that name
 MODULES = {
+    "op1_suffix_array": "suffix_dedup",
     "op2_pivotal_mix": "mixing",
     "op4_reply_trees": "chat",
+    "op5_bbit_minhash": "minhash",
+    "op6_multi_index": "ann",
+    "op7_template_removal": "html_extract",
     "op8_virtual_slots": "sharding",
+    "op9_suffix_repetition": "quality",
+    "op10_vector_best_fit": "packing",
 }
 
 
