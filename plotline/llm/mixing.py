@@ -68,7 +68,7 @@ def _pivot(chunks: DataFrame, level: int) -> DataFrame:
         return F.struct(F.when(first, as_doc(b, b["left"], none)).otherwise(held).alias("held"), F.when(first, acc["outs"]).otherwise(F.concat(acc["outs"], F.array(done))).alias("outs"))
 
     start = F.struct(F.lit(None).cast(doc).alias("held"), F.lit(F.array()).cast(f"array<{doc}>").alias("outs"))
-    packed = chunks.groupBy("src_null", "src", "chunk").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(level), "doc_id", "size", "left").alias("h"), "doc_id", "size", "base", "left"))).alias("docs"))
+    packed = chunks.groupBy("src_null", "src", "chunk").agg(F.array_sort(F.collect_list(F.struct(F.negative("size").alias("order"), F.xxhash64(F.lit(level), "doc_id", "left").alias("h"), "doc_id", "size", "base", "left"))).alias("docs"))
     folded = packed.select("src_null", "src", F.aggregate("docs", start, step, lambda acc: F.concat(acc["outs"], F.array(acc["held"]))).alias("docs"))
     out = folded.select("src_null", "src", F.inline("docs"))
     # a held document may have come out whole, within rounding of doubles
