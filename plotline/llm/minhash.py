@@ -201,7 +201,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ids and null ids are documents of their own; of rows that share the smallest id one is kept. An empty table gives
     no rows; extra columns are ignored.
     """
-    rows = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "near-rows")
+    return _near(keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "near-rows"), size, threshold)
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
+    """``docs`` with one document of each component."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = keyed(rows, "doc_id", "near-rows")
+    kept = _near(rows.select("_rid", "doc_id", "text"), size, threshold).where("kept").select("_rid")
+    return rows.select("_rid", "row").join(kept, "_rid", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def _near(rows: DataFrame, size: int, threshold: int) -> DataFrame:
+    """near_duplicates of (_rid, doc_id, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.llm.common import ids_unique, write_table
+from plotline.llm.common import ids_unique, keyed, write_table
 
 CHUNK = 64
 WORD = r"[^\x20\x09-\x0D]+"
@@ -114,6 +114,15 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc_id", "src_null", "src", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: ``docs`` with every document as often as it was taken, none or up to ``most`` times."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    rows = keyed(rows, "doc_id", "mix-keyed")
+    taken = mix_sources(rows.select("_rid", "text", "source"), id_col="_rid", **how).where("copies > 0").select(F.col("doc_id").alias("_rid"), "copies")
+    both = rows.select("_rid", "row").join(taken, "_rid").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return both.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def op2_pivotal_mix(spark, sf_dir: str) -> DataFrame:
     mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.when(~F.col("src_null"), F.col("src")).alias("source"), "copies")

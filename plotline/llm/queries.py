@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_suffix_array": "suffix_dedup",
     "op2_pivotal_mix": "mixing",
+    "op3_information_privacy": "pii",
     "op4_reply_trees": "chat",
     "op5_bbit_minhash": "minhash",
     "op6_multi_index": "ann",
