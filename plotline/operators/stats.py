@@ -34,17 +34,32 @@ def design(df: DataFrame, terms: Sequence[str], factors: Mapping[str, Sequence[s
     return out
 
 
-def _sums(df: DataFrame, columns: Sequence[Column], keys: Sequence[str] = ()) -> list:
-    """Sums of the columns (a few hundred per aggregation, to stay within generated-code limits), by key."""
-    named = [F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]
-    g = df.groupBy(*keys).agg(*named)
-    return [(tuple(r[k] for k in keys), np.array([r[f"s{i}"] or 0.0 for i in range(len(columns))], float)) for r in g.collect()]
+def _cells(columns: Sequence[Column]) -> Column:
+    """The non-zero design values of a row as (index, value): dummies make rows sparse."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), c.cast("double").alias("v")) for i, c in enumerate(columns)])
+    return F.filter(cells, lambda x: x["v"] != 0)
+
+
+def _cross(df: DataFrame, weight: Column, columns: Sequence[Column], keys: Sequence[str] = ()) -> dict[tuple, np.ndarray]:
+    """Weighted cross products of the columns by key, as full matrices. Rows give only the pairs of their non-zero
+    values, which are summed before they are shuffled: at most columns squared rows a key reach the driver."""
+    k = len(columns)
+    pairs = F.flatten(F.transform("_x", lambda a: F.transform(F.filter("_x", lambda b: b["i"] >= a["i"]), lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), (F.col("_w") * a["v"] * b["v"]).alias("v")))))
+    d = df.select(*keys, weight.alias("_w"), _cells(columns).alias("_x")).select(*keys, F.inline(pairs))
+    out: dict[tuple, np.ndarray] = {}
+    for r in d.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v")).collect():
+        m = out.setdefault(tuple(r[x] for x in keys), np.zeros((k, k)))
+        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["v"]
+    return out
 
 
-def _square(v: np.ndarray, k: int) -> np.ndarray:
-    m = np.zeros((k, k))
-    m[np.triu_indices(k)] = v
-    return m + np.triu(m, 1).T
+def _totals(df: DataFrame, weight: Column, columns: Sequence[Column], key: str) -> dict:
+    """Weighted sums of the columns by key."""
+    d = df.select(key, weight.alias("_w"), _cells(columns).alias("_x")).select(key, "_w", F.inline("_x"))
+    out: dict = {}
+    for r in d.groupBy(key, "i").agg(F.sum(F.col("_w") * F.col("v")).alias("v")).collect():
+        out.setdefault(r[key], np.zeros(len(columns)))[r["i"]] = r["v"]
+    return out
 
 
 @dataclass
@@ -88,10 +103,8 @@ def wls(df: DataFrame, y: Column, columns: Mapping[str, Column], weight: Column
         good &= c.isNotNull()
     d = df.where(good)
     k = len(cols)
-    iu = list(zip(*np.triu_indices(k)))
-    sums = _sums(d, [w * cols[i] * cols[j] for i, j in iu] + [w * c * y for c in cols] + [w * y * y, F.lit(1.0)])
-    v = sums[0][1]
-    xx, xy, yy, n = _square(v[: len(iu)], k), v[len(iu) : len(iu) + k], v[-2], int(v[-1])
+    m = _cross(d, w, [*cols, y]).get((), np.zeros((k + 1, k + 1)))
+    xx, xy, yy, n = m[:k, :k], m[:k, k], m[k, k], d.count()
     keep = retained(xx)
     bread = np.linalg.inv(xx[np.ix_(keep, keep)])
     beta = bread @ xy[keep]
@@ -108,15 +121,15 @@ def classical_vcov(fit: Fit) -> np.ndarray:
 def hc1_vcov(df: DataFrame, fit: Fit) -> np.ndarray:
     cols = list(fit.columns.values())
     e2 = (fit.weight * fit.residual) * (fit.weight * fit.residual)
-    iu = list(zip(*np.triu_indices(fit.k)))
-    meat = _square(_sums(df.where(fit.residual.isNotNull()), [e2 * cols[i] * cols[j] for i, j in iu])[0][1], fit.k)
+    meat = _cross(df.where(fit.residual.isNotNull()), e2, cols)[()]
     return fit.bread @ meat @ fit.bread * fit.n / (fit.n - fit.k)
 
 
 def cluster_scores(df: DataFrame, fit: Fit, cluster: str) -> tuple[list, np.ndarray]:
     """(clusters, one row of score sums each)."""
-    rows = sorted(_sums(df.where(fit.residual.isNotNull()), [fit.weight * fit.residual * c for c in fit.columns.values()], [cluster]), key=lambda r: str(r[0]))
-    return [r[0][0] for r in rows], np.array([r[1] for r in rows])
+    sums = _totals(df.where(fit.residual.isNotNull()), fit.weight * fit.residual, list(fit.columns.values()), cluster)
+    names = sorted(sums, key=str)
+    return names, np.array([sums[c] for c in names])
 
 
 def cluster_vcov(df: DataFrame, fit: Fit, cluster: str) -> np.ndarray:
@@ -146,10 +159,10 @@ def poisson(df: DataFrame, y: Column, columns: Mapping[str, Column], offset: Col
 def tidy(spark: SparkSession, fit: Fit, vcov: np.ndarray, log_outcome: bool = False) -> DataFrame:
     """term, estimate, std_error, z, p_value (normal), low, high (95 %), percent_effect for log outcomes."""
     rows = []
-    for name, b, v in zip(fit.names, fit.beta, np.diag(vcov)):
+    for name, b, v in zip(fit.names, fit.beta.tolist(), np.diag(vcov).tolist()):
         se = math.sqrt(max(v, 0.0))
         z = b / se if se else None
-        rows.append((name, float(b), se, z, math.erfc(abs(z) / math.sqrt(2)) if z is not None else None, b - 1.959963984540054 * se, b + 1.959963984540054 * se, 100 * math.expm1(b) if log_outcome else None))
+        rows.append((name, b, se, z, math.erfc(abs(z) / math.sqrt(2)) if z is not None else None, b - 1.959963984540054 * se, b + 1.959963984540054 * se, 100 * math.expm1(b) if log_outcome else None))
     return spark.createDataFrame(rows, "term string, estimate double, std_error double, z double, p_value double, low double, high double, percent_effect double")
 
 
@@ -192,9 +205,9 @@ def pairs_bootstrap(df: DataFrame, y: Column, columns: Mapping[str, Column], clu
     w = F.lit(1.0) if weight is None else weight
     cols = list(columns.values())
     k = len(cols)
-    iu = list(zip(*np.triu_indices(k)))
-    rows = sorted(_sums(df, [w * cols[i] * cols[j] for i, j in iu] + [w * c * y for c in cols], [cluster]), key=lambda r: str(r[0]))
-    xx, xy = np.array([_square(r[1][: len(iu)], k) for r in rows]), np.array([r[1][len(iu) :] for r in rows])
+    sums = _cross(df, w, [*cols, y], [cluster])
+    rows = [sums[c] for c in sorted(sums, key=str)]
+    xx, xy = np.array([m[:k, :k] for m in rows]), np.array([m[:k, k] for m in rows])
     rng, out = np.random.default_rng(seed), np.full((reps, k), np.nan)
     for r in range(reps):
         m = rng.multinomial(len(rows), np.full(len(rows), 1 / len(rows)))

@@ -1 +1,6 @@
-"""plotline.plans"""
+"""Registered queries over the driver's tables."""
+
+from plotline.plans import composites, models, relational, rows, series  # noqa: F401
+from plotline.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
