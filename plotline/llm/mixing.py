@@ -4,7 +4,8 @@ Each document of a source is wanted ``target / source size`` times. The whole pa
 rounded by the pivotal method: two documents meet, words move from one to the other until one of them is whole, and the
 other meets the next one. Words (size x fraction) are conserved in each meeting, so a source's sum stays at its target.
 Documents meet inside small chunks; the one fractional document left in each chunk goes to the next level of a reduction
-tree, until one is left per source, which is rounded to the nearest.
+tree, until one is left per source. It is rounded to the nearest, and the words that this adds or takes away are worked
+off on documents of its last chunk, so that the source misses its target by less than a short document.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def _chance(*cols: Column) -> Column:
 
 
 def _pivot(chunks: DataFrame, level: int) -> DataFrame:
-    """One level: fold each chunk's fractional documents; rows (src_null, src, doc_id, size, base, left, up), up null for what is left."""
+    """One level: fold each chunk's fractional documents; rows (src_null, src, chunk, doc_id, size, base, left, up), up null for what is left."""
     doc = "struct<doc_id:{0},size:bigint,base:int,left:double,up:int>".format(dict(chunks.dtypes)["doc_id"])
     as_doc = lambda d, left, up: F.struct(d["doc_id"].alias("doc_id"), d["size"].alias("size"), d["base"].alias("base"), left.alias("left"), up.cast("int").alias("up")).cast(doc)
     none = F.lit(None)
@@ -69,13 +70,33 @@ def _pivot(chunks: DataFrame, level: int) -> DataFrame:
 
     start = F.struct(F.lit(None).cast(doc).alias("held"), F.lit(F.array()).cast(f"array<{doc}>").alias("outs"))
     packed = chunks.groupBy("src_null", "src", "chunk").agg(F.array_sort(F.collect_list(F.struct(F.negative("size").alias("order"), F.xxhash64(F.lit(level), "doc_id", "left").alias("h"), "doc_id", "size", "base", "left"))).alias("docs"))
-    folded = packed.select("src_null", "src", F.aggregate("docs", start, step, lambda acc: F.concat(acc["outs"], F.array(acc["held"]))).alias("docs"))
-    out = folded.select("src_null", "src", F.inline("docs"))
+    folded = packed.select("src_null", "src", "chunk", F.aggregate("docs", start, step, lambda acc: F.concat(acc["outs"], F.array(acc["held"]))).alias("docs"))
+    out = folded.select("src_null", "src", "chunk", F.inline("docs"))
     # a held document may have come out whole, within rounding of doubles
     whole = F.when(F.col("left") <= 1e-6, 0).when(F.col("left") >= F.col("size") - 1e-6, 1)
     return out.withColumn("up", F.coalesce("up", whole).cast("int"))
 
 
+def _work_off(chunk: DataFrame) -> DataFrame:
+    """Rounds the one document left in each source's last chunk, and turns over others of the chunk, long ones first,
+    while their size fits into the words still owed."""
+    doc = "struct<doc_id:{0},size:bigint,base:int,up:int>".format(dict(chunk.dtypes)["doc_id"])
+    up = F.coalesce(F.col("up"), (F.col("left") * 2 >= F.col("size")).cast("int"))
+    owed = F.when(F.col("up").isNull(), F.col("left") - up * F.col("size"))
+    rows = chunk.select("src_null", "src", "doc_id", "size", "base", "left", up.alias("up"), owed.alias("owed"))
+    one = F.struct(F.negative("size").alias("order"), F.xxhash64("doc_id", "left").alias("h"), "doc_id", "size", "base", "up", F.col("owed").isNotNull().alias("last"))
+    packed = rows.groupBy("src_null", "src").agg(F.array_sort(F.collect_list(one)).alias("docs"), F.max("owed").alias("owed"))
+
+    def step(acc: Column, d: Column) -> Column:
+        gain = F.when(d["up"] == 0, d["size"]).otherwise(-d["size"])
+        turn = ~d["last"] & (d["size"] > 0) & (F.signum(gain) == F.signum(acc["owed"])) & (d["size"] <= F.abs(acc["owed"]))
+        new = F.struct(d["doc_id"].alias("doc_id"), d["size"].alias("size"), d["base"].alias("base"), F.when(turn, 1 - d["up"]).otherwise(d["up"]).cast("int").alias("up")).cast(doc)
+        return F.struct((acc["owed"] - F.when(turn, gain).otherwise(0)).cast("double").alias("owed"), F.concat(acc["outs"], F.array(new)).alias("outs"))
+
+    start = F.struct(F.col("owed").cast("double").alias("owed"), F.array().cast(f"array<{doc}>").alias("outs"))
+    return packed.select("src_null", "src", F.inline(F.aggregate("docs", start, step, lambda acc: acc["outs"])))
+
+
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, src_null, src, size, source_size, target, copies, taken (= copies x size).
 
@@ -96,17 +117,18 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     begin = wanted.select("src_null", "src", "doc_id", "size", "base", "left", "n", "salt", F.when(F.col("left") <= 0, F.lit(0)).cast("int").alias("up"))
     tables, level = [begin.where("up is not null").select("src_null", "src", "doc_id", "size", "base", "up")], 0
     left = begin.where("up is null").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "salt"), F.ceil(F.col("n") / chunk)))
+    names = ["src_null", "src", "doc_id", "size", "base", "up"]
     while True:
         done = write_table(_pivot(left, level), f"mix-level{level}")
-        tables.append(done.where("up is not null").select("src_null", "src", "doc_id", "size", "base", "up"))
         rest = done.where("up is null")
-        counts = rest.groupBy("src_null", "src").agg(F.count(F.lit(1)).alias("n"))
-        most_left = counts.agg(F.max("n")).first()[0] or 0
-        if most_left <= 1:
+        counts = write_table(rest.groupBy("src_null", "src").agg(F.count(F.lit(1)).alias("n"), F.first("chunk").alias("chunk")), "mix-left")
+        ended = counts.where("n = 1").select("src_null", "src", "chunk")  # sources with one document left, and its chunk
+        tables += [done.where("up is not null").join(ended, ["src_null", "src", "chunk"], "left_anti").select(names), _work_off(done.join(ended, ["src_null", "src", "chunk"])).select(names)]
+        more = counts.where("n > 1").drop("chunk")
+        if more.isEmpty():
             break
         level += 1
-        left = rest.join(counts, ["src_null", "src"]).withColumn("chunk", F.pmod(F.xxhash64(F.lit(level), "doc_id", "left"), F.ceil(F.col("n") / chunk)))
-    tables.append(rest.select("src_null", "src", "doc_id", "size", "base", (F.col("left") * 2 >= F.col("size")).cast("int").alias("up")))
+        left = rest.drop("chunk").join(more, ["src_null", "src"]).withColumn("chunk", F.pmod(F.xxhash64(F.lit(level), "doc_id", "left"), F.ceil(F.col("n") / chunk)))
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
