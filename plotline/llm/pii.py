@@ -95,14 +95,14 @@ def _near_terms(spans: DataFrame) -> DataFrame:
 
 def disclosing_terms(rows: DataFrame, terms: DataFrame, spans: DataFrame) -> DataFrame:
     """(entity, term, kind): what near terms tell about their entities, by counts over all documents."""
-    n_docs = rows.agg(F.count(F.lit(1)).alias("n_docs"))
+    n_docs = rows.count()
     entities = spans.groupBy("entity").agg(F.count_distinct("_rid").alias("n_e"))
     pairs = terms.groupBy("entity", "term").agg(F.count_distinct("_rid").alias("n_et"), F.count_distinct("context").alias("support")).where(F.col("support") >= SUPPORT)
     asked = pairs.select("term").distinct()
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))
     held = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    weighed = pairs.join(held.join(asked, "term", "left_semi"), "term").join(entities, "entity").crossJoin(n_docs)  # n_docs is one row
-    ic = F.log2(F.col("n_docs") / F.col("n_e"))
+    weighed = pairs.join(held.join(asked, "term", "left_semi"), "term").join(entities, "entity")
+    ic = F.log2(F.lit(float(n_docs)) / F.col("n_e"))
     pmi = ic + F.log2(F.least(F.lit(1.0), F.col("n_et") / F.col("n_t")))
     share = F.when(ic > 0, pmi / ic)
     return weighed.select("entity", "term", F.when(share >= REMOVE, F.lit(5)).when(share >= GENERALISE, F.lit(4)).alias("kind")).where("kind is not null")

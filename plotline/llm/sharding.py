@@ -46,25 +46,15 @@ def new_map(stats: DataFrame, shards: int) -> DataFrame:
 def rebalance(old: DataFrame, stats: DataFrame, shards: int) -> DataFrame:
     """The next version for new sizes or another number of shards. A slot stays on its shard while the shard's slots,
     largest first, add up to no more than an even share; only the rest (and slots of removed shards) move."""
-    limit = stats.agg(F.ceil(F.sum("bytes") / shards).alias("limit"))
-    both = stats.join(old.select("vslot", "shard", "version"), "vslot").crossJoin(limit)  # limit is one row
+    limit = stats.agg(F.ceil(F.sum("bytes") / shards)).first()[0]
+    version = old.agg(F.max("version")).first()[0] + 1
     run = F.sum("bytes").over(Window.partitionBy("shard").orderBy(F.desc("bytes"), "vslot"))
-    both = both.withColumn("stays", (F.col("shard") < shards) & (run <= F.col("limit")))
-    stay, move = both.where("stays"), both.where("not stays")
-    held = stay.groupBy("shard").agg(F.sum("bytes").alias("held")).agg(F.map_from_entries(F.collect_list(F.struct("shard", "held"))).alias("held"))
-    moved = move.select("vslot", "bytes", "rows").crossJoin(held)  # held is one row
-    table = moved.agg(F.first("held").alias("held"), F.collect_list(F.struct("bytes", F.negative("vslot").alias("order"), "vslot", "rows")).alias("a"))
-    loads = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.coalesce(F.try_element_at(F.col("held"), i), F.lit(0).cast("long")))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = F.array_position(acc["loads"], F.array_min(acc["loads"])).cast("int") - 1
-        return F.struct(F.transform(acc["loads"], lambda v, i: v + F.when(i == at, x["bytes"]).otherwise(F.lit(0))).alias("loads"), F.concat(acc["picks"], F.array(at)).alias("picks"))
-
-    table = table.select(F.sort_array("a", asc=False).alias("a"), loads.alias("loads"))
-    table = table.select("a", F.aggregate("a", F.struct("loads", F.expr("cast(array() as array<int>)").alias("picks")), step, lambda acc: acc["picks"]).alias("picks"))
-    fresh = table.select(F.inline(F.arrays_zip("a", "picks"))).select("a.vslot", F.col("picks").alias("shard"), "a.bytes", "a.rows")
-    version = old.agg((F.max("version") + 1).alias("version"))
-    return stay.select("vslot", "shard", "bytes", "rows").unionByName(fresh).crossJoin(version).select("version", "vslot", "shard", "bytes", "rows")
+    both = stats.join(old.select("vslot", "shard"), "vslot").withColumn("stays", (F.col("shard") < shards) & (run <= limit))
+    stay = both.where("stays").select("vslot", "shard", "bytes", "rows")
+    held = {r["shard"]: r["held"] for r in stay.groupBy("shard").agg(F.sum("bytes").alias("held")).collect()}  # one row per shard
+    loads = F.array(*[F.lit(held.get(k, 0)).cast("long") for k in range(shards)])
+    fresh = _deal(both.where("not stays").select("vslot", "bytes", "rows"), shards, loads).select("vslot", "shard", "bytes", "rows")
+    return stay.unionByName(fresh).select(F.lit(version).alias("version"), "vslot", "shard", "bytes", "rows")
 
 
 def shard_records(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
