@@ -21,4 +21,3 @@ def spark():
     s.stop()
 
 
-SMALL = "/root/testdata/sf0.001"

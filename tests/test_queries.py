@@ -2,7 +2,7 @@
 
 import compare
 import pytest
-from conftest import SMALL
+from compare import SMALL
 
 from plotline.plans import ORACLES, QUERIES
 
