@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +31,7 @@ LANES = 28  # two-bit lanes in each of the signature's four longs
 SLACK = 0.225
 BLOCK = 2048
 #: Untested partners that a document meets in each further round; the last round has no limit.
-MEETINGS = (4, 40, None)
+MEETINGS = (2, None)
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _FLIP = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -107,22 +106,21 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable over edges (a, b), for each node of an edge. Alternates large and
-    small stars; every round is written to the shared folder."""
-    edges = write_table(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    last = None
+    """(node, component): the smallest node reachable over edges (a, b), for each node of an edge.
+
+    In a round every node a hooks its smaller neighbours to the smallest of them, and its own pointer to that one skips
+    to where that one points. Edges never grow in number; each round is written to the shared folder, and the last one
+    changes nothing."""
+    edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").select(F.col("b").alias("x"), "low").where("x != low").unionByName(least.select(F.col("a").alias("x"), "low"))
-        edges = write_table(small.select(F.col("x").alias("a"), F.col("low").alias("b")).distinct(), "cc")
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == last:
+        low = edges.groupBy("a").agg(F.min("b").alias("low"))
+        hooks = edges.join(low, "a").where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"), F.lit(True).alias("changed"))
+        skips = low.join(low.select(F.col("a").alias("low"), F.col("low").alias("next")), "low", "left").select("a", F.coalesce("next", "low").alias("b"), F.col("next").isNotNull().alias("changed"))
+        done = write_table(hooks.unionByName(skips), "cc")
+        edges = done.select("a", "b")
+        if done.where("changed").isEmpty():
             break
-        last = mark
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -142,6 +140,21 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, texts.select(names).schema.add("shingles", T.ArrayType(T.LongType())))
 
 
+def _prints(texts: DataFrame, size: int) -> DataFrame:
+    """(_rid, prints): the lowest 16 bits of a document's shingle hashes, sorted. Two documents have at least as many
+    prints in common (repeats counted) as shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offs in text_blocks(b.column(1)):
+                h, counts = shingle_sets(data, offs, size)
+                at = np.concatenate([[0], np.cumsum(counts)])
+                low = (h & np.uint64(0xFFFF)).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([np.sort(low[x:y]).tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())], names=["_rid", "prints"])
+
+    return texts.select("_rid", "text").mapInArrow(run, "_rid long, prints binary")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= threshold * union of their full shingle sets."""
     left = _sets(texts.join(pairs.select(F.col("a").alias("_rid"), "b"), "_rid").select("_rid", "text", "b"), size)
@@ -151,8 +164,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) ->
     return both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("total")).where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * threshold).select("a", "b")
 
 
-def _meet(shared: DataFrame, labels: DataFrame, sigs: DataFrame, bar: float, most: int | None) -> DataFrame:
-    """Pairs (a, b), a > b, of one bucket but different components whose estimate is at least ``bar``; with ``most``,
+def _meet(shared: DataFrame, labels: DataFrame, sigs: DataFrame, bar: float, threshold: int, most: int | None) -> DataFrame:
+    """Pairs (a, b), a > b, of one bucket but different components that pass both filters of _compare; with ``most``,
     each document's best ones. Large buckets are cut into blocks, and a task compares two blocks."""
     rows = shared.join(labels, shared["rid"] == labels["node"], "left").select("key", "rid", F.coalesce("component", "rid").alias("label"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
@@ -160,36 +173,112 @@ def _meet(shared: DataFrame, labels: DataFrame, sigs: DataFrame, bar: float, mos
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rid", "key"), F.col("blocks")).cast("int"))
     rows = rows.select("key", "rid", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "label")
-    rows = rows.join(sigs.select(F.col("_rid").alias("rid"), "sig"), "rid")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        left, right = group[group["own"] == i], group[group["own"] == j]
-        ra, rb, la, lb = left["rid"].to_numpy(), right["rid"].to_numpy(), left["label"].to_numpy(), right["label"].to_numpy()
-        sa, sb = (np.stack(x["sig"].to_numpy()).astype(np.int64).view(np.uint64) if len(x) else np.zeros((0, 4), np.uint64) for x in (left, right))
-        out = []
-        for at in range(0, len(ra), 256):
-            differ = np.zeros((len(ra[at : at + 256]), len(rb)), np.int64)
-            for w in range(sa.shape[1]):
-                x = sa[at : at + 256, w][:, None] ^ sb[:, w][None]
+    rows = rows.join(sigs.select(F.col("_rid").alias("rid"), "sig", "prints"), "rid").select("key", "i", "j", "own", "rid", "label", "sig", "prints")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(lambda it: _compare(it, bar, threshold, most), "a long, b long").distinct()
+
+
+def _tokens(prints: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token) of all prints; the k-th repeat of a print in a row is a token of its own."""
+    sizes = np.array([len(x) // 2 for x in prints])
+    row = np.repeat(np.arange(len(prints)), sizes)
+    v = np.frombuffer(b"".join(prints), np.uint16).astype(np.int64)
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (row[1:] != row[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
+    return row, v + ((np.arange(len(v)) - first) << 16)
+
+
+def common_prints(prints: list[bytes], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Prints that rows p[k] and q[k] have in common. Many pairs are counted by matrix products over the prints that
+    two rows or more hold, a few columns at a time; few pairs one by one."""
+    if len(p) < 64:
+        cut = [_tokens([x])[1] for x in prints]
+        return np.array([len(np.intersect1d(cut[x], cut[y], assume_unique=True)) for x, y in zip(p.tolist(), q.tolist())], np.int64)
+    row, token = _tokens(prints)
+    _, column, held = np.unique(token, return_inverse=True, return_counts=True)
+    often = held > 1
+    column, row = (np.cumsum(often) - 1)[column][often[column]], row[often[column]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((len(prints), len(prints)), np.float32)
+    for at in range(0, int(often.sum()), 2048):
+        lo, hi = np.searchsorted(column, [at, at + 2048])
+        m = np.zeros((len(prints), 2048), np.float32)
+        m[row[lo:hi], column[lo:hi] - at] = 1
+        both += m @ m.T
+    return both[p, q].astype(np.int64)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], bar: float, threshold: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of each run of rows (key, i, j, own, rid, label, sig, prints) with equal key, i and j, two blocks at most.
+
+    Runs are gathered to thousands of rows; signatures are compared at growing distance, all runs at once. Pairs
+    whose estimate reaches ``bar`` must also have enough prints in common for the threshold, which never rules out a
+    real link; so few pairs that are none leave the task."""
+    held: list[list] = []
+
+    def columns(b: pa.RecordBatch) -> list:
+        sig = np.array(b.column(6).flatten()).view(np.uint64).reshape(b.num_rows, -1)
+        return [*[np.array(b.column(k)) for k in range(6)], sig, np.array([*b.column(7).to_pylist(), None], object)[:-1]]
+
+    def work(parts: list) -> Iterator[pa.RecordBatch]:
+        key, i, j, own, rid, label, sig, prints = parts
+        n = len(key)
+        new = np.ones(n, bool)
+        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        run = np.cumsum(new)
+        left, right = [], []
+        for d in range(1, int(np.bincount(run).max(initial=0))):
+            at = np.flatnonzero(run[d:] == run[:-d])
+            at = at[(label[at] != label[at + d]) & ((i[at] == j[at]) | (own[at] != own[at + d]))]
+            differ = np.zeros(len(at), np.int64)
+            for w in range(sig.shape[1]):
+                x = sig[at, w] ^ sig[at + d, w]
                 differ += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
-            est = ((HASHES - differ) / HASHES - 0.25) / 0.75
-            good = (est >= bar) & (la[at : at + 256][:, None] != lb[None])
-            if i == j:
-                good &= ra[at : at + 256][:, None] > rb[None]
-            if most is not None and good.any():  # each side keeps its best
-                ranked = np.where(good, est, -1)
-                keep = np.zeros_like(good)
-                for axis in (0, 1):
-                    k = min(most, ranked.shape[axis])
-                    top = np.argpartition(-ranked, k - 1, axis=axis)
-                    np.put_along_axis(keep, np.take(top, np.arange(k), axis=axis), True, axis=axis)
-                good &= keep
-            p, q = np.nonzero(good)
-            out.append(pd.DataFrame({"a": np.maximum(ra[at + p], rb[q]), "b": np.minimum(ra[at + p], rb[q]), "est": est[p, q]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "est": []})
-
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
+            at = at[((HASHES - differ) / HASHES - 0.25) / 0.75 >= bar]
+            at = at.astype(np.int32)
+            left.append(at), right.append(at + np.int32(d))
+        if not left:
+            return
+        p, q = np.concatenate(left), np.concatenate(right)
+        order = np.argsort(p, kind="stable")
+        p, q = p[order], q[order]
+        sizes = np.array([len(x) // 2 for x in prints])
+        keep, score = np.zeros(len(p), bool), np.zeros(len(p))
+        edges = np.flatnonzero(np.concatenate([[True], run[p[1:]] != run[p[:-1]], [True]])) if len(p) else np.zeros(0, np.int64)
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            rows, at = np.unique(np.concatenate([p[lo:hi], q[lo:hi]]), return_inverse=True)
+            common = common_prints([prints[r] for r in rows], at[: hi - lo], at[hi - lo :])
+            total = sizes[p[lo:hi]] + sizes[q[lo:hi]]
+            keep[lo:hi], score[lo:hi] = common * 100 >= (total - common) * threshold, common / np.maximum(total - common, 1)
+        p, q, score = p[keep], q[keep], score[keep]
+        if most is not None:  # each document of a run keeps its best partners
+            keep = np.zeros(len(p), bool)
+            for end in (p, q):
+                order = np.lexsort((-score, end))
+                first = np.searchsorted(end[order], end[order], "left")
+                keep[order] |= np.arange(len(order)) - first < most
+            p, q = p[keep], q[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rid[p], rid[q])), pa.array(np.minimum(rid[p], rid[q]))], names=["a", "b"])
+
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c = columns(batch)
+        if size >= 6_000:
+            # whole runs only: what belongs to the last run waits for the rest of it
+            whole = [np.concatenate(x) for x in zip(*held)]
+            cut = np.flatnonzero((whole[0][1:] != whole[0][:-1]) | (whole[1][1:] != whole[1][:-1]) | (whole[2][1:] != whole[2][:-1]))
+            if len(cut):
+                yield from work([x[: cut[-1] + 1] for x in whole])
+                whole = [x[cut[-1] + 1 :] for x in whole]
+            held, size = [whole], len(whole[0])
+        held.append(c)
+        size += batch.num_rows
+    if held:
+        yield from work([np.concatenate(x) for x in zip(*held)])
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
@@ -240,8 +329,8 @@ def _near(rows: DataFrame, size: int, threshold: int) -> DataFrame:
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rid", "key").alias("h"), "rid")).alias("first")).where("n > 1")
     shared = write_table(banded.join(buckets.select("key", F.col("first.rid").alias("leader")), "key"), "near-shared")
     involved = shared.select(F.col("rid").alias("_rid")).distinct()
-    sigs = write_table(signed.select("_rid", "sig").join(involved, "_rid"), "near-sigs")
     texts = write_table(rows.select("_rid", "text").join(involved, "_rid", "left_semi"), "near-texts")
+    sigs = write_table(signed.select("_rid", "sig").join(_prints(texts, size), "_rid"), "near-sigs")
     bar = threshold / 100 - SLACK
     pairs = shared.where("rid != leader").select(F.col("rid").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = pairs.join(sigs.select(F.col("_rid").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("_rid").alias("b"), F.col("sig").alias("y")), "b")
@@ -250,7 +339,7 @@ def _near(rows: DataFrame, size: int, threshold: int) -> DataFrame:
     tested = None
     labels = write_table(components(links), "near-labels")
     for most in MEETINGS:
-        met = _meet(shared, labels, sigs, bar, most)
+        met = _meet(shared, labels, sigs, bar, threshold, most)
         if tested is not None:
             met = met.join(tested, ["a", "b"], "left_anti")
         met = write_table(met.select("a", "b"), "near-met")
@@ -259,8 +348,8 @@ def _near(rows: DataFrame, size: int, threshold: int) -> DataFrame:
         tested = met if tested is None else tested.unionByName(met)
         more = write_table(_confirmed(met, texts, size, threshold), "near-links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = write_table(components(links), "near-labels")
+            stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = write_table(components(stars.unionByName(more)), "near-labels")
     out = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("_rid", "doc_id", "n", F.coalesce("component", "rep").alias("component"))
     out = write_table(out, "near-members")
     least = out.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")).alias("first"))

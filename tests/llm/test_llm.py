@@ -445,3 +445,15 @@ def test_oracles(spark, name):
     from plotline.llm import queries as Q
 
     assert compare.difference(Q.queries()[name](spark, SMALL), compare.connect(SMALL), Q.oracle_sql()[name]) is None
+
+
+def test_common_prints_count_repeats():
+    from plotline.llm.minhash import common_prints
+
+    rng = np.random.default_rng(6)
+    rows = [np.sort(rng.integers(0, 40, rng.integers(0, 60)).astype(np.uint16)) for _ in range(30)]
+    p, q = np.triu_indices(30, 1)
+    want = [sum((Counter(rows[a].tolist()) & Counter(rows[b].tolist())).values()) for a, b in zip(p, q)]
+    prints = [r.tobytes() for r in rows]
+    assert common_prints(prints, p, q).tolist() == want
+    assert common_prints(prints, p[:20], q[:20]).tolist() == want[:20]
