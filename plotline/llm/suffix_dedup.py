@@ -196,11 +196,12 @@ def _same_hashes(texts: DataFrame, length: int) -> DataFrame:
 def _occurrences(rows: DataFrame, length: int, groups: bool) -> DataFrame:
     """(rid, start, end, repeat) of repeated strings in (_rid, text)."""
     blocks = _find_blocks(rows, length)
-    often = blocks.groupBy("mh").count().where("count > 1").select("mh")
+    # written, so that the join below has two plain shuffles and a hot minimizer's rows can be split
+    often = write_table(blocks.groupBy("mh").count().where("count > 1").select("mh"), "suffix-often")
     dup = write_table(blocks.join(often, "mh", "left_semi"), "suffix-blocks")
     classes = dup.groupBy("mh", "bh").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min(F.struct("rid", "lo")).alias("one"))
     classes = write_table(classes.select("mh", "bh", "copies", "n", "one.rid", "one.lo"), "suffix-classes")
-    several = classes.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    several = write_table(classes.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "suffix-several")
     # a class of several copies is covered whole already, but its strings still count against the others
     wanted = classes.join(several, "mh").groupBy("rid").agg(F.collect_list(F.struct("mh", "bh", "lo", "n", (F.col("kinds") > HOT).alias("hot"))).alias("blocks"))
     source = rows.join(wanted.withColumnRenamed("rid", "_rid"), "_rid").select("text", "blocks")
