@@ -1,9 +1,10 @@
 """Main text of web pages by site template removal.
 
-Each element subtree outside the article is hashed; Spark counts, per host, the pages on which a hash occurs, and the
-subtrees that recur across many pages of their host are deleted. What HTML itself marks as no part of the article
-(navigation, headers, footers, asides, forms, scripts, and elements whose class, id or role says so) is deleted too, and
-where an article or main element stands, text outside it.
+Each block subtree, inside the article or outside, is hashed; Spark counts, per host, the different page contents with
+which a hash occurs, and the subtrees that recur with MIN_PAGES of them are deleted. Copies of one page count once, so
+that they are no templates of each other. What HTML itself marks as no part of the article (navigation, headers, footers,
+asides, forms, scripts, and elements whose class, id or role says so) is deleted too, and where an article or main
+element holds text, everything outside it.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.common import keyed
+from plotline.llm.common import keyed, write_table
 
-#: A subtree is template text from so many pages of its host, and from this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.1
+#: A subtree is template text from so many different pages of its host, however many pages the host has.
+MIN_PAGES = 5
 
 #: Elements by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,8 +51,9 @@ def _labels(rest: str) -> str:
 
 
 def parse(page: str, templates: frozenset[int] | set[int] = frozenset(), hashes: set[int] | None = None) -> str:
-    """The main text of a page. ``hashes`` collects the hashes of the block subtrees outside the article that hold text;
-    subtrees whose hash is in ``templates`` are deleted."""
+    """The main text of a page. ``hashes`` collects the hashes of the block subtrees that hold text, but for the article
+    and what encloses it; subtrees whose hash is in ``templates`` are deleted."""
+    hashing, article = hashes is not None or bool(templates), False
     names, marks, drops, mains, inner = ["#"], [""], [False], [False], [[]]  # the open elements
     owners: list[tuple[int, ...]] = [()]  # places of their first pieces
     pieces: list[tuple[str, bool]] = []  # text, or "" for the edge of a block; whether it is in the article
@@ -59,7 +61,9 @@ def parse(page: str, templates: frozenset[int] | set[int] = frozenset(), hashes:
     find = MARKUP.search
 
     def add(text: str) -> None:
+        nonlocal article
         if not drops[-1]:
+            article = article or (mains[-1] and bool(text) and not text.isspace())
             pieces.append((text, mains[-1]))
         inner[-1].append(text)
 
@@ -67,9 +71,10 @@ def parse(page: str, templates: frozenset[int] | set[int] = frozenset(), hashes:
         name, mark, drop, main, parts, begin = names.pop(), marks.pop(), drops.pop(), mains.pop(), inner.pop(), owners.pop()
         if name in BLOCK:
             pieces.append(("", main))
-        if main or not parts:
-            if main:
-                inner[-1].append("\0")  # what holds the article is never a template
+        if not hashing:
+            return
+        if main and not mains[-1]:
+            inner[-1].append("\0")  # the article, and what holds it, is never a template
             return
         if "\0" in parts:
             inner[-1].append("\0")
@@ -85,7 +90,8 @@ def parse(page: str, templates: frozenset[int] | set[int] = frozenset(), hashes:
             if h in templates:
                 del pieces[begin[0] :]
                 pieces.append(("", main))
-                return
+            inner[-1].append(f"<{h}>")
+            return
         inner[-1].append(whole)
 
     while at < size:
@@ -139,7 +145,6 @@ def parse(page: str, templates: frozenset[int] | set[int] = frozenset(), hashes:
         names.append(name), marks.append(mark), drops.append(drops[-1] or chrome or "hidden" in rest.lower().split()), mains.append(main), inner.append([]), owners.append((len(pieces),))
     while len(names) > 1:
         shut()
-    article = any(main and text and not text.isspace() for text, main in pieces)
     blocks, run = [], []
     for text, main in [*pieces, ("", False)]:
         if text == "":
@@ -153,26 +158,25 @@ def parse(page: str, templates: frozenset[int] | set[int] = frozenset(), hashes:
     return "\n".join(blocks)
 
 
-def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every row. Null html is empty; a null url's pages share one host. Repeated ids
-    are pages of their own, but the same subtree counts once for a page."""
+    are pages of their own, but the same subtree counts once for all pages of a host with one text."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = keyed(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.xxhash64(host).alias("host")), "page_id", "html-pages")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
+            found, contents = [], []
             for text in b.column(2):
                 hashes: set[int] = set()
-                parse(text.as_py(), hashes=hashes)
+                content = parse(text.as_py(), hashes=hashes)
+                contents.append(int.from_bytes(blake2b(content.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
                 found.append(list(hashes))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["_rid", "host", "found"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(contents, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["_rid", "host", "content", "found"])
 
-    seen = rows.select("_rid", "host", "html").mapInArrow(collect, "_rid long, host long, found array<long>")
-    trees = seen.select("_rid", "host", F.explode("found").alias("h")).withColumn("key", F.xxhash64("host", "h"))
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    counts = trees.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("host").alias("host"))
-    often = counts.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= F.col("n_pages") * F.lit(min_share)).select("key")
+    seen = rows.select("_rid", "host", "html").mapInArrow(collect, "_rid long, host long, content long, found array<long>")
+    trees = write_table(seen.select("_rid", "content", "host", F.explode("found").alias("h")).select("_rid", "content", "h", F.xxhash64("host", "h").alias("key")), "html-trees")
+    often = trees.groupBy("key").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= min_pages).select("key")
     templates = trees.join(often, "key").groupBy("_rid").agg(F.collect_set("h").alias("templates"))
     both = rows.select("_rid", "page_id", "url", "html").join(templates, "_rid", "left").select("page_id", "url", "html", "templates")
     schema = rows.select("page_id", "url").schema.add("text", "string")

@@ -328,6 +328,30 @@ def test_template_subtrees_are_removed(spark):
     assert {r.text for r in extract_pages(spark.createDataFrame(same, "page_id long, url string, html string")).collect()} == {"copied page"}
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_template_subtrees_inside_the_article_are_removed(spark, tag):
+    from plotline.llm.html_extract import extract_pages
+
+    rng = random.Random(4)
+    letter = "<div><p>Get our letter every week</p><p>It is free</p></div>"
+    page = lambda i, extra: f"<body><{tag}><div><p>{' '.join(words(rng, 20))}</p>{extra}<p>{' '.join(words(rng, 9))} {i}</p></div></{tag}></body>"
+    # 6 of 200 pages hold the block: a share of the host's pages would miss it
+    rows = [(i, f"http://h.org/{i}", page(i, letter if i < 6 else "")) for i in range(200)]
+    rows += [(300 + i, f"http://few.org/{i}", page(i, letter)) for i in range(4)]
+    copied = page(0, letter)
+    rows += [(400 + i, f"http://copies.org/{i}", copied) for i in range(30)]
+    out = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("letter" not in out[i] and "free" not in out[i] and len(out[i].split()) == 30 for i in range(200))
+    assert all("Get our letter every week\nIt is free" in t and len(t.split()) == 38 for i, t in out.items() if i >= 300)
+
+
+def test_an_article_of_templates_does_not_let_outside_text_in():
+    from plotline.llm.html_extract import parse
+
+    page, hashes = "<article><p>template</p></article><div>outside</div>", set()
+    assert parse(page, hashes=hashes) == "template" and parse(page, hashes) == ""
+
+
 # 8
 def test_shards(spark):
     from plotline.llm.sharding import rebalance, shard_records, slot_stats
