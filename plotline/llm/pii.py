@@ -1,10 +1,10 @@
-"""Personal data: pattern spans, and information-theoretic sanitisation of the terms around them (native).
+"""Personal data: pattern spans, and information-theoretic sanitisation of the terms that disclose them (native).
 
-Emails, IP addresses, card and phone numbers are found by pattern. Each distinct value is a protected entity. Terms
-near its mentions are weighed by corpus co-occurrence: with p(e) the share of documents that mention entity e and p(e|t)
-the share of the documents with term t in which t stands near e, the pointwise mutual information of t and e is
-IC(e) + log2 p(e|t), IC(e) = -log2 p(e). A term that carries GENERALISE of IC(e) or more is generalised in that entity's
-neighbourhood, one that carries REMOVE of it is removed. A term needs SUPPORT different contexts of the entity, so that
+Emails, IP addresses, card and phone numbers are found by pattern. Each distinct value is a protected entity. All terms
+of the documents that mention it are weighed by corpus co-occurrence: with p(e) the share of texts that mention entity e
+and p(e|t) the share of the texts with term t that mention e, the pointwise mutual information of t and e is
+IC(e) + log2 p(e|t), IC(e) = -log2 p(e). A term that carries GENERALISE of IC(e) or more is generalised wherever it
+stands in the documents that mention e, one that carries REMOVE of it is removed. Distinct texts are counted, so that
 copies of one document reveal nothing by themselves.
 
 Java's regular expressions recurse on repeated groups, which breaks on long runs; the patterns here are equal ones made
@@ -21,8 +21,9 @@ from plotline.llm.common import keyed, write_table
 #: Order of the kinds at one start.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
-NEAR = 80  #: characters on either side of a mention
-SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.97
+GENERALISE, REMOVE = 0.9, 0.97
+#: A term this share of all terms or rarer may meet its texts in one task.
+FREQUENT = 1e-4
 _DOT = "﷐"  #: stands for a dot that no label follows; a noncharacter
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![\p{N}@_%+-]|\.\p{L})"
 _LOCAL = rf"[A-Za-z0-9._%+{_DOT}-]"
@@ -33,16 +34,19 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 
 def _matches(kind: int, text: Column, pattern: str, when: Column) -> Column:
-    """array<struct<kind, nth, gap, len, value, before, after>> of the matches."""
+    """array<struct<kind, nth, gap, len, value>> of the matches."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zipped = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"), F.slice(gaps, 2, F.size(found)).alias("h"))
-    one = lambda x, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("nth"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("len"), x["m"].alias("value"),
-        F.right(x["g"], F.lit(NEAR + 1)).alias("before"), F.left(x["h"], F.lit(NEAR + 1)).alias("after"),
-    )
+    zipped = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
+    one = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("len"), x["m"].alias("value"))
     return F.when(when, F.transform(zipped, one)).otherwise(F.array())
 
 
+def _starts(*by: str) -> Column:
+    """Where the nth match starts, from the matches' lengths and the gaps before them."""
+    past = Window.partitionBy(*by).orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    return (F.coalesce(F.sum(F.col("gap") + F.col("len")).over(past), F.lit(0)) + F.col("gap")).cast("long")
+
+
 def _luhn(digits: Column) -> Column:
     one = lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.pmod(c.cast("int") * 2, F.lit(10)) + F.floor(c.cast("int") / 5).cast("int"))
     cells = F.filter(F.split(F.reverse(digits), "", -1), lambda c: c != "")
@@ -50,7 +54,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
-    """(_rid, kind, start, end, entity, before, after) of the pattern matches that hold, from (_rid, text)."""
+    """(_rid, kind, start, end, entity) of the pattern matches that hold, from (_rid, text)."""
     text = F.col("text")
     emails = F.regexp_replace(F.translate(text, _DOT, "\n"), r"\.(?![A-Za-z0-9-])", _DOT)
     # single separators only: of two or more in a row each becomes a line end
@@ -62,9 +66,8 @@ def base_spans(rows: DataFrame) -> DataFrame:
         _matches(3, text, PHONE, text.rlike(r"\+[0-9]")),
     )
     m = rows.select("_rid", F.inline(all_)).repartition("_rid")
-    past = Window.partitionBy("_rid", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    start = (F.coalesce(F.sum(F.col("gap") + F.col("len")).over(past), F.lit(0)) + F.col("gap")).cast("long")
-    m = m.select("_rid", "kind", "value", "before", "after", start.alias("start"), (start + F.col("len")).alias("end"))
+    start = _starts("_rid", "kind")
+    m = m.select("_rid", "kind", "value", start.alias("start"), (start + F.col("len")).alias("end"))
     digits = F.regexp_replace("value", "[^0-9]", "")
     n = F.length(digits)
     byte = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -75,46 +78,71 @@ def base_spans(rows: DataFrame) -> DataFrame:
         | ((F.col("kind") == 3) & n.between(10, 15))
     )
     name = F.when(F.col("kind") == 0, F.lower(F.translate("value", _DOT, "."))).when(F.col("kind") == 1, F.col("value")).otherwise(digits)
-    dots = lambda c: F.translate(c, _DOT, ".")
-    return m.where(holds).select("_rid", "kind", "start", "end", F.xxhash64("kind", name).alias("entity"), dots("before").alias("before"), dots("after").alias("after"))
-
-
-def _near_terms(spans: DataFrame) -> DataFrame:
-    """(_rid, entity, context, term, start, end): the terms within NEAR characters of a mention that are not cut off."""
-    side = F.explode(F.array(F.struct(F.lit(True).alias("ahead"), F.col("before").alias("s"), (F.col("start") - F.length("before")).alias("at")), F.struct(F.lit(False).alias("ahead"), F.col("after").alias("s"), F.col("end").alias("at"))))
-    s = spans.select("_rid", "entity", F.xxhash64("before", "after").alias("context"), side.alias("side")).select("_rid", "entity", "context", "side.*")
-    s = s.withColumn("found", F.regexp_extract_all("s", F.lit(TERM), F.lit(0))).withColumn("gaps", F.split("s", TERM, -1))
-    # at most NEAR / 4 terms on a side, so sums over slices are short
-    past = lambda i: F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice("found", 1, i), F.lit(0), lambda a, g: a + F.length(g))
-    terms = F.transform("found", lambda t, i: F.struct(t.alias("t"), past(i).alias("rel")))
-    s = s.select("_rid", "entity", "context", "ahead", "at", F.length("s").alias("n"), F.inline(terms))
-    cut = (F.col("n") > NEAR) & F.when(F.col("ahead"), F.col("rel") == 0).otherwise(F.col("rel") + F.length("t") == F.col("n"))
-    start = (F.col("at") + F.col("rel")).cast("long")
-    return s.where(~cut).select("_rid", "entity", "context", F.lower("t").alias("term"), start.alias("start"), (start + F.length("t")).alias("end"))
-
-
-def disclosing_terms(rows: DataFrame, terms: DataFrame, spans: DataFrame) -> DataFrame:
-    """(entity, term, kind): what near terms tell about their entities, by counts over all documents."""
-    n_docs = rows.count()
-    entities = spans.groupBy("entity").agg(F.count_distinct("_rid").alias("n_e"))
-    pairs = terms.groupBy("entity", "term").agg(F.count_distinct("_rid").alias("n_et"), F.count_distinct("context").alias("support")).where(F.col("support") >= SUPPORT)
-    asked = pairs.select("term").distinct()
+    return m.where(holds).select("_rid", "kind", "start", "end", F.xxhash64("kind", name).alias("entity"))
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """(_rid) of all but one of the rows of each text."""
+    ids = rows.select("_rid", F.xxhash64("text").alias("h"), F.hash("text").alias("g"))
+    firsts = ids.groupBy("h", "g").agg(F.min("_rid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return ids.join(firsts, ["h", "g"]).where("_rid <> first").select("_rid")
+
+
+def _terms(rows: DataFrame, *columns: str) -> DataFrame:
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))
-    held = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    weighed = pairs.join(held.join(asked, "term", "left_semi"), "term").join(entities, "entity")
-    ic = F.log2(F.lit(float(n_docs)) / F.col("n_e"))
+    return rows.select(*columns, F.explode(words).alias("term"))
+
+
+def _pairs(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, int]:
+    """(_rid, entity, term, copy, n_e, n_t) of the documents' entities and terms, with the texts that hold each, and the
+    number of texts. Of the pairs only those are left out that cannot disclose: with n_et <= n_e, a term tells GENERALISE
+    of IC(e) only if n_t <= n_e * (N / n_e) ** (1 - GENERALISE)."""
+    copies = write_table(_copies(rows), "pii-copies")
+    n_texts = rows.count() - copies.count()
+    mentions = write_table(spans.select("_rid", "entity").distinct().join(copies.withColumn("copy", F.lit(True)), "_rid", "left").withColumn("copy", F.coalesce("copy", F.lit(False))), "pii-mentions")
+    held = write_table(_terms(rows.join(copies, "_rid", "left_anti")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "pii-held")
+    entities = mentions.where("not copy").groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    most = entities.agg(F.max("n_e")).first()[0] or 1
+    # a little more than the bound, for rounding
+    bound = lambda n_e: n_e * F.pow(F.lit(float(n_texts)) / n_e, F.lit(1 - GENERALISE)) * F.lit(1 + 1e-9)
+    top = most * (n_texts / most) ** (1 - GENERALISE) * (1 + 1e-9)
+    # the most frequent terms go before their rows meet in one task; there are at most 1 / FREQUENT of them
+    total = held.agg(F.sum("n_t")).first()[0] or 0
+    frequent = held.where(F.col("n_t") > max(top, total * FREQUENT)).select("term")
+    terms = _terms(rows.join(mentions.select("_rid").distinct(), "_rid", "left_semi"), "_rid").join(F.broadcast(frequent), "term", "left_anti")
+    terms = terms.join(held.where(F.col("n_t") <= top), "term")
+    known = mentions.join(entities.where("n_e > 1"), "entity", "left").withColumn("n_e", F.coalesce("n_e", F.lit(1).cast("long")))
+    pairs = terms.join(known, "_rid").where(F.col("n_t") <= bound(F.col("n_e")))
+    return write_table(pairs.select("_rid", "entity", "term", "copy", "n_e", "n_t"), "pii-pairs"), n_texts
+
+
+def disclosing_terms(pairs: DataFrame, n_texts: int) -> DataFrame:
+    """(entity, term, kind): what terms tell about the entities of their documents, by counts over all texts."""
+    counts = pairs.groupBy("entity", "term").agg(F.count_if(~F.col("copy")).alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    ic = F.log2(F.lit(float(n_texts)) / F.col("n_e"))
     pmi = ic + F.log2(F.least(F.lit(1.0), F.col("n_et") / F.col("n_t")))
     share = F.when(ic > 0, pmi / ic)
-    return weighed.select("entity", "term", F.when(share >= REMOVE, F.lit(5)).when(share >= GENERALISE, F.lit(4)).alias("kind")).where("kind is not null")
+    return counts.select("entity", "term", F.when(share >= REMOVE, F.lit(5)).when(share >= GENERALISE, F.lit(4)).alias("kind")).where("kind is not null")
+
+
+def _occurrences(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """(_rid, kind, start, end) of every occurrence of the terms told, (_rid, term, kind), in their documents."""
+    found, gaps = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
+    one = lambda x, i: F.struct(i.alias("nth"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("len"), F.lower(x["m"]).alias("term"))
+    matches = F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")), one)
+    m = rows.join(told.select("_rid").distinct(), "_rid", "left_semi").select("_rid", F.inline(matches)).repartition("_rid")
+    start = _starts("_rid")
+    m = m.select("_rid", "term", start.alias("start"), (start + F.col("len")).alias("end"))
+    return m.join(told, ["_rid", "term"]).select("_rid", "kind", "start", "end")
 
 
 def all_spans(rows: DataFrame) -> DataFrame:
     """(_rid, kind, start, end) of all spans, pattern matches and disclosing terms, from (_rid, text)."""
     base = write_table(base_spans(rows), "pii-base")
-    terms = write_table(_near_terms(base), "pii-terms")
-    told = write_table(disclosing_terms(rows, terms, base), "pii-told")
-    extra = terms.join(told, ["entity", "term"]).groupBy("_rid", "start", "end").agg(F.max("kind").alias("kind"))
-    return base.select("_rid", "kind", "start", "end").unionByName(extra.select("_rid", "kind", "start", "end"))
+    pairs, n_texts = _pairs(rows, base)
+    told = pairs.join(disclosing_terms(pairs, n_texts), ["entity", "term"]).groupBy("_rid", "term").agg(F.max("kind").alias("kind"))
+    extra = _occurrences(rows, write_table(told, "pii-told"))
+    return base.select("_rid", "kind", "start", "end").unionByName(extra)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, keep: bool) -> DataFrame:

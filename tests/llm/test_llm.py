@@ -180,6 +180,27 @@ def test_disclosing_terms_are_generalised(spark):
     assert "Zorblax" not in clean[100] and "boss@zor.org" not in clean[100] and "alpha beta" in clean[100]
 
 
+def test_disclosing_terms_are_weighed_over_whole_documents(spark):
+    from plotline.llm.pii import find_personal, sanitize
+
+    rng = random.Random(8)
+    filler = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    rows = [(i, f"{filler(30)} alpha beta gamma delta {i}", "a") for i in range(60)]
+    far = [(100 + i, f"Zorblax {filler(60)} zorblax {filler(60)} {i} boss@zor.org", "a") for i in range(5)]
+    one = [(200, f"{filler(50)} Quixano {filler(50)} sole@one.org", "a")]
+    # as documents 30 of 32 with "quiet" mention the address, as texts one of three
+    copied = [(300 + i, f"quiet {filler(0)} word@copy.org alpha", "a") for i in range(30)] + [(400 + i, f"quiet {filler(20)} {i}", "a") for i in range(2)]
+    given = rows + far + one + copied
+    out = {r.doc_id: r.spans.split(",") for r in find_personal(frame(spark, given)).collect()}
+    for d, t, _ in far:
+        assert [s for s in out[d] if s[0] in "gr"] == [f"remove:{a}:{a + 7}" for a in (0, t.index("zorblax"))]
+    at = one[0][1].index("Quixano")
+    assert [s for s in out[200] if s[0] in "gr"] == [f"remove:{at}:{at + 7}"]
+    assert all([s.split(":")[0] for s in out[d]] == ["email"] for d, _, _ in copied[:30])
+    clean = {r.doc_id: r.text for r in sanitize(frame(spark, given)).collect()}
+    assert all("zorblax" not in clean[d].lower() for d, _, _ in far) and all(clean[d] == t for d, t, _ in rows)
+
+
 # 4
 def conversations(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
