@@ -12,11 +12,22 @@ from plotline.operators.windows import latest
 
 
 def _drain(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """Runs the query over what is there and returns its result as a table."""
-    name = f"s_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs the query over what is there and returns its result as a table. Each batch is written beside the checkpoint
+    under its id, and one that is replayed replaces itself; in complete mode the last one is the result."""
+    root, done = f"{checkpoint}-rows", []
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        path = f"{root}/{batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        if path not in done:
+            done.append(path)
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(done[-1:] if mode == "complete" else done))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

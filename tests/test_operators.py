@@ -187,6 +187,19 @@ def test_stream_ingest(spark, tmp_path):
     assert {r.k: r.v for r in got} == {"k": "new", "j": "x"}
 
 
+def test_stream_results_are_files_and_stay_out_of_the_driver(spark, tmp_path):
+    from plotline.streaming.ingest import latest_by_event_time, run_once
+
+    schema, src = "k string, t int, v string", str(tmp_path / "in")
+    for part in ([("k", 2, "new"), ("j", 1, "x")], [("k", 1, "old"), ("j", 3, "y")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    # a file a batch: in complete mode only the last batch is the result
+    out = run_once(latest_by_event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), "k", ["t"], ["v"]))
+    assert out.inputFiles() and {(r.k, r.versions, r.v) for r in out.collect()} == {("k", 2, "new"), ("j", 2, "y")} and out.count() == 2
+    (tmp_path / "none").mkdir()
+    assert run_once(latest_by_event_time(spark.readStream.schema(schema).parquet(str(tmp_path / "none")), "k", ["t"], ["v"])).count() == 0
+
+
 def test_least_squares_against_numpy(spark):
     rng = np.random.default_rng(3)
     n = 400
