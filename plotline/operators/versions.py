@@ -25,10 +25,24 @@ def revised_fields(pairs: DataFrame, key: str, fields: Sequence[str]) -> DataFra
     return d.select(key, F.explode(named).alias("field"))
 
 
-def accounting(obs: DataFrame, by: str, valid: str) -> DataFrame:
-    """Members, valid and quarantined ones per period, and whether they add up."""
-    a = obs.groupBy(by).agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col(valid)).alias("valid"), F.count_if(~F.coalesce(F.col(valid), F.lit(False))).alias("quarantined"))
-    return a.withColumn("balanced", F.col("members") == F.col("valid") + F.col("quarantined"))
+def accounting(members: DataFrame, observations: DataFrame, errors: DataFrame, by: str, *, valid: str) -> DataFrame:
+    """Per period the members of the registry, valid and quarantined ones among them, the stored observations and the
+    error events, each counted in its own table; whether members = valid + quarantined, observations = valid and error
+    events = quarantined; ``balanced`` if all three hold. A member whose ``valid`` is null is neither. A period of one
+    table alone counts 0 in the others."""
+    rows = lambda df, name: df.groupBy(by).agg(F.count(F.lit(1)).alias(name))
+    a = members.groupBy(by).agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col(valid)).alias("valid"), F.count_if(~F.col(valid)).alias("quarantined"))
+    names = ["members", "valid", "quarantined", "observations", "error_events"]
+    parts = [a, rows(observations, "observations"), rows(errors, "error_events")]
+    # the full outer join as a union, in which periods that are null meet too
+    full = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    t = full.groupBy(by).agg(*[F.coalesce(F.sum(n), F.lit(0).cast("long")).alias(n) for n in names])
+    checks = {
+        "members_balance": F.col("members") == F.col("valid") + F.col("quarantined"),
+        "observations_match_valid": F.col("observations") == F.col("valid"),
+        "quarantine_events_match": F.col("error_events") == F.col("quarantined"),
+    }
+    return t.withColumns(checks).withColumn("balanced", F.col("members_balance") & F.col("observations_match_valid") & F.col("quarantine_events_match"))
 
 
 def snapshot_hash(registry: DataFrame, column: str, parser_version: str) -> DataFrame:

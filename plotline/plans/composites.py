@@ -159,7 +159,8 @@ def revision_fields(spark, sf):
 @query("""select strftime(ts, '%Y-%m-%d') as day, count(*) as members, count(*) filter (event_type <> 'error') as valid, count(*) filter (event_type = 'error') as quarantined, true as balanced from events group by 1""")
 def extract_year_accounting(spark, sf):
     e = Tables(spark, sf).events.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("event_type") != "error").alias("ok"))
-    return V.accounting(e, "day", "ok")
+    out = V.accounting(e, e.where("ok"), e.where("not ok"), "day", valid="ok")
+    return out.select("day", "members", "valid", "quarantined", "balanced")
 
 
 @query("""select sha256('1.1.0' || chr(10) || string_agg(h, chr(10) order by h)) as snapshot from (select distinct md5(source) as h from documents)""")

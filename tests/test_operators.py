@@ -187,6 +187,21 @@ def test_stream_ingest(spark, tmp_path):
     assert {r.k: r.v for r in got} == {"k": "new", "j": "x"}
 
 
+def test_accounting_tells_which_identity_a_lost_row_breaks(spark):
+    members = spark.createDataFrame([("a", True), ("a", False), ("b", True), ("b", True), ("c", True), ("c", False), ("d", None)], "y string, ok boolean")
+    seen = spark.createDataFrame([("a",), ("b",), ("c",), ("e",)], "y string")
+    errors = spark.createDataFrame([("a",)], "y string")
+    out = V.accounting(members, seen, errors, "y", valid="ok").collect()
+    got = {r.y: (r.members, r.observations, r.error_events, r.members_balance, r.observations_match_valid, r.quarantine_events_match, r.balanced) for r in out}
+    assert got == {
+        "a": (2, 1, 1, True, True, True, True),
+        "b": (2, 1, 0, True, False, True, False),
+        "c": (2, 1, 0, True, True, False, False),
+        "d": (1, 0, 0, False, True, True, False),
+        "e": (0, 1, 0, True, False, True, False),
+    }
+
+
 def test_stream_results_are_files_and_stay_out_of_the_driver(spark, tmp_path):
     from plotline.streaming.ingest import latest_by_event_time, run_once
 
