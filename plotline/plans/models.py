@@ -90,7 +90,7 @@ def event_study(spark, sf):
     p = panel(spark, sf)
     q = F.greatest(F.lit(-4), F.least(F.lit(3), F.year("m") - 1998))
     p = p.withColumn("quarter", F.concat(F.lit("q"), q.cast("string")))
-    columns = S.design(p, ["quarter", "treated", "quarter:treated", "income"], {"quarter": ["q-1", "q-3", "q-2", "q0", "q1", "q2", "q3"]}, ("treated", "income"))
+    columns = S.design(p, ["quarter", "treated", "quarter:treated", "income"], {"quarter": ["q-1", "q-4", "q-3", "q-2", "q0", "q1", "q2", "q3"]}, ("treated", "income"))
     fit = S.wls(p, F.col("log_price"), columns, F.col("transactions"))
     return S.tidy(spark, fit, S.cluster_vcov(p, fit, "county"), True)
 

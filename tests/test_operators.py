@@ -187,6 +187,16 @@ def test_stream_ingest(spark, tmp_path):
     assert {r.k: r.v for r in got} == {"k": "new", "j": "x"}
 
 
+def test_event_study_keeps_the_earliest_quarter_out_of_the_reference(spark, monkeypatch):
+    from plotline.plans import models
+
+    rng = np.random.default_rng(5)
+    data = [(f"{y}-01-01", y, f"c{c}", float(c % 2), float(rng.normal()), float(rng.normal()), 3.0) for y in range(1993, 2002) for c in range(8)]
+    p = spark.createDataFrame(data, "d string, y int, county string, treated double, income double, log_price double, transactions double").withColumn("m", F.to_date("d"))
+    monkeypatch.setattr(models, "panel", lambda spark, sf: p)
+    assert any("q-4" in str(r[0]) for r in models.event_study(spark, "").collect())
+
+
 def test_accounting_tells_which_identity_a_lost_row_breaks(spark):
     members = spark.createDataFrame([("a", True), ("a", False), ("b", True), ("b", True), ("c", True), ("c", False), ("d", None)], "y string, ok boolean")
     seen = spark.createDataFrame([("a",), ("b",), ("c",), ("e",)], "y string")
