@@ -44,7 +44,7 @@ def keyed(df: DataFrame, id_col: str, name: str = "keyed") -> DataFrame:
     return write_table(df.withColumn("_rid", F.monotonically_increasing_id()), name)
 
 
-def text_blocks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(texts: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into blocks: (first row, last row, bytes, offsets into the bytes). Nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
@@ -59,7 +59,7 @@ def text_blocks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, n
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + BLOCK_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
         to = min(to, n)
         yield at, to, data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
         at = to
@@ -104,10 +104,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
     return mix((p[ends] - p[starts]) * _power(len(data) + 1, True)[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and document numbers of the words ``[^\\x20\\x09-\\x0D]+``; words never cross documents."""
+def word_spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and document numbers of the words ``[^\\x20\\x09-\\x0D]+``, or of bytes not in ``space``; words never cross documents."""
     word = np.zeros(len(data) + 2, bool)
-    word[1:-1] = ~SPACE[data]
+    word[1:-1] = ~space[data]
     edge = word[1:] != word[:-1]
     starts, ends = np.flatnonzero(edge & word[1:]), np.flatnonzero(edge & word[:-1])
     cuts = offs[1:-1]

@@ -428,6 +428,10 @@ def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
     odd = ["It's we'LL I'd Ünïcödé straße ΟΔΟΣ ǅ İstanbul é  x y 12a3 <|endoftext|> a", "x\x1cy\x0bz\x85w", "don't 's 'S ª² ½ …ſt ﬁ", "tab\tline\r\nnext"]
+    rng = random.Random(8)
+    signs = "aAbBzZ éÉÿŸıİſßªº²½×÷\xad\xa0\x85\u0301's'll're 01239.,!?<|>-_\n\t\r\x0b日本ñÑœŒŉ\x7f\x1fĲĳ"
+    odd += ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(300)]
+    odd += ["".join(f"long{rng.randrange(10**6)} " for _ in range(150_000))]  # over a megabyte
     rows = doubled(spark) + [(5000 + i, t, "a") for i, t in enumerate(odd)]
     out = pack(frame(spark, rows), vocabulary=path, group=16).collect()
     want = Counter()
@@ -449,6 +453,32 @@ def test_packing(spark):
     assert pack(empty(spark), vocabulary=path).count() == 0
 
 
+def test_packing_remembers_few_parts_and_other_vocabularies(monkeypatch, tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from plotline.llm import packing as M
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    texts = [t or "" for _, t, _ in corpus()]
+    raw = [t.encode() for t in texts]
+    block = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(M, "PARTS_KEPT", 40)
+    known = M.WordTokenizer(path)
+    for _ in range(2):
+        assert not known.plain and [x.tolist() for x in known.ids(*block)] == want
+    other = json.loads(plain.to_str())
+    other["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    known = M.WordTokenizer(str(tmp_path / "other.json"))
+    plain = Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert known.plain and [x.tolist() for x in known.ids(*block)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_vector_best_fit_limits():
     from plotline.llm.packing import vector_best_fit
 
@@ -456,6 +486,8 @@ def test_vector_best_fit_limits():
     n = rng.integers(1, 2049, 3000)
     bins, _ = vector_best_fit(n, 2048, 2048, 2048.0**2)
     assert len(set(bins)) <= 1.03 * n.sum() / 2048
+    scalar, _ = vector_best_fit(n, 2048, 2048, 2048.0**2, (1.0, 0.0, 0.0))
+    assert len(set(scalar)) >= len(set(bins)) and (scalar != bins).any()  # the other dimensions change the choice
     bins, _ = vector_best_fit(n, 2048, 3, 1024.0**2 + 2048.0**2 / 2)
     ok = n.astype(float) ** 2 <= 1024.0**2 + 2048.0**2 / 2
     for b in set(bins):
