@@ -316,6 +316,47 @@ def test_nearest(spark):
     assert order == [2, 0, 3, 1]
 
 
+def recall(df, rows, **how):
+    from plotline.llm.ann import nearest
+
+    got = defaultdict(set)
+    for r in nearest(df, **how).collect():
+        got[r.query_id].add(r.vec_id)
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hits = []
+    for q in np.flatnonzero(ids % 100 == 0):
+        gap = ((m - m[q]) ** 2).sum(1)
+        gap[ids == ids[q]] = np.inf
+        hits.append(len(got[ids[q]] & set(ids[np.lexsort((ids, gap))[:10]].tolist())) / 10)
+    return np.mean(hits)
+
+
+def test_nearest_recall_and_small_blocks(spark, monkeypatch):
+    from plotline.llm import ann as M
+
+    rng = np.random.default_rng(9)
+    clustered = rng.normal(size=(40, 24))[rng.integers(0, 40, 6000)] + 0.1 * rng.normal(size=(6000, 24))
+    clustered[rng.permutation(6000)[:2000]] = clustered[0]  # a third of all rows are one vector
+    shapeless = rng.normal(size=(6000, 24))
+    monkeypatch.setattr(M, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(M, "ASKED_ROWS", 7)
+    for x, least in ((shapeless, 0.9), (clustered, 0.9)):
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert recall(df, rows, sample=3000) >= least
+    long = [(i, rng.normal(size=3000).tolist()) for i in range(300)]
+    assert recall(spark.createDataFrame(long, "vec_id long, embedding array<double>"), long) >= 0.9
+
+
+def test_visit_share_falls_with_rows_and_likeness():
+    from plotline.llm.ann import visit_share
+
+    assert visit_share(10, 10, 0.5) == 1.0
+    for a, b in ((100, 1000), (10**4, 10**6), (10**6, 10**9)):
+        assert visit_share(a, 10, 0.5) > visit_share(b, 10, 0.5)
+    assert visit_share(10**6, 10, 0.3) > visit_share(10**6, 10, 0.6) > visit_share(10**6, 10, 0.95)
+
+
 # 7
 PAGES = [
     ("https://a.org/1", '<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>Home</ul></nav><div class="cookie-notice">Accept?</div><article><h1>One &amp;\n two</h1><p>First <b>bold<br><p>Second&nbsp;x &lt;p&gt;<aside>ad</aside></article><section class="comments"><p>me too</p></section><footer>&copy;</footer><script>var a="</p>";</script></body></html>', "One & two\nFirst bold\nSecond x <p>"),
