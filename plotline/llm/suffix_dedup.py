@@ -3,12 +3,13 @@
 Every ``length``-byte string of a text is assigned to its minimizer: the k-gram inside it with the smallest hash (the
 leftmost of equals). Neighbouring strings share theirs, so a text falls into blocks, each a run of strings with one
 minimizer. Equal strings have equal minimizers wherever they stand, so blocks meet by the minimizer's hash, a few bytes
-each. Equal blocks are one class. The texts of different classes under one minimizer are fetched and given to an
-enhanced suffix array: a stack walks the tree of its common-prefix intervals and keeps those whose suffixes are preceded
-by different bytes, that is, the maximal repeats with all their occurrences. What they cover is removed.
+each. Equal blocks are one class with a count; in the interval tree they are one leaf that is an interval by itself.
+The texts of different classes under one minimizer are fetched and given to an enhanced suffix array: a stack walks the
+tree of its common-prefix intervals and keeps those whose suffixes are preceded by different bytes, that is, the maximal
+repeats with all their occurrences. What they cover is removed.
 
 A minimizer inside a very common line may have more classes than one task should hold (HOT); their strings are compared
-by hashes dealt over the whole cluster instead.
+by 128-bit hashes dealt over the whole cluster instead.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,10 +29,10 @@ from plotline.llm.suffix import maximal_repeats, suffix_array
 LENGTH = 400
 GRAM = 64
 #: Classes under one minimizer that go into one suffix array at most.
-HOT = 4096
+HOT = 256
 #: Bytes of text in one suffix array, unless one minimizer has more.
 CHUNK = 1 << 20
-SECOND = mix(EXACT)
+SECOND, THIRD = mix(EXACT), mix(mix(EXACT))
 _LOW = np.uint64((1 << 20) - 1)
 _PIECE = 1 << 20
 
@@ -136,13 +137,18 @@ def _covered_runs(covered: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np
     return text, starts - offs[text], ends - offs[text]
 
 
+def _text_hash(text: bytes) -> int:
+    return int.from_bytes(sha256(text).digest()[:8], "little", signed=True)
+
+
 def _suffix_runs(batches: Iterator[pa.RecordBatch], length: int, groups: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (mh, bh, text) sorted by mh -> covered runs (mh, bh, start, end, repeat null), or with ``groups`` each
-    occurrence of each maximal repeat, ``repeat`` being the string's hash."""
-    held: list[tuple[int, int, bytes]] = []
+    """Rows (mh, bh, text, twice) sorted by mh -> covered runs (mh, bh, start, end, repeat null), or with ``groups`` each
+    occurrence of each maximal repeat, ``repeat`` being the string's hash. A class with several copies (twice) is a
+    repeat as a whole."""
+    held: list[tuple[int, int, bytes, bool]] = []
 
-    def work(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        data, offs = _flat([t for _, _, t in rows])
+    def work(rows: list[tuple[int, int, bytes, bool]]) -> Iterator[pa.RecordBatch]:
+        data, offs = _flat([r[2] for r in rows])
         h = _window_hashes(data, length)
         owner = np.searchsorted(offs, np.arange(len(h)), "right") - 1
         inside = np.arange(len(h)) + length <= offs[owner + 1]
@@ -151,29 +157,29 @@ def _suffix_runs(batches: Iterator[pa.RecordBatch], length: int, groups: bool) -
         same = h[order][1:] == h[order][:-1]
         some = np.zeros(len(rows), bool)  # blocks without a string that occurs twice need no suffix array
         some[owner[order[1:][same]]] = some[owner[order[:-1][same]]] = True
+        out: list[tuple[int, int, int, int, int | None]] = [(mh, bh, 0, len(t), _text_hash(t) if groups else None) for mh, bh, t, twice in rows if twice]
         rows = [rows[i] for i in np.flatnonzero(some)]
-        if not rows:
-            return
-        found, covered, offs = repeats_in([t for _, _, t in rows], length)
-        out: list[tuple[int, int, int, int, int | None]] = []
-        if groups:
-            for n, places in found:
-                i, s = places[0]
-                key = int.from_bytes(sha256(rows[i][2][s : s + n]).digest()[:8], "little", signed=True)
-                out += [(rows[i][0], rows[i][1], s, s + n, key) for i, s in places]
-        else:
-            out = [(rows[i][0], rows[i][1], s, e, None) for i, s, e in zip(*(x.tolist() for x in _covered_runs(covered, offs)))]
+        if rows:
+            found, covered, offs = repeats_in([r[2] for r in rows], length)
+            if groups:
+                for n, places in found:
+                    i, s = places[0]
+                    key = _text_hash(rows[i][2][s : s + n])
+                    out += [(rows[i][0], rows[i][1], s, s + n, key) for i, s in places]
+            else:
+                runs = zip(*(x.tolist() for x in _covered_runs(covered, offs)))
+                out += [(rows[i][0], rows[i][1], s, e, None) for i, s, e in runs if not rows[i][3]]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["mh", "bh", "start", "end", "repeat"])
 
     size = 0
     for b in batches:
-        for mh, bh, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if size >= CHUNK and held[-1][0] != mh:
+        for row in zip(*(b.column(k).to_pylist() for k in range(4))):
+            if size >= CHUNK and held[-1][0] != row[0]:
                 yield from work(held)
                 held, size = [], 0
-            held.append((mh, bh, text))
-            size += len(text)
+            held.append(row)
+            size += len(row[2])
     if held:
         yield from work(held)
 
@@ -184,47 +190,45 @@ def _same_hashes(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, text in enumerate(b.column(2).to_pylist()):
-                h = _window_hashes(np.frombuffer(text, np.uint8), length)
+                data = np.frombuffer(text, np.uint8)
+                h, g = _window_hashes(data, length), _window_hashes(data, length, THIRD)
                 at = pa.array(np.full(len(h), i))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.arange(len(h))), pa.array(h.view(np.int64))], names=["mh", "bh", "start", "h"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in (0, 1, 3)], pa.array(np.arange(len(h))), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], names=["mh", "bh", "twice", "start", "h", "g"])
 
-    strings = texts.mapInArrow(run, "mh long, bh long, start long, h long")
-    twice = strings.groupBy("mh", "h").count().where("count > 1").select("mh", "h")
-    return strings.join(twice, ["mh", "h"]).select("mh", "bh", "start", (F.col("start") + length).alias("end"), F.col("h").alias("repeat"))
+    strings = texts.mapInArrow(run, "mh long, bh long, twice boolean, start long, h long, g long")
+    often = strings.groupBy("mh", "h", "g").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("some")).where("n > 1 or some").select("mh", "h", "g")
+    return strings.join(often, ["mh", "h", "g"]).select("mh", "bh", "start", (F.col("start") + length).alias("end"), F.xxhash64("h", "g").alias("repeat"))
 
 
 def _occurrences(rows: DataFrame, length: int, groups: bool) -> DataFrame:
     """(rid, start, end, repeat) of repeated strings in (_rid, text)."""
-    blocks = _find_blocks(rows, length)
+    blocks = write_table(_find_blocks(rows, length), "suffix-all")
     # written, so that the join below has two plain shuffles and a hot minimizer's rows can be split
     often = write_table(blocks.groupBy("mh").count().where("count > 1").select("mh"), "suffix-often")
     dup = write_table(blocks.join(often, "mh", "left_semi"), "suffix-blocks")
     classes = dup.groupBy("mh", "bh").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min(F.struct("rid", "lo")).alias("one"))
     classes = write_table(classes.select("mh", "bh", "copies", "n", "one.rid", "one.lo"), "suffix-classes")
     several = write_table(classes.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "suffix-several")
-    # a class of several copies is covered whole already, but its strings still count against the others
-    wanted = classes.join(several, "mh").groupBy("rid").agg(F.collect_list(F.struct("mh", "bh", "lo", "n", (F.col("kinds") > HOT).alias("hot"))).alias("blocks"))
+    wanted = classes.join(several, "mh").groupBy("rid").agg(F.collect_list(F.struct("mh", "bh", "lo", "n", (F.col("copies") > 1).alias("twice"), (F.col("kinds") > HOT).alias("hot"))).alias("blocks"))
     source = rows.join(wanted.withColumnRenamed("rid", "_rid"), "_rid").select("text", "blocks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, parts in zip(b.column(0), b.column(1)):
                 raw, parts = text.as_py().encode("utf-8", "surrogatepass"), parts.as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p["mh"] for p in parts], pa.int64()), pa.array([p["bh"] for p in parts], pa.int64()), pa.array([raw[p["lo"] : p["lo"] + p["n"] - 1 + length] for p in parts], pa.binary()), pa.array([p["hot"] for p in parts])],
-                    names=["mh", "bh", "text", "hot"],
-                )
+                texts = pa.array([raw[p["lo"] : p["lo"] + p["n"] - 1 + length] for p in parts], pa.binary())
+                ids = [pa.array([p[c] for p in parts], pa.int64()) for c in ("mh", "bh")]
+                yield pa.RecordBatch.from_arrays([*ids, texts, *[pa.array([p[c] for p in parts]) for c in ("twice", "hot")]], names=["mh", "bh", "text", "twice", "hot"])
 
-    texts = write_table(source.mapInArrow(cut, "mh long, bh long, text binary, hot boolean"), "suffix-texts")
-    sorted_ = texts.where("not hot").select("mh", "bh", "text").repartition("mh").sortWithinPartitions("mh")
+    texts = write_table(source.mapInArrow(cut, "mh long, bh long, text binary, twice boolean, hot boolean"), "suffix-texts")
+    sorted_ = texts.where("not hot").drop("hot").repartition("mh").sortWithinPartitions("mh")
     runs = sorted_.mapInArrow(lambda it: _suffix_runs(it, length, groups), "mh long, bh long, start long, end long, repeat long")
-    hot = texts.where("hot").select("mh", "bh", "text")
+    hot = texts.where("hot").drop("hot")
     if not hot.isEmpty():
         runs = runs.unionByName(_same_hashes(hot, length))
-    copies = classes.where("copies > 1")
-    if not groups:
-        runs = runs.join(copies, ["mh", "bh"], "left_anti")
-    whole = copies.select("mh", "bh", F.lit(0).cast("long").alias("start"), (F.col("n") + (length - 1)).alias("end"), F.col("bh").alias("repeat"))
+    # a class alone under its minimizer is its own interval tree
+    alone = classes.where("copies > 1").join(several, "mh", "left_anti")
+    whole = alone.select("mh", "bh", F.lit(0).cast("long").alias("start"), (F.col("n") + (length - 1)).alias("end"), F.col("bh").alias("repeat"))
     found = dup.select("rid", "lo", "mh", "bh").join(runs.unionByName(whole), ["mh", "bh"])
     return found.select("rid", (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("end")).alias("end"), "repeat")
 
@@ -233,16 +237,80 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id", "suffix-rows")
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)) if n else ()
+    return int(differ[0]) if len(differ) else n
+
+
+def _islands(found: DataFrame) -> DataFrame:
+    """(group, rid, lo, hi): the repeats (rid, start, end, repeat), those of one pattern joined where they overlap. A
+    pattern is where a repeat's occurrences are: in which documents and at which distances."""
+    found = write_table(found.distinct(), "suffix-found")
+    first = found.groupBy("repeat").agg(F.min(F.struct("rid", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.max(F.col("end") - F.col("start")).alias("length"))
+    first = first.select("repeat", F.col("first.rid").alias("in_rid"), F.col("first.start").alias("begin"), "n", "length")
+    place = F.xxhash64("rid", F.col("start") - F.col("begin"))
+    pattern = found.join(first, "repeat").groupBy("repeat").agg(F.sum(F.pmod(place, F.lit(1 << 40))).alias("p"), F.bit_xor(place).alias("q"))
+    by = Window.partitionBy("in_rid", "n", "p", "q").orderBy("begin", "repeat")
+    lined = first.join(pattern, "repeat").withColumn("reach", F.max(F.col("begin") + F.col("length")).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.when(F.col("begin") <= F.col("reach"), 0).otherwise(1)
+    lined = lined.withColumn("island", F.sum(new).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    heads = lined.groupBy("in_rid", "n", "p", "q", "island").agg(F.min(F.struct("begin", "repeat")).alias("head"), F.max(F.col("begin") + F.col("length")).alias("stop"))
+    heads = heads.select(F.col("head.repeat").alias("repeat"), (F.col("stop") - F.col("head.begin")).alias("length"))
+    return found.join(heads, "repeat").select(F.col("repeat").alias("group"), "rid", F.col("start").alias("lo"), (F.col("start") + F.col("length")).alias("hi"))
+
+
+def _stretched(groups: DataFrame, rows: DataFrame, width: int = 1024) -> DataFrame:
+    """The groups (group, rid, lo, hi) grown to both sides as far as all occurrences agree, each string once. What stands
+    next to an occurrence is looked at ``width`` bytes at a time, then four times as many; the prefix that a group's
+    contexts share is that of the smallest and the largest of them."""
+    done, growing = None, write_table(groups, "suffix-groups")
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, parts in zip(b.column(0), b.column(1)):
+                raw, parts = text.as_py().encode("utf-8", "surrogatepass"), parts.as_py()
+                before, after = [raw[max(0, p["lo"] - width) : p["lo"]][::-1] for p in parts], [raw[p["hi"] : p["hi"] + width] for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([p["group"] for p in parts], pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["group", "before", "after"])
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = [pa.array([_common(x.as_py(), y.as_py()) for x, y in zip(b.column(i), b.column(i + 1))], pa.int64()) for i in (1, 3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *sides], names=["group", "left", "right"])
+
+    while True:
+        asked = growing.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("group", "lo", "hi")).alias("parts"))
+        contexts = rows.join(asked, "_rid").select("text", "parts").mapInArrow(beside, "group long, before binary, after binary")
+        ends = contexts.groupBy("group").agg(F.min("before"), F.max("before"), F.min("after"), F.max("after"))
+        more = ends.mapInArrow(common, "group long, left long, right long")
+        wide = (F.col("left") == width) | (F.col("right") == width)
+        grown = write_table(growing.join(more, "group").select("group", "rid", (F.col("lo") - F.col("left")).alias("lo"), (F.col("hi") + F.col("right")).alias("hi"), wide.alias("wide")), "suffix-grown")
+        ended = grown.where("not wide").drop("wide")
+        done = ended if done is None else done.unionByName(ended)
+        growing = grown.where("wide").drop("wide")
+        if growing.isEmpty():
+            break
+        width *= 4
+    first = done.groupBy("group").agg(F.min(F.struct("rid", "lo")).alias("first"), F.max(F.col("hi") - F.col("lo")).alias("length"))
+    once = first.groupBy("first", "length").agg(F.min("group").alias("group")).select("group")
+    return done.join(once, "group")
+
+
 def repeat_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Maximal repeat groups with all their occurrences: (repeat, length, doc_id, start), bytes from 0. Repeats are
-    maximal within blocks of a few hundred bytes, so a longer passage shows as overlapping groups."""
+    """Maximal repeat groups with all their occurrences: (repeat, length, doc_id, start), bytes from 0.
+
+    Every repeated string of ``length`` bytes is in a group that reaches as far to both sides as all occurrences agree;
+    so is every longer repeat inside a block of up to 737 bytes. (Not listed are repeats that cross blocks while each
+    string of ``length`` bytes in them also stands elsewhere.) Repeated rows and ids are documents of their own."""
     rows = _rows(docs, id_col, text_col)
-    found = _occurrences(rows, length, True).withColumnRenamed("rid", "_rid")
-    return found.join(rows.select("_rid", "doc_id"), "_rid").select("repeat", (F.col("end") - F.col("start")).alias("length"), "doc_id", "start").distinct()
+    groups = _stretched(_islands(_occurrences(rows, length, True)), rows).withColumnRenamed("rid", "_rid")
+    return groups.join(rows.select("_rid", "doc_id"), "_rid").select(F.col("group").alias("repeat"), (F.col("hi") - F.col("lo")).alias("length"), "doc_id", F.col("lo").alias("start"))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, spans array<struct<start, end>>, kept (the remaining bytes).
+    """One row per document: doc_id, n_bytes, n_removed, spans array<struct<start, end>>, kept (the remaining bytes) and
+    text (those bytes as text; halves of characters become U+FFFD).
 
     A byte is removed if a ``length``-byte string that covers it starts anywhere else too, in this document or another;
     all copies go. Null texts are empty; texts under ``length`` bytes are left alone. Repeated rows and ids are
@@ -255,7 +323,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, gone, runs, kept = [], [], [], []
+            sizes, gone, runs, kept, texts = [], [], [], [], []
             for text, found in zip(b.column(1), b.column(2)):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 merged: list[list[int]] = []
@@ -270,14 +338,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     at = e
                 parts.append(raw[at:])
                 sizes.append(len(raw)), gone.append(sum(e - s for s, e in merged)), kept.append(b"".join(parts))
+                texts.append(kept[-1].decode("utf-8", "replace"))
                 runs.append([{"start": s, "end": e} for s, e in merged])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "text"])
 
-    schema = rows.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
+    schema = rows.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary").add("text", "string")
     return both.mapInArrow(cut, schema)
 
 
 def op1_suffix_array(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "text")

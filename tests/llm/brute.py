@@ -26,6 +26,31 @@ def removed(texts, length=400):
     return out
 
 
+def places(texts, string):
+    """Every (id, start) of a string in id -> bytes, sorted."""
+    return sorted((d, i) for d, t in texts.items() for i in range(len(t) - len(string) + 1) if t.startswith(string, i))
+
+
+def repeat_groups(texts, length):
+    """string -> its places, of each repeated string of ``length`` bytes stretched as far as all its places agree."""
+    at = defaultdict(list)
+    for d, t in texts.items():
+        for i in range(len(t) - length + 1):
+            at[t[i : i + length]].append((d, i))
+    out = {}
+    for group in at.values():
+        if len(group) > 1:
+            lo, hi = 0, length
+            side = lambda k: {texts[d][i + k] if 0 <= i + k < len(texts[d]) else (d, i) for d, i in group}  # noqa: B023, E731
+            while len(side(lo - 1)) == 1:
+                lo -= 1
+            while len(side(hi)) == 1:
+                hi += 1
+            d, i = group[0]
+            out[texts[d][i + lo : i + hi]] = sorted((d, i + lo) for d, i in group)
+    return out
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 

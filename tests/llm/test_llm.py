@@ -79,11 +79,46 @@ def test_suffix_dedup_hot_minimizers_and_groups(spark, monkeypatch):
     monkeypatch.setattr(M, "HOT", 3)
     assert repeats(rows, spark) == Counter((d, *w) for (d, _, _), w in zip(rows, want))
     monkeypatch.undo()
-    texts = {d: t.encode() for d, t, _ in rows}
-    groups = defaultdict(set)
-    for r in M.repeat_groups(frame(spark, rows)).collect():
-        groups[r.repeat, r.length].add(texts[r.doc_id][r.start : r.start + r.length])
-    assert groups and all(len(g) == 1 for g in groups.values())
+
+
+def test_suffix_dedup_long_text(spark):
+    rng = random.Random(11)
+    long = "".join(rng.choice("abcdefgh \n") for _ in range(1_300_000))
+    rows = [(1, long, "s"), (2, long[1_000_000:1_200_000], "s"), (3, "ü" * 700 + long[1_048_400:1_048_900], "s")]
+    got = repeats(rows, spark)
+    assert {(d, n, gone) for d, n, gone, _, _ in got} == {(1, 1_300_000, 200_000), (2, 200_000, 200_000), (3, 1900, 1900)}
+
+
+def groups_of(spark, rows, length):
+    from plotline.llm.suffix_dedup import repeat_groups
+
+    found = defaultdict(list)
+    for r in repeat_groups(frame(spark, rows), length=length).collect():
+        found[r.repeat, r.length].append((r.doc_id, r.start))
+    return found
+
+
+def test_repeat_groups(spark, monkeypatch):
+    from plotline.llm import suffix_dedup as M
+
+    rng = random.Random(12)
+    piece = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c, line = piece(300), piece(180), piece(260), piece(60)
+    rows = [(0, piece(50) + a + b + c + piece(40)), (1, a + b + c), (2, piece(30) + b + piece(90) + c), (3, c), (4, c), (5, piece(70) + b), (6, "na " * 60), (7, None), (8, a[:200] + piece(9) + a)]
+    rows += [(10 + i, piece(90) + line + piece(80)) for i in range(12)]
+    rows = [(d, t, "s") for d, t in rows]
+    texts = {d: (t or "").encode() for d, t, _ in rows}
+    want = brute.repeat_groups(texts, 40)
+    for hot in (256, 3):
+        monkeypatch.setattr(M, "HOT", hot)
+        got = {}
+        for (_, n), places in groups_of(spark, rows, 40).items():
+            d, s = places[0]
+            string = texts[d][s : s + n]
+            assert string not in got  # no string has two groups
+            got[string] = sorted(places)
+        assert all(places == brute.places(texts, w) for w, places in got.items())
+        assert all(got.get(w) == places for w, places in want.items())
 
 
 def test_suffix_array_and_maximal_repeats():
