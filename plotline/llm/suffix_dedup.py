@@ -8,8 +8,10 @@ The texts of different classes under one minimizer are fetched and given to an e
 tree of its common-prefix intervals and keeps those whose suffixes are preceded by different bytes, that is, the maximal
 repeats with all their occurrences. What they cover is removed.
 
-A minimizer inside a very common line may have more classes than one task should hold (HOT); their strings are compared
-by 128-bit hashes dealt over the whole cluster instead.
+A minimizer inside a very common passage may have more classes than one task should hold (HOT). Its strings are then
+dealt again, by the place of the minimizer in them (WIDTHS places at a time) and by the bytes that all strings with it at
+such places share; fewer places leave more shared bytes, until whole strings are compared. Equal strings stay together
+at every step, and each part has its own suffix array.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ LENGTH = 400
 GRAM = 64
 #: Classes under one minimizer that go into one suffix array at most.
 HOT = 256
+#: Places of a hot minimizer that are dealt together, step by step.
+WIDTHS = (42, 6, 1)
 #: Bytes of text in one suffix array, unless one minimizer has more.
 CHUNK = 1 << 20
-SECOND, THIRD = mix(EXACT), mix(mix(EXACT))
+SECOND = mix(EXACT)
 _LOW = np.uint64((1 << 20) - 1)
 _PIECE = 1 << 20
 
@@ -46,12 +50,13 @@ def _window_hashes(data: np.ndarray, size: int, table: np.ndarray = EXACT) -> np
 
 
 def _blocks(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, first start in it, strings, minimizer hash, block hash) of the blocks of up to _PIECE bytes of texts."""
+    """(document, first start in it, strings, minimizer hash, block hash, minimizer's place in the block) of the blocks
+    of up to _PIECE bytes of texts."""
     n = len(data) - length + 1
     gram = min(GRAM, length)
     sizes = np.diff(offs)
     if n <= 0 or not (sizes >= length).any():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     h = _window_hashes(data, gram)
     low = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
     wide, step = length - gram + 1, 1
@@ -71,7 +76,7 @@ def _blocks(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
     doc = np.searchsorted(offs, lo, "right") - 1
     last = np.concatenate([lo[1:], [n]])
     last = np.minimum(last, offs[doc + 1] - length + 1)
-    return doc, lo - offs[doc], last - lo, h[at[lo]], span_hashes(data, lo, last - 1 + length, SECOND)
+    return doc, lo - offs[doc], last - lo, h[at[lo]], span_hashes(data, lo, last - 1 + length, SECOND), at[lo] - lo
 
 
 def blocks_of(data: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -82,20 +87,20 @@ def blocks_of(data: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple
     step = _PIECE - length + 1
     for at in range(0, max(1, len(data) - length + 1), step):
         piece = data[at : at + _PIECE]
-        doc, lo, n, m, b = _blocks(piece, np.array([0, len(piece)]), length)
-        yield doc, lo + at, n, m, b
+        doc, lo, *rest = _blocks(piece, np.array([0, len(piece)]), length)
+        yield doc, lo + at, *rest
 
 
 def _find_blocks(rows: DataFrame, length: int) -> DataFrame:
-    """(rid, lo, n, mh, bh) from (_rid, text)."""
+    """(rid, lo, n, mh, bh, at) from (_rid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, _, data, offs in text_blocks(b.column(1)):
-                for doc, lo, n, m, h in blocks_of(data, offs, length):
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc + first)), pa.array(lo), pa.array(n), pa.array(m.view(np.int64)), pa.array(h.view(np.int64))], names=["rid", "lo", "n", "mh", "bh"])
+                for doc, lo, n, m, h, at in blocks_of(data, offs, length):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc + first)), pa.array(lo), pa.array(n), pa.array(m.view(np.int64)), pa.array(h.view(np.int64)), pa.array(at)], names=["rid", "lo", "n", "mh", "bh", "at"])
 
-    return rows.select("_rid", "text").mapInArrow(run, "rid long, lo long, n long, mh long, bh long")
+    return rows.select("_rid", "text").mapInArrow(run, "rid long, lo long, n long, mh long, bh long, at long")
 
 
 def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -184,20 +189,45 @@ def _suffix_runs(batches: Iterator[pa.RecordBatch], length: int, groups: bool) -
         yield from work(held)
 
 
-def _same_hashes(texts: DataFrame, length: int) -> DataFrame:
-    """Covered runs of the classes under hot minimizers: strings of ``length`` bytes, met by hash over the cluster."""
+def _suffix_arrays(texts: DataFrame, length: int, groups: bool) -> DataFrame:
+    sorted_ = texts.select("mh", "bh", "text", "twice").repartition("mh").sortWithinPartitions("mh")
+    return sorted_.mapInArrow(lambda it: _suffix_runs(it, length, groups), "mh long, bh long, start long, end long, repeat long")
+
+
+def _split(texts: DataFrame, length: int, width: int) -> DataFrame:
+    """The classes (mh, bh, at, text, twice) in parts (mh, bh, shift, mh2, bh2, at2, text, twice): of the strings with the
+    minimizer at ``width`` neighbouring places, ``mh2`` hashing what they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, text in enumerate(b.column(2).to_pylist()):
-                data = np.frombuffer(text, np.uint8)
-                h, g = _window_hashes(data, length), _window_hashes(data, length, THIRD)
-                at = pa.array(np.full(len(h), i))
-                yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in (0, 1, 3)], pa.array(np.arange(len(h))), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], names=["mh", "bh", "twice", "start", "h", "g"])
-
-    strings = texts.mapInArrow(run, "mh long, bh long, twice boolean, start long, h long, g long")
-    often = strings.groupBy("mh", "h", "g").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("some")).where("n > 1 or some").select("mh", "h", "g")
-    return strings.join(often, ["mh", "h", "g"]).select("mh", "bh", "start", (F.col("start") + length).alias("end"), F.xxhash64("h", "g").alias("repeat"))
+            rows = []
+            for mh, bh, at, text, twice in zip(*(b.column(k).to_pylist() for k in range(5))):
+                strings = len(text) - length + 1
+                for r in range(max(0, at - strings + 1) // width, at // width + 1):
+                    near, far = r * width, r * width + width - 1  # places of the minimizer, counted from the string's start
+                    lo, hi = max(0, at - far), min(strings - 1, at - near)
+                    part, core = text[lo : hi + length], text[at - near : max(at - near, at - far + length)]
+                    rows.append((mh, bh, lo, _text_hash(b"%d %d %d " % (mh, width, r) + core), _text_hash(part), at - lo, part, twice))
+            names = ("mh", "bh", "shift", "mh2", "bh2", "at", "text", "twice")
+            kinds = [pa.int64()] * 6 + [pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(8)], names=names)
+
+    return texts.select("mh", "bh", "at", "text", "twice").mapInArrow(run, "mh long, bh long, shift long, mh2 long, bh2 long, at long, text binary, twice boolean")
+
+
+def _split_runs(hot: DataFrame, length: int, groups: bool, step: int = 0) -> DataFrame:
+    """Covered runs of the classes under hot minimizers, found in parts of their strings."""
+    parts = write_table(_split(hot, length, WIDTHS[step]), "suffix-parts")
+    classes = parts.groupBy("mh2", "bh2").agg(F.any_value("at").alias("at"), F.any_value("text").alias("text"), (F.max("twice") | (F.count(F.lit(1)) > 1)).alias("twice"))
+    classes = write_table(classes.withColumnsRenamed({"mh2": "mh", "bh2": "bh"}), "suffix-part-classes")
+    kinds = write_table(classes.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("some")).where("kinds > 1 or some"), "suffix-part-kinds")
+    both = classes.join(kinds.select("mh", (F.col("kinds") > HOT).alias("hot")), "mh")
+    runs = _suffix_arrays(both.where("not hot"), length, groups)
+    if not kinds.where(F.col("kinds") > HOT).isEmpty():  # never at width 1, where a part's classes are equal
+        runs = runs.unionByName(_split_runs(both.where("hot").drop("hot"), length, groups, step + 1))
+    back = parts.select("mh", "bh", "shift", "mh2", "bh2")
+    runs = runs.withColumnsRenamed({"mh": "mh2", "bh": "bh2"}).join(back, ["mh2", "bh2"])
+    return runs.select("mh", "bh", (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"), "repeat")
 
 
 def _occurrences(rows: DataFrame, length: int, groups: bool) -> DataFrame:
@@ -206,10 +236,10 @@ def _occurrences(rows: DataFrame, length: int, groups: bool) -> DataFrame:
     # written, so that the join below has two plain shuffles and a hot minimizer's rows can be split
     often = write_table(blocks.groupBy("mh").count().where("count > 1").select("mh"), "suffix-often")
     dup = write_table(blocks.join(often, "mh", "left_semi"), "suffix-blocks")
-    classes = dup.groupBy("mh", "bh").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min(F.struct("rid", "lo")).alias("one"))
-    classes = write_table(classes.select("mh", "bh", "copies", "n", "one.rid", "one.lo"), "suffix-classes")
+    classes = dup.groupBy("mh", "bh").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("at").alias("at"), F.min(F.struct("rid", "lo")).alias("one"))
+    classes = write_table(classes.select("mh", "bh", "copies", "n", "at", "one.rid", "one.lo"), "suffix-classes")
     several = write_table(classes.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "suffix-several")
-    wanted = classes.join(several, "mh").groupBy("rid").agg(F.collect_list(F.struct("mh", "bh", "lo", "n", (F.col("copies") > 1).alias("twice"), (F.col("kinds") > HOT).alias("hot"))).alias("blocks"))
+    wanted = classes.join(several, "mh").groupBy("rid").agg(F.collect_list(F.struct("mh", "bh", "at", "lo", "n", (F.col("copies") > 1).alias("twice"), (F.col("kinds") > HOT).alias("hot"))).alias("blocks"))
     source = rows.join(wanted.withColumnRenamed("rid", "_rid"), "_rid").select("text", "blocks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,15 +247,13 @@ def _occurrences(rows: DataFrame, length: int, groups: bool) -> DataFrame:
             for text, parts in zip(b.column(0), b.column(1)):
                 raw, parts = text.as_py().encode("utf-8", "surrogatepass"), parts.as_py()
                 texts = pa.array([raw[p["lo"] : p["lo"] + p["n"] - 1 + length] for p in parts], pa.binary())
-                ids = [pa.array([p[c] for p in parts], pa.int64()) for c in ("mh", "bh")]
-                yield pa.RecordBatch.from_arrays([*ids, texts, *[pa.array([p[c] for p in parts]) for c in ("twice", "hot")]], names=["mh", "bh", "text", "twice", "hot"])
-
-    texts = write_table(source.mapInArrow(cut, "mh long, bh long, text binary, twice boolean, hot boolean"), "suffix-texts")
-    sorted_ = texts.where("not hot").drop("hot").repartition("mh").sortWithinPartitions("mh")
-    runs = sorted_.mapInArrow(lambda it: _suffix_runs(it, length, groups), "mh long, bh long, start long, end long, repeat long")
-    hot = texts.where("hot").drop("hot")
-    if not hot.isEmpty():
-        runs = runs.unionByName(_same_hashes(hot, length))
+                ids = [pa.array([p[c] for p in parts], pa.int64()) for c in ("mh", "bh", "at")]
+                yield pa.RecordBatch.from_arrays([*ids, texts, *[pa.array([p[c] for p in parts]) for c in ("twice", "hot")]], names=["mh", "bh", "at", "text", "twice", "hot"])
+
+    texts = write_table(source.mapInArrow(cut, "mh long, bh long, at long, text binary, twice boolean, hot boolean"), "suffix-texts")
+    runs = _suffix_arrays(texts.where("not hot"), length, groups)
+    if not several.where(F.col("kinds") > HOT).isEmpty():
+        runs = runs.unionByName(_split_runs(texts.where("hot").drop("hot"), length, groups))
     # a class alone under its minimizer is its own interval tree
     alone = classes.where("copies > 1").join(several, "mh", "left_anti")
     whole = alone.select("mh", "bh", F.lit(0).cast("long").alias("start"), (F.col("n") + (length - 1)).alias("end"), F.col("bh").alias("repeat"))

@@ -76,8 +76,9 @@ def test_suffix_dedup_hot_minimizers_and_groups(spark, monkeypatch):
     rows += [(40, rows[0][1][300:1200], "s"), (41, rows[1][1][650:] + rows[0][1][:500], "s")]
     want = brute.removed([t for _, t, _ in rows])
     assert repeats(rows, spark) == Counter((d, *w) for (d, _, _), w in zip(rows, want))
-    monkeypatch.setattr(M, "HOT", 3)
-    assert repeats(rows, spark) == Counter((d, *w) for (d, _, _), w in zip(rows, want))
+    for hot in (3, 1):
+        monkeypatch.setattr(M, "HOT", hot)
+        assert repeats(rows, spark) == Counter((d, *w) for (d, _, _), w in zip(rows, want))
     monkeypatch.undo()
 
 
@@ -108,11 +109,11 @@ def test_repeat_groups(spark, monkeypatch):
     rows += [(10 + i, piece(90) + line + piece(80)) for i in range(12)]
     rows = [(d, t, "s") for d, t in rows]
     texts = {d: (t or "").encode() for d, t, _ in rows}
-    want = brute.repeat_groups(texts, 40)
-    for hot in (256, 3):
+    for hot, length in ((256, 40), (3, 40), (1, 100)):
+        want = brute.repeat_groups(texts, length)
         monkeypatch.setattr(M, "HOT", hot)
         got = {}
-        for (_, n), places in groups_of(spark, rows, 40).items():
+        for (_, n), places in groups_of(spark, rows, length).items():
             d, s = places[0]
             string = texts[d][s : s + n]
             assert string not in got  # no string has two groups
