@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +30,58 @@ def first_valid(value: Column, *order: Column) -> Column:
 
 
 def quantile(c: Column, p: float) -> Column:
-    """Exact quantile with linear interpolation (type 7)."""
+    """Exact quantile with linear interpolation (type 7) as one aggregate. It holds a group's distinct values in one
+    task: for groups of bounded size; `quantiles` has no such bound."""
     return F.percentile(c, F.lit(p))
 
 
+#: Cells that an order statistic's values are dealt into.
+CELLS = 2048
+
+
 def order_statistic(df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Column]) -> DataFrame:
     """Values at 0-based ranks of the sorted non-null values; a pick is an expression over the group's size ``n``.
-    Ranks come from a window, so that no group is gathered in one row."""
-    v = df.where(F.col(value).isNotNull())
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1
-    sized = v.select(*keys, value, rank.alias("rank")).join(v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), list(keys))
-    return sized.groupBy(*keys).agg(*[F.max(F.when(F.col("rank") == at, F.col(value))).alias(name) for name, at in picks.items()])
+
+    No group is sorted or gathered: a sketch cuts the values' range into CELLS cells of about equal counts, a second pass
+    counts rows by group and cell, and only the cells that hold a wanted rank are looked at value by value. The sketch
+    decides how even the cells are, never the result."""
+    keys = list(keys)
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    cuts = v.agg(F.percentile_approx("_v", [i / CELLS for i in range(1, CELLS)], 10_000)).first()[0] or []  # one array
+    splits = [-float("inf"), *sorted({float(c) for c in cuts if c is not None and abs(float(c)) != float("inf") and c == c} or {0.0}), float("inf")]
+    celled = Bucketizer(splits=splits, inputCol="_d", outputCol="_cell", handleInvalid="keep").transform(v.withColumn("_d", F.col("_v").cast("double"))).drop("_d")
+    counts = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    by = Window.partitionBy(*keys)
+    n = F.sum("_c").over(by).alias("n")
+    before = (F.sum("_c").over(by.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before")
+    wanted = counts.select(*keys, "_cell", "_c", n, before).select(*keys, "_cell", "_c", "_before", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), p.cast("long").alias("at")) for k, p in picks.items()])).alias("_p"))
+    wanted = wanted.where((F.col("_p.at") >= F.col("_before")) & (F.col("_p.at") < F.col("_before") + F.col("_c"))).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_cell").alias("_in"), "_before", F.col("_p.name").alias("_name"), F.col("_p.at").alias("_at"))
+    same = F.col("_cell") == F.col("_in")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    cells = wanted.select(*[f"_k_{k}" for k in keys], "_in").distinct()
+    held = celled.join(cells, same, "left_semi").groupBy(*keys, "_cell", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = held.withColumn("_upto", upto).join(wanted, same)
+    hit = (F.col("_at") - F.col("_before")).between(F.col("_upto") - F.col("_c"), F.col("_upto") - 1)
+    return found.where(hit).groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in picks])
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (type 7) per group, by `order_statistic`: name -> probability."""
+    place = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    ends = order_statistic(df, keys, value, {f"_{side}_{name}": f(place(p)) for name, p in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))})
+    j = ends.join(sizes, F.lit(True) if not keys else _null_safe(ends, sizes, keys)).select(*[ends[k] for k in keys], sizes["n"], *[ends[c] for c in ends.columns if c not in keys])
+    mixed = lambda name, p: F.when(F.floor(place(p)) == F.ceil(place(p)), F.col(f"_lo_{name}").cast("double")).otherwise((F.ceil(place(p)) - place(p)) * F.col(f"_lo_{name}") + (place(p) - F.floor(place(p))) * F.col(f"_hi_{name}"))
+    return j.select(*keys, *[mixed(name, p).alias(name) for name, p in at.items()])
+
+
+def _null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & a[k].eqNullSafe(b[k])
+    return out
 
 
 def higher(p: float) -> Column:
@@ -96,7 +138,7 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, width: float) -> D
 
 def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers within 1.5 interquartile ranges, and the count outside them."""
-    q = df.groupBy(*keys).agg(*[quantile(F.col(value), p).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+    q = quantiles(df, keys, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     j = df.select(*keys, value).join(q, list(keys))
     reach = (F.col("q3") - F.col("q1")) * F.lit(1.5)
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)

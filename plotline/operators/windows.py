@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotline.operators.aggs import quantiles
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row per key in a total order (latest wins with descending orders)."""
@@ -76,7 +78,7 @@ def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def impute_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    m = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
+    m = quantiles(df, keys, value, {"_m": 0.5})
     return df.join(m, list(keys), "left").withColumn(name, F.coalesce(value, "_m")).drop("_m")
 
 

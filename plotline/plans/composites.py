@@ -62,9 +62,9 @@ def real_price(spark, sf):
 @query("""select strftime(o_orderdate, '%Y-%m') as month, median(o_totalprice) as price, 3.0::double + month(o_orderdate) / 4.0::double as rate, median(o_totalprice) * 0.8::double * ((3.0::double + month(o_orderdate) / 4.0::double) / 1200.0::double) * pow(1 + (3.0::double + month(o_orderdate) / 4.0::double) / 1200.0::double, 360)
  / (pow(1 + (3.0::double + month(o_orderdate) / 4.0::double) / 1200.0::double, 360) - 1) as payment from orders group by 1, month(o_orderdate)""")
 def payment_by_month(spark, sf):
-    o = Tables(spark, sf).orders
-    macro = o.select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), (F.lit(3.0) + F.month("o_orderdate") / F.lit(4.0)).alias("rate")).distinct()
-    g = o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.median("o_totalprice").alias("price"))
+    o = Tables(spark, sf).orders.withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    macro = o.select("month", (F.lit(3.0) + F.month("o_orderdate") / F.lit(4.0)).alias("rate")).distinct()
+    g = A.quantiles(o, ["month"], "o_totalprice", {"price": 0.5})
     return J.join_n1(g, macro, ["month"]).select("month", "price", "rate", X.payment(F.col("price"), F.col("rate")).alias("payment"))
 
 
@@ -112,20 +112,59 @@ def tier_boundaries_apply(spark, sf):
     return li.select("l_orderkey", "l_linenumber", "l_partkey", P.tier(F.col("l_extendedprice"), [407000.0 / 10, 1097000.0 / 12], ["entry", "mid", "luxury"]).alias("tier"))
 
 
-@query()
+#: Every split of the sorted cells into three, by its cost: sums of squares within.
+_FIT = """x as (select {by} as g, {x} as x from {table}), e as (select g, min(x) as lo, max(x) as hi from x group by 1),
+ c as (select g, least(floor((x - lo) / (hi - lo) * {bins}), {bins} - 1) as c, count(*) as n, cast(sum(cast(x as decimal(18,9))) as double) as s from x join e using (g) group by 1, 2),
+ p as (select g, row_number() over w as i, sum(n) over w as n, sum(s) over w as s, sum(s * s / n) over w as q from c window w as (partition by g order by c)), t as (select g, max(i) as k, max_by(n, i) as n, max_by(s, i) as s, max_by(q, i) as q from p group by 1),
+ a as (select g, arg_min([a.s / a.n, (b.s - a.s) / (b.n - a.n), (t.s - b.s) / (t.n - b.n)], a.q - a.s * a.s / a.n + (b.q - a.q) - (b.s - a.s) * (b.s - a.s) / (b.n - a.n) + (t.q - b.q) - (t.s - b.s) * (t.s - b.s) / (t.n - b.n)) as m, any_value(t.n) as n
+  from p a join p b using (g) join t using (g) where a.i < b.i and b.i < t.k group by 1)"""
+
+
+@query(f"""with {_FIT.format(by='0', x='ln(l_extendedprice)', table='lineitem', bins=512)}, f as (select exp((m[1] + m[2]) / 2) as b1, exp((m[2] + m[3]) / 2) as b2 from a)
+ select case when l_extendedprice <= b1 then 'entry' when l_extendedprice <= b2 then 'mid' else 'luxury' end as tier, count(*) as n, max(l_extendedprice) as top from lineitem cross join f group by 1""")
 def tier_fit(spark, sf):
     """Boundaries fitted on log prices, and the rows of each tier."""
     li = Tables(spark, sf).lineitem
-    b = P.tier_breaks(li, "l_extendedprice")
+    b = P.tier_breaks(li, "l_extendedprice", bins=512)
     return li.groupBy(P.tier(F.col("l_extendedprice"), b, ["entry", "mid", "luxury"]).alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.max("l_extendedprice").alias("top"))
 
 
-@query("""with y as (select c_nationkey as county, year(o_orderdate) as y, count(*) as income from orders join customer on o_custkey = c_custkey where year(o_orderdate) < 2001 group by 1, 2)
- select county, y, income, false as carried from y union all select county, 2001, income, true from (select *, row_number() over (partition by county order by y desc) as k from y) where k = 1""")
+_LINE = "o_orderkey::varchar || '|' || printf('%.10f', o_totalprice)"
+
+
+@query(f"""with {_FIT.format(by='o_orderstatus', x='ln(o_totalprice)', table='orders', bins=256)}, q as (select o_orderstatus as g, quantile_cont(o_totalprice, 1/3) as lower_tertile, quantile_cont(o_totalprice, 2/3) as upper_tertile from orders group by 1),
+ h as (select g, sha256(string_agg(h, chr(10) order by b)) as cohort from (select o_orderstatus as g, md5(o_orderkey::varchar)[1:3] as b, sha256(string_agg({_LINE}, chr(10) order by o_orderkey, {_LINE})) as h from orders group by 1, 2) group by 1)
+ select g as o_orderstatus, n::bigint as n, exp((m[1] + m[2]) / 2) as entry_boundary, exp((m[2] + m[3]) / 2) as high_end_boundary, lower_tertile, upper_tertile, cohort from a join q using (g) join h using (g)""")
+def tier_fit_by_group(spark, sf):
+    """Each group's own boundaries, tertiles and the digest of the sales they were fitted on."""
+    return P.tier_breaks_by(Tables(spark, sf).orders, "o_totalprice", "o_orderstatus", key="o_orderkey", least=100, bins=256)
+
+
+_RAW_FIT = """x as (select o_totalprice as x from orders where o_totalprice <= 450000), e as (select min(x) as lo, max(x) as hi from x),
+ c as (select least(floor((x - lo) / (hi - lo) * 64), 63) as c, count(*) as n, cast(sum(cast(x as decimal(18,9))) as double) as s from x cross join e group by 1),
+ p as (select row_number() over w as i, sum(n) over w as n, sum(s) over w as s, sum(s * s / n) over w as q from c window w as (order by c)), t as (select * from p order by i desc limit 1),
+ m as (select arg_min([a.s / a.n, (b.s - a.s) / (b.n - a.n), (d.s - b.s) / (d.n - b.n)], a.q - a.s * a.s / a.n + (b.q - a.q) - (b.s - a.s) * (b.s - a.s) / (b.n - a.n) + (d.q - b.q) - (d.s - b.s) * (d.s - b.s) / (d.n - b.n) + (t.q - d.q) - (t.s - d.s) * (t.s - d.s) / (t.n - d.n)) as m
+  from p a join p b on a.i < b.i join p d on b.i < d.i join t on d.i < t.i)"""
+
+
+@query(f"""with {_RAW_FIT}, f as (select (m[1] + m[2]) / 2 as b1, (m[2] + m[3]) / 2 as b2 from m)
+ select case when o_totalprice <= b1 then 'entry' when o_totalprice <= b2 then 'move_up' else 'luxury' end as tier, count(*) as n, min(o_totalprice) as low, max(o_totalprice) as top from orders cross join f group by 1""")
+def raw_tier_fit(spark, sf):
+    """Three tiers from four clusters of raw prices up to a cap; prices above it are in the highest."""
+    o = Tables(spark, sf).orders
+    b = P.raw_tier_breaks(o, "o_totalprice", cap=450_000, bins=64)
+    return o.groupBy(P.tier(F.col("o_totalprice"), b, ["entry", "move_up", "luxury"]).alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("top"))
+
+
+_INCOME = "with y as (select c_nationkey as county, year(o_orderdate) as y, count(*) as income from orders join customer on o_custkey = c_custkey group by 1, 2)"
+
+
+@query(f"""{_INCOME} select county, y, income, false as carried, 'complete' as vintage from y union all select county, y, income, false, 'short' from y where y <> 2001 union all select county, 2001, income, true, 'short' from y where y = 2000""")
 def income_carry_forward(spark, sf):
+    """The last year's vintage where all counties are in it (25), and where one is wanting (26)."""
     t = Tables(spark, sf)
-    y = t.orders.where(F.year("o_orderdate") < 2001).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("county"), F.year("o_orderdate").cast("long").alias("y")).agg(F.count(F.lit(1)).alias("income"))
-    return P.carry_forward(y, ["county"], "y", "income", 2001)
+    y = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("county"), F.year("o_orderdate").cast("long").alias("y")).agg(F.count(F.lit(1)).alias("income"))
+    return P.carry_vintage(y, "y", 2001, 25).withColumn("vintage", F.lit("complete")).unionByName(P.carry_vintage(y, "y", 2001, 26).withColumn("vintage", F.lit("short")))
 
 
 @query("""select year(o_orderdate) as y, count(distinct cast(o_orderdate as date)) as units, count(distinct cast(o_orderdate as date)) >= 300 as covered from orders group by 1""")

@@ -116,12 +116,12 @@ def for_all_quantifier(spark, sf):
 
 @query("""select l_returnflag, median(l_extendedprice) as m from lineitem group by l_returnflag""")
 def median_group(spark, sf):
-    return Tables(spark, sf).lineitem.groupBy("l_returnflag").agg(F.median("l_extendedprice").alias("m"))
+    return A.quantiles(Tables(spark, sf).lineitem, ["l_returnflag"], "l_extendedprice", {"m": 0.5})
 
 
 @query("""select l_returnflag, quantile_cont(l_extendedprice, 0.25) as p25, quantile_cont(l_extendedprice, 0.75) as p75, quantile_cont(l_extendedprice, 0.05) as p05, quantile_cont(l_extendedprice, 0.95) as p95 from lineitem group by l_returnflag""")
 def quantile_type7(spark, sf):
-    return Tables(spark, sf).lineitem.groupBy("l_returnflag").agg(*[A.quantile(F.col("l_extendedprice"), p).alias(n) for n, p in (("p25", 0.25), ("p75", 0.75), ("p05", 0.05), ("p95", 0.95))])
+    return A.quantiles(Tables(spark, sf).lineitem, ["l_returnflag"], "l_extendedprice", {"p25": 0.25, "p75": 0.75, "p05": 0.05, "p95": 0.95})
 
 
 _RANKS = """with r as (select l_returnflag, l_extendedprice as v, row_number() over (partition by l_returnflag order by l_extendedprice) - 1 as k, count(*) over (partition by l_returnflag) as n from lineitem) """
