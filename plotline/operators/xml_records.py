@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 
 #: The two root tags and the flags of a record.
 ROOTS = ("ecrvForm", "us.mn.state.mdor.ecrv.extract.form.EcrvForm")
-RECORD = "source_key string, county_code string, form_id string, sale_date string, gross_sale_price string, parcels int, recovery_method string, parse_recovered boolean, analytical_hash string, raw_sha256 string, issue_code string"
+RECORD = "source_key string, county_code string, form_id string, sale_date string, gross_sale_price string, parcels int, recovery_method string, parse_recovered boolean, analytical_hash string, issue_code string"
+FIELDS = tuple(f.split()[0] for f in RECORD.split(", "))
 _BAD_REFERENCE = re.compile(r"&#(?:x([0-9a-fA-F]+)|([0-9]+));")
-_BAD_LITERAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
+_BAD_LITERAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]")
+_DECLARED = re.compile(rb"\s*<\?xml[^?]*encoding\s*=\s*['\"]([^'\"]+)", re.I)
+_DTD = re.compile(rb"<!(?:DOCTYPE|ENTITY)", re.I)
+_DATE = re.compile(r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])")
+_AMOUNT = re.compile(r"[+-]?\d+(\.\d*)?")
 
 
 def _legal(n: int) -> bool:
@@ -27,9 +32,6 @@ def recover(raw: bytes) -> tuple[ET.Element | None, str, str]:
     """(root, recovery method, issue code). Decodes UTF-8, else cp1252; if the text does not parse, illegal numeric
     references and literal control characters are taken out and it is parsed again."""
     how = []
-    declared = re.match(rb"\s*<\?xml[^>]*encoding=[\"']([^\"']+)", raw)
-    if declared and declared[1].lower() not in (b"utf-8", b"utf8", b"us-ascii", b"windows-1252", b"cp1252", b"iso-8859-1"):
-        return None, "", "unsupported_declared_encoding"
     try:
         text = raw.decode("utf-8-sig")
     except UnicodeDecodeError:
@@ -38,9 +40,12 @@ def recover(raw: bytes) -> tuple[ET.Element | None, str, str]:
             how.append("cp1252")
         except UnicodeDecodeError:
             return None, "", "invalid_character_encoding"
-    text = re.sub(r"\A\s*<\?xml.*?\?>", "", text, count=1, flags=re.S)
-    if re.search(r"<!(DOCTYPE|ENTITY)", text):
+    declared = _DECLARED.match(raw.removeprefix(b"\xef\xbb\xbf"))
+    if declared and declared[1].lower() not in (b"utf-8", b"utf8"):
+        return None, "", "unsupported_declared_encoding"
+    if _DTD.search(raw):
         return None, "", "unsupported_dtd_or_entity"
+    text = re.sub(r"\A\s*<\?xml.*?\?>", "", text, count=1, flags=re.S)
     try:
         root = ET.fromstring(text)
     except ET.ParseError:
@@ -61,8 +66,7 @@ def recover(raw: bytes) -> tuple[ET.Element | None, str, str]:
 
 def parse_record(raw: bytes) -> dict:
     """One record with its validation code (empty if valid)."""
-    out = dict.fromkeys([f.split()[0] for f in RECORD.split(", ")])
-    out["raw_sha256"] = hashlib.sha256(raw).hexdigest()
+    out = dict.fromkeys(FIELDS)
     root, out["recovery_method"], out["issue_code"] = recover(raw)
     out["parse_recovered"] = bool(out["recovery_method"])
     if root is None:
@@ -71,7 +75,7 @@ def parse_record(raw: bytes) -> dict:
     county, form = text("headerForm/countyCde"), text("headerForm/crvNumberId")
     out |= {"county_code": county, "form_id": form, "parcels": len([p for p in root.findall("propertyForm/parcels") if len(p)])}
     date, amount = text("salesAgreementForm/deedContractDate")[:10], text("salesAgreementForm/totPurchaseAmt")
-    good_date = re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])", date)
+    good_date = _DATE.fullmatch(date)
     own = text("propertyForm/county")
     if not (county.isdigit() and len(county) <= 2 and 1 <= int(county) <= 87 and form.isdigit()):
         out["issue_code"] = "invalid_transaction_key"
@@ -81,7 +85,7 @@ def parse_record(raw: bytes) -> dict:
         out["issue_code"] = "invalid_sale_date"
     elif not amount:
         out["issue_code"] = "missing_required_amount"
-    elif not re.fullmatch(r"[+-]?\d+(\.\d*)?", amount):
+    elif not _AMOUNT.fullmatch(amount):
         out["issue_code"] = "invalid_amount"
     elif float(amount) <= 0:
         out["issue_code"] = "nonpositive_sale_price"
@@ -96,14 +100,15 @@ def parse_record(raw: bytes) -> dict:
 
 
 def parse_members(members: DataFrame, content: str = "content") -> DataFrame:
-    """``members`` with the record of each binary ``content``: XML recovery has no built-in form, so it runs in Arrow
-    batches; everything before and after stays in expressions."""
+    """``members`` with the record of each binary ``content`` and its SHA-256: XML recovery has no built-in form, so it
+    runs in Arrow batches; everything before and after stays in expressions."""
 
     @F.pandas_udf(f"struct<{RECORD.replace(' ', ':').replace(',:', ',')}>")
     def parse(raw: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_record(bytes(r) if r is not None else b"") for r in raw], columns=[f.split()[0] for f in RECORD.split(", ")])
+        return pd.DataFrame([tuple(parse_record(bytes(r) if r is not None else b"").values()) for r in raw], columns=FIELDS)
 
-    return members.withColumn("record", parse(F.col(content))).select(*[c for c in members.columns if c != content], "record.*")
+    out = members.withColumn("record", parse(F.col(content))).withColumn("raw_sha256", F.sha2(F.coalesce(content, F.lit(b"")), 256))
+    return out.select(*[c for c in members.columns if c != content], "record.*", "raw_sha256")
 
 
 def audit_paths(members: DataFrame, group: str, content: str = "content") -> DataFrame:

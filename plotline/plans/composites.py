@@ -79,31 +79,32 @@ def zip_summary(spark, sf):
     return g.select("zip", "county", "transactions", "median_price", "pct_mid", "name", (F.col("median_price") * 12 / 1000000.0 > 2.9).alias("stressed"))
 
 
-_GRID = """months as (select distinct date_trunc('month', o_orderdate) as m from orders), facts as (select n_regionkey, date_trunc('month', o_orderdate) as m, {0} count(*) as transactions, median(o_totalprice) as price from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where c_acctbal > 8000 group by all)"""
+#: Nations by month (and tier): fine enough for cells without a sale.
+_GRID = """months as (select distinct date_trunc('month', o_orderdate) as m from orders), facts as (select n_nationkey, date_trunc('month', o_orderdate) as m, {0} count(*) as transactions, median(o_totalprice) as price from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all)"""
 
 
 def _facts(t, *more):
-    j = t.orders.join(t.customer.where("c_acctbal > 8000"), F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.groupBy(F.col("n_regionkey").alias("r_regionkey"), F.trunc("o_orderdate", "month").alias("m"), *more).agg(F.count(F.lit(1)).alias("transactions"), F.median("o_totalprice").alias("price"))
+    j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("n_nationkey", F.trunc("o_orderdate", "month").alias("m"), *more).agg(F.count(F.lit(1)).alias("transactions"), F.median("o_totalprice").alias("price"))
 
 
-@query(f"""with {_GRID.format('')} select r_name, strftime(m, '%Y-%m') as month, coalesce(transactions, 0) as transactions, price, price is not null as observed from region cross join months left join facts on r_regionkey = n_regionkey and facts.m = months.m""".replace("strftime(m,", "strftime(months.m,"))
+@query(f"""with {_GRID.format('')} select n_name, strftime(months.m, '%Y-%m') as month, coalesce(transactions, 0) as transactions, price, price is not null as observed from nation cross join months left join facts on nation.n_nationkey = facts.n_nationkey and facts.m = months.m""")
 def county_month_panel(spark, sf):
     t = Tables(spark, sf)
     months = t.orders.select(F.trunc("o_orderdate", "month").alias("m")).distinct()
-    p = P.balanced_panel(_facts(t), [t.region, months], ["r_regionkey", "m"], ["transactions"])
-    return p.select("r_name", F.date_format("m", "yyyy-MM").alias("month"), "transactions", "price", F.col("price").isNotNull().alias("observed"))
+    p = P.balanced_panel(_facts(t), [t.nation, months], ["n_nationkey", "m"], ["transactions"])
+    return p.select("n_name", F.date_format("m", "yyyy-MM").alias("month"), "transactions", "price", F.col("price").isNotNull().alias("observed"))
 
 
 @query(f"""with {_GRID.format("case when o_totalprice <= 200000 then 'entry' when o_totalprice <= 400000 then 'mid' else 'luxury' end as tier,")}, tiers as (select unnest(['entry', 'mid', 'luxury']) as tier)
- select r_name, strftime(months.m, '%Y-%m') as month, tiers.tier, coalesce(transactions, 0) as transactions, price from region cross join months cross join tiers left join facts on r_regionkey = n_regionkey and facts.m = months.m and facts.tier = tiers.tier""")
+ select n_name, strftime(months.m, '%Y-%m') as month, tiers.tier, coalesce(transactions, 0) as transactions, price from nation cross join months cross join tiers left join facts on nation.n_nationkey = facts.n_nationkey and facts.m = months.m and facts.tier = tiers.tier""")
 def tier_panel_zero_fill(spark, sf):
     t = Tables(spark, sf)
     months = t.orders.select(F.trunc("o_orderdate", "month").alias("m")).distinct()
-    tiers = t.region.select(F.explode(F.array(*[F.lit(x) for x in ("entry", "mid", "luxury")])).alias("tier")).distinct()
+    tiers = t.nation.select(F.explode(F.array(*[F.lit(x) for x in ("entry", "mid", "luxury")])).alias("tier")).distinct()
     facts = _facts(t, P.tier(F.col("o_totalprice"), [200_000, 400_000], ["entry", "mid", "luxury"]).alias("tier"))
-    p = P.balanced_panel(facts, [t.region, months, tiers], ["r_regionkey", "m", "tier"], ["transactions"])
-    return p.select("r_name", F.date_format("m", "yyyy-MM").alias("month"), "tier", "transactions", "price")
+    p = P.balanced_panel(facts, [t.nation, months, tiers], ["n_nationkey", "m", "tier"], ["transactions"])
+    return p.select("n_name", F.date_format("m", "yyyy-MM").alias("month"), "tier", "transactions", "price")
 
 
 @query("""select l_orderkey, l_linenumber, l_partkey, case when l_extendedprice <= 407000.0 / 10 then 'entry' when l_extendedprice <= 1097000.0 / 12 then 'mid' else 'luxury' end as tier from lineitem""")

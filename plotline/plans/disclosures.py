@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plotline.operators import contract as C
 from plotline.operators import disclosures as D
 from plotline.plans.registry import Tables, query
 
@@ -146,3 +147,62 @@ def cross_source_history(spark, sf):
 def cross_source_funnel(spark, sf):
     rows, history, disposed = _sources(spark, sf)
     return D.source_funnel(rows, history, disposed, ["source_year"])
+
+
+_STATE1 = ["source_key", "source_state", "source_schema", "sale_year", "county", "county_fips", "gross_sale_price", "parcel_count", "property_type_evidence", "single_family", "strict_eligibility_available", "research_eligible", "exclusion_reasons_research", "regime"]
+
+
+@query(f"""with {_LEGACY_SQL}, {_MODERN_SQL}, e as (select 'legacy_pipe_v1' as source_schema, source_key, sale_year, county, county_fips, gross_sale_price, parcel_count, property_class_codes, validation_complete, valid_for_trending, all_parcels_single_family, concat_ws(';', {_REASONS}, {_LEGACY_REASONS}) as current from legacy
+ union all select 'modern_multifile_v1', source_key, sale_year, county, county_fips, gross_sale_price, parcel_count, property_class_codes, validation_complete, valid_for_trending, all_parcels_single_family, concat_ws(';', {_REASONS}, {_MODERN_REASONS}) from modern)
+ select source_key, 'IN' as source_state, source_schema, sale_year, county, county_fips, gross_sale_price, parcel_count, property_class_codes as property_type_evidence, all_parcels_single_family as single_family, validation_complete is not null and valid_for_trending is not null as strict_eligibility_available,
+ current = '' and all_parcels_single_family as research_eligible, concat_ws(';', case when current <> '' then 'not_current_study_eligible' end, case when not all_parcels_single_family then 'not_single_family' end) as exclusion_reasons_research,
+ case when sale_year between 1995 and 1997 then 'BASELINE' when sale_year between 1998 and 2000 then 'SHOCK' end as regime from e where sale_year between 1996 and 2001""")
+def first_state_contract(spark, sf):
+    t = Tables(spark, sf)
+    rows = D.eligibility(_legacy(t).unionByName(_modern(t)))
+    return C.prepare_first_state(rows, first=1996, last=2001, counties=[c[0] for c in COUNTIES.values()], eras=(("BASELINE", 1995, 1997), ("SHOCK", 1998, 2000))).select(*_STATE1)
+
+
+_STATE2 = ["source_key", "source_snapshot", "sale_year", "county", "tier_type", "gross_sale_price", "adjusted_price", "personal_property_total", "parcel_count", "property_type_evidence", "single_family", "eligible_current_study", "strict_eligibility_available", "research_eligible", "exclusion_reasons_current", "exclusion_reasons_strict", "exclusion_reasons_research", "revision_conflict", "probate_deed", "reporting_lag_days", "reporting_maturity_days", "recent_reporting_period", "regime"]
+_ANSWERS = {f: "case o_orderstatus when 'F' then 'N' when 'O' then '0' end" for f in C.DISQUALIFYING} | {"gift": "case when o_orderpriority = '1-URGENT' then 'true' else 'false' end", "related": "case when o_totalprice > 450000 then 'Y' when o_totalprice > 100000 then 'no' end"}
+_RECORDS = {
+    "source_key": "concat('MN:ecrv:', o_orderkey)", "archive_name": "concat('week', cast(year(o_orderdate) as {0}), '.zip')", "county_name": "concat('County ', o_custkey % 7)", "is_twin_cities": "case when o_custkey % 10 < 8 then 1 else 0 end",
+    "gross_sale_price": "cast(o_totalprice as {0})", "seller_paid_points": "case when o_orderpriority <> '5-LOW' then '100.5' end", "personal_property_included": "case o_orderstatus when 'F' then 'true' when 'O' then 'false' end", "revision_conflict": "case when o_custkey % 9 > 0 then '0' end",
+    "deed_type": "case o_orderpriority when '1-URGENT' then 'warranty' when '2-HIGH' then 'Quitclaim' when '3-MEDIUM' then 'PerRepDeed' end",
+} | _ANSWERS
+_RECORDS_SQL = f"""r as ({_sql(_RECORDS, ", strftime(o_orderdate, '%Y-%m-%d') as sale_date, year(o_orderdate) as sale_year, o_orderkey, o_orderdate::date as day", 'orders')}),
+ u as (select l_orderkey, bool_and(l_returnflag = 'A' or l_linestatus = 'F') as single_family, string_agg(distinct case when l_returnflag = 'A' then 'RES:HOUSESGL|' else 'FARM|' end || case when l_linestatus = 'F' then 'RESID:SINGLEFAM' else 'RESID' end, ';' order by case when l_returnflag = 'A' then 'RES:HOUSESGL|' else 'FARM|' end || case when l_linestatus = 'F' then 'RESID:SINGLEFAM' else 'RESID' end) as evidence from lineitem where l_linenumber < 4 group by 1),
+ p as (select l_orderkey, count(distinct l_partkey) as plots from lineitem group by 1), g as (select l_orderkey, cast(sum(cast(l_quantity as decimal(18,4))) as double) as total, bool_and(l_tax > 0) as complete from (select l_orderkey, l_tax, case when l_tax > 0 then l_quantity end as l_quantity from lineitem where l_linestatus = 'O') group by 1),
+ s as (select l_orderkey, min(l_shipdate)::date as seen from lineitem group by 1)"""
+_BAD = "revision_conflict is null"
+_SHARED2 = f"case when not (price > 50000 and price <= 15000000) then 'price_out_of_bounds' end, case when {_BAD} then 'revision_conflict' end"
+_YES = "lower({0}) in ('y', 'yes', '1', 'true')"
+_KNOWN2 = "deed is not null" + "".join(f" and {f} is not null" for f in C.DISQUALIFYING)
+
+
+@query(f"""with {_RECORDS_SQL}, j as (select r.*, price_ as price, upper(deed_type) as deed, u.single_family, evidence, plots, total, complete, seen, date_diff('day', day, seen)::int as lag from (select *, cast(gross_sale_price as double) as price_ from r where is_twin_cities = 1 and sale_year between 1996 and 2000) r
+ left join u on u.l_orderkey = o_orderkey left join p on p.l_orderkey = o_orderkey left join g on g.l_orderkey = o_orderkey left join s on s.l_orderkey = o_orderkey),
+ m as (select max(case when k = ceil((n - 1) * 0.95) then lag end) as maturity from (select lag, row_number() over (order by lag) - 1 as k, count(*) over () as n from j where lag >= 0)),
+ c as (select j.*, maturity, concat_ws(';', {_SHARED2}, {', '.join(f"case when {_YES.format(f)} then '{f}' end" for f in C.DISQUALIFYING)}, case when deed = 'QUITCLAIM' then 'quitclaim' end) as current,
+  concat_ws(';', {_SHARED2}, {', '.join(f"case when {f} is null or {_YES.format(f)} then '{f}_or_unknown' end" for f in C.DISQUALIFYING)}, case when deed = 'QUITCLAIM' then 'quitclaim' end, case when deed is null then 'deed_type_unknown' end) as strict,
+  coalesce(personal_property_included = 'false' or (personal_property_included = 'true' and total is not null and complete), false) as done, case when personal_property_included = 'true' then coalesce(total, 0) else 0 end as sold from j cross join m),
+ f as (select *, (select max(seen) from c) as last_seen from c)
+ select source_key, archive_name || '@2001' as source_snapshot, sale_year::int as sale_year, county_name as county, case when county_name = 'County 0' then 'URBAN_CORE' else 'SUBURBAN_COLLAR' end as tier_type, price as gross_sale_price,
+  case when done and seller_paid_points is not null and price - sold - 100.5 > 0 then price - sold - 100.5 end::double as adjusted_price, case when done then sold end::double as personal_property_total, plots::int as parcel_count, evidence as property_type_evidence, single_family, current = '' as eligible_current_study,
+  {_KNOWN2} as strict_eligibility_available, current = '' and coalesce(single_family, false) as research_eligible, current as exclusion_reasons_current, strict as exclusion_reasons_strict,
+  concat_ws(';', nullif(current, ''), case when not coalesce(single_family, false) then 'not_single_family' end) as exclusion_reasons_research, case when revision_conflict = '0' then false end as revision_conflict, deed in ('PROBATE', 'PERREPDEED') as probate_deed,
+  lag as reporting_lag_days, maturity::int as reporting_maturity_days, day > last_seen - maturity::int as recent_reporting_period, case when sale_year <= 1997 then 'BASELINE' else 'SHOCK' end as regime from f""")
+def second_state_contract(spark, sf):
+    t = Tables(spark, sf)
+    seen = t.lineitem.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first_extract_timestamp"))
+    sales = _frame(t.orders, _RECORDS).join(seen, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    sales = sales.withColumns({
+        "sale_date": F.date_format("o_orderdate", "yyyy-MM-dd"), "sale_year": F.year("o_orderdate"), "sale_month": F.date_format("o_orderdate", "yyyy-MM"), "county_fips": F.lit("27001"), "schema_variant": F.lit("modern"), "parse_recovered": F.lit("0"), "recovery_method": F.lit(None).cast("string"),
+        "extract_timestamp": F.lit("2001"), "version_id": F.lit("1"), "new_buildings_sale_year": F.lit("N"), "first_extract_timestamp": F.date_format("first_extract_timestamp", "yyyy-MM-dd'T'HH:mm:ss"),
+    })
+    key = F.concat(F.lit("MN:ecrv:"), F.col("l_orderkey")).alias("source_key")
+    legacy, modern = F.col("l_returnflag") == "A", F.col("l_linestatus") == "F"
+    uses = t.lineitem.select(key, F.when(F.col("l_linenumber") < 4, "Before").otherwise("after").alias("use_timing"), F.lit("RESID").alias("tier1Cde"), F.when(modern, "SINGLEFAM").alias("tier2Cde"), F.when(legacy, "RES").otherwise("FARM").alias("propertyTypeCode"), F.when(legacy, "HOUSESGL").alias("propertyUseCode"))
+    goods = t.lineitem.select(key, F.when(F.col("l_linestatus") == "O", "Y").otherwise("N").alias("selected"), F.when(F.col("l_tax") > 0, F.col("l_quantity").cast("string")).alias("propertyValue"))
+    out = C.prepare_second_state(sales, uses, t.lineitem.select(key, F.col("l_partkey").alias("parcelId")), goods, first=1996, last=2000, counties=[f"County {i}" for i in range(7)], urban=["County 0"], eras=(("BASELINE", 1995, 1997), ("SHOCK", 1998, 2000)))
+    return out.select(*_STATE2)

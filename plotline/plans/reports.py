@@ -28,16 +28,16 @@ def listing_filter_monthly(spark, sf):
     return R.listings_monthly(c, kind=F.col("c_mktsegment") == "BUILDING", period=F.col("c_acctbal") > 0, dimension=t.nation.select("n_name"), on="n_name", keys=["c_custkey"]).select("c_custkey", "n_name")
 
 
-_RULES = {"legacy": "year(o_orderdate) between 1995 and 1998", "eligible": "o_orderstatus <> 'P'", "zip": "o_orderkey % 10 <> 0"}
+_RULES = {"legacy": "year(o_orderdate) between 1995 and 1998", "eligible": "o_orderstatus <> 'P'", "zip": "o_orderpriority <> '4-NOT SPECIFIED'"}
 
 
 @query("""select count(*) as rows, count(*) filter (year(o_orderdate) between 1995 and 1998) as after_legacy, count(*) filter (year(o_orderdate) between 1995 and 1998 and o_orderstatus <> 'P') as after_eligible,
- count(*) filter (year(o_orderdate) between 1995 and 1998 and o_orderstatus <> 'P' and o_orderkey % 10 <> 0) as after_zip from orders""")
+ count(*) filter (year(o_orderdate) between 1995 and 1998 and o_orderstatus <> 'P' and o_orderpriority <> '4-NOT SPECIFIED') as after_zip from orders""")
 def bridge_audit(spark, sf):
     return R.bridge(Tables(spark, sf).orders, {k: F.expr(v) for k, v in _RULES.items()})[1]
 
 
-@query("""select o_orderkey as sdf_id, year(o_orderdate) as data_year, strftime(o_orderdate, '%Y-%m-%d') as sale_date, o_totalprice as sale_price from orders where year(o_orderdate) between 1995 and 1998 and o_orderstatus <> 'P' and o_orderkey % 10 <> 0""")
+@query("""select o_orderkey as sdf_id, year(o_orderdate) as data_year, strftime(o_orderdate, '%Y-%m-%d') as sale_date, o_totalprice as sale_price from orders where year(o_orderdate) between 1995 and 1998 and o_orderstatus <> 'P' and o_orderpriority <> '4-NOT SPECIFIED'""")
 def bridge_rows(spark, sf):
     rows = R.bridge(Tables(spark, sf).orders, {k: F.expr(v) for k, v in _RULES.items()})[0]
     return rows.select(F.col("o_orderkey").alias("sdf_id"), F.year("o_orderdate").cast("long").alias("data_year"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("sale_date"), F.col("o_totalprice").alias("sale_price"))

@@ -281,3 +281,59 @@ def test_features_and_tables(spark, tmp_path):
     (tmp_path / "t.csv").write_text("zip\n00602\n")
     assert readers.read_table(spark, str(tmp_path / "t")).first().zip == "00602"
     _ = io
+
+
+def test_index_and_tier_guards(spark):
+    from plotline.operators import panel as P
+
+    days = lambda rows, names: spark.createDataFrame(rows, names)
+    twice = days([("2025-01-01", 100.0, 1), ("2025-01-01", 90.0, 2), ("2025-02-01", 104.0, 1)], "d string, cpi double, nth int").withColumn("d", F.to_date("d"))
+    with pytest.raises(ValueError):
+        P.monthly_index(twice, "d", "cpi")
+    assert [r.cpi for r in P.monthly_index(twice, "d", "cpi", last_by="nth").orderBy("month_start").collect()] == [90.0, 104.0]
+    with pytest.raises(ValueError):
+        P.monthly_index(twice, "d", "cpi", last_by="nth", last="2025-03-01")
+    index = P.monthly_index(twice, "d", "cpi", last_by="nth")
+    sales = days([("2025-01-01", 10.0), ("2025-07-01", 10.0)], "d string, price double").withColumn("m", F.to_date("d"))
+    with pytest.raises(Exception, match="no index for the month"):
+        P.real_price(sales, index, price="price", month="m", value="cpi", base_year=2025).collect()
+    with pytest.raises(Exception, match="base year"):
+        P.real_price(sales.limit(1), index, price="price", month="m", value="cpi", base_year=1999).collect()
+    prices = days([(i, "A" if i % 2 else "B", float(100 + i % 7 + 1000 * (i % 3))) for i in range(60)], "k long, g string, p double")
+    fits = {r.g: r for r in P.tier_breaks_by(prices, "p", "g", key="k", least=20).collect()}
+    assert set(fits) == {"A", "B"} and all(106 < r.entry_boundary < 1100 < 1106 < r.high_end_boundary < 2100 for r in fits.values())
+    again = {r.g: r.cohort for r in P.tier_breaks_by(prices.repartition(5), "p", "g", key="k", least=20).collect()}
+    assert again == {g: r.cohort for g, r in fits.items()}
+    with pytest.raises(Exception, match="too few"):
+        P.tier_breaks_by(prices, "p", "g", key="k").collect()
+    raw = days([(float(v + i),) for v in (100, 500, 900, 1300) for i in range(5)] + [(9e9,)], "p double")
+    assert P.raw_tier_breaks(raw, "p", expected=(302, 702), tolerance=5) == [302.0, 702.0]
+    with pytest.raises(ValueError):
+        P.raw_tier_breaks(raw, "p", expected=(400, 702), tolerance=5)
+
+
+def test_order_statistics_with_ties_nulls_and_empty(spark):
+    from plotline.operators import aggs as A
+
+    rows = [("a", float(v)) for v in [5, 5, 5, 5, 1, 9, -3]] + [(None, 2.0), (None, 4.0), ("b", None), ("c", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.q1, r.q2) for r in A.quantiles(df, ["g"], "v", {"q1": 0.25, "q2": 0.5}).collect()}
+    assert got == {"a": (3.0, 5.0), None: (2.5, 3.0), "c": (7.0, 7.0)}
+    assert [r.m for r in A.quantiles(df, [], "v", {"m": 0.5}).collect()] == [5.0]
+    assert A.quantiles(df.limit(0), ["g"], "v", {"m": 0.5}).count() == 0
+    many = spark.range(20_000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 == 0, 1.0).otherwise(F.pow(F.col("id") % 997, 3)).alias("v"))
+    want = {r.g: r.m for r in many.groupBy("g").agg(F.percentile("v", F.lit(0.9)).alias("m")).collect()}
+    assert {r.g: r.m for r in A.quantiles(many, ["g"], "v", {"m": 0.9}).collect()} == want
+
+
+def test_contracts_reject_other_counties_and_repeated_keys(spark):
+    from plotline.operators import disclosures as D
+
+    raw = spark.createDataFrame([(" 12-A ", "6", "03/17/2015", "100000", "46032-1", "p", "510", "Y", "Y"), ("12-A", "06", "2015-03-17", "100000", "46032", "p", "510", "Y", "N"), ("b d", "77", "x", "", None, None, None, None, None)], "SDF_ID string, County_ID string, Conveyance_Date string, C6_Sales_Price string, PropZip string, Parcel1 string, P2_6_Prop_Class_Code string, P2_16_Valid_Trending string, P2_17_Validation_Complete string")
+    rows = D.normalize_legacy(raw, year=2015, file="f", counties={"06": ("Boone", "18011", "X")})
+    assert rows.columns == D.COLUMNS
+    history, disposed = D.combine_sources(rows)
+    kept = history.collect()
+    assert [(r.source_key, r.county, r.valid_for_trending, r.validation_complete, r.source_status_conflict) for r in kept] == [("IN:SDF:12-A", "Boone", True, None, True)]
+    assert sorted(r.disposition for r in disposed.where("not kept").collect()) == ["invalid_key", "status_variant"]
+    assert all(r.balanced for r in D.source_funnel(rows, history, disposed, ["source_year", "source_format"]).collect())
