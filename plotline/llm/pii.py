@@ -1,11 +1,12 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms that disclose them (native).
 
-Emails, IP addresses, card and phone numbers are found by pattern. Each distinct value is a protected entity. All terms
-of the documents that mention it are weighed by corpus co-occurrence: with p(e) the share of texts that mention entity e
-and p(e|t) the share of the texts with term t that mention e, the pointwise mutual information of t and e is
-IC(e) + log2 p(e|t), IC(e) = -log2 p(e). A term that carries GENERALISE of IC(e) or more is generalised wherever it
-stands in the documents that mention e, one that carries REMOVE of it is removed. Distinct texts are counted, so that
-copies of one document reveal nothing by themselves.
+Emails, IP addresses, card and phone numbers are found by pattern. Each distinct value is a protected entity, and so is
+what values share: an email's domain, an IP address's first three bytes, a card's issuer, a phone number's first digits.
+All terms of the documents that mention an entity are weighed by corpus co-occurrence: with p(e) the share of texts that
+mention entity e and p(e|t) the share of the texts with term t that mention e, the pointwise mutual information of t and
+e is IC(e) + log2 p(e|t), IC(e) = -log2 p(e). A term that carries GENERALISE of IC(e) or more is generalised wherever it
+stands in the documents that mention e, to what kind of term it is (a name, an acronym or a plain word); one that carries
+REMOVE of it is removed. Distinct texts are counted, so that copies of one document reveal nothing by themselves.
 
 Java's regular expressions recurse on repeated groups, which breaks on long runs; the patterns here are equal ones made
 of character classes only, over a text in which characters that end a match are first replaced one for one.
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 
 from plotline.llm.common import keyed, write_table
 
-#: Order of the kinds at one start.
-KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
-MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
+#: Order of the kinds at one start, and what replaces each: terms are generalised to a word, a name or an acronym.
+KINDS = ("email", "ip", "card", "phone", "generalise", "generalise", "generalise", "remove")
+MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[WORD]", "[NAME]", "[ACRONYM]", "")
+WORD, REMOVED = 4, 7
 GENERALISE, REMOVE = 0.9, 0.97
 #: A term this share of all terms or rarer may meet its texts in one task.
 FREQUENT = 1e-4
@@ -31,6 +33,15 @@ EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9\x20-]*[0-9]"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+#: In every text with a span that holds, by kind; cheap to look for, so that no other text is shuffled.
+SIGNS = (
+    r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]++\.[A-Za-z0-9-]", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", r"(?:[0-9][\x20-]?){13}[0-9]", r"\+[0-9](?:[\x20().-]*+[0-9]){9}",
+)
+
+
+def may_hold(text: Column) -> Column:
+    """Whether a text can have a pattern match that holds."""
+    return (text.contains("@") & text.rlike(SIGNS[0])) | text.rlike(SIGNS[1]) | text.rlike(SIGNS[2]) | (text.contains("+") & text.rlike(SIGNS[3]))
 
 
 def _matches(kind: int, text: Column, pattern: str, when: Column) -> Column:
@@ -54,8 +65,8 @@ def _luhn(digits: Column) -> Column:
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
-    """(_rid, kind, start, end, entity) of the pattern matches that hold, from (_rid, text)."""
-    text = F.col("text")
+    """(_rid, kind, start, end, entities) of the pattern matches that hold, from (_rid, text)."""
+    text, rows = F.col("text"), rows.where(may_hold(F.col("text")))
     emails = F.regexp_replace(F.translate(text, _DOT, "\n"), r"\.(?![A-Za-z0-9-])", _DOT)
     # single separators only: of two or more in a row each becomes a line end
     cards = F.regexp_replace(text, r"[\x20-](?=[\x20-])|(?<=[\x20-])[\x20-]", "\n")
@@ -78,13 +89,16 @@ def base_spans(rows: DataFrame) -> DataFrame:
         | ((F.col("kind") == 3) & n.between(10, 15))
     )
     name = F.when(F.col("kind") == 0, F.lower(F.translate("value", _DOT, "."))).when(F.col("kind") == 1, F.col("value")).otherwise(digits)
-    return m.where(holds).select("_rid", "kind", "start", "end", F.xxhash64("kind", name).alias("entity"))
+    family = F.when(F.col("kind") == 0, F.substring_index(name, "@", -1)).when(F.col("kind") == 1, F.substring_index(name, ".", 3)).otherwise(F.substring(name, 1, 6))
+    entities = F.array(F.xxhash64("kind", name), F.xxhash64(F.lit("family"), "kind", family))
+    return m.where(holds).select("_rid", "kind", "start", "end", entities.alias("entities"))
 
 
 def _copies(rows: DataFrame) -> DataFrame:
     """(_rid) of all but one of the rows of each text."""
     ids = rows.select("_rid", F.xxhash64("text").alias("h"), F.hash("text").alias("g"))
-    firsts = ids.groupBy("h", "g").agg(F.min("_rid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that the join has two plain shuffles and the rows of one text can be split
+    firsts = write_table(ids.groupBy("h", "g").agg(F.min("_rid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "pii-texts")
     return ids.join(firsts, ["h", "g"]).where("_rid <> first").select("_rid")
 
 
@@ -99,7 +113,7 @@ def _pairs(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, int]:
     of IC(e) only if n_t <= n_e * (N / n_e) ** (1 - GENERALISE)."""
     copies = write_table(_copies(rows), "pii-copies")
     n_texts = rows.count() - copies.count()
-    mentions = write_table(spans.select("_rid", "entity").distinct().join(copies.withColumn("copy", F.lit(True)), "_rid", "left").withColumn("copy", F.coalesce("copy", F.lit(False))), "pii-mentions")
+    mentions = write_table(spans.select("_rid", F.explode("entities").alias("entity")).distinct().join(copies.withColumn("copy", F.lit(True)), "_rid", "left").withColumn("copy", F.coalesce("copy", F.lit(False))), "pii-mentions")
     held = write_table(_terms(rows.join(copies, "_rid", "left_anti")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "pii-held")
     entities = mentions.where("not copy").groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     most = entities.agg(F.max("n_e")).first()[0] or 1
@@ -109,7 +123,8 @@ def _pairs(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, int]:
     # the most frequent terms go before their rows meet in one task; there are at most 1 / FREQUENT of them
     total = held.agg(F.sum("n_t")).first()[0] or 0
     frequent = held.where(F.col("n_t") > max(top, total * FREQUENT)).select("term")
-    terms = _terms(rows.join(mentions.select("_rid").distinct(), "_rid", "left_semi"), "_rid").join(F.broadcast(frequent), "term", "left_anti")
+    terms = _terms(rows.where(may_hold(F.col("text"))), "_rid").join(F.broadcast(frequent), "term", "left_anti")
+    terms = terms.join(mentions.select("_rid").distinct(), "_rid", "left_semi")
     terms = terms.join(held.where(F.col("n_t") <= top), "term")
     known = mentions.join(entities.where("n_e > 1"), "entity", "left").withColumn("n_e", F.coalesce("n_e", F.lit(1).cast("long")))
     pairs = terms.join(known, "_rid").where(F.col("n_t") <= bound(F.col("n_e")))
@@ -122,18 +137,19 @@ def disclosing_terms(pairs: DataFrame, n_texts: int) -> DataFrame:
     ic = F.log2(F.lit(float(n_texts)) / F.col("n_e"))
     pmi = ic + F.log2(F.least(F.lit(1.0), F.col("n_et") / F.col("n_t")))
     share = F.when(ic > 0, pmi / ic)
-    return counts.select("entity", "term", F.when(share >= REMOVE, F.lit(5)).when(share >= GENERALISE, F.lit(4)).alias("kind")).where("kind is not null")
+    return counts.select("entity", "term", F.when(share >= REMOVE, F.lit(REMOVED)).when(share >= GENERALISE, F.lit(WORD)).alias("kind")).where("kind is not null")
 
 
 def _occurrences(rows: DataFrame, told: DataFrame) -> DataFrame:
     """(_rid, kind, start, end) of every occurrence of the terms told, (_rid, term, kind), in their documents."""
     found, gaps = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
-    one = lambda x, i: F.struct(i.alias("nth"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("len"), F.lower(x["m"]).alias("term"))
+    one = lambda x, i: F.struct(i.alias("nth"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("len"), F.lower(x["m"]).alias("term"), F.when(x["m"].rlike(r"^\p{Lu}+$"), 2).when(x["m"].rlike(r"^\p{Lu}"), 1).otherwise(0).alias("shape"))
     matches = F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")), one)
-    m = rows.join(told.select("_rid").distinct(), "_rid", "left_semi").select("_rid", F.inline(matches)).repartition("_rid")
+    m = rows.where(may_hold(F.col("text"))).join(told.select("_rid").distinct(), "_rid", "left_semi").select("_rid", F.inline(matches)).repartition("_rid")
     start = _starts("_rid")
-    m = m.select("_rid", "term", start.alias("start"), (start + F.col("len")).alias("end"))
-    return m.join(told, ["_rid", "term"]).select("_rid", "kind", "start", "end")
+    m = m.select("_rid", "term", "shape", start.alias("start"), (start + F.col("len")).alias("end"))
+    kind = F.when(F.col("kind") == WORD, F.col("kind") + F.col("shape")).otherwise(F.col("kind"))
+    return m.join(told, ["_rid", "term"]).select("_rid", kind.alias("kind"), "start", "end")
 
 
 def all_spans(rows: DataFrame) -> DataFrame:
@@ -174,7 +190,7 @@ def sanitize(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     s = s.withColumn("run", F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(by))
     runs = s.groupBy("_rid", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "kind")).alias("first"))
     g = runs.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("first.kind").alias("kind")))).alias("a"))
-    marks = F.array(*[F.lit(MARKS[k]) for k in KINDS])
+    marks = F.array(*[F.lit(m) for m in MARKS])
     both = rows.join(g, "_rid", "left")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.col("a.end"))
     parts = F.transform("a", lambda x, i: F.concat(F.substring(F.col("text"), (F.element_at(ends, i + 1) + 1).cast("int"), (x["start"] - F.element_at(ends, i + 1)).cast("int")), F.element_at(marks, x["kind"] + 1)))
