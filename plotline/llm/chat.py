@@ -108,7 +108,7 @@ def op4_reply_trees(spark, sf_dir: str) -> DataFrame:
     """Conversations as linear reply trees, formatted and read back. Repeated rows are turns of their own."""
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     trap = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
     messages = write_table(linear_messages(given.unionByName(own)), "chat-messages")
     chats = format_chats(messages, tree_col="tree", node_col="node", parent_col="parent", role_col="role", text_col="text", best=1)
     back = read_back(chats)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +15,35 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 19
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``), or a new local one where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    """A new folder of this application in the one that driver and executors share (``spark.checkpoint.dir``); Hadoop
+    deletes it when the application ends. Where that setting is absent, a local master gets a temporary folder, any
+    other one an error: machines of a cluster do not see each other's folders."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            where = "file://" + tempfile.mkdtemp(prefix="spark-")
+        _folders[app] = f"{where.rstrip('/')}/plotline-{app}-{uuid.uuid4().hex}"
+        _path(spark, _folders[app], lambda fs, path: (fs.mkdirs(path), fs.deleteOnExit(path)))
+    return _folders[app]
+
+
+def _path(spark: SparkSession, folder: str, do: Callable) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    do(path.getFileSystem(spark._jsc.hadoopConfiguration()), path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete what the operators have written so far; results not yet read or written elsewhere are lost with it."""
+    folder = _folders.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        _path(spark, folder, lambda fs, path: fs.delete(path, True))
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ BITS = 2
 LANES = 28  # two-bit lanes in each of the signature's four longs
 #: An estimate this far below the threshold (5 standard errors) rules a pair out.
 SLACK = 0.225
-BLOCK = 2048
+BLOCK = 512
 #: Untested partners that a document meets in each further round; the last round has no limit.
 MEETINGS = (2, None)
 
@@ -352,7 +352,8 @@ def _near(rows: DataFrame, size: int, threshold: int) -> DataFrame:
             labels = write_table(components(stars.unionByName(more)), "near-labels")
     out = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("_rid", "doc_id", "n", F.coalesce("component", "rep").alias("component"))
     out = write_table(out, "near-members")
-    least = out.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")).alias("first"))
+    # written, so that the join has two plain shuffles and the rows of one component can be split
+    least = write_table(out.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")).alias("first")), "near-least")
     out = out.join(least, "component")
     return out.select("_rid", "doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("_rid") == F.col("first._rid")).alias("kept"))
 

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import importlib
+from plotline.llm.ann import op6_multi_index
+from plotline.llm.chat import op4_reply_trees
+from plotline.llm.html_extract import op7_template_removal
+from plotline.llm.minhash import op5_bbit_minhash
+from plotline.llm.mixing import op2_pivotal_mix
+from plotline.llm.packing import op10_vector_best_fit
+from plotline.llm.pii import op3_information_privacy
+from plotline.llm.quality import op9_suffix_repetition
+from plotline.llm.sharding import op8_virtual_slots
+from plotline.llm.suffix_dedup import op1_suffix_array
 
-#: query name -> module of this package that holds the function of that name
-MODULES = {
-    "op1_suffix_array": "suffix_dedup",
-    "op2_pivotal_mix": "mixing",
-    "op3_information_privacy": "pii",
-    "op4_reply_trees": "chat",
-    "op5_bbit_minhash": "minhash",
-    "op6_multi_index": "ann",
-    "op7_template_removal": "html_extract",
-    "op8_virtual_slots": "sharding",
-    "op9_suffix_repetition": "quality",
-    "op10_vector_best_fit": "packing",
-}
+QUERIES = (op1_suffix_array, op2_pivotal_mix, op3_information_privacy, op4_reply_trees, op5_bbit_minhash, op6_multi_index, op7_template_removal, op8_virtual_slots, op9_suffix_repetition, op10_vector_best_fit)
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -61,7 +58,7 @@ select doc_id, n_words, coalesce(word_chars, 0) as word_chars, n_symbols, n_dup_
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"plotline.llm.{module}"), name) for name, module in MODULES.items()}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

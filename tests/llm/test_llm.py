@@ -291,10 +291,13 @@ def test_near_duplicates(spark):
     assert near_duplicates(empty(spark)).count() == 0
 
 
-def test_near_duplicate_clusters_without_a_common_leader(spark):
-    """Many different near copies, with links only between some of them."""
+def test_near_duplicate_clusters_without_a_common_leader(spark, monkeypatch):
+    """Many different near copies, with links only between some of them, in buckets of many blocks."""
+    from plotline.llm import minhash as M
     from plotline.llm.minhash import near_duplicates
 
+    monkeypatch.setattr(M, "BLOCK", 20)
+
     rng = random.Random(11)
     base, rows = words(rng, 120), []
     for i in range(150):
