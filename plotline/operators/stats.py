@@ -188,29 +188,40 @@ def linear_combination(beta: np.ndarray, vcov: np.ndarray, w: np.ndarray) -> tup
     return float(w @ beta), float(math.sqrt(max(w @ vcov @ w, 0.0)))
 
 
-def wild_bootstrap(fit: Fit, scores: np.ndarray, term: int, reps: int = 9999, seed: int = 42) -> tuple[float, float, float]:
+def wild_bootstrap(fit: Fit, scores: np.ndarray, term: int, reps: int = 9999, seed: int = 42, least: int = 99, share: float = 0.8) -> tuple[float, float, float]:
     """(low, high, p) of a coefficient by the wild cluster bootstrap with six-point weights on unrestricted residuals.
-    A draw needs each cluster's score sum alone: clusters x coefficients numbers."""
+    A draw needs each cluster's score sum alone: clusters x coefficients numbers. Draws that give no finite number do
+    not count; fewer than ``least`` others, or than ``share`` of all, raise."""
     points = np.array([-math.sqrt(1.5), -1.0, -math.sqrt(0.5), math.sqrt(0.5), 1.0, math.sqrt(1.5)])
     draws = np.random.default_rng(seed).choice(points, (reps, len(scores)))
     shift = draws @ (scores @ fit.bread[:, term])
+    shift = shift[np.isfinite(shift)]
+    if len(shift) < max(least, share * reps):
+        raise ValueError(f"only {len(shift)} of {reps} draws succeeded")
     b = fit.beta[term]
     low, high = np.quantile(b + shift, [0.025, 0.975])
-    return float(low), float(high), float((1 + (np.abs(shift) >= abs(b)).sum()) / (reps + 1))
+    return float(low), float(high), float((1 + (np.abs(shift) >= abs(b)).sum()) / (len(shift) + 1))
 
 
-def pairs_bootstrap(df: DataFrame, y: Column, columns: Mapping[str, Column], cluster: str, weight: Column | None = None, reps: int = 999, seed: int = 42) -> np.ndarray:
+def pairs_bootstrap(df: DataFrame, y: Column, columns: Mapping[str, Column], cluster: str, weight: Column | None = None, reps: int = 999, seed: int = 42, strata: str | None = None) -> np.ndarray:
     """Coefficients (reps x columns, nan where aliased) of resampled clusters; cross products by cluster are gathered
-    once in Spark, a draw adds them up."""
+    once in Spark, a draw adds them up. With ``strata``, each stratum's clusters are drawn among themselves, as many as
+    it has; a cluster lies in one stratum."""
     w = F.lit(1.0) if weight is None else weight
     cols = list(columns.values())
     k = len(cols)
-    sums = _cross(df, w, [*cols, y], [cluster])
-    rows = [sums[c] for c in sorted(sums, key=str)]
-    xx, xy = np.array([m[:k, :k] for m in rows]), np.array([m[:k, k] for m in rows])
+    keys = [cluster] if strata is None else [strata, cluster]
+    sums = _cross(df, w, [*cols, y], keys)
+    order = sorted(sums, key=str)
+    xx, xy = np.array([sums[c][:k, :k] for c in order]), np.array([sums[c][:k, k] for c in order])
+    groups: dict[object, list[int]] = {}
+    for i, c in enumerate(order):
+        groups.setdefault(c[0] if strata is not None else None, []).append(i)
     rng, out = np.random.default_rng(seed), np.full((reps, k), np.nan)
     for r in range(reps):
-        m = rng.multinomial(len(rows), np.full(len(rows), 1 / len(rows)))
+        m = np.zeros(len(order))
+        for own in groups.values():
+            m[own] = rng.multinomial(len(own), np.full(len(own), 1 / len(own)))
         a, b = np.tensordot(m, xx, 1), m @ xy
         keep = retained(a)
         out[r, keep] = np.linalg.solve(a[np.ix_(keep, keep)], b[keep])

@@ -53,3 +53,11 @@ def snapshot_hash(registry: DataFrame, column: str, parser_version: str) -> Data
 def insert_or_ignore(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new`` whose key the existing table lacks, one per key."""
     return new.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+
+
+def revised_children(children: DataFrame, key: str, version: str, ordinal: str, row: Column, first: str, current: str, name: str) -> DataFrame:
+    """(key, field): ``child_<name>`` for keys whose rows, in ordinal order, differ between the versions named ``first``
+    and ``current``; a version without rows has an empty list. Rows of one key and version are few (a record's)."""
+    c = children.where(F.col(version).isin(first, current)).select(key, version, F.struct(F.col(ordinal).alias("o"), row.alias("r")).alias("x"))
+    lists = c.groupBy(key).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col(version) == v, F.col("x")))), lambda x: x["r"]).alias(n) for n, v in (("a", first), ("b", current))])
+    return lists.where(~F.col("a").eqNullSafe(F.col("b"))).select(key, F.lit(f"child_{name}").alias("field"))

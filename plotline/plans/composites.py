@@ -196,6 +196,12 @@ def revision_fields(spark, sf):
     return V.revised_fields(pairs, "user_id", ["event_type", "props"])
 
 
+@query("""select l_orderkey, 'child_lines' as field from (select l_orderkey, coalesce(list(l_linestatus order by l_linenumber, l_linestatus) filter (l_returnflag = 'A'), []) as a, coalesce(list(l_linestatus order by l_linenumber, l_linestatus) filter (l_returnflag = 'R'), []) as b
+ from lineitem where l_returnflag in ('A', 'R') group by 1) where a <> b""")
+def child_revisions(spark, sf):
+    return V.revised_children(Tables(spark, sf).lineitem, "l_orderkey", "l_returnflag", "l_linenumber", F.col("l_linestatus"), "A", "R", "lines")
+
+
 @query("""select strftime(ts, '%Y-%m-%d') as day, count(*) as members, count(*) filter (event_type <> 'error') as valid, count(*) filter (event_type = 'error') as quarantined, true as balanced from events group by 1""")
 def extract_year_accounting(spark, sf):
     e = Tables(spark, sf).events.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("event_type") != "error").alias("ok"))

@@ -70,7 +70,7 @@ def wild_bootstrap(spark, sf):
     fit = S.wls(p, F.col("log_price"), _columns(p, ["rate_gap*tier", "treated"]), F.col("transactions"))
     _, scores = S.cluster_scores(p, fit, "county")
     at = fit.names.index(S.select_term(fit.names, ["rate_gap", "tier=mid"]))
-    low, high, pv = S.wild_bootstrap(fit, scores, at, 999)
+    low, high, pv = S.wild_bootstrap(fit, scores, at, 9999)
     return spark.createDataFrame([(fit.names[at], float(fit.beta[at]), low, high, pv)], "term string, estimate double, low double, high double, p_value double")
 
 
@@ -78,11 +78,17 @@ def wild_bootstrap(spark, sf):
 def pairs_bootstrap(spark, sf):
     p = panel(spark, sf)
     columns = _columns(p, ["rate_gap*tier"])
-    draws = S.pairs_bootstrap(p, F.col("log_price"), columns, "county", F.col("transactions").cast("double"), 499)
+    weight = F.col("transactions").cast("double")
+    draws = S.pairs_bootstrap(p, F.col("log_price"), columns, "county", weight, 9999, strata="region")
+    fit = S.wls(p, F.col("log_price"), columns, weight)
     names = list(columns)
+    seen = fit.beta[fit.names.index("rate_gap:tier=mid")] / fit.beta[fit.names.index("rate_gap")]
     ratio = draws[:, names.index("rate_gap:tier=mid")] / draws[:, names.index("rate_gap")]
-    low, mid, high = np.nanquantile(ratio, [0.025, 0.5, 0.975])
-    return spark.createDataFrame([("mid to entry", float(low), float(mid), float(high))], "ratio string, low double, median double, high double")
+    ratio = ratio[np.isfinite(ratio)]
+    low, mid, high = np.quantile(ratio, [0.025, 0.5, 0.975])
+    # how often a draw is as far from 1 as the observed ratio
+    as_far = float((1 + (np.abs(ratio - 1) >= abs(seen - 1)).sum()) / (len(ratio) + 1))
+    return spark.createDataFrame([("mid to entry", float(seen), float(low), float(mid), float(high), as_far, len(ratio))], "ratio string, observed double, low double, median double, high double, as_far double, draws int")
 
 
 @query()
@@ -95,15 +101,21 @@ def event_study(spark, sf):
     return S.tidy(spark, fit, S.cluster_vcov(p, fit, "county"), True)
 
 
+#: Years before the reference year whose leads are tested together.
+LEADS = {"all": (1995, 1996), "distant": (1995,), "near": (1996,)}
+
+
 @query()
 def wald_pretrend(spark, sf):
+    """Joint tests that the treated did not move differently in the years before 1997, by scope of the years."""
     p = panel(spark, sf).withColumn("lead", F.concat(F.lit("y"), F.year("m").cast("string")))
     columns = S.design(p, ["lead", "treated", "lead:treated"], {"lead": [f"y{y}" for y in (1997, 1995, 1996, 1998, 1999, 2000, 2001)]}, ("treated",))
     fit = S.wls(p, F.col("log_price"), columns, F.col("transactions"))
-    v = S.cluster_vcov(p, fit, "county")
-    at = [i for i, n in enumerate(fit.names) if n in ("lead=y1995:treated", "lead=y1996:treated")]
-    stat, df, pv = S.wald(spark, fit.beta[at], v[np.ix_(at, at)])
-    return spark.createDataFrame([(stat, df, pv)], "statistic double, df int, p_value double")
+    v, rows = S.cluster_vcov(p, fit, "county"), []
+    for scope, years in LEADS.items():
+        at = [i for i, n in enumerate(fit.names) if n in [f"lead=y{y}:treated" for y in years]]
+        rows.append((scope, *S.wald(spark, fit.beta[at], v[np.ix_(at, at)])))
+    return spark.createDataFrame(rows, "scope string, statistic double, df int, p_value double")
 
 
 @query()
@@ -131,7 +143,8 @@ def scenario_table(spark, sf):
 def sensitivity_matrix(spark, sf):
     """The same slope refitted on filtered panels, and with each region left out."""
     p, rows = panel(spark, sf), []
-    specs = {"all": F.lit(True), "no_transition": ~F.col("year").isin("1996", "1997"), "min_transactions": F.col("transactions") >= 3, "bounds": F.col("price").between(75_000, 450_000)} | {f"without_{r}": F.col("region") != r for r in REGIONS}
+    specs = {"all": F.lit(True), "no_transition": ~F.col("year").isin("1996", "1997"), "min_transactions": F.col("transactions") >= 3, "bounds": F.col("price").between(75_000, 450_000), "no_recent": F.col("m") < "2001-02-01", "known_income": F.col("income") > 0}
+    specs |= {f"without_{r}": F.col("region") != r for r in REGIONS}
     for name, keep in specs.items():
         d = p.where(keep)
         fit = S.wls(d, F.col("log_price"), _columns(d, ["rate_gap*tier", "treated"]), F.col("transactions"))

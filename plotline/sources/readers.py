@@ -41,11 +41,14 @@ def detect_layout(spark: SparkSession, path: str) -> str:
 
 def read_delimited(spark: SparkSession, path: str, *, encoding: str, sep: str, required: Sequence[str], optional: Sequence[str] = ()) -> DataFrame:
     """Delimited file, all columns as strings, pruned to the wanted ones; absent optional columns are null. UTF-16
-    cannot be split by lines, so each such file is one task."""
-    if encoding.lower().startswith("windows"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    raw = spark.read.csv(path, sep=sep, header=True, encoding=encoding, inferSchema=False, multiLine=encoding.upper().startswith("UTF-16"))
+    cannot be split by lines, so each such file is one task. Windows-1252 is read as Latin-1, which Spark knows, and
+    the 27 characters that differ are put right."""
+    windows = encoding.lower().startswith("windows")
+    raw = spark.read.csv(path, sep=sep, header=True, encoding="ISO-8859-1" if windows else encoding, inferSchema=False, multiLine=encoding.upper().startswith("UTF-16"))
     require(raw, required, path)
+    if windows:
+        other = {chr(b): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+        raw = raw.select(*[F.translate(F.col(f"`{c}`"), "".join(other), "".join(other.values())).alias(c) for c in raw.columns])
     return raw.select(*[F.col(f"`{c}`") for c in required], *[F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string").alias(c) for c in optional])
 
 
@@ -55,10 +58,9 @@ def read_sales(spark: SparkSession, path: str, optional: Sequence[str] = ()) ->
 
 
 def discover_annual(names: Sequence[str]) -> list[dict]:
-    """Annual sources among file names, by year: YYYY.txt, or SALEDISCyyyy.txt with its partner SALEPARCELyyyy.txt."""
-    legacy = {m[1]: n for n in names if (m := re.fullmatch(r"(\d{4})\.txt", n))}
-    modern = {m[1]: n for n in names if (m := re.fullmatch(r"SALEDISC(\d{4})\.txt", n))}
-    parcels = {m[1]: n for n in names if (m := re.fullmatch(r"SALEPARCEL(\d{4})\.txt", n))}
+    """Annual sources among file names, by year: YYYY.txt, or SALEDISCyyyy.txt with its partner SALEPARCELyyyy.txt, in
+    upper or lower case."""
+    legacy, modern, parcels = ({m[1]: n for n in names if (m := re.fullmatch(rf"{start}(\d{{4}})\.txt", n, re.I))} for start in ("", "SALEDISC", "SALEPARCEL"))
     if both := sorted(legacy.keys() & modern.keys()):
         raise ValueError(f"two sources for {', '.join(both)}")
     if alone := sorted(modern.keys() - parcels.keys()):
@@ -73,13 +75,24 @@ def semi_scan(children: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return children.join(keys.select(key).where(F.col(key).isNotNull()), key, "left_semi")
 
 
-def read_archives(spark: SparkSession, path: str, *, year: int | None = None) -> DataFrame:
-    """Archives below a folder as (archive, path, bytes, extract_timestamp, content)."""
+def read_archives(spark: SparkSession, path: str, *, year: int | None = None, archive: str | None = None, limit: int | None = None) -> DataFrame:
+    """Archives below a folder as (archive, path, bytes, extract_timestamp, content): all, those of a year, the one of a
+    name, or the first ``limit`` by time and name. One over the size limit raises before any content is read."""
     z = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     at = F.try_to_timestamp(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2}-\d{2}-\d{2}-\d{2})", 1), F.lit("yyyy-MM-dd-HH-mm-ss"))
-    z = z.select(name.alias("archive"), "path", F.col("length").alias("bytes"), at.alias("extract_timestamp"), "content")
-    return z if year is None else z.where(F.year("extract_timestamp") == year)
+    z = z.withColumns({"archive": name, "extract_timestamp": at})
+    if archive is not None:
+        z = z.where(F.col("archive") == archive)
+    if year is not None:
+        z = z.where(F.year("extract_timestamp") == year)
+    if limit is not None:
+        first = z.select("path").orderBy(F.asc_nulls_last("extract_timestamp"), "archive", "path").limit(limit)
+        z = z.join(first, "path", "left_semi")
+    large = z.where(F.col("length") > MAX_ARCHIVE).select("archive").limit(1).collect()
+    if large:
+        raise ValueError(f"{large[0]['archive']}: larger than {MAX_ARCHIVE} bytes")
+    return z.where(F.col("length") <= MAX_ARCHIVE).select("archive", "path", F.col("length").alias("bytes"), "extract_timestamp", "content")
 
 
 def read_members(archives: DataFrame) -> DataFrame:
@@ -87,9 +100,7 @@ def read_members(archives: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for archive, size, content in zip(b["archive"], b["bytes"], b["content"]):
-                if size > MAX_ARCHIVE:
-                    raise ValueError(f"{archive}: larger than {MAX_ARCHIVE} bytes")
+            for archive, content in zip(b["archive"], b["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     infos = [i for i in z.infolist() if not i.is_dir()]
                     if len(infos) > MAX_MEMBERS:
@@ -98,7 +109,7 @@ def read_members(archives: DataFrame) -> DataFrame:
                         part = infos[at : at + 200]
                         yield pd.DataFrame({"archive": archive, "ordinal": range(at, at + len(part)), "name": [i.filename for i in part], "bytes": [i.file_size for i in part], "content": [z.read(i) if i.file_size <= MAX_MEMBER else None for i in part]})
 
-    return archives.select("archive", "bytes", "content").mapInPandas(run, "archive string, ordinal int, name string, bytes long, content binary")
+    return archives.select("archive", "content").mapInPandas(run, "archive string, ordinal int, name string, bytes long, content binary")
 
 
 def read_market(spark: SparkSession, path: str) -> DataFrame:
@@ -108,13 +119,15 @@ def read_market(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, stem: str) -> DataFrame:
-    """stem.parquet, else stem.csv with all columns as strings."""
-    try:
-        return spark.read.parquet(f"{stem}.parquet")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.read.csv(f"{stem}.csv", header=True, inferSchema=False)
+    """stem.parquet, else stem.csv with all columns as strings, else stem.json (an array of objects)."""
+    readers = {"parquet": spark.read.parquet, "csv": lambda p: spark.read.csv(p, header=True, inferSchema=False), "json": lambda p: spark.read.json(p, multiLine=True)}
+    for kind, read in readers.items():
+        try:
+            return read(f"{stem}.{kind}")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e) or kind == "json":
+                raise
+    raise AssertionError
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
