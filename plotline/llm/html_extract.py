@@ -1,8 +1,9 @@
 """Main text of web pages by site template removal.
 
 Each block subtree, inside the article or outside, is hashed; Spark counts, per host, the different page contents with
-which a hash occurs, and the subtrees that recur with MIN_PAGES of them are deleted. Copies of one page count once, so
-that they are no templates of each other. What HTML itself marks as no part of the article (navigation, headers, footers,
+which a hash occurs. Containers that recur with MIN_PAGES of them are deleted; a paragraph, heading or list item by itself
+may be a phrase that authors use again, so it must recur with a SHARE of the host's page contents as well. Copies of one
+page count once, so that they are no templates of each other. What HTML itself marks as no part of the article (navigation, headers, footers,
 asides, forms, scripts, and elements whose class, id or role says so) is deleted too, and where an article or main
 element holds text, everything outside it.
 """
@@ -22,6 +23,8 @@ from plotline.llm.common import keyed, write_table
 
 #: A subtree is template text from so many different pages of its host, however many pages the host has.
 MIN_PAGES = 5
+#: The share of a host's different pages that a subtree of prose alone must be on besides.
+SHARE = 0.5
 
 #: Elements by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,6 +34,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th tr summary legend option".split())
 CLOSES_P = BLOCK - {"html", "body", "head", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "option", "legend", "figcaption", "summary"}
 SELF_CLOSING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 CHROME_WORDS = frozenset(
@@ -85,6 +89,7 @@ def parse(page: str, templates: frozenset[int] | set[int] = frozenset(), hashes:
         whole = f"<{name} {mark}>{flat}</>"
         if name in BLOCK and not drop:
             h = int.from_bytes(blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            h = h & ~1 | (name in PROSE)  # the lowest bit tells prose from containers
             if hashes is not None:
                 hashes.add(h)
             if h in templates:
@@ -158,7 +163,7 @@ def parse(page: str, templates: frozenset[int] | set[int] = frozenset(), hashes:
     return "\n".join(blocks)
 
 
-def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every row. Null html is empty; a null url's pages share one host. Repeated ids
     are pages of their own, but the same subtree counts once for all pages of a host with one text."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -174,10 +179,14 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
                 found.append(list(hashes))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(contents, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["_rid", "host", "content", "found"])
 
-    seen = rows.select("_rid", "host", "html").mapInArrow(collect, "_rid long, host long, content long, found array<long>")
-    trees = write_table(seen.select("_rid", "content", "host", F.explode("found").alias("h")).select("_rid", "content", "h", F.xxhash64("host", "h").alias("key")), "html-trees")
-    often = trees.groupBy("key").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= min_pages).select("key")
-    templates = trees.join(often, "key").groupBy("_rid").agg(F.collect_set("h").alias("templates"))
+    seen = write_table(rows.select("_rid", "host", "html").mapInArrow(collect, "_rid long, host long, content long, found array<long>"), "html-trees")
+    trees = seen.select("_rid", "host", "content", F.explode("found").alias("h"))
+    often = write_table(trees.groupBy("host", "h").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= min_pages), "html-often")
+    # written, so that the join has two plain shuffles and a large host's rows can be split
+    contents = write_table(seen.groupBy("host").agg(F.count_distinct("content").alias("contents")), "html-hosts")
+    prose = (F.col("h") % 2) != 0
+    known = often.where(~prose).select("host", "h").unionByName(often.where(prose).join(contents, "host").where(F.col("n") >= F.col("contents") * share).select("host", "h"))
+    templates = trees.select("_rid", "host", "h").join(known, ["host", "h"]).groupBy("_rid").agg(F.collect_set("h").alias("templates"))
     both = rows.select("_rid", "page_id", "url", "html").join(templates, "_rid", "left").select("page_id", "url", "html", "templates")
     schema = rows.select("page_id", "url").schema.add("text", "string")
 

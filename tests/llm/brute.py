@@ -1,9 +1,11 @@
 """Plain versions of the operators' contracts, for small inputs."""
 
 import hashlib
+import html
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 
@@ -159,3 +161,116 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
 
 def crc(b):
     return zlib.crc32(b)
+
+
+class Tree(HTMLParser):
+    """Nodes [name, label, dropped, main, children] of a page, with the ends that HTML leaves out."""
+
+    def __init__(self, page, M):
+        super().__init__(convert_charrefs=False)
+        self.M, self.skip, self.open = M, None, [["#", "", False, False, []]]
+        self.feed(page)
+        self.close()
+        self.root = self.open[0]
+
+    def handle_starttag(self, name, attrs):
+        M, names = self.M, [n[0] for n in self.open]
+        if self.skip:
+            return
+        if name in M.RAW:
+            self.skip = name
+        elif name in M.VOID:
+            if name in ("br", "hr"):
+                self.open[-1][4].append(" " if name == "br" else ["hr", "", False, self.open[-1][3], []])
+        else:
+            if name in M.CLOSES_P and "p" in names:
+                del self.open[names.index("p") :]
+            if name in M.SELF_CLOSING:
+                same, within = M.SELF_CLOSING[name]
+                at = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k][0] in same | within), 0)
+                if at and self.open[at][0] in same:
+                    del self.open[at:]
+            up, a = self.open[-1], {k: v or "" for k, v in attrs}
+            label = " ".join(a[k] for k, _ in attrs if k in ("class", "id", "role")).lower()
+            chrome = name in M.CHROME or (name not in ("html", "body", "article", "main") and bool(M.CHROME_WORDS & set(re.split("[^a-z0-9]+", label))))
+            node = [name, label, up[2] or chrome or "hidden" in a, up[3] or name in ("article", "main"), []]
+            up[4].append(node)
+            self.open.append(node)
+
+    def handle_startendtag(self, name, attrs):
+        if name not in self.M.RAW:
+            self.handle_starttag(name, attrs)
+
+    def handle_endtag(self, name):
+        names = [n[0] for n in self.open]
+        if self.skip:
+            self.skip = None if name == self.skip else self.skip
+        elif name in names[1:]:
+            del self.open[len(names) - 1 - names[::-1].index(name) :]
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.open[-1][4].append(data)
+
+    def handle_entityref(self, name):
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name):
+        self.handle_data(f"&#{name};")
+
+
+def written(node, found):
+    """A node as text with its markup, or None where it is or holds the article; ``found`` gathers its block subtrees."""
+    parts = [c if isinstance(c, str) else written(c, found) for c in node[4]]
+    if None in parts or (node[0] in ("article", "main") and node[3]):
+        return None
+    flat = " ".join("".join(parts).split())
+    whole = f"<{node[0]} {node[1]}>{flat}</>" if flat else ""
+    if whole and not node[2]:
+        found[id(node)] = whole
+    return whole
+
+
+def main_text(root, M, found, templates):
+    pieces = []
+
+    def walk(node):
+        for c in node[4]:
+            if isinstance(c, str):
+                if not node[2]:
+                    pieces.append((c, node[3]))
+            elif c[0] in M.BLOCK and found.get(id(c)) in templates:
+                pieces.append(("", c[3]))
+            else:
+                edge = [("", c[3])] * (c[0] in M.BLOCK)
+                pieces.extend(edge)
+                walk(c)
+                pieces.extend(edge)
+
+    def told(node):
+        return any((not node[2] and node[3] and c.strip()) if isinstance(c, str) else told(c) for c in node[4])
+
+    walk(root)
+    article, lines = told(root), [""]
+    for text, main in pieces:
+        if text == "":
+            lines.append("")
+        elif main or not article:
+            lines[-1] += text
+    return "\n".join(" ".join(x.split()) for x in map(html.unescape, lines) if x.strip())
+
+
+def main_texts(pages, M, least):
+    """Text of each (host, html): block subtrees that stand on pages of ``least`` different texts of their host are gone,
+    prose only if that is a share of the host's texts as well."""
+    parsed, seen, texts = [], defaultdict(set), defaultdict(set)
+    for host, page in pages:
+        root, found = Tree(page or "", M).root, {}
+        written(root, found)
+        text = main_text(root, M, found, ())
+        parsed.append((host, root, found))
+        texts[host].add(text)
+        for w in found.values():
+            seen[host, w].add(text)
+    need = lambda host, w: max(least, M.SHARE * len(texts[host]) if re.match(r"<(\w+)", w)[1] in M.PROSE else 0)
+    return [main_text(root, M, found, {w for w in found.values() if len(seen[host, w]) >= need(host, w)}) for host, root, found in parsed]

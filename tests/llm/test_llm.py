@@ -446,6 +446,22 @@ def test_template_subtrees_inside_the_article_are_removed(spark, tag):
     assert all("Get our letter every week\nIt is free" in t and len(t.split()) == 38 for i, t in out.items() if i >= 300)
 
 
+def test_pages_against_a_plain_version(spark):
+    from plotline.llm import html_extract as M
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.select("page_id", "html", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host")).collect()
+    got = {r.page_id: r.text for r in M.extract_pages(pages).collect()}
+    assert got == dict(zip([r.page_id for r in rows], brute.main_texts([(r.host, r.html) for r in rows], M, M.MIN_PAGES)))
+    # the same pages with blocks of their sites, one in a container and one a paragraph on every other page
+    put = lambda r: r.html.replace("</article>", f"<div><p>More on {r.host}</p><ul><li>here</ul></div>{'<p>Write to us' * (r.page_id % 2)}</article>")
+    more = [(r.page_id, f"http://{r.host}/", put(r), r.host) for r in rows if r.html]
+    out = M.extract_pages(spark.createDataFrame([r[:3] for r in more], "page_id long, url string, html string")).collect()
+    want = dict(zip([r[0] for r in more], brute.main_texts([(h, x) for _, _, x, h in more], M, M.MIN_PAGES)))
+    assert {r.page_id: r.text for r in out} == want
+    assert 0 < sum("More on" in t for t in want.values()) < 150 and sum("Write to us" in t for t in want.values()) > 50
+
+
 def test_an_article_of_templates_does_not_let_outside_text_in():
     from plotline.llm.html_extract import parse
 
@@ -453,6 +469,16 @@ def test_an_article_of_templates_does_not_let_outside_text_in():
     assert parse(page, hashes=hashes) == "template" and parse(page, hashes) == ""
 
 
+def test_phrases_that_authors_repeat_stay(spark):
+    from plotline.llm.html_extract import extract_pages
+
+    rng = random.Random(6)
+    page = lambda i: f"<article><p>{' '.join(words(rng, 20))} {i}</p>{'<p>All rights reserved.</p>' * (i < 12)}<p>Sent by the site</p></article>"
+    rows = [(i, f"http://h.org/{i}", page(i)) for i in range(40)]
+    out = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(("All rights reserved." in t) == (i < 12) and "Sent by" not in t for i, t in out.items())
+
+
 # 8
 def test_shards(spark):
     from plotline.llm.sharding import rebalance, shard_records, slot_stats
