@@ -5,7 +5,8 @@ rounded by the pivotal method: two documents meet, words move from one to the ot
 other meets the next one. Words (size x fraction) are conserved in each meeting, so a source's sum stays at its target.
 Documents meet inside small chunks; the one fractional document left in each chunk goes to the next level of a reduction
 tree, until one is left per source. It is rounded to the nearest, and the words that this adds or takes away are worked
-off on documents of its last chunk, so that the source misses its target by less than a short document.
+off on documents of its last chunk and then on those of POOL chunks, so that the source misses its target by less than a
+short document.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from plotline.llm.common import ids_unique, keyed, write_table
 
 CHUNK = 64
+#: First chunks of a source whose documents may be turned over for the words owed in the end.
+POOL = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -78,13 +81,18 @@ def _pivot(chunks: DataFrame, level: int) -> DataFrame:
 
 
 def _work_off(chunk: DataFrame) -> DataFrame:
-    """Rounds the one document left in each source's last chunk, and turns over others of the chunk, long ones first,
-    while their size fits into the words still owed."""
-    doc = "struct<doc_id:{0},size:bigint,base:int,up:int>".format(dict(chunk.dtypes)["doc_id"])
+    """Rounds the one document left in each source's last chunk, and turns over others of the chunk for the words that
+    this adds or takes away."""
     up = F.coalesce(F.col("up"), (F.col("left") * 2 >= F.col("size")).cast("int"))
     owed = F.when(F.col("up").isNull(), F.col("left") - up * F.col("size"))
-    rows = chunk.select("src_null", "src", "doc_id", "size", "base", "left", up.alias("up"), owed.alias("owed"))
-    one = F.struct(F.negative("size").alias("order"), F.xxhash64("doc_id", "left").alias("h"), "doc_id", "size", "base", "up", F.col("owed").isNotNull().alias("last"))
+    return _turn_over(chunk.select("src_null", "src", "doc_id", "size", "base", "left", up.alias("up"), owed.alias("owed"), F.col("up").isNull().alias("last")))
+
+
+def _turn_over(rows: DataFrame) -> DataFrame:
+    """Turns documents of each source over (taken or not), long ones first, while their size fits into the words still
+    ``owed`` to it; rows (src_null, src, doc_id, size, base, up). ``last`` ones stay. A few chunks' documents a source."""
+    doc = "struct<doc_id:{0},size:bigint,base:int,up:int>".format(dict(rows.dtypes)["doc_id"])
+    one = F.struct(F.negative("size").alias("order"), F.xxhash64("doc_id", "left").alias("h"), "doc_id", "size", "base", "up", "last")
     packed = rows.groupBy("src_null", "src").agg(F.array_sort(F.collect_list(one)).alias("docs"), F.max("owed").alias("owed"))
 
     def step(acc: Column, d: Column) -> Column:
@@ -123,7 +131,10 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         rest = done.where("up is null")
         counts = write_table(rest.groupBy("src_null", "src").agg(F.count(F.lit(1)).alias("n"), F.first("chunk").alias("chunk")), "mix-left")
         ended = counts.where("n = 1").select("src_null", "src", "chunk")  # sources with one document left, and its chunk
-        tables += [done.where("up is not null").join(ended, ["src_null", "src", "chunk"], "left_anti").select(names), _work_off(done.join(ended, ["src_null", "src", "chunk"])).select(names)]
+        drawn = done.where("up is not null").join(ended, ["src_null", "src", "chunk"], "left_anti")
+        if level == 0:  # a few chunks of each source wait for what is owed in the end
+            pool, drawn = drawn.where(F.col("chunk") < POOL).select(*names, "left"), drawn.where(F.col("chunk") >= POOL)
+        tables += [drawn.select(names), _work_off(done.join(ended, ["src_null", "src", "chunk"])).select(names)]
         more = counts.where("n > 1").drop("chunk")
         if more.isEmpty():
             break
@@ -132,6 +143,10 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
+    taken = out.unionByName(pool.select(names)).groupBy("src_null", "src").agg(F.sum((F.col("base") + F.col("up")) * F.col("size")).alias("words"))
+    owed = taken.join(goals, ["src_null", "src"]).select("src_null", "src", (F.col("target") - F.col("words")).alias("owed"))
+    owed = write_table(owed, "mix-owed")
+    out = out.unionByName(_turn_over(pool.join(owed, ["src_null", "src"]).withColumn("last", F.lit(False))).select(names))
     out = out.withColumn("copies", F.col("base") + F.col("up")).join(goals.select("src_null", "src", "source_size", "target"), ["src_null", "src"])
     return out.select("doc_id", "src_null", "src", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
