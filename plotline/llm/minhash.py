@@ -29,7 +29,7 @@ BITS = 2
 LANES = 28  # two-bit lanes in each of the signature's four longs
 #: An estimate this far below the threshold (5 standard errors) rules a pair out.
 SLACK = 0.225
-BLOCK = 512
+BLOCK = 2048
 #: Untested partners that a document meets in each further round; the last round has no limit.
 MEETINGS = (2, None)
 
