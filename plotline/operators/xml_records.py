@@ -150,3 +150,19 @@ def member_dispositions(members: DataFrame, max_bytes: int = 10 << 20) -> DataFr
     m = members.withColumn("disposition", issue)
     nth = F.row_number().over(Window.partitionBy("archive", "source_key", F.col("disposition") == "").orderBy("ordinal"))
     return m.withColumn("disposition", F.when(F.col("disposition") != "", F.col("disposition")).when(nth > 1, "duplicate_source_key").otherwise("valid"))
+
+
+def batch_status(disposed: DataFrame, by: str = "archive") -> DataFrame:
+    """Per archive: members, valid and recovered ones, errors, and its status, ``complete`` without any error. A batch is
+    registered with its status in one commit (`sinks.commit_batch`), so that an archive being read has none."""
+    ok = F.col("disposition") == "valid"
+    g = disposed.groupBy(by).agg(F.count(F.lit(1)).alias("members"), F.count_if(ok).alias("valid"), F.count_if(ok & F.col("parse_recovered")).alias("recovered"), F.count_if(~ok).alias("errors"))
+    return g.withColumn("status", F.when(F.col("errors") == 0, "complete").otherwise("incomplete"))
+
+
+def member_events(disposed: DataFrame) -> DataFrame:
+    """(archive, ordinal, name, issue_code, severity): an error for each member that is not valid, a warning for each
+    valid one that had to be repaired."""
+    code = F.when(F.col("disposition") != "valid", F.col("disposition")).when(F.col("parse_recovered"), "parse_recovered")
+    kind = F.when(F.col("disposition") == "valid", "warning").otherwise("error")
+    return disposed.select("archive", "ordinal", "name", code.alias("issue_code"), kind.alias("severity")).where("issue_code is not null")

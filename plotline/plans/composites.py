@@ -292,7 +292,24 @@ def archive_dispositions(spark, sf):
     return XML.member_dispositions(XML.parse_members(_members(spark, sf))).groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_DISPOSITION = "case when o_orderkey % 13 = 0 and o_orderkey % 11 <> 0 then 'malformed_xml' when o_orderkey % 90 not between 1 and 87 then 'invalid_transaction_key' when o_orderkey % 17 = 0 then 'missing_required_amount' else 'valid' end"
+
+
+@query(f"""select strftime(o_orderdate, '%Y-%m') as archive, count(*) as members, count(*) filter (d = 'valid') as valid, count(*) filter (d = 'valid' and o_orderkey % 11 = 0) as recovered, count(*) filter (d <> 'valid') as errors,
+ case when count(*) filter (d <> 'valid') = 0 then 'complete' else 'incomplete' end as status from (select *, {_DISPOSITION} as d from orders) group by 1""")
+def archive_status(spark, sf):
+    return XML.batch_status(XML.member_dispositions(XML.parse_members(_members(spark, sf))))
+
+
+@query(f"""select issue_code, severity, count(*) as n from (select case when d <> 'valid' then d when o_orderkey % 11 = 0 then 'parse_recovered' end as issue_code, case when d = 'valid' then 'warning' else 'error' end as severity from (select *, {_DISPOSITION} as d from orders)) where issue_code is not null group by 1, 2""")
+def member_event_log(spark, sf):
+    events = XML.member_events(XML.member_dispositions(XML.parse_members(_members(spark, sf))))
+    return events.groupBy("issue_code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with m as (select strftime(o_orderdate, '%Y-%m') as archive, o_orderkey as k from orders where not (o_orderkey % 13 = 0 and o_orderkey % 11 <> 0)),
+ p as (select unnest(['', '/headerForm', '/headerForm/countyCde', '/headerForm/crvNumberId', '/propertyForm', '/propertyForm/parcels', '/propertyForm/parcels/id', '/note', '/salesAgreementForm', '/salesAgreementForm/deedContractDate', '/salesAgreementForm/totPurchaseAmt']) as path)
+ select archive, 'ecrvForm' || path as path, count(*) as present, count(*) filter (path not in ('', '/headerForm', '/propertyForm', '/propertyForm/parcels', '/salesAgreementForm') and not (path = '/salesAgreementForm/totPurchaseAmt' and k % 17 = 0)) as nonempty from m cross join p group by 1, 2""")
 def xml_paths_audit(spark, sf):
     return XML.audit_paths(_members(spark, sf), "archive")
 

@@ -2,6 +2,7 @@
 
 import io
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -146,16 +147,25 @@ def test_archives(spark, tmp_path):
     paths = {r.path: (r.present, r.nonempty) for r in XML.audit_paths(readers.read_members(archives), "archive").collect()}
     assert paths["ecrvForm/headerForm/countyCde"] == (2, 2) or paths["ecrvForm/headerForm/countyCde"] == (3, 3)
     assert readers.read_archives(spark, str(tmp_path), year=2020).count() == 0
+    with zipfile.ZipFile(tmp_path / "x_2023-01-08-03-00-00.zip", "w") as z:
+        z.writestr("27_125.xml", record())
+    names = lambda **how: [r.archive[2:6] for r in readers.read_archives(spark, str(tmp_path), **how).collect()]
+    assert sorted(names()) == ["2023", "2024"] and names(limit=1) == ["2023"] and names(archive="x_2024-01-08-03-00-00.zip") == ["2024"]
+    status = {r.archive[2:6]: (r.members, r.valid, r.errors, r.status) for r in XML.batch_status(m).collect()}
+    assert status == {"2024": (4, 1, 3, "incomplete")}
+    assert Counter(r.issue_code for r in XML.member_events(m).collect()) == Counter(["filename_key_mismatch", "non_xml_member", "malformed_xml"])
+    assert XML.recover(b'<?xml version="1.0" encoding="windows-1252"?><ecrvForm/>')[2] == "unsupported_declared_encoding"
+    assert XML.recover(b"<!doctype x><ecrvForm/>")[2] == "unsupported_dtd_or_entity"
 
 
 def test_delimited_layouts(spark, tmp_path):
-    (tmp_path / "2015.txt").write_bytes("SDF_ID|County_ID|Conveyance_Date|C6_Sales_Price\n49-1|49|03/17/2015|250000\nJos\xe9|01|x|\n".encode("cp1252"))
+    (tmp_path / "2015.txt").write_bytes("SDF_ID|County_ID|Conveyance_Date|C6_Sales_Price\n49-1|49|03/17/2015|250000\nJos\xe9\u20ac\u201c|01|x|\n".encode("cp1252"))
     (tmp_path / "SALEDISC2021.txt").write_bytes("SDF_ID\tCounty_ID\tC7_Conveyance_Date\tE1_Sales_Price\nC1\t49\t2021-03-17\t25000000\n".encode("utf-16"))
-    (tmp_path / "SALEPARCEL2021.txt").write_text("x")
+    (tmp_path / "SaleParcel2021.TXT").write_text("x")
     found = readers.discover_annual(sorted(p.name for p in tmp_path.iterdir()))
     assert [(s["year"], s["layout"]) for s in found] == [(2015, "legacy"), (2021, "modern")]
     legacy = readers.read_sales(spark, str(tmp_path / "2015.txt"), ["Foreclosure"]).collect()
-    assert {r.SDF_ID for r in legacy} == {"49-1", "Jos\xe9"} and legacy[0].Foreclosure is None and {r.County_ID for r in legacy} == {"49", "01"}
+    assert {r.SDF_ID for r in legacy} == {"49-1", "Jos\xe9\u20ac\u201c"} and legacy[0].Foreclosure is None and {r.County_ID for r in legacy} == {"49", "01"}
     assert readers.read_sales(spark, str(tmp_path / "SALEDISC2021.txt")).first().E1_Sales_Price == "25000000"
     with pytest.raises(ValueError):
         readers.discover_annual(["SALEDISC2021.txt"])
