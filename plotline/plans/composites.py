@@ -160,7 +160,10 @@ def raw_tier_fit(spark, sf):
 _INCOME = "with y as (select c_nationkey as county, year(o_orderdate) as y, count(*) as income from orders join customer on o_custkey = c_custkey group by 1, 2)"
 
 
-@query(f"""{_INCOME} select county, y, income, false as carried, 'complete' as vintage from y union all select county, y, income, false, 'short' from y where y <> 2001 union all select county, 2001, income, true, 'short' from y where y = 2000""")
+_VINTAGE = """select county, y, income, false as carried, '{1}' as vintage from y where y <> 2001 or (select count(*) from y where y = 2001) = {0} union all select county, 2001, income, true, '{1}' from y where y = 2000 and (select count(*) from y where y = 2001) <> {0}"""
+
+
+@query(f"{_INCOME} {_VINTAGE.format(25, 'complete')} union all {_VINTAGE.format(26, 'short')}")
 def income_carry_forward(spark, sf):
     """The last year's vintage where all counties are in it (25), and where one is wanting (26)."""
     t = Tables(spark, sf)
