@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotline.llm.common import EXACT, _power, keyed, mix, span_hashes, text_blocks, write_table
+from plotline.llm.common import EXACT, _power, keyed, mix, span_hashes, text_blocks, word_spans, write_table
 from plotline.llm.suffix import maximal_repeats, suffix_array
 
 LENGTH = 400
+#: Words in a row that make a shared passage.
+WORDS = 51
 GRAM = 64
 #: Classes under one minimizer that go into one suffix array at most.
 HOT = 256
@@ -336,9 +338,43 @@ def repeat_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return groups.join(rows.select("_rid", "doc_id"), "_rid").select(F.col("group").alias("repeat"), (F.col("hi") - F.col("lo")).alias("length"), "doc_id", F.col("lo").alias("start"))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def _marks(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the strings of about half of ``words`` words that have the smallest hash among those inside
+    some ``words`` words of a document, so that documents sharing ``words`` words share one of them."""
+    gram = words // 2
+    starts, ends, doc = word_spans(data, offs)
+    n = len(starts) - words + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = span_hashes(data, starts, ends)
+    p = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _power(len(h), False), dtype=np.uint64)])
+    g = mix((p[gram:] - p[:-gram]) * _power(len(h) - gram + 1, True))
+    wide = words - gram + 1
+    low = np.lib.stride_tricks.sliding_window_view(g, wide)[:n].argmin(1) + np.arange(n)
+    at = np.unique(low[doc[:n] == doc[words - 1 :]])
+    return doc[at], g[at]
+
+
+def _shared_passages(rows: DataFrame, words: int) -> DataFrame:
+    """(_rid, n_shared) of every row of (_rid, text) that shares ``words`` words in a row with another one, and maybe of
+    some that share over half of them: how many of its marks stand in another row too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, _, data, offs in text_blocks(b.column(1)):
+                doc, h = _marks(data, offs, words)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc + first)), pa.array(h.view(np.int64))], names=["_rid", "h"])
+
+    marks = write_table(rows.select("_rid", "text").mapInArrow(run, "_rid long, h long"), "passage-marks")
+    # written, so that the join has two plain shuffles and a common passage's rows can be split
+    often = write_table(marks.groupBy("h").agg(F.min("_rid").alias("a"), F.max("_rid").alias("b")).where("a <> b").select("h"), "passage-often")
+    return marks.join(often, "h").groupBy("_rid").agg(F.count(F.lit(1)).alias("n_shared"))
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans array<struct<start, end>>, kept (the remaining bytes) and
-    text (those bytes as text; halves of characters become U+FFFD).
+    text (those bytes as text; halves of characters become U+FFFD), and n_shared, above 0 where the text shares ``words``
+    words in a row with another document: such passages may be too short for a removal by bytes.
 
     A byte is removed if a ``length``-byte string that covers it starts anywhere else too, in this document or another;
     all copies go. Null texts are empty; texts under ``length`` bytes are left alone. Repeated rows and ids are
@@ -347,7 +383,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = _rows(docs, id_col, text_col)
     found = _occurrences(rows, length, False)
     spans = found.groupBy(F.col("rid").alias("_rid")).agg(F.collect_set(F.struct("start", "end")).alias("found"))
-    both = rows.join(spans, "_rid", "left").select("doc_id", "text", "found")
+    told = spans.join(_shared_passages(rows, words), "_rid", "full")
+    both = rows.join(told, "_rid", "left").select("doc_id", "text", "found", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -369,12 +406,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 texts.append(kept[-1].decode("utf-8", "replace"))
                 runs.append([{"start": s, "end": e} for s, e in merged])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), b.column(3)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "text", "n_shared"])
 
-    schema = rows.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary").add("text", "string")
+    schema = rows.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary").add("text", "string").add("n_shared", "long")
     return both.mapInArrow(cut, schema)
 
 
 def op1_suffix_array(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "text")
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "text", "n_shared")

@@ -122,6 +122,20 @@ def test_repeat_groups(spark, monkeypatch):
         assert all(got.get(w) == places for w, places in want.items())
 
 
+def test_shared_passages(spark):
+    from plotline.llm.suffix_dedup import remove_repeats
+
+    rng = random.Random(14)
+    passages = [words(rng, 51, 10**6) for _ in range(40)] + [words(rng, 20, 10**6)]
+    rows = []
+    for k, p in enumerate(passages):
+        for _ in range(2):
+            rows.append((len(rows), " ".join([*words(rng, rng.randrange(90), 10**6), *p, *words(rng, rng.randrange(90), 10**6)]), k))
+    rows += [(1000, None, -1), (1001, "", -1), (1002, " ".join(words(rng, 3000, 10**6)), -1)]
+    out = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, k int")).collect()
+    assert {r.doc_id for r in out if r.n_shared} == {d for d, _, k in rows if 0 <= k < 40} and len(out) == len(rows)
+
+
 def test_suffix_array_and_maximal_repeats():
     from plotline.llm.suffix import maximal_repeats, suffix_array
 
