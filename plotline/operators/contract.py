@@ -52,7 +52,7 @@ def personal_summary(goods: DataFrame, key: str, selected: Column, value: str) -
     return goods.where(selected).groupBy(key).agg(F.count(F.lit(1)).alias("items"), exact_sum(F.col(value)).alias("total"), F.bool_and(ok).alias("complete"))
 
 
-#: The two-state contract, in order.
+#: The two-state contract's columns in order, by type.
 CONTRACT = {
     c: kind
     for kind, names in (
@@ -64,8 +64,9 @@ CONTRACT = {
     )
     for c in names.split()
 }
+#: Eras by year, both ends included.
 ERAS = (("BASELINE", 2015, 2019), ("PANDEMIC_LOW_RATE", 2020, 2021), ("HIGH_RATE_LOCK_IN", 2022, 2025))
-#: Answers that exclude a sale of the second state, in rule order.
+#: Answers that exclude a sale of the second state, in rule order.
 DISQUALIFYING = "related gift government legal_action name_change non_market_price tax_exempt buyer_part_interest deed_payoff like_kind_exchange received_in_trade".split()
 
 

@@ -23,7 +23,7 @@ MODERN_FLAGS = {
     "related_party": None, "land_contract": None, "partial_interest": "B6_Partial_Interest", "charity_transfer": "B10_Charity", "sheriff_sale": "C1_Sheriff_Sale", "short_sale": "C2_Short_Sale", "quitclaim": "C3_Quitclaim",
 }
 USES = ("residential", "agricultural", "commercial", "industrial")
-#: The contract's columns before eligibility, in order.
+#: The contract's columns before eligibility, in order.
 COLUMNS = (
     "source_key source_format source_year source_file sdf_id county_dlgf_code county county_fips metro tier_type sale_date sale_year sale_month gross_sale_price property_zip parcel_count "
     "property_class_codes dom_reported validation_complete valid_for_trending valuable_consideration residential_property agricultural_property commercial_property industrial_property vacant_land "

@@ -8,6 +8,7 @@ from plotline.operators import contract as C
 from plotline.operators import disclosures as D
 from plotline.plans.registry import Tables, query
 
+#: County codes with name, FIPS code and tier type.
 COUNTIES = {"06": ("Boone", "18011", "SUBURBAN_COLLAR"), "29": ("Hamilton", "18057", "SUBURBAN_COLLAR"), "32": ("Hendricks", "18063", "SUBURBAN_COLLAR"), "41": ("Johnson", "18081", "SUBURBAN_COLLAR"), "49": ("Marion", "18097", "URBAN_CORE")}
 _PLACES = ", ".join(f"('{k}', '{a}', '{b}', '{c}')" for k, (a, b, c) in COUNTIES.items())
 
