@@ -16,11 +16,13 @@ from plotline.llm.minhash import drop_near_duplicates
 from plotline.llm.mixing import mix_documents
 from plotline.llm.packing import pack
 from plotline.llm.pii import sanitize
-from plotline.llm.quality import quality_rules
+from plotline.llm.quality import FIGURES, quality_rules
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules(docs).where("kept").select(docs.columns)
+    # columns of documents named like the operator's own figures keep their values
+    own = {c: f"given_{c}_{i}" for i, c in enumerate(docs.columns) if c in (*FIGURES, "base_failed", "kept")}
+    return quality_rules(docs.withColumnsRenamed(own)).where("kept").select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
