@@ -637,6 +637,19 @@ def test_pipeline(spark):
     spark.catalog.clearCache()
 
 
+def test_pipeline_with_empty_tables_and_clashing_names(spark):
+    import corpus_pipeline as P
+
+    for rows in ([], corpus()[:14]):
+        docs = spark.createDataFrame([(i, t, s, 5, False, "z", 1) for i, t, s in rows], DOCS)
+        names = docs.columns
+        for k, (_, stage) in enumerate(P.STAGES):
+            docs = stage(spark, docs, SMALL)
+            if k < 4:
+                assert docs.columns == names and docs.where("kept or size <> 5 or _rid <> 'z'").count() == 0
+        assert (docs.count() > 0) == bool(rows)
+
+
 @pytest.mark.parametrize("name", ["op4_reply_trees", "op5_bbit_minhash", "op9_suffix_repetition"])
 def test_oracles(spark, name):
     from plotline.llm import queries as Q
