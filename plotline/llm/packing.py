@@ -23,7 +23,7 @@ GROUP = 8192
 #: Weights of the residual tokens, documents and attention cost in the norm that picks a bin: all three steer.
 WEIGHTS = (1.0, 1.0, 1.0)
 #: Parts of words that a worker remembers, beside those of the block at hand; bytes of a block.
-PARTS_KEPT, TEXT_BLOCK = 500_000, 1 << 20
+PARTS_KEPT, TEXT_BLOCK = 300_000, 1 << 20
 
 #: What a character below U+0180 is to the splitter; _LATER marks a character's second byte.
 _ODD, _LETTER, _DIGIT, _SIGN, _LATER = 0, 1, 2, 3, 8
