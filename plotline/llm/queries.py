@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plotline.llm.ann import op6_multi_index
 from plotline.llm.chat import op4_reply_trees
+from plotline.llm.collocations import op12_hat_trie_collocations
 from plotline.llm.html_extract import op7_template_removal
 from plotline.llm.minhash import op5_bbit_minhash
 from plotline.llm.mixing import op2_pivotal_mix
@@ -14,7 +15,7 @@ from plotline.llm.sharding import op8_virtual_slots
 from plotline.llm.suffix_dedup import op1_suffix_array
 from plotline.llm.whitening import op11_chebyshev_whitening
 
-QUERIES = (op1_suffix_array, op2_pivotal_mix, op3_information_privacy, op4_reply_trees, op5_bbit_minhash, op6_multi_index, op7_template_removal, op8_virtual_slots, op9_suffix_repetition, op10_vector_best_fit, op11_chebyshev_whitening)
+QUERIES = (op1_suffix_array, op2_pivotal_mix, op3_information_privacy, op4_reply_trees, op5_bbit_minhash, op6_multi_index, op7_template_removal, op8_virtual_slots, op9_suffix_repetition, op10_vector_best_fit, op11_chebyshev_whitening, op12_hat_trie_collocations)
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,10 +58,29 @@ select doc_id, n_words, coalesce(word_chars, 0) as word_chars, n_symbols, n_dup_
  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and covered_words <= 0.3 * n_words and long_words = 0 as kept, covered_words from f
 """
 
+ORACLE_OP12 = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d)),
+g as (select lang, m, array_to_string(ws[i : i + m - 1], ' ') as phrase from (select lang, ws, m, unnest(range(1, len(ws) - m + 2)) as i from w, (select unnest([1, 2, 3, 4, 5]) as m) where len(ws) >= m)),
+f as (select lang, m, phrase, count(*) as a from g group by all having count(*) >= 100),
+n as (select lang, sum(len(ws)) as n from w group by lang),
+c as (select lang, m, phrase, a, string_split(phrase, ' ') as ws from f where m > 1),
+k as (select lang, phrase, a, ws, m, unnest(range(1, m)) as k from c),
+s as (select k.lang, k.phrase, k.a, l.a as l, r.a as r, k, n.n, (1000::hugeint * k.a * n.n) // (l.a::hugeint * r.a) as score from k
+ join f l on l.lang = k.lang and l.m = k and l.phrase = array_to_string(ws[1 : k], ' ')
+ join f r on r.lang = k.lang and r.m = k.m - k and r.phrase = array_to_string(ws[k + 1 : k.m], ' ') join n on n.lang = k.lang),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+i as (select lang, a, ws, m, unnest(range(2, m)) as h from c where m > 2),
+j as (select lang, a, array_to_string(ws[x : x + h - 1], ' ') as phrase from (select lang, a, ws, h, unnest(range(1, m - h + 2)) as x from i)),
+kept as (select b.* from b left join (select lang, phrase, max(a) as longer from j group by all) j on j.lang = b.lang and j.phrase = b.phrase where longer is null or 100 * longer < 100 * b.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+from kept qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
+"""
+
 
 def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_reply_trees": ORACLE_OP4, "op5_bbit_minhash": ORACLE_OP5, "op9_suffix_repetition": ORACLE_OP9}
+    return {"op4_reply_trees": ORACLE_OP4, "op5_bbit_minhash": ORACLE_OP5, "op9_suffix_repetition": ORACLE_OP9, "op12_hat_trie_collocations": ORACLE_OP12}
