@@ -13,9 +13,10 @@ from plotline.llm.pii import op3_information_privacy
 from plotline.llm.quality import op9_suffix_repetition
 from plotline.llm.sharding import op8_virtual_slots
 from plotline.llm.suffix_dedup import op1_suffix_array
+from plotline.llm.toxicity import op13_noisy_channel_toxicity
 from plotline.llm.whitening import op11_chebyshev_whitening
 
-QUERIES = (op1_suffix_array, op2_pivotal_mix, op3_information_privacy, op4_reply_trees, op5_bbit_minhash, op6_multi_index, op7_template_removal, op8_virtual_slots, op9_suffix_repetition, op10_vector_best_fit, op11_chebyshev_whitening, op12_hat_trie_collocations)
+QUERIES = (op1_suffix_array, op2_pivotal_mix, op3_information_privacy, op4_reply_trees, op5_bbit_minhash, op6_multi_index, op7_template_removal, op8_virtual_slots, op9_suffix_repetition, op10_vector_best_fit, op11_chebyshev_whitening, op12_hat_trie_collocations, op13_noisy_channel_toxicity)
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
