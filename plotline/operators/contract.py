@@ -109,7 +109,7 @@ def prepare_second_state(sales: DataFrame, uses: DataFrame, parcels: DataFrame,
     """Contract rows of the record exports of the years ``first`` to ``last`` inside the metropolitan area. Child tables
     are summed up per sale before they are joined; a source key that occurs twice raises."""
     flag = lambda c: X.flag(F.col(c), words=True)
-    own = assert_unique(sales.where((F.col("is_twin_cities") == 1) & F.col("sale_year").between(first, last)), ["source_key"], "sales")
+    own = assert_unique(sales.where(flag("is_twin_cities") & F.col("sale_year").between(first, last)), ["source_key"], "sales")
     family = ((F.col("propertyTypeCode") == "RES") & (F.col("propertyUseCode") == "HOUSESGL")) | ((F.col("tier1Cde") == "RESID") & (F.col("tier2Cde") == "SINGLEFAM"))
     codes = evidence([F.col("propertyTypeCode"), F.col("propertyUseCode")], [F.col("tier1Cde"), F.col("tier2Cde")])
     before = uses.where(F.lower("use_timing") == "before").select("source_key", F.coalesce(family, F.lit(False)).alias("family"), codes.alias("codes"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,9 +55,15 @@ def insert_or_ignore(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -
     return new.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
 
 
-def revised_children(children: DataFrame, key: str, version: str, ordinal: str, row: Column, first: str, current: str, name: str) -> DataFrame:
-    """(key, field): ``child_<name>`` for keys whose rows, in ordinal order, differ between the versions named ``first``
-    and ``current``; a version without rows has an empty list. Rows of one key and version are few (a record's)."""
-    c = children.where(F.col(version).isin(first, current)).select(key, version, F.struct(F.col(ordinal).alias("o"), row.alias("r")).alias("x"))
-    lists = c.groupBy(key).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col(version) == v, F.col("x")))), lambda x: x["r"]).alias(n) for n, v in (("a", first), ("b", current))])
-    return lists.where(~F.col("a").eqNullSafe(F.col("b"))).select(key, F.lit(f"child_{name}").alias("field"))
+def revised_child_tables(children: DataFrame, key: str, child: str, version: str, ordinal: str, row: Column, first: object, current: object) -> DataFrame:
+    """(key, field): ``child_<table>`` for each key and child table (named in column ``child``) whose rows, in ordinal order,
+    differ between the versions ``first`` and ``current``; a version without rows has an empty list. All tables in one
+    aggregation; rows of one key, table and version are few (a record's)."""
+    c = children.where(F.col(version).isin(first, current)).select(key, child, version, F.struct(F.col(ordinal).alias("o"), row.alias("r")).alias("x"))
+    lists = c.groupBy(key, child).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col(version) == v, F.col("x")))), lambda x: x["r"]).alias(n) for n, v in (("a", first), ("b", current))])
+    return lists.where(~F.col("a").eqNullSafe(F.col("b"))).select(key, F.concat(F.lit("child_"), child).alias("field"))
+
+
+def revised_children(children: DataFrame, key: str, version: str, ordinal: str, row: Column, first: object, current: object, name: str) -> DataFrame:
+    """`revised_child_tables` of one table named ``name``."""
+    return revised_child_tables(children.withColumn("_child", F.lit(name)), key, "_child", version, ordinal, row, first, current)

@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from plotline.plans import composites, disclosures, models, relational, reports, rows, series  # noqa: F401
+from plotline.plans import composites, disclosures, models, records, relational, reports, rows, series  # noqa: F401
 from plotline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

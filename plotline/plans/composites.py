@@ -278,7 +278,7 @@ def _members(spark, sf):
     o = Tables(spark, sf).orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     k = F.col("o_orderkey")
     form = F.format_string(
-        "<ecrvForm><headerForm><countyCde>%d</countyCde><crvNumberId>%d</crvNumberId></headerForm><propertyForm><parcels><id>%d</id></parcels></propertyForm><note>%s</note><salesAgreementForm><deedContractDate>%s</deedContractDate><totPurchaseAmt>%s</totPurchaseAmt></salesAgreementForm></ecrvForm>",
+        "<ecrvForm><headerForm><countyCde>%02d</countyCde><crvNumberId>%d</crvNumberId></headerForm><propertyForm><parcels><id>%d</id></parcels></propertyForm><note>%s</note><salesAgreementForm><deedContractDate>%s</deedContractDate><totPurchaseAmt>%s</totPurchaseAmt></salesAgreementForm></ecrvForm>",
         (k % 90).cast("int"), k, F.col("o_custkey"), F.when(k % 11 == 0, F.lit("a&#11;b")).when(k % 13 == 0, F.lit("a & b")).otherwise(F.lit("ok")), F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00"), F.when(k % 17 == 0, F.lit("")).otherwise(F.format_string("%.4f", F.col("o_totalprice"))),
     )
     return o.select(F.date_format("o_orderdate", "yyyy-MM").alias("archive"), k.cast("int").alias("ordinal"), F.concat(F.lpad((k % 90).cast("string"), 2, "0"), F.lit("_"), k.cast("string"), F.lit(".xml")).alias("name"), F.length(form).cast("long").alias("bytes"), F.encode(form, "UTF-8").alias("content"))

@@ -122,18 +122,64 @@ def record(note="ok", county="27", amount="300000.0000", date="2024-01-02T00:00:
 
 def test_xml_recovery():
     r = XML.parse_record(record())
-    assert r["source_key"] == "MN:ecrv:27:123" and r["issue_code"] == "" and r["parcels"] == 1 and r["sale_date"] == "2024-01-02"
-    assert XML.parse_record(record("&#11;").replace(b"ok", b"")) ["recovery_method"] == "invalid_numeric_reference"
-    assert XML.parse_record(record().replace(b"ok", b"\x93x\x94&#11;"))["recovery_method"] == "cp1252+invalid_numeric_reference"
-    assert XML.parse_record(record().replace(b"ok", b"\x0b"))["recovery_method"] == "invalid_literal_character"
-    assert XML.parse_record(record().replace(b"ok", b"\x81\xff"))["issue_code"] == "invalid_character_encoding"
-    assert XML.parse_record(record("a & b"))["issue_code"] == "malformed_xml"
-    assert XML.parse_record(record(amount=""))["issue_code"] == "missing_required_amount"
-    assert XML.parse_record(record(amount="0"))["issue_code"] == "nonpositive_sale_price"
-    assert XML.parse_record(record(county="99"))["issue_code"] == "invalid_transaction_key"
-    assert XML.parse_record(record(root="other"))["issue_code"] == "unsupported_root"
-    assert XML.parse_record(b"<!DOCTYPE x><ecrvForm/>")["issue_code"] == "unsupported_dtd_or_entity"
-    assert XML.parse_record(record(root=XML.ROOTS[1]))["issue_code"] == ""
+    assert r["source_key"] == "MN:ecrv:27:123" and r["issue_code"] == "" and r["parcels"] == [{"id": "1"}, {}] and r["sale_date"] == "2024-01-02" and r["sale_month"] == "2024-01"
+    method = lambda raw: XML.parse_record(raw)["recovery_method"]
+    assert method(record("&#11;").replace(b"ok", b"")) == "invalid_numeric_reference"
+    assert method(record().replace(b"ok", b"\x93x\x94&#11;")) == "cp1252+invalid_numeric_reference"
+    assert method(record().replace(b"ok", b"\x0b")) == "invalid_literal_character"
+    assert method(record().replace(b"ok", b"\x0b&#xFFFFFFFF;")) == "invalid_numeric_reference+invalid_literal_character"
+    code = lambda raw, **how: XML.parse_record(raw, **how)["issue_code"]
+    assert code(record().replace(b"ok", b"\x81\xff")) == "invalid_character_encoding"
+    assert code(record().replace(b"ok", b"\x93"), cp1252=False) == "invalid_utf8"
+    assert code(record("&#11;"), repair=False) == code(record("a & b")) == code(b"") == code(b" <?xml version='1.0'?>" + record()) == "malformed_xml"
+    assert code(b"\xef\xbb\xbf<?xml version='1.0' encoding='utf8'?>" + record()) == ""
+    assert code(b'<?xml version="1.0" encoding="windows-1252"?>' + record()) == "unsupported_declared_encoding"
+    assert code(b"<!DOCTYPE x><ecrvForm/>") == code(b"<!doctype x><ecrvForm/>") == "unsupported_dtd_or_entity"
+    assert code(record(root="other")) == "unsupported_root" and code(record(root=XML.ROOTS[1])) == ""
+
+
+def test_xml_rules():
+    code = lambda **change: XML.parse_record(record(**change))["issue_code"]
+    assert [code(county=c) for c in ("99", "0", "7", "00", "007", "a7")] == ["invalid_transaction_key"] * 6
+    assert [code(date=d) for d in ("2024-02-31", "2024-2-3", "", "x")] == ["invalid_sale_date"] * 4 and code(date="2024-02-29") == ""
+    assert code(amount="") == "missing_required_amount"
+    assert [code(amount=a) for a in (" ", "x", "NaN", "Infinity", "1,000")] == ["invalid_amount"] * 5
+    assert [code(amount=a) for a in ("0", "-1", "-.5")] == ["nonpositive_sale_price"] * 3
+    assert [XML.parse_record(record(amount=a))["gross_sale_price"] for a in (".5", "1e5", " 300000.0000 ")] == ["0.5", "1E+5", "300000.0000"]
+    body = lambda more: XML.parse_record(record().replace(b"<propertyForm>", b"<propertyForm>" + more))
+    assert body(b"<county>7</county>")["issue_code"] == "county_mismatch" and body(b"<county> </county>")["issue_code"] == body(b"<county/>")["issue_code"] == ""
+    assert body(b"<county>28</county><county>27</county>")["issue_code"] == "county_mismatch"  # the first of several counts
+    sales = lambda more: XML.parse_record(record().replace(b"<salesAgreementForm>", b"<salesAgreementForm>" + more))
+    assert sales(b"<sellerPdPts>x</sellerPdPts>")["issue_code"] == "invalid_amount" and sales(b"<sellerPdPts>1.50</sellerPdPts>")["seller_paid_points"] == "1.50"
+    flags = sales(b"<deedPayoff>Yes</deedPayoff><likeKindExchange>0</likeKindExchange><agreement2YrsOld>?</agreement2YrsOld>")
+    assert (flags["deed_payoff"], flags["like_kind_exchange"], flags["agreement_2_yrs_old"], flags["gift"]) == (True, False, None, None)
+    assert body(b"<whatIsIncludedInSale>a&#11;b</whatIsIncludedInSale>")["what_included"] == "a\ufffdb"
+    assert not set(XML.parse_record(record(county="99"))) & set(XML.TRANSACTION)
+
+
+def test_xml_children_and_variants(spark):
+    wrap = lambda inner: f"<usesBeforeSale><{XML.WRAPPER}PlannedUseForm>{inner}</{XML.WRAPPER}PlannedUseForm></usesBeforeSale>".encode()
+    legacy = record(root=XML.ROOTS[1])
+    at = lambda raw, where, more: raw.replace(where, where + more)
+    uses = at(legacy, b"<propertyForm>", wrap("<tier1Cde>RESID</tier1Cde><tier2Cde> SINGLEFAM </tier2Cde>") + b"<plannedUses><id>9</id><id>8</id></plannedUses>")
+    r = XML.parse_record(uses)
+    assert r["uses"] == [{"use_timing": "before", "tier1Cde": "RESID", "tier2Cde": "SINGLEFAM"}, {"use_timing": "planned", "id": "8"}]
+    variants = [r, XML.parse_record(record()), XML.parse_record(at(legacy, b"<propertyForm>", wrap("<propertyTypeCode>RES</propertyTypeCode>"))), XML.parse_record(at(legacy, b"<salesAgreementForm>", b"<deedTypeCde>WARRANTY</deedTypeCde>"))]
+    assert [v["schema_variant"] for v in variants] == ["legacy_tiered_2016_to_2019_08", "schema3_flat_2020_11_plus", "legacy_2015_property_codes", "legacy_tiered_with_deed_type_2019_08_to_2020_11"]
+    changed = [uses, uses.replace(b"RESID", b"COMM"), at(uses, b"<salesAgreementForm>", b"<deedTypeCde>X</deedTypeCde>"), uses.replace(b">ok<", b">other<"), None, record(county="0")]
+    rows = XML.parse_members(spark.createDataFrame([(i, c) for i, c in enumerate(changed)], "ordinal int, content binary"))
+    hashes = {x.ordinal: x.analytical_hash for x in rows.select("ordinal", "analytical_hash").collect()}
+    assert len({hashes[i] for i in range(3)}) == 3 and hashes[0] == hashes[3] and hashes[4] is hashes[5] is None
+    table = XML.child_table(rows.withColumnRenamed("ordinal", "member"), "uses", ["member"])
+    assert [tuple(x)[:5] for x in table.where("member = 0").orderBy("ordinal").collect()] == [(0, 1, "before", None, "RESID"), (0, 2, "planned", "8", None)]
+    kinds = XML.child_rows(rows.withColumnRenamed("ordinal", "member"), ["member"]).where("member = 1").groupBy("child").count().collect()
+    assert {x.child: x["count"] for x in kinds} == {"uses": 2, "parcels": 2}
+    counties = spark.createDataFrame([("27", "Hennepin", "27053")], "code string, name string, fips string")
+    named = XML.with_counties(rows, counties).where("source_key is not null").select("county_name", "county_fips", "is_twin_cities").distinct().collect()
+    assert [tuple(x) for x in named] == [("Hennepin", "27053", True)]
+    with pytest.raises(ValueError):
+        XML.with_counties(rows, counties.union(counties))
+    assert XML.parse_members(spark.createDataFrame([], "ordinal int, content binary")).count() == 0
 
 
 def test_archives(spark, tmp_path):
@@ -154,8 +200,6 @@ def test_archives(spark, tmp_path):
     status = {r.archive[2:6]: (r.members, r.valid, r.errors, r.status) for r in XML.batch_status(m).collect()}
     assert status == {"2024": (4, 1, 3, "incomplete")}
     assert Counter(r.issue_code for r in XML.member_events(m).collect()) == Counter(["filename_key_mismatch", "non_xml_member", "malformed_xml"])
-    assert XML.recover(b'<?xml version="1.0" encoding="windows-1252"?><ecrvForm/>')[2] == "unsupported_declared_encoding"
-    assert XML.recover(b"<!doctype x><ecrvForm/>")[2] == "unsupported_dtd_or_entity"
 
 
 def test_delimited_layouts(spark, tmp_path):
