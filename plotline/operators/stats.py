@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotline.functions import special
+
 
 def design(df: DataFrame, terms: Sequence[str], factors: Mapping[str, Sequence[str]], numeric: Sequence[str]) -> dict[str, Column]:
     """Design columns of formula terms: a name, or names joined by ':' for an interaction; 'a*b' expands to all of
@@ -158,12 +160,11 @@ def poisson(df: DataFrame, y: Column, columns: Mapping[str, Column], offset: Col
 
 def tidy(spark: SparkSession, fit: Fit, vcov: np.ndarray, log_outcome: bool = False) -> DataFrame:
     """term, estimate, std_error, z, p_value (normal), low, high (95 %), percent_effect for log outcomes."""
-    rows = []
-    for name, b, v in zip(fit.names, fit.beta.tolist(), np.diag(vcov).tolist()):
-        se = math.sqrt(max(v, 0.0))
-        z = b / se if se else None
-        rows.append((name, b, se, z, math.erfc(abs(z) / math.sqrt(2)) if z is not None else None, b - 1.959963984540054 * se, b + 1.959963984540054 * se, 100 * math.expm1(b) if log_outcome else None))
-    return spark.createDataFrame(rows, "term string, estimate double, std_error double, z double, p_value double, low double, high double, percent_effect double")
+    rows = [(name, b, math.sqrt(max(v, 0.0))) for name, b, v in zip(fit.names, fit.beta.tolist(), np.diag(vcov).tolist())]
+    t = spark.createDataFrame(rows, "term string, estimate double, std_error double")
+    z, half = F.col("estimate") / F.nullif("std_error", F.lit(0.0)), F.lit(1.959963984540054) * F.col("std_error")
+    percent = F.expm1("estimate") * 100 if log_outcome else F.lit(None).cast("double")
+    return t.select("*", z.alias("z"), special.normal_p(z).alias("p_value"), (F.col("estimate") - half).alias("low"), (F.col("estimate") + half).alias("high"), percent.alias("percent_effect"))
 
 
 def select_term(names: Sequence[str], with_: Sequence[str], without: Sequence[str] = ()) -> str:
@@ -174,14 +175,13 @@ def select_term(names: Sequence[str], with_: Sequence[str], without: Sequence[st
     return found[0]
 
 
-def wald(spark: SparkSession, beta: np.ndarray, vcov: np.ndarray, tolerance: float = 1e-10) -> tuple[float, int, float]:
-    """(statistic, degrees of freedom, p) of beta = 0 with the pseudo-inverse of the rank that vcov has."""
+def wald(beta: np.ndarray, vcov: np.ndarray, tolerance: float = 1e-10) -> tuple[float, int]:
+    """(statistic, degrees of freedom) of beta = 0 with the pseudo-inverse of the rank that vcov has; `special.chi2_p` has
+    the p-value."""
     values, vectors = np.linalg.eigh(vcov)
-    keep = values > tolerance * max(values.max(), 0)
+    keep = values > tolerance * max(values.max(initial=0), 0)
     part = vectors[:, keep].T @ beta
-    stat, df = float((part**2 / values[keep]).sum()), int(keep.sum())
-    chi = spark._jvm.org.apache.commons.math3.distribution.ChiSquaredDistribution(float(df))
-    return stat, df, 1.0 - chi.cumulativeProbability(stat)
+    return float((part**2 / values[keep]).sum()), int(keep.sum())
 
 
 def linear_combination(beta: np.ndarray, vcov: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -229,11 +229,28 @@ def pairs_bootstrap(df: DataFrame, y: Column, columns: Mapping[str, Column], clu
 
 
 def welch(df: DataFrame, keys: Sequence[str], value: str, group: Column) -> DataFrame:
-    """Per key: means, Welch's t and Satterthwaite's degrees of freedom of group true against false."""
+    """Per key: means, Welch's t, Satterthwaite's degrees of freedom and the two-sided p of group true against false."""
     a, b = F.when(group, F.col(value)), F.when(~group, F.col(value))
     g = df.groupBy(*keys).agg(*[f(x).alias(f"{n}_{s}") for s, x in (("a", a), ("b", b)) for n, f in (("mean", F.avg), ("var", F.var_samp), ("n", F.count))])
     va, vb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
-    return g.select(*keys, "mean_a", "mean_b", "n_a", "n_b", ((F.col("mean_a") - F.col("mean_b")) / F.sqrt(va + vb)).alias("t"), ((va + vb) * (va + vb) / (va * va / (F.col("n_a") - 1) + vb * vb / (F.col("n_b") - 1))).alias("df"))
+    t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(va + vb)
+    g = g.select(*keys, "mean_a", "mean_b", "n_a", "n_b", t.alias("t"), ((va + vb) * (va + vb) / (va * va / (F.col("n_a") - 1) + vb * vb / (F.col("n_b") - 1))).alias("df"))
+    return g.withColumn("p_value", special.student_p(F.col("t"), F.col("df")))
+
+
+def welch_table(df: DataFrame, value: str, before: Column, groupings: Mapping[str, Column]) -> DataFrame:
+    """(grouping, level, n_before, n_after, mean_before, mean_after, percent_change, t, df, p_value, decision): Welch's test of a
+    logarithm before against after, for each level of each grouping in one aggregation; rows whose level is null are in
+    none. Means are back in units, the change is that of the geometric means; decision marks 0.001, 0.01 and 0.05."""
+    sets = F.array(*[F.struct(F.lit(name).alias("grouping"), level.cast("string").alias("level")) for name, level in groupings.items()])
+    d = df.select(F.col(value).alias("_v"), before.alias("_before"), F.explode(sets).alias("_s")).select("_v", "_before", "_s.*").where("level is not null")
+    w = welch(d, ["grouping", "level"], "_v", F.col("_before"))
+    p = F.col("p_value")
+    decision = F.when(p < 0.001, "reject ***").when(p < 0.01, "reject **").when(p < 0.05, "reject *").when(p.isNotNull(), "fail to reject")
+    return w.select(
+        "grouping", "level", F.col("n_a").alias("n_before"), F.col("n_b").alias("n_after"), F.exp("mean_a").alias("mean_before"), F.exp("mean_b").alias("mean_after"),
+        ((F.exp(F.col("mean_b") - F.col("mean_a")) - 1) * 100).alias("percent_change"), "t", "df", "p_value", decision.alias("decision"),
+    )
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotline.functions.special import chi2_p
 from plotline.operators import stats as S
+from plotline.plans import oracles as O
 from plotline.plans.registry import Tables, query
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -36,18 +38,42 @@ def ols_single(spark, sf):
     return one.unpivot([], ["slope", "intercept"], "term", "estimate")
 
 
-@query()
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to 8 decimals: two ways to solve the same equations agree so far."""
+    return df.select(*[F.round(c, 8).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _rounding(doubles: str, sql: str):
+    """`query` of SQL whose columns ``doubles`` are rounded as `_rounded` does."""
+    return query(f"select * replace ({', '.join(f'round({c}, 8) as {c}' for c in doubles.split())}) from ({sql})")
+
+
+_GAP = list(O.GAP.values())
+_RSS = f"x as (select any_value(s.beta) as beta, any_value(s.inv) as inv, any_value(s.n) as n, sum((log_price - {O.fitted(_GAP)}) ** 2) as rss from panel, solved s)"
+
+
+@_rounding("estimate std_error z p_value low high percent_effect", f"with recursive {O.PANEL}, {O.solved('panel', _GAP, 'log_price')}, {_RSS}, {O.tidy(list(O.GAP), 'inv[i][i] * rss / (n - 7)', 'x', True)}")
 def ols_interact(spark, sf):
     p = panel(spark, sf)
     fit = S.wls(p, F.col("log_price"), _columns(p, ["rate_gap*tier", "treated"]))
-    return S.tidy(spark, fit, S.classical_vcov(fit), True)
+    return _rounded(S.tidy(spark, fit, S.classical_vcov(fit), True))
 
 
-@query()
+#: treated * post * tier + income, by term.
+_DID = {"(Intercept)": "1.0", "treated": "treated", "post": "post", "tier=mid": "mid", "tier=luxury": "lux", "income": "income", "treated:post": "treated * post", "treated:tier=mid": "treated * mid", "treated:tier=luxury": "treated * lux", "post:tier=mid": "post * mid", "post:tier=luxury": "post * lux", "treated:post:tier=mid": "treated * post * mid", "treated:post:tier=luxury": "treated * post * lux"}
+
+
+def _robust(columns) -> str:
+    """Fit and meat of squared residuals."""
+    columns = list(columns)
+    return f"{O.solved('panel', columns, 'log_price')}, x as (select any_value(s.beta) as beta, any_value(s.inv) as inv, any_value(s.n) as n, any_value(s.kept) as kept, {O.matrix(columns, f'(log_price - {O.fitted(columns)}) ** 2')} as meat from panel, solved s)"
+
+
+@_rounding("estimate std_error z p_value low high percent_effect", f"with recursive {O.PANEL}, {_robust(_DID.values())}, {O.tidy(list(_DID), O.quadratic(13, 'inv', 'meat') + ' * n / (n - kept)', 'x', True)}")
 def ols_hc1(spark, sf):
     p = panel(spark, sf)
     fit = S.wls(p, F.col("log_price"), _columns(p, ["treated*post*tier", "income"]))
-    return S.tidy(spark, fit, S.hc1_vcov(p, fit), True)
+    return _rounded(S.tidy(spark, fit, S.hc1_vcov(p, fit), True))
 
 
 @query()
@@ -114,19 +140,27 @@ def wald_pretrend(spark, sf):
     v, rows = S.cluster_vcov(p, fit, "county"), []
     for scope, years in LEADS.items():
         at = [i for i, n in enumerate(fit.names) if n in [f"lead=y{y}:treated" for y in years]]
-        rows.append((scope, *S.wald(spark, fit.beta[at], v[np.ix_(at, at)])))
-    return spark.createDataFrame(rows, "scope string, statistic double, df int, p_value double")
+        rows.append((scope, *S.wald(fit.beta[at], v[np.ix_(at, at)])))
+    return spark.createDataFrame(rows, "scope string, statistic double, df int").withColumn("p_value", chi2_p(F.col("statistic"), F.col("df")))
 
 
-@query()
+_AT = "[1.0, g, (tier = 'mid')::int::double, (tier = 'luxury')::int::double, 1.0, g * (tier = 'mid')::int, g * (tier = 'luxury')::int]"
+
+
+@_rounding("fitted std_error low high", f"""with recursive {O.PANEL}, {O.solved('panel', _GAP, 'log_price')}, {_RSS}, d as (select *, {_AT} as v from (select unnest(['entry', 'mid', 'luxury']) as tier), (select -0.3 + k * 0.1::double as g from range(50) t(k))),
+ f as (select list_sum(list_transform(range(1, 8), lambda i: beta[i] * v[i])) as fitted, sqrt(list_sum(list_transform(range(1, 8), lambda i: v[i] * list_sum(list_transform(range(1, 8), lambda j: inv[i][j] * v[j])))) * rss / (n - 7)) as std_error from d, x)
+ select fitted, std_error, fitted - 1.959963984540054 * std_error as low, fitted + 1.959963984540054 * std_error as high from f""")
 def prediction_grid(spark, sf):
     p = panel(spark, sf)
     fit = S.wls(p, F.col("log_price"), _columns(p, ["rate_gap*tier", "treated"]))
     grid = [{"rate_gap": g, "treated": 1.0} | ({f"tier={t}": 1.0, f"rate_gap:tier={t}": g} if t != "entry" else {}) for t in TIERS for g in np.arange(-0.3, 4.65, 0.1)]
-    return S.predict(spark, fit, S.classical_vcov(fit), grid)
+    return _rounded(S.predict(spark, fit, S.classical_vcov(fit), grid))
 
 
-@query()
+@_rounding("slope std_error percent_effect", f"""with recursive {O.PANEL}, {_robust(_GAP)}, c as (select tier, [0.0, 1.0, 0.0, 0.0, 0.0, (tier = 'mid')::int::double, (tier = 'luxury')::int::double] as c from (select unnest(['entry', 'mid', 'luxury']) as tier)),
+ h as (select tier, list_sum(list_transform(range(1, 8), lambda i: beta[i] * c[i])) as slope, list_transform(range(1, 8), lambda i: list_sum(list_transform(range(1, 8), lambda j: inv[i][j] * c[j]))) as u, meat, n, kept from c, x),
+ s as (select tier, slope, sqrt(list_sum(list_transform(range(1, 8), lambda i: u[i] * list_sum(list_transform(range(1, 8), lambda j: meat[i][j] * u[j])))) * n / (n - kept)) as std_error from h)
+ select tier, gap::double as gap, slope, std_error, 100 * (exp(slope * gap) - 1) as percent_effect from s, (select unnest([1, 2, 3, 4]) as gap)""")
 def scenario_table(spark, sf):
     """Percent effect of rate gaps by tier: exp(slope x gap) - 1 of linear combinations."""
     p = panel(spark, sf)
@@ -136,10 +170,16 @@ def scenario_table(spark, sf):
         w = np.array([1.0 if n in ("rate_gap", f"rate_gap:tier={t}") else 0.0 for n in fit.names])
         b, se = S.linear_combination(fit.beta, v, w)
         rows += [(t, float(g), b, se, 100 * float(np.expm1(b * g))) for g in (1, 2, 3, 4)]
-    return spark.createDataFrame(rows, "tier string, gap double, slope double, std_error double, percent_effect double")
+    return _rounded(spark.createDataFrame(rows, "tier string, gap double, slope double, std_error double, percent_effect double"))
 
 
-@query()
+_SPECS = {"all": "true", "no_transition": "year(m) not in (1996, 1997)", "min_transactions": "transactions >= 3", "bounds": "price between 75000 and 450000", "no_recent": "m < date '2001-02-01'", "known_income": "income > 0"} | {f"without_{r}": f"region <> '{r}'" for r in REGIONS}
+
+
+@_rounding("estimate std_error", f"""with recursive {O.PANEL}, sets as ({' union all '.join(f"select '{n}' as spec, * from panel where {c}" for n, c in _SPECS.items())}), {O.solved('sets', _GAP, 'log_price', 'transactions', 'spec')},
+ sc as (select spec, county, {'[' + ', '.join(f"sum(transactions * (log_price - {O.fitted(_GAP)}) * ({c}))" for c in _GAP) + ']'} as sc from sets join solved on g = spec group by all),
+ u as (select g, n, kept, beta, list_sum(list_transform(range(1, 8), lambda a: inv[2][a] * sc[a])) as u from sc join solved on g = spec)
+ select g as specification, any_value(n) as n, any_value(beta)[2] as estimate, sqrt(sum(u * u) * count(*) / (count(*) - 1) * (any_value(n) - 1) / (any_value(n) - any_value(kept))) as std_error from u group by 1""")
 def sensitivity_matrix(spark, sf):
     """The same slope refitted on filtered panels, and with each region left out."""
     p, rows = panel(spark, sf), []
@@ -152,4 +192,4 @@ def sensitivity_matrix(spark, sf):
             at = fit.names.index("rate_gap")
             v = S.cluster_vcov(d, fit, "county")
             rows.append((name, fit.n, float(fit.beta[at]), float(np.sqrt(v[at, at]))))
-    return spark.createDataFrame(rows, "specification string, n long, estimate double, std_error double")
+    return _rounded(spark.createDataFrame(rows, "specification string, n long, estimate double, std_error double"))

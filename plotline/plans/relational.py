@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from plotline.operators import aggs as A
 from plotline.operators import joins as J
-from plotline.operators.stats import correlations, welch
+from plotline.operators.stats import correlations, welch, welch_table
+from plotline.plans.oracles import student_p
 from plotline.plans.registry import Tables, query
 
 
@@ -230,13 +231,26 @@ def se_ci(spark, sf):
     return Tables(spark, sf).lineitem.groupBy("l_returnflag").agg(F.avg(x).alias("mean"), A.standard_error(x).alias("se"), (F.avg(x) - 1.96 * A.standard_error(x)).alias("low"), (F.avg(x) + 1.96 * A.standard_error(x)).alias("high"))
 
 
-@query("""with g as (select l_linestatus, avg(l_extendedprice) filter (l_returnflag = 'R') as mean_a, avg(l_extendedprice) filter (l_returnflag <> 'R') as mean_b, var_samp(l_extendedprice) filter (l_returnflag = 'R') as var_a,
- var_samp(l_extendedprice) filter (l_returnflag <> 'R') as var_b, count(*) filter (l_returnflag = 'R') as n_a, count(*) filter (l_returnflag <> 'R') as n_b from lineitem group by 1)
- select l_linestatus, mean_a, mean_b, n_a, n_b, (mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b) as t, pow(var_a / n_a + var_b / n_b, 2) / (pow(var_a / n_a, 2) / (n_a - 1) + pow(var_b / n_b, 2) / (n_b - 1)) as df from g""")
+@query(f"""with g as (select l_linestatus, avg(l_extendedprice) filter (l_returnflag = 'R') as mean_a, avg(l_extendedprice) filter (l_returnflag <> 'R') as mean_b, var_samp(l_extendedprice) filter (l_returnflag = 'R') as var_a,
+ var_samp(l_extendedprice) filter (l_returnflag <> 'R') as var_b, count(*) filter (l_returnflag = 'R') as n_a, count(*) filter (l_returnflag <> 'R') as n_b from lineitem group by 1),
+ w as (select l_linestatus, mean_a, mean_b, n_a, n_b, (mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b) as t, pow(var_a / n_a + var_b / n_b, 2) / (pow(var_a / n_a, 2) / (n_a - 1) + pow(var_b / n_b, 2) / (n_b - 1)) as df from g) select *, {student_p('t', 'df')} as p_value from w""")
 def welch_t(spark, sf):
     return welch(Tables(spark, sf).lineitem, ["l_linestatus"], "l_extendedprice", F.col("l_returnflag") == "R")
 
 
+@query(f"""with o as (select ln(o_totalprice) as v, o_orderdate < timestamp '1998-01-01' as pre, case when o_totalprice <= 200000 then 'entry' when o_totalprice <= 400000 then 'move_up' end as segment, c_mktsegment as market from orders join customer on o_custkey = c_custkey),
+ s as (select 'overall' as grouping, 'all' as level, v, pre from o union all select 'segment', segment, v, pre from o where segment is not null union all select 'market', market, v, pre from o),
+ g as (select grouping, level, count(*) filter (pre) as n_before, count(*) filter (not pre) as n_after, avg(v) filter (pre) as a, avg(v) filter (not pre) as b, var_samp(v) filter (pre) / count(*) filter (pre) as va, var_samp(v) filter (not pre) / count(*) filter (not pre) as vb from s group by all),
+ t as (select *, (a - b) / sqrt(va + vb) as t, pow(va + vb, 2) / (va * va / (n_before - 1) + vb * vb / (n_after - 1)) as df from g), p as (select *, {student_p('t', 'df')} as p_value from t)
+ select grouping, level, n_before, n_after, exp(a) as mean_before, exp(b) as mean_after, 100 * (exp(b - a) - 1) as percent_change, t, df, p_value, case when p_value < 0.001 then 'reject ***' when p_value < 0.01 then 'reject **' when p_value < 0.05 then 'reject *' else 'fail to reject' end as decision from p""")
+def welch_groups(spark, sf):
+    """Log prices before and after a date: all sales, by price segment without the highest, and by market."""
+    t = Tables(spark, sf)
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("log_price", F.log("o_totalprice"))
+    segment = F.when(F.col("o_totalprice") <= 200_000, "entry").when(F.col("o_totalprice") <= 400_000, "move_up")
+    return welch_table(o, "log_price", F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"), {"overall": F.lit("all"), "segment": segment, "market": F.col("c_mktsegment")})
+
+
 @query("""select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10""")
 def top10(spark, sf):
     return Tables(spark, sf).orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
