@@ -20,10 +20,14 @@ COVERED = 100
 #: Bits of the bitmap that stands for frequent words or pairs in tasks (8 MB whatever the corpus): a superset, so that
 #: it saves work and never decides a count.
 BITS = 26
+#: The longest phrases that are counted by key first; longer ones are counted where all such parts are frequent.
+FILTERS = 3
 #: Rows of a container before it bursts, bytes of a trie before its largest subtree is spilled.
 BURST_ROWS = 1 << 16
 TRIE_BYTES = 64 << 20
 BLOCK = 1 << 21
+#: Words of the corpus for each prefix partition at most, on average.
+PART_WORDS = 1 << 22
 
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -195,21 +199,66 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _count(docs: DataFrame, pick: Callable[[Words], Iterator[tuple[int, np.ndarray]]], *, texts: bool, totals: bool = False) -> DataFrame:
-    """How often each phrase that ``pick`` names (number of words, positions) occurs, by trie and task and then by Spark:
-    (key, a), or (lang, phrase, a) with ``texts``. With ``totals`` rows with a null key and the words of each lang follow."""
-    schema = "lang string, phrase string, a long" if texts else "lang string, key long, a long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted_runs(rows: Rows, spread: int, langs: pa.Array | None) -> pa.RecordBatch:
+    """A row for each prefix partition (the path and ``spread`` more bits of the key): its phrases as one sorted run."""
+    part = (rows.path.astype(np.int64) << spread) | ((rows.key >> np.uint64(4)) & np.uint64((1 << spread) - 1)).astype(np.int64)
+    order = np.lexsort((rows.key, part))
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) > 0, [True]])) if len(rows) else np.zeros(1, np.int64)
+    whole = rows.take(order)
+    packed = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 8).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+    offsets = pa.array(cuts.astype(np.int32))
+    some = langs is not None
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[order][cuts[:-1]]), packed(whole.key), packed(whole.count),
+         pa.ListArray.from_arrays(offsets, langs.take(pa.array(whole.lang))) if some else pa.nulls(len(cuts) - 1, pa.list_(pa.string())), pa.ListArray.from_arrays(offsets, whole.text) if some else pa.nulls(len(cuts) - 1, pa.list_(pa.string()))],
+        names=["part", "key", "a", "lang", "text"],
+    )
+
+
+RUN = "part long, key binary, a binary, lang array<string>, text array<string>"
+#: The partition that holds the words of each lang.
+TOTALS = -1
+
+
+def _merged(runs: list[dict], texts: bool, least: int) -> pa.RecordBatch:
+    """The phrases of one prefix partition that reach ``least`` over all its runs."""
+    count = np.concatenate([np.frombuffer(r["a"], np.int64) for r in runs])
+    if runs[0]["part"] == TOTALS or texts:
+        flat = [pa.concat_arrays([r[c].values for r in runs]) for c in ("lang", "text")]
+        t = pa.table({"lang": flat[0], "phrase": flat[1], "a": count}).group_by(["lang", "phrase"]).aggregate([("a", "sum")])
+        t = t.filter(pc.greater_equal(t.column("a_sum"), least)) if runs[0]["part"] != TOTALS else t
+        lang, phrase, a = (t.column(c).combine_chunks() for c in ("lang", "phrase", "a_sum"))
+        key = pa.nulls(len(a), pa.int64())
+    else:
+        key = np.concatenate([np.frombuffer(r["key"], np.uint64) for r in runs])
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        total = np.add.reduceat(count, first)
+        enough = total >= least
+        lang, phrase, key, a = pa.nulls(int(enough.sum()), pa.string()), pa.nulls(int(enough.sum()), pa.string()), pa.array(key[first][enough].view(np.int64)), pa.array(total[enough])
+    return pa.RecordBatch.from_arrays([lang, phrase, key, a], names=["lang", "phrase", "key", "a"])
+
+
+def _count(docs: DataFrame, pick: Callable[[Words], Iterator[tuple[int, np.ndarray]]], least: int, *, texts: bool, totals: bool = False, spread: int = 0) -> DataFrame:
+    """(lang, phrase, key, a) of the phrases that ``pick`` names (number of words, positions) and that occur ``least`` times:
+    lang and phrase with ``texts``, else the key. With ``totals`` a row without phrase and key for each lang has its words.
+
+    Each task fills a trie and spills its subtrees as sorted runs, one for each prefix partition; Spark deals the partitions
+    out, and a task merges the runs of one after the other. A partition is a prefix and some bits of the key, so that a
+    common first word fills many of them."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: dict[str, int] = {}
         seeds = np.zeros(0, np.uint64)
         words = np.zeros(0, np.int64)
         trie = Trie()
 
-        def out(rows: Rows) -> pa.RecordBatch:
-            names = pa.array(list(langs), pa.string())
-            lang = names.take(pa.array(rows.lang)) if texts else pa.nulls(len(rows), pa.string())
-            return pa.RecordBatch.from_arrays([lang, rows.text if texts else pa.array(rows.key.view(np.int64)), pa.array(rows.count)], names=["lang", "phrase" if texts else "key", "a"])
+        def out(found: Iterator[Rows]) -> Iterator[pa.RecordBatch]:
+            names = pa.array(list(langs), pa.string()) if texts else None
+            for rows in found:
+                if len(rows):
+                    yield _sorted_runs(rows, spread, names)
 
         for batch in batches:
             coded = pc.dictionary_encode(batch.column(0))
@@ -229,48 +278,64 @@ def _count(docs: DataFrame, pick: Callable[[Words], Iterator[tuple[int, np.ndarr
                         at = at[first]
                         trie.add(Rows(key, w.path(at, m, key), count, *((of[lo:hi][w.doc[at]], w.texts(at, m)) if texts else ())))
                 while trie.size > TRIE_BYTES:
-                    for rows in trie.spill():
-                        yield out(rows)
-        for rows in trie.runs():
-            yield out(rows)
+                    yield from out(trie.spill())
+        yield from out(trie.runs())
         if totals and langs:
-            yield pa.RecordBatch.from_arrays([pa.array(list(langs)), pa.nulls(len(langs), pa.int64()), pa.array(words)], names=["lang", "key", "a"])
+            one = pa.array([0, len(langs)], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([TOTALS]), pa.array([b""], pa.binary()), pa.array([words.tobytes()], pa.binary()), pa.ListArray.from_arrays(one, pa.array(list(langs))), pa.ListArray.from_arrays(one, pa.nulls(len(langs), pa.string()))],
+                names=["part", "key", "a", "lang", "text"],
+            )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: list[dict] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.column(0)[i].as_py()
+                if runs and runs[0]["part"] != part:
+                    yield _merged(runs, texts, least)
+                    runs = []
+                runs.append({"part": part, "key": batch.column(1)[i].as_buffer(), "a": batch.column(2)[i].as_buffer(), "lang": batch.column(3)[i], "text": batch.column(4)[i]})
+        if runs:
+            yield _merged(runs, texts, least)
 
-    by = ["lang", "phrase"] if texts else ["lang", "key"]
-    return docs.mapInArrow(run, schema).groupBy(*by).agg(F.sum("a").alias("a"))
+    return docs.mapInArrow(fill, RUN).repartition("part").sortWithinPartitions("part").mapInArrow(merge, "lang string, phrase string, key long, a long")
 
 
 def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, a, size) of all phrases of up to ``max_words`` words that occur ``min_count`` times or more in their
     lang, and (lang, n) with the words of each lang.
 
-    Three passes over the texts: words, pairs of frequent words, and longer phrases all of whose pairs are frequent; a
-    phrase can be no more frequent than its parts. The first two leave a bitmap each, the last one the exact counts."""
+    A phrase can be no more frequent than its parts: after the words, pairs of frequent words and triples of frequent pairs
+    are counted by their keys, each pass over the texts leaving a bitmap; a last one counts the texts of all phrases whose
+    parts have their bits, exactly."""
     spark: SparkSession = docs.sparkSession
     given = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    words = write_table(_count(given, lambda w: iter([(1, np.arange(len(w.word)))]), texts=False, totals=True).where((F.col("a") >= min_count) | F.col("key").isNull()), "words")
+    words = write_table(_count(given, lambda w: iter([(1, np.arange(len(w.word)))]), min_count, texts=False, totals=True), "words")
     n = words.where(F.col("key").isNull()).select("lang", F.col("a").alias("n"))
-    ones = spark.sparkContext.broadcast(_bitmap(words.where(F.col("key").isNotNull())))
-
-    def pairs(w: Words) -> np.ndarray:
-        some = _bit(ones.value, w.key(1))
-        return some[:-1] & some[1:] & w.joined[1:]
-
-    def second(w: Words) -> Iterator[tuple[int, np.ndarray]]:
-        if max_words > 1 and len(w.word) > 1:
-            yield 2, np.flatnonzero(pairs(w))
-
-    twos = spark.sparkContext.broadcast(_bitmap(_count(given, second, texts=False).where(F.col("a") >= min_count)))
-
-    def every(w: Words) -> Iterator[tuple[int, np.ndarray]]:
-        yield 1, np.flatnonzero(_bit(ones.value, w.key(1)))
-        if len(w.word) > 1:
-            linked = pairs(w) & _bit(twos.value, w.key(2))
-            for m in range(2, max_words + 1):
-                yield m, np.flatnonzero(w.together(linked, m - 1))
-
-    out = _count(given, every, texts=True).where(F.col("a") >= min_count)
-    return write_table(out.withColumn("size", F.size(F.split("phrase", " "))), "phrases"), n
+    every = n.agg(F.sum("n")).first()[0] or 1
+    # about PART_WORDS words at most for each of the 4096 prefixes and a share of their keys
+    spread = max(0, (every // (PART_WORDS << 12)).bit_length())
+    bitmaps = [spark.sparkContext.broadcast(_bitmap(words.where(F.col("key").isNotNull())))]
+
+    def likely(w: Words) -> Iterator[tuple[int, np.ndarray]]:
+        """By size, where phrases begin all of whose parts have a bit; beyond the bitmaps' sizes, all of the largest of them."""
+        flags = np.ones(len(w.word), bool)
+        for m in range(1, max_words + 1):
+            if m > len(w.word):
+                return
+            flags = w.together(flags, 2) if m > 1 else flags
+            if m == 2:
+                flags &= w.joined[1:]
+            if m <= len(bitmaps):
+                flags &= _bit(bitmaps[m - 1].value, w.key(m))
+            yield m, np.flatnonzero(flags)
+
+    for m in range(2, min(FILTERS, max_words - 1) + 1):
+        counted = _count(given, lambda w, m=m: ((k, at) for k, at in likely(w) if k == m), min_count, texts=False, spread=spread)
+        bitmaps.append(spark.sparkContext.broadcast(_bitmap(counted)))
+    out = _count(given, likely, min_count, texts=True, spread=spread).select("lang", "phrase", "a", F.size(F.split("phrase", " ")).alias("size"))
+    return write_table(out, "phrases"), n
 
 
 def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP, covered: int = COVERED) -> DataFrame:
