@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TINY = 1e-300
+_MANY = 1e6
 #: Arguments below this are shifted up before the asymptotic series.
 _SHIFT = 16
 #: B(2k) / (2k (2k - 1)) of the series of log gamma.
@@ -114,11 +115,15 @@ def chi2_p(statistic: Column | float, df: Column | float) -> Column:
 
 
 def student_p(t: Column | float, df: Column | float) -> Column:
-    """Two-sided p-value of Student's t with any positive degrees of freedom."""
+    """Two-sided p-value of Student's t with any positive degrees of freedom; beyond 10^6 of them by the normal statistic
+    that differs from it by terms of the order of 1 / df^2."""
     t, df = _double(t), _double(df)
     w = t * t / df
     log_x = -F.log1p(w)
-    return F.when(df > 0, F.when(t == 0, 1.0).otherwise(_beta(df / 2, F.lit(0.5), 1 / (1 + w), log_x, w / (1 + w), F.log(w) + log_x)))
+    few = F.when(df <= _MANY, df)  # a fold's length follows from it
+    exact = _beta(few / 2, F.lit(0.5), 1 / (1 + w), log_x, w / (1 + w), F.log(w) + log_x)
+    near = normal_p((df - 2 / 3 + 1 / (10 * df)) * F.sqrt(F.log1p(w) / (df - 5 / 6)))
+    return F.when(df > 0, F.when(t == 0, 1.0).when(df > _MANY, near).otherwise(exact))
 
 
 def erfc(x: Column | float) -> Column:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotline.functions import special
@@ -55,15 +56,6 @@ def _cross(df: DataFrame, weight: Column, columns: Sequence[Column], keys: Seque
     return out
 
 
-def _totals(df: DataFrame, weight: Column, columns: Sequence[Column], key: str) -> dict:
-    """Weighted sums of the columns by key."""
-    d = df.select(key, weight.alias("_w"), _cells(columns).alias("_x")).select(key, "_w", F.inline("_x"))
-    out: dict = {}
-    for r in d.groupBy(key, "i").agg(F.sum(F.col("_w") * F.col("v")).alias("v")).collect():
-        out.setdefault(r[key], np.zeros(len(columns)))[r["i"]] = r["v"]
-    return out
-
-
 @dataclass
 class Fit:
     names: list[str]
@@ -75,10 +67,12 @@ class Fit:
     columns: dict[str, Column]
     residual: Column
     weight: Column
+    #: Coefficients of fixed effects that were taken out before.
+    absorbed: int = 0
 
     @property
     def k(self) -> int:
-        return len(self.names)
+        return len(self.names) + self.absorbed
 
 
 def retained(xx: np.ndarray, tolerance: float = 1e-9) -> list[int]:
@@ -127,17 +121,41 @@ def hc1_vcov(df: DataFrame, fit: Fit) -> np.ndarray:
     return fit.bread @ meat @ fit.bread * fit.n / (fit.n - fit.k)
 
 
-def cluster_scores(df: DataFrame, fit: Fit, cluster: str) -> tuple[list, np.ndarray]:
-    """(clusters, one row of score sums each)."""
-    sums = _totals(df.where(fit.residual.isNotNull()), fit.weight * fit.residual, list(fit.columns.values()), cluster)
-    names = sorted(sums, key=str)
-    return names, np.array([sums[c] for c in names])
+def cluster_scores(df: DataFrame, fit: Fit, cluster: str) -> DataFrame:
+    """(cluster, i, v): the clusters' score sums by number of coefficient, zeros left out."""
+    d = df.where(fit.residual.isNotNull()).select(F.col(cluster).alias("cluster"), (fit.weight * fit.residual).alias("_w"), _cells(list(fit.columns.values())).alias("_x"))
+    return d.select("cluster", "_w", F.inline("_x")).groupBy("cluster", "i").agg(F.sum(F.col("_w") * F.col("v")).alias("v"))
+
+
+def meats(df: DataFrame, fits: Mapping[str, Fit], cluster: str) -> dict[str, tuple[np.ndarray, int]]:
+    """For each fit the sum over clusters of the outer products of their score sums, and the number of clusters: one pass
+    for all fits; scores stay on the executors, k x k numbers a fit reach the driver."""
+
+    def scored(f: Fit) -> Column:
+        cells = F.transform(_cells(list(f.columns.values())), lambda x: F.struct(x["i"].alias("i"), (f.weight * f.residual * x["v"]).alias("v")))
+        return F.when(f.residual.isNotNull(), cells)
+
+    per = [F.struct(F.lit(m).alias("m"), scored(f).alias("x")) for m, f in fits.items()]
+    rows = df.select(F.col(cluster).alias("c"), F.explode(F.array(*per)).alias("p")).where(F.col("p.x").isNotNull())
+    sums = rows.select("c", F.col("p.m").alias("m"), F.inline_outer("p.x")).groupBy("m", "c", "i").agg(F.sum("v").alias("v"))
+    # a row a cluster with its at most k sums, then their pairs; one without any value still counts as a cluster
+    lists = sums.groupBy("m", "c").agg(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "v"))).alias("x"))
+    pairs = F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), (a["v"] * b["v"]).alias("v")))))
+    out = {m: [np.zeros((len(f.names), len(f.names))), 0] for m, f in fits.items()}
+    for r in lists.select("m", F.inline(pairs)).groupBy("m", "i", "j").agg(F.sum("v").alias("v")).collect():
+        out[r.m][0][r.i, r.j] = r.v
+    for r in lists.groupBy("m").count().collect():
+        out[r.m][1] = r["count"]
+    return {m: (a, g) for m, (a, g) in out.items()}
+
+
+def sandwich(fit: Fit, meat: np.ndarray, g: int) -> np.ndarray:
+    """Cluster-robust covariance with the small-sample factor of ``g`` clusters."""
+    return fit.bread @ meat @ fit.bread * g / (g - 1) * (fit.n - 1) / (fit.n - fit.k)
 
 
 def cluster_vcov(df: DataFrame, fit: Fit, cluster: str) -> np.ndarray:
-    _, s = cluster_scores(df, fit, cluster)
-    g = len(s)
-    return fit.bread @ (s.T @ s) @ fit.bread * g / (g - 1) * (fit.n - 1) / (fit.n - fit.k)
+    return sandwich(fit, *meats(df, {"": fit}, cluster)[""])
 
 
 def poisson(df: DataFrame, y: Column, columns: Mapping[str, Column], offset: Column | None = None, rounds: int = 25, tolerance: float = 1e-9) -> Fit:
@@ -188,44 +206,126 @@ def linear_combination(beta: np.ndarray, vcov: np.ndarray, w: np.ndarray) -> tup
     return float(w @ beta), float(math.sqrt(max(w @ vcov @ w, 0.0)))
 
 
-def wild_bootstrap(fit: Fit, scores: np.ndarray, term: int, reps: int = 9999, seed: int = 42, least: int = 99, share: float = 0.8) -> tuple[float, float, float]:
-    """(low, high, p) of a coefficient by the wild cluster bootstrap with six-point weights on unrestricted residuals.
-    A draw needs each cluster's score sum alone: clusters x coefficients numbers. Draws that give no finite number do
-    not count; fewer than ``least`` others, or than ``share`` of all, raise."""
-    points = np.array([-math.sqrt(1.5), -1.0, -math.sqrt(0.5), math.sqrt(0.5), 1.0, math.sqrt(1.5)])
-    draws = np.random.default_rng(seed).choice(points, (reps, len(scores)))
-    shift = draws @ (scores @ fit.bread[:, term])
-    shift = shift[np.isfinite(shift)]
-    if len(shift) < max(least, share * reps):
-        raise ValueError(f"only {len(shift)} of {reps} draws succeeded")
-    b = fit.beta[term]
-    low, high = np.quantile(b + shift, [0.025, 0.975])
-    return float(low), float(high), float((1 + (np.abs(shift) >= abs(b)).sum()) / (len(shift) + 1))
-
-
-def pairs_bootstrap(df: DataFrame, y: Column, columns: Mapping[str, Column], cluster: str, weight: Column | None = None, reps: int = 999, seed: int = 42, strata: str | None = None) -> np.ndarray:
-    """Coefficients (reps x columns, nan where aliased) of resampled clusters; cross products by cluster are gathered
-    once in Spark, a draw adds them up. With ``strata``, each stratum's clusters are drawn among themselves, as many as
-    it has; a cluster lies in one stratum."""
+#: The six points of the wild weights.
+POINTS = (-math.sqrt(1.5), -1.0, -math.sqrt(0.5), math.sqrt(0.5), 1.0, math.sqrt(1.5))
+
+
+def wild_bootstrap(fit: Fit, scores: DataFrame, terms: Sequence[int], reps: int = 9999, seed: int = 42, least: int = 99, share: float = 0.8) -> DataFrame:
+    """(term, estimate, low, high, p_value, draws) of coefficients by the wild cluster bootstrap with six-point weights on
+    unrestricted residuals. ``scores`` are `cluster_scores`.
+
+    A draw moves a coefficient by the sum over clusters of a weight times the cluster's share in it, a number for each
+    cluster and term. A cluster's weights in all draws follow from its name and ``seed``, so that tasks draw for their own
+    clusters, add up, and Spark adds the tasks' draws: results do not hang on the partitioning. Draws that give no finite
+    number do not count; a term with fewer than ``least`` others, or than ``share`` of all, raises."""
+    k = len(terms)
+    bread = [F.array(*[F.lit(float(x)) for x in fit.bread[:, t]]) for t in terms]
+    shares = scores.groupBy("cluster").agg(*[F.sum(F.when(F.col("i").isNotNull(), F.col("v") * b[F.col("i")])).alias(f"t{j}") for j, b in enumerate(bread)])
+    keyed = shares.select(F.xxhash64(F.col("cluster").cast("string"), F.lit(seed)).alias("key"), *[f"t{j}" for j in range(k)])
+    points = np.array(POINTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((reps, k))
+        for batch in batches:
+            t = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
+            for key, own in zip(batch.column(0).to_pylist(), t):
+                rng = np.random.Generator(np.random.Philox(key=key & (1 << 64) - 1))
+                total += points[rng.integers(0, len(points), reps)][:, None] * own
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(reps)), *[pa.array(total[:, j].copy()) for j in range(k)]], names=["draw", *(f"t{j}" for j in range(k))])
+
+    moved = keyed.mapInArrow(run, "draw long, " + ", ".join(f"t{j} double" for j in range(k))).groupBy("draw").agg(*[F.sum(f"t{j}").alias(f"t{j}") for j in range(k)])
+    named = F.array(*[F.struct(F.lit(fit.names[t]).alias("term"), F.lit(float(fit.beta[t])).alias("estimate"), F.col(f"t{j}").alias("shift")) for j, t in enumerate(terms)])
+    d = moved.select(F.inline(named)).where(~F.isnan("shift") & (F.abs("shift") < float("inf")))
+    value = F.col("estimate") + F.col("shift")
+    out = d.groupBy("term", "estimate").agg(
+        F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"),
+        ((F.lit(1) + F.count_if(F.abs("shift") >= F.abs("estimate"))) / (F.count(F.lit(1)) + 1)).alias("p_value"), F.count(F.lit(1)).alias("draws"),
+    )
+    enough = F.col("draws") >= max(least, share * reps)
+    return out.withColumn("draws", F.when(enough, F.col("draws")).otherwise(F.raise_error(F.concat(F.lit("too few draws succeeded: "), F.col("draws").cast("string"))).cast("long")))
+
+
+def pairs_bootstrap(df: DataFrame, y: Column, columns: Mapping[str, Column], cluster: str, weight: Column | None = None, reps: int = 999, seed: int = 42, strata: str | None = None) -> DataFrame:
+    """(draw, beta): coefficients in ``columns``' order (nan where aliased) of ``reps`` samples of whole clusters, drawn with
+    replacement, as many as there are. With ``strata``, each stratum's clusters are drawn among themselves; a cluster lies
+    in one stratum.
+
+    Cross products are summed by cluster once. How often each cluster of a stratum occurs in a draw is drawn from ``seed``,
+    stratum and draw alone, alike in every task; a task multiplies what its clusters have by it, Spark deals the partial
+    sums out by draw, and each draw is solved where its sums meet. The driver sees none of it."""
     w = F.lit(1.0) if weight is None else weight
-    cols = list(columns.values())
+    cols = [*columns.values(), y]
     k = len(cols)
-    keys = [cluster] if strata is None else [strata, cluster]
-    sums = _cross(df, w, [*cols, y], keys)
-    order = sorted(sums, key=str)
-    xx, xy = np.array([sums[c][:k, :k] for c in order]), np.array([sums[c][:k, k] for c in order])
-    groups: dict[object, list[int]] = {}
-    for i, c in enumerate(order):
-        groups.setdefault(c[0] if strata is not None else None, []).append(i)
-    rng, out = np.random.default_rng(seed), np.full((reps, k), np.nan)
-    for r in range(reps):
-        m = np.zeros(len(order))
-        for own in groups.values():
-            m[own] = rng.multinomial(len(own), np.full(len(own), 1 / len(own)))
-        a, b = np.tensordot(m, xx, 1), m @ xy
-        keep = retained(a)
-        out[r, keep] = np.linalg.solve(a[np.ix_(keep, keep)], b[keep])
-    return out
+    stratum = F.lit("") if strata is None else F.col(strata).cast("string")
+    d = df.select(stratum.alias("stratum"), F.col(cluster).alias("cluster"), w.alias("_w"), _cells(cols).alias("_x"))
+    pairs = F.flatten(F.transform("_x", lambda a: F.transform(F.filter("_x", lambda b: b["i"] >= a["i"]), lambda b: F.struct((a["i"] * k + b["i"]).alias("at"), (F.col("_w") * a["v"] * b["v"]).alias("v")))))
+    sums = d.select("stratum", "cluster", F.inline(pairs)).groupBy("stratum", "cluster", "at").agg(F.sum("v").alias("v"))
+    whole = sums.groupBy("stratum", "cluster").agg(F.collect_list(F.struct("at", "v")).alias("x"))
+    sizes = whole.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
+    number = F.row_number().over(Window.partitionBy("stratum").orderBy("cluster")) - 1
+    numbered = whole.withColumn("number", number).join(sizes, "stratum").select(F.xxhash64("stratum", F.lit(seed)).alias("key"), "size", "number", F.transform("x", lambda s: s["at"]).alias("at"), F.transform("x", lambda s: s["v"]).alias("v"))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, size, number = (c.to_numpy() for c in batch.columns[:3])
+            full = np.zeros((batch.num_rows, k * k))
+            for r, (at, v) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                full[r, at] = v
+            for one in np.unique(key):
+                mine = np.flatnonzero(key == one)
+                n = int(size[mine[0]])
+                step = max(1, min(reps, (1 << 22) // n))
+                # draws come in blocks whose size the stratum alone decides, so that all tasks see the same ones
+                for block, first in enumerate(range(0, reps, step)):
+                    rng = np.random.Generator(np.random.Philox(key=[int(one) & (1 << 64) - 1, block]))
+                    times = rng.multinomial(n, np.full(n, 1 / n), size=min(step, reps - first))[:, number[mine]]
+                    got = times @ full[mine]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(got))), pa.array([row.tobytes() for row in got], pa.binary())], names=["draw", "sums"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(k * k)
+
+        def beta() -> list[float]:
+            m = total.reshape(k, k)
+            m = np.triu(m) + np.triu(m, 1).T
+            out = np.full(k - 1, np.nan)
+            keep = retained(m[:-1, :-1])
+            if keep:
+                out[keep] = np.linalg.solve(m[np.ix_(keep, keep)], m[keep, -1])
+            return out.tolist()
+
+        for batch in batches:
+            draws, found = [], []
+            for draw, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if draw != now:
+                    if now is not None:
+                        draws.append(now)
+                        found.append(beta())
+                    now, total = draw, np.zeros(k * k)
+                total += np.frombuffer(sums.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array(draws, pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["draw", "beta"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([beta()], pa.list_(pa.float64()))], names=["draw", "beta"])
+
+    return numbered.mapInArrow(partial, "draw long, sums binary").repartition("draw").sortWithinPartitions("draw").mapInArrow(solve, "draw long, beta array<double>")
+
+
+#: The ratio that the slopes' ratio is held against.
+BENCHMARK_RATIO = 4.5
+
+
+def slope_ratio(draws: DataFrame, above: Sequence[int], below: Sequence[int], observed: float, *, reps: int, benchmark: float = BENCHMARK_RATIO, share: float = 0.8) -> DataFrame:
+    """One row: interval and median of |sum of the coefficients ``above``| / |sum of those ``below``| over the draws of
+    `pairs_bootstrap`, and how often a draw is as far from the observed ratio as that is from ``benchmark``. Draws without
+    a finite ratio do not count; fewer than ``share`` of ``reps`` others raise."""
+    size = lambda at: F.abs(sum((F.col("beta")[i] for i in at), F.lit(0.0)))
+    d = draws.select(F.try_divide(size(above), size(below)).alias("ratio")).where(F.col("ratio").isNotNull() & ~F.isnan("ratio") & (F.col("ratio") < float("inf")))
+    far = F.abs(F.col("ratio") - observed) >= abs(observed - benchmark)
+    out = d.agg(
+        F.lit(float(observed)).alias("observed"), *[F.percentile("ratio", F.lit(q)).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))], F.lit(float(benchmark)).alias("benchmark"),
+        ((F.lit(1) + F.count_if(far)) / (F.count(F.lit(1)) + 1)).alias("p_value"), F.count(F.lit(1)).alias("draws"),
+    )
+    return out.withColumn("draws", F.when(F.col("draws") >= math.ceil(share * reps), F.col("draws")).otherwise(F.raise_error(F.concat(F.lit("too few draws succeeded: "), F.col("draws").cast("string"))).cast("long")))
 
 
 def welch(df: DataFrame, keys: Sequence[str], value: str, group: Column) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.functions.special import chi2_p
+from plotline.functions.special import chi2_p, normal_p
 from plotline.operators import stats as S
+from plotline.operators.absorb import fit_absorbed, fit_absorbed_many, fit_many
 from plotline.plans import oracles as O
 from plotline.plans.registry import Tables, query
 
@@ -94,54 +97,124 @@ def poisson_fe(spark, sf):
 def wild_bootstrap(spark, sf):
     p = panel(spark, sf)
     fit = S.wls(p, F.col("log_price"), _columns(p, ["rate_gap*tier", "treated"]), F.col("transactions"))
-    _, scores = S.cluster_scores(p, fit, "county")
     at = fit.names.index(S.select_term(fit.names, ["rate_gap", "tier=mid"]))
-    low, high, pv = S.wild_bootstrap(fit, scores, at, 9999)
-    return spark.createDataFrame([(fit.names[at], float(fit.beta[at]), low, high, pv)], "term string, estimate double, low double, high double, p_value double")
+    return S.wild_bootstrap(fit, S.cluster_scores(p, fit, "county"), [at], 9999)
 
 
 @query()
 def pairs_bootstrap(spark, sf):
+    """The mid tier's slope over the entry tier's, against the ratio of earlier findings."""
     p = panel(spark, sf)
     columns = _columns(p, ["rate_gap*tier"])
-    weight = F.col("transactions").cast("double")
+    names, weight = list(columns), F.col("transactions").cast("double")
+    below = [names.index("rate_gap")]
+    above = [*below, names.index("rate_gap:tier=mid")]
     draws = S.pairs_bootstrap(p, F.col("log_price"), columns, "county", weight, 9999, strata="region")
-    fit = S.wls(p, F.col("log_price"), columns, weight)
-    names = list(columns)
-    seen = fit.beta[fit.names.index("rate_gap:tier=mid")] / fit.beta[fit.names.index("rate_gap")]
-    ratio = draws[:, names.index("rate_gap:tier=mid")] / draws[:, names.index("rate_gap")]
-    ratio = ratio[np.isfinite(ratio)]
-    low, mid, high = np.quantile(ratio, [0.025, 0.5, 0.975])
-    # how often a draw is as far from 1 as the observed ratio
-    as_far = float((1 + (np.abs(ratio - 1) >= abs(seen - 1)).sum()) / (len(ratio) + 1))
-    return spark.createDataFrame([("mid to entry", float(seen), float(low), float(mid), float(high), as_far, len(ratio))], "ratio string, observed double, low double, median double, high double, as_far double, draws int")
+    seen = dict(zip((fit := S.wls(p, F.col("log_price"), columns, weight)).names, fit.beta))
+    observed = abs(sum(seen[names[i]] for i in above)) / abs(seen["rate_gap"])
+    return S.slope_ratio(draws, above, below, observed, reps=9999)
+
+
+#: Quarters from the shock are clamped to this range, and the one before it is the reference.
+QUARTERS, REFERENCE_QUARTER = (-28, 15), -1
+
+
+def event_panel(p: DataFrame, year: int, least_gap: float) -> tuple[DataFrame, int, list[int]]:
+    """(panel with event_quarter, the shock's quarter, quarters that occur). The shock is the first month of ``year`` whose
+    rate gap reaches ``least_gap``; a year without one raises."""
+    index = lambda m: F.year(m) * 4 + F.quarter(m)
+    shock = p.where((F.year("m") == year) & (F.col("rate_gap") >= least_gap)).agg(F.min("m").alias("m")).select(index("m").alias("q")).first()["q"]
+    if shock is None:
+        raise ValueError(f"no month of {year} with a rate gap of {least_gap}")
+    q = F.greatest(F.lit(QUARTERS[0]), F.least(F.lit(QUARTERS[1]), index("m") - shock))
+    d = p.withColumns({"event_quarter": q, "calendar_quarter": F.concat(F.year("m").cast("string"), F.lit("Q"), F.quarter("m").cast("string"))})
+    first, last = d.agg(F.min("event_quarter"), F.max("event_quarter")).first()
+    return d, shock, list(range(first, last + 1))
+
+
+def event_fit(spark, sf) -> tuple[DataFrame, S.Fit, int]:
+    """(rows, fit, shock): log prices on event quarter x treated x tier with income and effects of county and quarter."""
+    d, shock, quarters = event_panel(panel(spark, sf), 1998, 2.5)
+    d = d.withColumn("quarter", F.concat(F.lit("q"), F.col("event_quarter").cast("string")))
+    levels = [f"q{REFERENCE_QUARTER}", *(f"q{q}" for q in quarters if q != REFERENCE_QUARTER)]
+    columns = S.design(d, ["quarter*treated*tier", "income"], {"quarter": levels, "tier": TIERS}, ("treated", "income"))
+    rows, fit = fit_absorbed(d, "log_price", columns, ["county", "calendar_quarter"], F.col("transactions"))
+    return rows, fit, shock
 
 
 @query()
 def event_study(spark, sf):
-    p = panel(spark, sf)
-    q = F.greatest(F.lit(-4), F.least(F.lit(3), F.year("m") - 1998))
-    p = p.withColumn("quarter", F.concat(F.lit("q"), q.cast("string")))
-    columns = S.design(p, ["quarter", "treated", "quarter:treated", "income"], {"quarter": ["q-1", "q-4", "q-3", "q-2", "q0", "q1", "q2", "q3"]}, ("treated", "income"))
-    fit = S.wls(p, F.col("log_price"), columns, F.col("transactions"))
-    return S.tidy(spark, fit, S.cluster_vcov(p, fit, "county"), True)
+    """By quarter from the shock: the treated against the others, and how the higher tiers differ from the entry tier in it,
+    with wild bootstrap intervals; the reference quarter is 0 by definition."""
+    rows, fit, _ = event_fit(spark, sf)
+    terms = [i for i, n in enumerate(fit.names) if n.startswith("quarter=") and "treated" in n]
+    boot = S.wild_bootstrap(fit, S.cluster_scores(rows, fit, "county"), terms, 999, seed=421)
+    comparison = F.when(F.col("term").contains("tier=mid"), "mid minus entry").when(F.col("term").contains("tier=luxury"), "luxury minus entry").otherwise("entry treated minus others")
+    out = boot.select(F.regexp_extract("term", "quarter=q(-?[0-9]+)", 1).cast("int").alias("event_quarter"), comparison.alias("comparison"), "estimate", "low", "high", "p_value")
+    reference = [(REFERENCE_QUARTER, c, 0.0, 0.0, 0.0, None) for c in ("mid minus entry", "luxury minus entry", "entry treated minus others")]
+    return out.unionByName(spark.createDataFrame(reference, "event_quarter int, comparison string, estimate double, low double, high double, p_value double"))
 
 
-#: Years before the reference year whose leads are tested together.
-LEADS = {"all": (1995, 1996), "distant": (1995,), "near": (1996,)}
+#: Lead scopes by the years that their quarters lie in.
+LEADS = {"all": (0, 9999), "baseline": (0, 1996), "transition": (1997, 9999)}
 
 
 @query()
 def wald_pretrend(spark, sf):
-    """Joint tests that the treated did not move differently in the years before 1997, by scope of the years."""
-    p = panel(spark, sf).withColumn("lead", F.concat(F.lit("y"), F.year("m").cast("string")))
-    columns = S.design(p, ["lead", "treated", "lead:treated"], {"lead": [f"y{y}" for y in (1997, 1995, 1996, 1998, 1999, 2000, 2001)]}, ("treated",))
-    fit = S.wls(p, F.col("log_price"), columns, F.col("transactions"))
-    v, rows = S.cluster_vcov(p, fit, "county"), []
-    for scope, years in LEADS.items():
-        at = [i for i, n in enumerate(fit.names) if n in [f"lead=y{y}:treated" for y in years]]
-        rows.append((scope, *S.wald(fit.beta[at], v[np.ix_(at, at)])))
-    return spark.createDataFrame(rows, "scope string, statistic double, df int").withColumn("p_value", chi2_p(F.col("statistic"), F.col("df")))
+    """Joint tests that the treated mid tier did not move differently from the entry tier before the shock, by scope: all
+    leads, those of the baseline years and those of the transition."""
+    rows, fit, shock = event_fit(spark, sf)
+    v, found = S.cluster_vcov(rows, fit, "county"), []
+    lead = {i: int(n.split(":")[0].removeprefix("quarter=q")) for i, n in enumerate(fit.names) if n.startswith("quarter=") and "treated" in n and n.endswith("tier=mid")}
+    for scope, (first, last) in LEADS.items():
+        at = [i for i, q in lead.items() if q < REFERENCE_QUARTER and first <= (shock + q - 1) // 4 <= last]
+        found.append((scope, len(at), *S.wald(fit.beta[at], v[np.ix_(at, at)])))
+    return spark.createDataFrame(found, "scope string, leads int, statistic double, df int").withColumn("p_value", chi2_p(F.col("statistic"), F.col("df")))
+
+
+def market_panel(spark, sf) -> DataFrame:
+    """County x month outcomes of the listings that line items stand for: days to ship, open lines, months of supply, price
+    kept of the list price, share of lines with a large discount."""
+    t = Tables(spark, sf)
+    li = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    g = li.groupBy(F.col("n_name").alias("county"), F.col("r_name").alias("region"), F.trunc("o_orderdate", "month").alias("m")).agg(
+        F.percentile(F.datediff("l_shipdate", "o_orderdate"), F.lit(0.5)).alias("median_dom"), F.count_if(F.col("l_linestatus") == "O").cast("double").alias("inventory"),
+        F.try_divide(F.count_if(F.col("l_linestatus") == "O").cast("double"), F.count_if(F.col("l_returnflag") == "R")).alias("months_of_supply"), F.avg(1 - F.col("l_discount")).alias("avg_sale_to_list"),
+        F.avg((F.col("l_discount") >= 0.08).cast("double")).alias("price_drops"), F.avg("c_acctbal").alias("income"),
+    )
+    return g.select("*", (F.month("m") / 4.0 + (F.year("m") - 1995) / 2.0).alias("rate_gap"), (F.col("region") == "AMERICA").cast("double").alias("treated")).cache()
+
+
+OUTCOMES = ("median_dom", "inventory", "months_of_supply", "avg_sale_to_list", "price_drops")
+
+
+@query()
+def listing_outcomes(spark, sf):
+    """The rate gap's effect on five market outcomes where treated, with county and month effects. Outcomes are known for
+    different cells, so that each is absorbed over its own; clusters are counties."""
+    m, parts = market_panel(spark, sf), []
+    columns = S.design(m, ["rate_gap*treated", "income"], {}, ("rate_gap", "treated", "income"))
+    for y, (rows, fit) in fit_absorbed_many(m, OUTCOMES, columns, ["county", "m"]).items():
+        terms = S.tidy(spark, fit, S.cluster_vcov(rows, fit, "county")).where(F.col("term") == "rate_gap:treated")
+        parts.append(terms.select(F.lit(y).alias("outcome"), F.lit(fit.n).alias("n"), "estimate", "std_error", "p_value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query()
+def pooled_four_way(spark, sf):
+    """One model of two metropolitan areas: the triple effect in each and their difference, as linear combinations of the
+    triple and the four-way term, with county and month effects."""
+    n = F.regexp_extract("county", "([0-9]+)$", 1).cast("int")
+    p = panel(spark, sf).withColumns({"metro": (n % 2).cast("double"), "core": (n % 3 == 0).cast("double")})
+    columns = S.design(p, ["metro*rate_gap*tier*core", "income"], {"tier": TIERS}, ("metro", "rate_gap", "core", "income"))
+    rows, fit = fit_absorbed(p, "log_price", columns, ["county", "m"], F.col("transactions"))
+    v = S.cluster_vcov(rows, fit, "county")
+    triple, four = S.select_term(fit.names, ["rate_gap", "tier=mid", "core"], ["metro"]), S.select_term(fit.names, ["metro", "rate_gap", "tier=mid", "core"])
+    out = []
+    for name, terms in (("first metro", [triple]), ("second metro", [triple, four]), ("second minus first", [four])):
+        out.append((name, *S.linear_combination(fit.beta, v, np.array([1.0 if t in terms else 0.0 for t in fit.names]))))
+    t = spark.createDataFrame(out, "combination string, estimate double, std_error double")
+    return t.withColumn("p_value", normal_p(F.col("estimate") / F.col("std_error")))
 
 
 _AT = "[1.0, g, (tier = 'mid')::int::double, (tier = 'luxury')::int::double, 1.0, g * (tier = 'mid')::int, g * (tier = 'luxury')::int]"
@@ -181,15 +254,15 @@ _SPECS = {"all": "true", "no_transition": "year(m) not in (1996, 1997)", "min_tr
  u as (select g, n, kept, beta, list_sum(list_transform(range(1, 8), lambda a: inv[2][a] * sc[a])) as u from sc join solved on g = spec)
  select g as specification, any_value(n) as n, any_value(beta)[2] as estimate, sqrt(sum(u * u) * count(*) / (count(*) - 1) * (any_value(n) - 1) / (any_value(n) - any_value(kept))) as std_error from u group by 1""")
 def sensitivity_matrix(spark, sf):
-    """The same slope refitted on filtered panels, and with each region left out."""
-    p, rows = panel(spark, sf), []
+    """The same slope refitted on filtered panels, and with each region left out: two passes over the panel for all."""
+    p = panel(spark, sf)
     specs = {"all": F.lit(True), "no_transition": ~F.col("year").isin("1996", "1997"), "min_transactions": F.col("transactions") >= 3, "bounds": F.col("price").between(75_000, 450_000), "no_recent": F.col("m") < "2001-02-01", "known_income": F.col("income") > 0}
     specs |= {f"without_{r}": F.col("region") != r for r in REGIONS}
-    for name, keep in specs.items():
-        d = p.where(keep)
-        fit = S.wls(d, F.col("log_price"), _columns(d, ["rate_gap*tier", "treated"]), F.col("transactions"))
+    columns = _columns(p, ["rate_gap*tier", "treated"])
+    fits, v = fit_many(p, {"y": F.col("log_price")}, columns, {n: (keep, "y", list(columns)) for n, keep in specs.items()}, F.col("transactions"), cluster="county")
+    rows = []
+    for name, fit in fits.items():
         if "rate_gap" in fit.names:
             at = fit.names.index("rate_gap")
-            v = S.cluster_vcov(d, fit, "county")
-            rows.append((name, fit.n, float(fit.beta[at]), float(np.sqrt(v[at, at]))))
+            rows.append((name, fit.n, float(fit.beta[at]), float(np.sqrt(v[name][at, at]))))
     return _rounded(spark.createDataFrame(rows, "specification string, n long, estimate double, std_error double"))

@@ -5,6 +5,7 @@ import zipfile
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -296,12 +297,131 @@ def test_least_squares_against_numpy(spark):
     assert np.allclose(S.hc1_vcov(df, fit), inv @ (m.T * e**2) @ m @ inv * n / (n - 5))
     s = np.array([(m[g == k] * e[g == k, None]).sum(0) for k in range(4)])
     assert np.allclose(S.cluster_vcov(df, fit, "c"), inv @ s.T @ s @ inv * 4 / 3 * (n - 1) / (n - 5))
-    lo, hi, p = S.wild_bootstrap(fit, S.cluster_scores(df, fit, "c")[1], 1, 199)
-    assert lo < fit.beta[1] < hi and 0 < p <= 1
-    boot = S.pairs_bootstrap(df, F.col("y"), {k: cols[k] for k in ("(Intercept)", "x")}, "c", reps=50)
-    assert abs(np.nanmean(boot[:, 1]) - 2) < 0.3
-    stat, k, p = S.wald(spark, fit.beta[1:2], S.classical_vcov(fit)[1:2, 1:2])
-    assert k == 1 and stat > 100 and p < 1e-6
+    scores = S.cluster_scores(df, fit, "c")
+    boot = S.wild_bootstrap(fit, scores, [1, 2], 999).orderBy("term").collect()
+    one_part = S.wild_bootstrap(fit, scores.repartition(7), [1, 2], 999).orderBy("term").collect()
+    assert [r.draws for r in boot] == [999, 999] and np.allclose([r[1:5] for r in boot], [r[1:5] for r in one_part])
+    r = next(r for r in boot if r.term == fit.names[1])
+    # the draws' spread is that of weights of variance 1 on the clusters' shares
+    expected = 1.96 * np.sqrt(((s @ inv[:, 1]) ** 2).sum())
+    assert r.low < fit.beta[1] < r.high and 0 < r.p_value <= 1 and abs((r.high - r.low) / 2 / expected - 1) < 0.25
+    with pytest.raises(Exception, match="too few draws"):
+        S.wild_bootstrap(fit, scores, [1], 50).collect()
+    stat, k = S.wald(fit.beta[1:2], S.classical_vcov(fit)[1:2, 1:2])
+    assert k == 1 and stat > 100
+
+
+def test_pairs_bootstrap_against_whole_resamples(spark):
+    rng = np.random.default_rng(8)
+    n, groups = 3000, 300
+    g = rng.integers(0, groups, n)
+    x = rng.normal(size=n) + rng.normal(size=groups)[g]
+    y = 1 + 2 * x + rng.normal(size=groups)[g] + rng.normal(size=n)
+    df = spark.createDataFrame([Row(y=float(a), x=float(b), c=int(c), s=f"s{c % 2}") for a, b, c in zip(y, x, g)])
+    cols = {"(Intercept)": F.lit(1.0), "x": F.col("x")}
+    draws = S.pairs_bootstrap(df, F.col("y"), cols, "c", reps=400, strata="s").orderBy("draw").collect()
+    again = S.pairs_bootstrap(df.repartition(5), F.col("y"), cols, "c", reps=400, strata="s").orderBy("draw").collect()
+    got = np.array([r.beta for r in draws])
+    assert got.shape == (400, 2) and np.allclose(got, [r.beta for r in again])  # whatever the partitioning
+    # a plain version: resample the clusters of each stratum, stack their rows, solve
+    plain = []
+    for _ in range(400):
+        rows = np.concatenate([np.flatnonzero(g == c) for k in (0, 1) for c in rng.choice([c for c in range(groups) if c % 2 == k and (g == c).any()], sum(1 for c in range(groups) if c % 2 == k and (g == c).any()))])
+        m = np.column_stack([np.ones(len(rows)), x[rows]])
+        plain.append(np.linalg.lstsq(m, y[rows], rcond=None)[0])
+    assert np.allclose(np.quantile(got, [0.025, 0.5, 0.975], axis=0), np.quantile(plain, [0.025, 0.5, 0.975], axis=0), atol=0.03)
+    r = S.slope_ratio(S.pairs_bootstrap(df, F.col("y"), cols, "c", reps=400), [1], [0], 2.0, reps=400).first()
+    assert r.low < 2 < r.high and r.benchmark == 4.5 and r.p_value == pytest.approx(1 / 401) and r.draws == 400
+
+
+def test_special_functions(spark):
+    import math
+
+    from plotline.functions import special as P
+
+    at = lambda f, *rows: np.array([r[0] for r in spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(rows)], "i int, a double, b double, x double").orderBy("i").select(f).collect()], float)
+    a, b, x = F.col("a"), F.col("b"), F.col("x")
+    near = lambda got, want: np.allclose(got, want, rtol=1e-10, atol=0)
+    z = [0.0, 1e-3, 0.5, 1.7, 1.7320508, 3, 8, 37]
+    assert near(at(P.normal_p(a), *[(v, 0, 0) for v in z]), [math.erfc(v / math.sqrt(2)) for v in z])
+    assert near(at(P.erfc(a), *[(v, 0, 0) for v in (-3, -0.1, 0, 2)]), [math.erfc(v) for v in (-3, -0.1, 0, 2)])
+    assert near(at(P.lgamma(a), *[(v, 0, 0) for v in (0.01, 0.5, 3.3, 15.9, 16.1, 1e6)]), [math.lgamma(v) for v in (0.01, 0.5, 3.3, 15.9, 16.1, 1e6)])
+    # Student's t of 1, 2 and 4 degrees of freedom has closed forms; with many it is nearly normal
+    t = [0.0, 1e-4, 0.5, 2.0, 40.0, 1e6]
+    one = [2 * math.atan2(1, v) / math.pi for v in t]
+    two = [2 / (math.sqrt(v * v + 2) * (math.sqrt(v * v + 2) + v)) for v in t]
+    assert near(at(P.student_p(a, b), *[(v, 1, 0) for v in t]), one) and near(at(P.student_p(a, b), *[(-v, 2, 0) for v in t]), two)
+    assert near(at(P.student_p(a, b), (1.96, 1e14, 0)), math.erfc(1.96 / math.sqrt(2)))
+    below, above = at(P.student_p(a, b), (2.5, 1e6, 0), (2.5, 1e6 + 1, 0))
+    assert abs(below / above - 1) < 1e-10
+    # chi-squared with an even number of degrees of freedom is a Poisson sum, the beta function with whole arguments a binomial one
+    chi = lambda s, k: math.fsum(math.exp(j * math.log(s / 2) - s / 2 - math.lgamma(j + 1)) for j in range(k // 2))
+    cases = [(3, 2), (10, 4), (1, 10), (200, 10), (100, 100), (130, 100), (1000, 1000)]
+    assert near(at(P.chi2_p(a, b), *[(*c, 0) for c in cases]), [chi(*c) for c in cases])
+    binom = lambda p, q, v: math.fsum(math.comb(p + q - 1, j) * v**j * (1 - v) ** (p + q - 1 - j) for j in range(p, p + q))
+    cases = [(3, 5, 0.2), (30, 21, 0.6), (1, 1, 0.3), (200, 300, 0.4), (2, 3, 0.0), (2, 3, 1.0)]
+    assert near(at(P.beta_inc(a, b, x), *cases), [binom(*c) for c in cases])
+    assert spark.range(1).select(P.student_p(F.lit(None).cast("double"), 3.0), P.student_p(1.0, -1.0), P.gamma_q(-1.0, 1.0), P.beta_inc(1.0, 1.0, 2.0)).first()[:] == (None, None, None, None)
+
+
+def test_absorbed_effects_equal_dummies(spark):
+    from plotline.operators import absorb as AB
+
+    rng = np.random.default_rng(5)
+    n = 600
+    a, m, t = rng.integers(0, 12, n), rng.integers(0, 9, n), rng.integers(0, 2, n)
+    keep = ~((a < 3) & (m < 4))  # unbalanced
+    a, m, t = a[keep], m[keep], t[keep]
+    n = len(a)
+    x = rng.normal(size=n) + 0.3 * a
+    y = 2 * x - 0.5 * t + rng.normal(size=12)[a] + rng.normal(size=9)[m] + rng.normal(size=n)
+    w = rng.integers(1, 5, n).astype(float)
+    rows = [Row(y=float(p), x=float(q), t=float(r), a=f"a{u}", m=int(v), w=float(z), same=float(u)) for p, q, r, u, v, z in zip(y, x, t, a, m, w)]
+    rows += [Row(y=None, x=1.0, t=0.0, a="a1", m=1, w=1.0, same=1.0), Row(y=1.0, x=1.0, t=0.0, a=None, m=1, w=1.0, same=1.0), Row(y=9.0, x=1.0, t=0.0, a="a1", m=1, w=0.0, same=1.0)]
+    df = spark.createDataFrame(rows)
+    cols = {"(Intercept)": F.lit(1.0), "x": F.col("x"), "t": F.col("t"), "same": F.col("same")}
+    rows, fit = AB.fit_absorbed(df, "y", cols, ["a", "m"], F.col("w"))
+    dummies = S.design(df, ["x", "t", "a", "m"], {"a": [f"a{k}" for k in range(12)], "m": list(range(9))}, ("x", "t"))
+    plain = S.wls(df.where("w > 0 and a is not null"), F.col("y"), dummies, F.col("w"))
+    at = [plain.names.index(c) for c in ("x", "t")]
+    assert fit.names == ["x", "t"] and fit.dropped == ["same"] and (fit.n, fit.k) == (plain.n, plain.k)
+    assert np.allclose(fit.beta, plain.beta[at], rtol=1e-8) and fit.rss == pytest.approx(plain.rss, rel=1e-8)
+    assert np.allclose(S.classical_vcov(fit), S.classical_vcov(plain)[np.ix_(at, at)], rtol=1e-7)
+    assert np.allclose(S.cluster_vcov(rows, fit, "a"), S.cluster_vcov(df.where("w > 0 and a is not null"), plain, "a")[np.ix_(at, at)], rtol=1e-7)
+    # two groups of levels that never meet take a coefficient more
+    parts = spark.createDataFrame([(f"{g}{i}", f"{g}{j}", float(i * j + (i == 1) + ord(g))) for g in "pq" for i in range(3) for j in range(3)], "a string, b string, x double")
+    assert AB.absorb(parts, {"x": F.col("x")}, ["a", "b"])[1] == 6 + 6 - 2 and AB.absorb(parts, {"x": F.col("x")}, ["a"])[1] == 6
+
+
+def test_ten_thousand_levels(spark):
+    from plotline.operators import absorb as AB
+
+    rng = np.random.default_rng(6)
+    n, g, h = 60_000, 10_000, 12
+    a, b = np.concatenate([np.arange(g), rng.integers(0, g, n - g)]), rng.integers(0, h, n)
+    x = rng.normal(size=n)
+    y = 3 * x + rng.normal(size=g)[a] + rng.normal(size=h)[b] + rng.normal(size=n)
+    rows, fit = AB.fit_absorbed(spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "x": x, "y": y})), "y", {"x": F.col("x")}, ["a", "b"])
+    # the second factor as dummies and the first by its means: exact
+    means = lambda v: v - (np.bincount(a, v, g) / np.bincount(a, minlength=g))[a]
+    m = np.column_stack([means(x), *[means((b == k).astype(float)) for k in range(1, h)]])
+    assert abs(fit.beta[0] / np.linalg.lstsq(m, means(y), rcond=None)[0][0] - 1) < 1e-8 and fit.k == 1 + g + h - 1
+
+
+def test_many_fits_equal_single_ones(spark):
+    from plotline.operators import absorb as AB
+
+    rng = np.random.default_rng(7)
+    n = 500
+    df = spark.createDataFrame([Row(y=float(rng.normal()), z=float(rng.normal()) if i % 7 else None, x=float(rng.normal()), v=float(rng.normal()), g=int(i % 11), w=float(1 + i % 3)) for i in range(n)])
+    cols = {"(Intercept)": F.lit(1.0), "x": F.col("x"), "v": F.col("v")}
+    models = {"all": (F.lit(True), "y", list(cols)), "some": (F.col("g") < 6, "y", ["(Intercept)", "v"]), "other": (F.col("x") > -1, "z", list(cols)), "without": (F.col("g") != 3, "z", ["(Intercept)", "x"])}
+    fits, v = AB.fit_many(df, {"y": F.col("y"), "z": F.col("z")}, cols, models, F.col("w"), cluster="g")
+    for name, (keep, y, own) in models.items():
+        d = df.where(keep)
+        one = S.wls(d, F.col(y), {c: cols[c] for c in own}, F.col("w"))
+        assert fits[name].names == one.names and fits[name].n == one.n and np.allclose(fits[name].beta, one.beta) and fits[name].rss == pytest.approx(one.rss)
+        assert np.allclose(v[name], S.cluster_vcov(d, one, "g"))
 
 
 def test_poisson_score_is_zero(spark):
