@@ -191,7 +191,12 @@ def test_mixing(spark):
     mixed = mix_documents(df)
     assert mixed.columns == df.columns and Counter(r.doc_id for r in mixed.collect()) == Counter({d: c for d, c in copies.items() if c})
     assert mix_sources(empty(spark)).count() == 0 and mix_documents(empty(spark)).count() == 0
-    assert mix_sources(frame(spark, doubled(spark))).count() == len(doubled(spark))
+    # repeated and null ids: every row has its result, whatever the partitioning
+    again = frame(spark, doubled(spark) + rows[:300] + rows[:40] + [(None, "w w w", "a")] * 30)
+    one, other = (Counter(map(tuple, mix_sources(again.repartition(*n)).collect())) for n in ((7,), (3, "doc_id")))
+    assert one == other and sum(one.values()) == again.count()
+    one, other = (Counter(map(tuple, mix_documents(again.repartition(*n)).collect())) for n in ((7,), (3, "doc_id")))
+    assert one == other
 
 
 # 3
@@ -667,3 +672,294 @@ def test_common_prints_count_repeats():
     prints = [r.tobytes() for r in rows]
     assert common_prints(prints, p, q).tolist() == want
     assert common_prints(prints, p[:20], q[:20]).tolist() == want[:20]
+
+
+# 11
+VECTORS = "vec_id long, embedding array<float>, component int, n long, _v string, label int"
+
+
+def plain_whitening(vectors, k=4):
+    """The contract with numpy: (fit size, deviations, whitened, shares) of the usable vectors."""
+    x = np.floor(np.array(vectors, np.float64) * 256).astype(np.int64)
+    u = np.unique(x, axis=0)
+    n, s = len(u), u.sum(axis=0)
+    c = u - s / n
+    e, v = np.linalg.eigh(c.T @ c / n)
+    e, v = e[::-1], v[:, ::-1]
+    k = min(k, int((e > 1e-12 * e.sum()).sum()))
+    return n, ((n * x - s) ** 2).sum(axis=1), (x - s / n) @ (v[:, :k] / np.sqrt(e[:k])), e[:k] / e.sum()
+
+
+def whitened(spark, rows):
+    from plotline.llm.whitening import whiten
+
+    return whiten(spark.createDataFrame([(i, v, 7, 7, "z", 1) for i, v in rows], VECTORS))
+
+
+def test_whitening(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(300, 24)) * np.linspace(1, 2, 24) @ np.linalg.qr(rng.normal(size=(24, 24)))[0] / 8
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(base)]
+    rows += [(300, rows[5][1]), (301, rows[5][1]), (7, rows[7][1]), (None, rows[9][1]), (302, [0.0] * 24), (303, [-1e-9] * 24)]  # ties, repeated rows, a null id
+    bad = [(400, None), (401, [float("nan")] + [0.0] * 23), (402, [float("inf")] + [0.0] * 23), (403, [None] + [0.0] * 23), (404, []), (405, [1.0] * 5)]
+    out = whitened(spark, rows + bad)
+    assert out.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    got = out.collect()
+    n, deviation, want, shares = plain_whitening([v for _, v in rows])
+    assert len(got) == 4 * len(rows) and {r.n for r in got} == {n} and max(r.identity_error for r in got) < 1e-10
+    signs = {}
+    for j in range(4):
+        mine = sorted((str(r.vec_id), r.deviation, r.whitened) for r in got if r.component == j + 1)
+        sign = np.sign(sum(r.whitened * want[[i for i, _ in rows].index(r.vec_id), j] for r in got if r.component == j + 1))
+        plain = sorted((str(i), int(d), sign * w) for (i, _), d, w in zip(rows, deviation, want[:, j]))
+        signs[j] = sign
+        assert [m[:2] for m in mine] == [p[:2] for p in plain] and np.allclose([m[2] for m in mine], [p[2] for p in plain], atol=1e-9)
+        assert np.allclose([r.explained for r in got if r.component == j + 1], shares[j], rtol=1e-9)
+
+
+def test_whitening_edges(spark):
+    assert whitened(spark, []).count() == whitened(spark, [(1, None)]).count() == whitened(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])]).count() == 0
+    flat = whitened(spark, [(i, [float(i), 2.0 * i, 5.0]) for i in range(6)]).collect()  # variance in one direction only
+    assert {r.component for r in flat} == {1} and all(r.explained == pytest.approx(1) for r in flat)
+    few = whitened(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])]).collect()
+    assert {r.component for r in few} == {1, 2} and {r.identity_error < 1e-10 for r in few} == {True}
+    same = whitened(spark, [(2 * i + s, [float((1 - 2 * s) * (j == i)) for j in range(6)]) for i in range(6) for s in (0, 1)]).collect()  # all eigenvalues equal
+    assert {r.component for r in same} == {1, 2, 3, 4} and max(r.identity_error for r in same) < 1e-10
+    far = lambda step: [(i, [float((-1) ** i * step + i), float(i % 3)]) for i in range(50)]
+    x = [[int((-1) ** i * 2**25 + 256 * i), 256 * (i % 3)] for i in range(50)]  # deviations of up to 62 bits are exact
+    total = [sum(v) for v in zip(*x)]
+    assert all(r.deviation == sum((50 * a - b) ** 2 for a, b in zip(x[r.vec_id], total)) for r in whitened(spark, far(2.0**17)).collect())
+    with pytest.raises(Exception):
+        whitened(spark, far(2.0**24)).collect()
+
+
+# 12
+LANGS = "doc_id long, text string, lang string, rank long, a long, size int, phrase string"
+
+
+def plain_collocations(rows, least, top, most=5):
+    """The contract with dictionaries."""
+    import re
+
+    count, n, pieces = Counter(), Counter(), []
+    for _, text, lang in rows:
+        lang = "und" if lang is None else lang
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\n-\r]", lower):
+            w = re.findall("[^ \t]+", piece)
+            n[lang] += len(w)
+            for m in range(1, most + 1):
+                for i in range(len(w) - m + 1):
+                    count[lang, tuple(w[i : i + m])] += 1
+    frequent = {k: a for k, a in count.items() if a >= least and len(k[1]) > 1}
+    hidden = {(lang, p[i : i + m]): True for (lang, p), a in frequent.items() for m in range(2, len(p)) for i in range(len(p) - m + 1) if a >= frequent[lang, p[i : i + m]]}
+    out = defaultdict(list)
+    for (lang, p), a in frequent.items():
+        if (lang, p) not in hidden:
+            s, _, l, r = min((1000 * a * n[lang] // (count[lang, p[:k]] * count[lang, p[k:]]), k, count[lang, p[:k]], count[lang, p[k:]]) for k in range(1, len(p)))
+            out[lang].append((-s, -a, " ".join(p).encode(), l, r))
+    return {(lang, i + 1, p.decode(), -a, l, r, n[lang], -s) for lang, found in out.items() for i, (s, a, p, l, r) in enumerate(sorted(found)[:top])}
+
+
+def phrases(spark, rows, **how):
+    from plotline.llm.collocations import collocations
+
+    df = spark.createDataFrame([(i, t, g, 1, 1, 1, "z") for i, t, g in rows], LANGS)
+    return {tuple(r) for r in collocations(df, **how).collect()}
+
+
+def phrase_corpus():
+    rng = random.Random(11)
+    stock = [" ".join(words(rng, rng.randrange(2, 8), 30)) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        parts = [rng.choice(stock) if rng.random() < 0.5 else " ".join(words(rng, rng.randrange(1, 6), 60)) for _ in range(rng.randrange(1, 12))]
+        text = "".join(p + rng.choice([" ", "  ", "\t", ". ", ",", "\n", "?! "]) for p in parts)
+        rows.append((i, text.upper() if i % 9 == 0 else text, rng.choice(["en", "de", None, "und"])))
+    rows += [(200, "", "en"), (201, None, "en"), (202, ".,;", "fr"), (203, "na " * 5000, "en"), (204, "É é É é " * 30, "fr"), (205, "x" * 9000, "xx"), rows[3], rows[3], (None, rows[4][1], rows[4][2])]
+    return rows
+
+
+@pytest.mark.parametrize("least,top", [(5, 2000), (12, 7), (2, 40)])
+def test_collocations(spark, least, top):
+    rows = phrase_corpus()
+    assert phrases(spark, rows, min_count=least, top=top) == plain_collocations(rows, least, top)
+
+
+def test_collocations_burst_spill_and_partitions(spark, monkeypatch):
+    from plotline.llm import collocations as M
+
+    rows = phrase_corpus()
+    want = plain_collocations(rows, 6, 2000)
+    monkeypatch.setattr(M, "BURST_ROWS", 8)
+    monkeypatch.setattr(M, "TRIE_BYTES", 3000)
+    monkeypatch.setattr(M, "BLOCK", 2000)
+    monkeypatch.setattr(M, "PART_WORDS", 1)
+    assert phrases(spark, rows, min_count=6) == want
+    for filters, most in ((1, 3), (2, 5), (4, 5), (3, 2)):
+        monkeypatch.setattr(M, "FILTERS", filters)
+        assert phrases(spark, rows, min_count=6, max_words=most) == plain_collocations(rows, 6, 2000, most)
+    assert phrases(spark, []) == phrases(spark, [(1, None, None)]) == set()
+
+
+def test_trie_spills_everything_once():
+    from plotline.llm import collocations as M
+
+    rng = np.random.default_rng(3)
+    key = rng.integers(0, 5000, 60_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    trie, runs = M.Trie(), []
+    for part in np.array_split(key, 30):
+        part, count = np.unique(part, return_counts=True)
+        trie.add(M.Rows(part, (part >> np.uint64(52)).astype(np.uint16), count))
+        runs += list(trie.spill())
+    runs += list(trie.runs())
+    total = Counter()
+    for r in runs:
+        assert (r.key[1:] > r.key[:-1]).all()  # sorted, each key once
+        total.update(dict(zip(r.key.tolist(), r.count.tolist())))
+    assert total == Counter(key.tolist())
+
+
+def test_scores_pass_64_bits(spark):
+    rows = [(i, "a b " * 40, "en") for i in range(50)]
+    (lang, rank, phrase, a, l, r, n, score), *_ = sorted(phrases(spark, rows, min_count=100), key=lambda x: x[1])
+    assert score == 1000 * a * n // (l * r)
+    exact = spark.sql("select cast(1000 * cast(9223372036854775807 as decimal(19,0)) as decimal(22,0)) * cast(999999999999999 as decimal(16,0)) div (cast(9223372036854775807 as decimal(19,0)) * cast(1000000007 as decimal(19,0))) as s").first().s
+    assert exact == 1000 * 9223372036854775807 * 999999999999999 // (9223372036854775807 * 1000000007)
+
+
+# 13
+def trigrams(texts):
+    """Costs of a language model of some texts, by the operator's formula, over counted dictionaries."""
+    from plotline.llm import toxicity as M
+
+    counts = np.zeros(M.N**3)
+    for t in texts:
+        s = [int(M.SYMBOL[b]) for b in t.encode()]
+        s = [x for i, x in enumerate(s) if i == 0 or x or s[i - 1]]
+        for a, b, c in zip(s, s[1:], s[2:]):
+            counts[(a * M.N + b) * M.N + c] += 1
+    three = counts.reshape(M.N, M.N, M.N)
+    two = three.sum(axis=0)
+    one = two.sum(axis=0)
+    w3, w2, w1, w0 = M.MIXED
+    p = w1 * one / max(one.sum(), 1) + w0 / M.N + w2 * two[None] / np.maximum(two.sum(axis=1), 1)[None, :, None] + w3 * three / np.maximum(three.sum(axis=2), 1)[..., None]
+    return (-np.log(p)).astype(np.float32).ravel()
+
+
+PLAIN = ["the idiot said that the moron is a loser and that stupid trash is worthless ", "a clown is pathetic and the scum of the earth is disgusting the letters of the cat tell all "] * 20
+
+
+def test_language_model(spark):
+    from plotline.llm.toxicity import language_model
+
+    got = language_model(spark.createDataFrame([(t,) for t in [*PLAIN, "", None, "1d10t looooser a.b.c"]], "text string"))
+    assert np.allclose(got, trigrams([*PLAIN, "                    "]), atol=1e-5)
+
+
+def every_reading(unit, costs):
+    """The likeliest reading by trying all."""
+    from itertools import product
+
+    from plotline.llm import toxicity as M
+
+    cuts = [0, *(i for i in range(1, len(unit)) if unit[i] != unit[i - 1]), len(unit)]
+    part = [False, *(bool(M.LETTER[unit[i]] or M.SIGNED[unit[i]]) for i in cuts[:-1]), False]
+    options = []
+    for j in range(1, len(cuts)):
+        lone = (part[j - 1] and (j < 3 or not part[j - 2])) or (part[j + 1] and (j + 2 >= len(part) or not part[j + 2]))
+        options.append(M._options(unit[cuts[j - 1]], cuts[j] - cuts[j - 1], part[j - 1] and part[j + 1], lone))
+    best = (np.inf, b"")
+    for path in product(*options):
+        cost, a, b = 0.0, 0, 0
+        for symbols, more, _ in path:
+            cost += more
+            for s in symbols:
+                if s or b:
+                    cost += costs[(a * M.N + b) * M.N + s]
+                    a, b = b, s
+        cost += costs[(a * M.N + b) * M.N] if b else 0.0
+        if cost < best[0] - 1e-9:
+            best = (cost, b"".join(t for _, _, t in path))
+    return best
+
+
+def test_viterbi_finds_the_likeliest_reading():
+    from plotline.llm.toxicity import decode
+
+    costs = trigrams(PLAIN)
+    view = memoryview(costs)
+    wanted = {b"1d10t": b"idiot", b"m0r0n": b"moron", b"$tup1d": b"stupid", b"l o s e r": b"loser", b"s.c.u.m": b"scum", b"tr@sh": b"trash", b"l00ser": b"loser", b"w0rth1e55": b"worthless", b"cl0wn!!!": b"clown!!!", b"idi0t.": b"idiot.", b"t e l l": b"tell"}
+    for unit, text in wanted.items():
+        assert decode(unit, view) == text, unit
+    rng = random.Random(4)
+    for _ in range(150):
+        unit = "".join(rng.choice("idot1050$@!.- aes") for _ in range(rng.randrange(1, 9))).encode()
+        cost, text = every_reading(unit, costs)
+        assert decode(unit, view) == text or abs(every_reading(unit, costs)[0] - cost) < 1e-6
+
+
+def test_units_and_restoring(spark):
+    from plotline.llm import toxicity as M
+
+    texts = ["plain words, only. 1984 is a number! ok", "an 1d10t here", "so looooong", "i d i o t", "a b", "x-y-z w", "1 2 3 4", "thinly$$$", "", "été c'est", "e" * 5000]
+    data = "".join(texts).encode()
+    offs = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    s, e = M.units(np.frombuffer(data, np.uint8), offs)
+    assert [data[a:b].decode() for a, b in zip(s, e)] == ["1d10t", "looooong", "i d i o t", "x-y-z", "thinly$$$", "e" * 5000]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate([*texts, None, "An 1D10T, l o s e r É"])], "score long, text string, predicted string")
+    out = {r.score: r.text for r in M.deobfuscate(df, trigrams(PLAIN)).collect()}
+    assert out[0] == texts[0] and out[1] == "an idiot here" and out[8] == out[11] == "" and out[9] == texts[9] and out[12] == "an idiot, loser é"
+    assert M.deobfuscate(df, trigrams(PLAIN)).columns == df.columns
+
+
+def toxic_corpus():
+    rng = random.Random(9)
+    bad = ["idiot", "moron", "loser", "trash"]
+    hide = [lambda w: w, lambda w: w, lambda w: w, lambda w: w.replace("o", "0").replace("i", "1"), lambda w: " ".join(w), lambda w: w[0] + w[1] * 4 + w[2:], lambda w: w.upper()]
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 5 == 0
+        w = words(rng, rng.randrange(30, 120), 900)
+        if toxic:
+            for _ in range(rng.randrange(1, 5)):
+                w.insert(rng.randrange(len(w)), rng.choice(hide)(rng.choice(bad)))
+        rows.append((i, " ".join(w), rng.choice(["en", None]), "s", 1.0))
+        if i % 10 < 8:
+            labels.append((i, int(toxic), 1))
+    rows += [(5000, "", None, None, 1.0), (5001, None, "en", "s", 1.0), (5002, "word " * 60_000 + "idiot", "en", "s", 1.0), (None, "idiot moron", "en", "s", 1.0), rows[0], rows[0]]
+    labels += [(3, None, 1), (4, 0, 1), (4, 0, 1), (None, 1, 1), (9999, 1, 1)]
+    return rows, labels
+
+
+def scored(spark, rows, labels):
+    from plotline.llm.toxicity import toxicity
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double")
+    return toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int, quality int"))
+
+
+def test_toxicity(spark):
+    rows, labels = toxic_corpus()
+    out = scored(spark, rows, labels)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"]
+    got = out.collect()
+    assert len(got) == len(rows) and all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    held = [r for r in got if r.held_out and r.doc_id < 1200]
+    toxic = [r for r in held if r.doc_id % 5 == 0]
+    assert len(toxic) > 30 and np.mean([r.predicted for r in toxic]) > 0.95 and np.mean([r.predicted for r in held if r.doc_id % 5]) < 0.02
+    one = {r.doc_id: r.score for r in got}
+    assert one[5000] == one[5001] < 0.3 < one[5002] and one[None] > 0.3
+    # labels of held-out rows, languages and sources change nothing; nor do reruns
+    flipped = [(i, 1 - t if t is not None and i is not None and zlib.crc32(str(i).encode()) % 4 == 2 else t, q) for i, t, q in labels]
+    again = scored(spark, [(i, t, "de", "other", 2.0) for i, t, *_ in rows], flipped).collect()
+    assert np.allclose(sorted(r.score for r in again), sorted(r.score for r in got), atol=1e-9)
+
+
+def test_toxicity_without_labels_or_rows(spark):
+    rows, labels = toxic_corpus()
+    assert scored(spark, [], labels).count() == 0
+    for some in ([], [x for x in labels if x[1] == 0]):
+        got = scored(spark, rows[:20], some).collect()
+        assert len(got) == 20 and len({r.score for r in got}) == 1
