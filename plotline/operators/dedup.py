@@ -13,7 +13,7 @@ from plotline.operators.aggs import reconcile
 def dispositions(df: DataFrame, *, key: str, core: Sequence[str], status: Sequence[str], prefer: Sequence, scope: Sequence[str] = ()) -> DataFrame:
     """Adds ``disposition`` and ``kept`` to every row, and ``conflict`` to the kept ones.
 
-    invalid_key: null key, dropped. unique: the only row of its key. exact: all rows agree on core and status columns;
+    invalid_key: null key, dropped; such rows are no group, and are never brought together. unique: the only row of its key. exact: all rows agree on core and status columns;
     one is kept. status_variant: they agree on the core columns only; one is kept, its disagreeing status columns are
     null and ``conflict`` is true. conflict: the core columns disagree; all rows are quarantined. ``prefer`` must order
     a key's rows totally, best first. With ``scope``, keys are told apart by those columns too (one source, say); they
@@ -26,15 +26,18 @@ def dispositions(df: DataFrame, *, key: str, core: Sequence[str], status: Sequen
         F.count(F.lit(1)).alias("_rows"), F.count_distinct("_core").alias("_cores"), F.count_distinct("_all").alias("_alls"),
         *[F.count_distinct(nul(s)).alias(f"_s_{s}") for s in status],
     )
-    d = d.join(groups, by, "left")
+    # rows without a key join nothing and take part in no window
+    lost = d.where(F.col(key).isNull())
+    d = d.where(F.col(key).isNotNull()).join(groups, by, "left")
     kind = (
-        F.when(F.col(key).isNull(), "invalid_key").when(F.col("_rows") == 1, "unique").when(F.col("_alls") == 1, "exact").when(F.col("_cores") == 1, "status_variant").otherwise("conflict")
+        F.when(F.col("_rows") == 1, "unique").when(F.col("_alls") == 1, "exact").when(F.col("_cores") == 1, "status_variant").otherwise("conflict")
     )
     nth = F.row_number().over(Window.partitionBy(*by).orderBy(*prefer))
     d = d.withColumn("disposition", kind).withColumn("kept", F.col("disposition").isin("unique", "exact", "status_variant") & (nth == 1))
     d = d.withColumn("conflict", F.col("disposition") == "status_variant")
     d = d.withColumns({s: F.when(~F.col("conflict") | (F.col(f"_s_{s}") == 1), F.col(s)) for s in status})
-    return d.select(*df.columns, "disposition", "kept", "conflict")
+    lost = lost.select(*df.columns, F.lit("invalid_key").alias("disposition"), F.lit(False).alias("kept"), F.lit(False).alias("conflict"))
+    return d.select(*df.columns, "disposition", "kept", "conflict").unionByName(lost)
 
 
 def funnel(disposed: DataFrame, keys: Sequence[str]) -> DataFrame:

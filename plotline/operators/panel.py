@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Sequence
 
 import numpy as np
@@ -163,3 +164,20 @@ def carry_vintage(df: DataFrame, year: str, to: int, units: int) -> DataFrame:
 def coverage(df: DataFrame, by: str, unit: str, least: int) -> DataFrame:
     """Distinct units per period and whether there are enough of them."""
     return df.groupBy(by).agg(F.count_distinct(unit).alias("units")).withColumn("covered", F.col("units") >= least)
+
+
+def transaction_panel(sales: DataFrame, keys: Sequence[str], eligible: Column, *, price: str, bound: str, lower: float, upper: float, tier: str, schema: str, first: Sequence[str], households: str | None = None) -> DataFrame:
+    """Cells of the eligible sales whose ``bound`` price is above ``lower`` and up to ``upper``, and whose tier is known: by
+    ``keys`` and ``tier`` the number of transactions, the median of ``price``, log_price, the columns ``first`` (alike in a
+    cell by contract; the smallest stands for it), dominant_schema (the most frequent, the first by name at a tie) and
+    log_households. A null ``eligible`` or bound leaves a sale out, a null price only the median."""
+    good = F.coalesce(eligible, F.lit(False)) & (F.col(bound) > lower) & (F.col(bound) <= upper) & F.col(tier).isNotNull()
+    by = [*keys, tier]
+    d = sales.where(good)
+    cells = d.groupBy(*by).agg(F.count(F.lit(1)).alias("transactions"), F.percentile(price, F.lit(0.5)).alias("median_price"), *[F.min(c).alias(c) for c in first])
+    # schemas are counted first, so that no cell's rows meet in one list
+    counts = d.groupBy(*by, schema).agg(F.count(F.lit(1)).alias("_n"))
+    most = counts.where(F.col(schema).isNotNull()).groupBy(*by).agg(F.min(F.struct(F.negative("_n"), schema)).alias("_m")).select(*by, F.col(f"_m.{schema}").alias("dominant_schema"))
+    null_safe = [cells[c].eqNullSafe(most[c]) for c in by]
+    out = cells.join(most, reduce(lambda a, b: a & b, null_safe), "left").select(cells["*"], "dominant_schema").withColumn("log_price", F.log("median_price"))
+    return out if households is None else out.withColumn("log_households", F.log(households))

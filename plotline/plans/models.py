@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotline.functions.special import chi2_p, normal_p
+from plotline.operators import panel as PN
 from plotline.operators import stats as S
 from plotline.operators.absorb import fit_absorbed, fit_absorbed_many, fit_many
 from plotline.plans import oracles as O
@@ -115,6 +116,56 @@ def pairs_bootstrap(spark, sf):
     return S.slope_ratio(draws, above, below, observed, reps=9999)
 
 
+_SALES = """sales as (select o_orderkey, o_orderpriority, o_orderstatus, n_name as county, date_trunc('month', o_orderdate)::date as m, o_totalprice as price, ln(o_totalprice) as y, c_acctbal / 1000 as hhi, (r_name = 'AMERICA')::int::double as treated, (o_orderdate >= timestamp '1998-01-01')::int::double as post,
+ month(o_orderdate) / 4.0 + (year(o_orderdate) - 1995) / 2.0 as rate_gap, (o_totalprice > 200000 and o_totalprice <= 400000)::int::double as mid, (o_totalprice > 400000)::int::double as lux, c_mktsegment from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
+
+
+def sales(spark, sf) -> DataFrame:
+    """A row for each order with what the models of single sales take."""
+    t = Tables(spark, sf)
+    j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    p = F.col("o_totalprice")
+    return j.select(
+        "o_orderkey", "o_orderpriority", "o_orderstatus", "c_mktsegment", F.col("n_name").alias("county"), F.trunc("o_orderdate", "month").alias("m"), p.alias("price"), F.log(p).alias("log_price"), (F.col("c_acctbal") / 1000).alias("hhi"), (F.col("r_name") == "AMERICA").cast("double").alias("treated"),
+        (F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).cast("double").alias("post"), (F.month("o_orderdate") / 4.0 + (F.year("o_orderdate") - 1995) / 2.0).alias("rate_gap"), F.when(p <= 200_000, "entry").when(p <= 400_000, "mid").otherwise("luxury").alias("tier"),
+    )
+
+
+#: The models of single sales by their terms, and the terms' SQL.
+SALE_MODELS = {"base": ["rate_gap", "tier", "treated", "hhi"], "interact": ["rate_gap*tier", "treated", "hhi"], "did_simple": ["treated*post"], "did": ["treated*post", "hhi"], "did_triple": ["treated*post*tier", "hhi"]}
+_TERM = {"(Intercept)": "1.0", "tier=mid": "mid", "tier=luxury": "lux"}
+
+
+def _terms(model: str) -> dict[str, str]:
+    names = list(S.design(None, SALE_MODELS[model], {"tier": TIERS}, ("rate_gap", "treated", "post", "hhi")))
+    return {n: " * ".join(_TERM.get(x, x) for x in n.split(":")) for n in names}
+
+
+def _sale_model_sql(model: str) -> str:
+    terms = _terms(model)
+    c, k = list(terms.values()), len(terms)
+    return f"""select '{model}' as model, * from (with recursive {_SALES}, {O.solved('sales', c, 'y')}, x as (select any_value(s.beta) as beta, any_value(s.inv) as inv, any_value(s.n) as n, sum((y - {O.fitted(c)}) ** 2) as rss from sales, solved s), {O.tidy(list(terms), f'inv[i][i] * rss / (n - {k})', 'x', True)})"""
+
+
+@_rounding("estimate std_error z p_value low high percent_effect", " union all ".join(_sale_model_sql(m) for m in SALE_MODELS))
+def sale_models(spark, sf):
+    """Five models of single sales' log prices from one pass over the sales."""
+    d = sales(spark, sf)
+    terms = {m: S.design(d, t, {"tier": TIERS}, ("rate_gap", "treated", "post", "hhi")) for m, t in SALE_MODELS.items()}
+    union = reduce(lambda a, b: a | b, terms.values())
+    fits, v = fit_many(d, {"y": F.col("log_price")}, union, {m: (F.lit(True), "y", list(t)) for m, t in terms.items()})
+    return _rounded(reduce(DataFrame.unionByName, [S.tidy(spark, f, v[m], True).withColumn("model", F.lit(m)) for m, f in fits.items()]))
+
+
+@query(f"""with {_SALES}, e as (select *, case when price <= 200000 then 'entry' when price <= 400000 then 'mid' else 'luxury' end as tier from sales where o_orderstatus <> 'P' and price > 75000 and price <= 450000),
+ s as (select county, m, tier, arg_min(o_orderpriority, (-n, o_orderpriority)) as dominant_schema from (select county, m, tier, o_orderpriority, count(*) as n from e group by all) group by all)
+ select county, m::varchar as m, tier, count(*) as transactions, quantile_cont(price, 0.5) as median_price, min(rate_gap) as rate_gap, any_value(dominant_schema) as dominant_schema, ln(quantile_cont(price, 0.5)) as log_price from e join s using (county, m, tier) group by county, m, tier""")
+def transaction_panel(spark, sf):
+    """Cells of the eligible sales inside other price bounds."""
+    p = PN.transaction_panel(sales(spark, sf), ["county", "m"], F.col("o_orderstatus") != "P", price="price", bound="price", lower=75_000, upper=450_000, tier="tier", schema="o_orderpriority", first=["rate_gap"])
+    return p.withColumn("m", F.col("m").cast("string"))
+
+
 #: Quarters from the shock are clamped to this range, and the one before it is the reference.
 QUARTERS, REFERENCE_QUARTER = (-28, 15), -1
 

@@ -96,7 +96,8 @@ def read_archives(spark: SparkSession, path: str, *, year: int | None = None, ar
 
 
 def read_members(archives: DataFrame) -> DataFrame:
-    """(archive, ordinal, name, bytes, content) of the archives' members in order; an archive over its limits raises."""
+    """(archive, ordinal, name, bytes, content) of the archives' members in order, from 1; an archive over its limits raises.
+    Each archive is one row in one task; `archives.scan_members` deals a large one out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -107,7 +108,7 @@ def read_members(archives: DataFrame) -> DataFrame:
                         raise ValueError(f"{archive}: more than {MAX_MEMBERS} members")
                     for at in range(0, len(infos), 200):
                         part = infos[at : at + 200]
-                        yield pd.DataFrame({"archive": archive, "ordinal": range(at, at + len(part)), "name": [i.filename for i in part], "bytes": [i.file_size for i in part], "content": [z.read(i) if i.file_size <= MAX_MEMBER else None for i in part]})
+                        yield pd.DataFrame({"archive": archive, "ordinal": range(at + 1, at + 1 + len(part)), "name": [i.filename for i in part], "bytes": [i.file_size for i in part], "content": [z.read(i) if i.file_size <= MAX_MEMBER else None for i in part]})
 
     return archives.select("archive", "content").mapInPandas(run, "archive string, ordinal int, name string, bytes long, content binary")
 

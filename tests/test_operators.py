@@ -1,6 +1,7 @@
 """Small hand-made cases of the library's operators."""
 
 import io
+import json
 import zipfile
 from collections import Counter
 
@@ -202,6 +203,63 @@ def test_archives(spark, tmp_path):
     assert status == {"2024": (4, 1, 3, "incomplete")}
     assert Counter(r.issue_code for r in XML.member_events(m).collect()) == Counter(["filename_key_mismatch", "non_xml_member", "malformed_xml"])
 
+def archive(path, members):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, body in members:
+            z.writestr(name, body)
+
+
+def test_members_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    from plotline.sources import archives as AR
+
+    body = lambda n: record(note="x" * 500).replace(b">123<", f">{n}<".encode())
+    archive(tmp_path / "a_2024-01-08-03-00-00.zip", [(f"27_{i}.xml", body(i)) for i in range(1, 301)] + [("dir/", b""), ("big.xml", b"y" * 5000)])
+    paths = [str(tmp_path / "a_2024-01-08-03-00-00.zip")]
+    m = AR.scan_members(spark, paths, range_bytes=20_000)
+    assert m.rdd.getNumPartitions() > 5
+    rows = m.orderBy("ordinal").collect()
+    assert [r.ordinal for r in rows] == list(range(1, 302)) and bytes(rows[6].content) == body(7) and rows[6].name == "27_7.xml" and rows[0].archive == "a_2024-01-08-03-00-00.zip"
+    assert XML.parse_members(m).where("issue_code = ''").count() == 300
+    assert AR.scan_members(spark, []).count() == 0
+    reader = lambda: AR.MemberReader({"paths": json.dumps(paths)})
+    monkeypatch.setattr(readers, "MAX_MEMBERS", 100)
+    with pytest.raises(ValueError, match="limits"):
+        reader().partitions()
+    monkeypatch.undo()
+    monkeypatch.setattr(readers, "MAX_ARCHIVE", 1000)
+    with pytest.raises(ValueError, match="limits"):
+        reader().partitions()
+
+
+def test_ingest_skips_what_is_registered(spark, tmp_path):
+    from plotline.sources import archives as AR
+
+    zips, root, check = tmp_path / "zips", str(tmp_path / "store"), str(tmp_path / "check")
+    zips.mkdir()
+    old, new = record(amount="300000"), record(amount="310000")
+    archive(zips / "w_2024-01-08-07-00-00.zip", [("27_123.xml", old), ("note.txt", b"x")])
+    run = lambda parser="1.0": AR.ingest_archives(spark, str(zips), root, parser=parser, checkpoint=check)
+    table = lambda name: sinks.committed(spark, root, name)
+    run()
+    assert table("observations").count() == table("versions").count() == 1 and {r.issue_code for r in table("events").collect()} == {"non_xml_member"}
+    run()  # nothing new
+    archive(zips / "w_2024-02-05-07-00-00.zip", [("27_123.xml", new)])
+    (zips / "copy.zip").write_bytes((zips / "w_2024-01-08-07-00-00.zip").read_bytes())  # the first one under another name
+    run()
+    registry = spark.read.parquet(f"{root}/registry").orderBy("extract_timestamp").collect()
+    assert [(r.status, r.members, r.valid, r.errors, r.parser_version) for r in registry] == [("incomplete", 2, 1, 1, "1.0"), ("complete", 1, 1, 0, "1.0")]
+    assert table("observations").count() == table("versions").count() == 2
+    # the latest extract wins, versions remain
+    seen = table("observations").join(spark.read.parquet(f"{root}/registry").select("archive_sha256", "extract_timestamp"), "archive_sha256").join(table("versions").select("version_id", "gross_sale_price"), "version_id")
+    assert W.latest(seen, ["source_key"], [F.desc("extract_timestamp")]).first().gross_sale_price == "310000"
+    # a batch that broke off before its registry row is not seen, and is read again
+    batch = spark.read.format("binaryFile").load(str(zips / "w_2024-02-05-07-00-00.zip")).select("path", "length", F.sha2("content", 256).alias("archive_sha256"))
+    assert AR.store_archives(batch, "1.0-9", root, "1.0") == 0
+    sinks.write_parquet(table("observations").drop("batch_id"), f"{root}/observations/batch_id=2.0-0")
+    assert table("observations").count() == 2
+    run("2.0")  # another parser reads all archives once more
+    assert table("observations").count() == table("versions").count() == 4 and spark.read.parquet(f"{root}/registry").count() == 4
+
 
 def test_delimited_layouts(spark, tmp_path):
     (tmp_path / "2015.txt").write_bytes("SDF_ID|County_ID|Conveyance_Date|C6_Sales_Price\n49-1|49|03/17/2015|250000\nJos\xe9\u20ac\u201c|01|x|\n".encode("cp1252"))
