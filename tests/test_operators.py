@@ -260,6 +260,45 @@ def test_ingest_skips_what_is_registered(spark, tmp_path):
     run("2.0")  # another parser reads all archives once more
     assert table("observations").count() == table("versions").count() == 4 and spark.read.parquet(f"{root}/registry").count() == 4
 
+def test_pages_are_fetched_by_tasks_with_retries(spark):
+    import http.server
+    import threading
+
+    from plotline.sources import paged
+
+    asked = Counter()
+
+    class Stub(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked[self.path] += 1
+            year = self.path.rsplit("=", 1)[-1]
+            code = 404 if year == "gone" else 503 if year == "2021" and asked[self.path] < 3 else 200
+            body = b"" if year == "none" else json.dumps([["NAME", "B19013_001E", "state", "zip code tabulation area"], [f"ZCTA {year}", "52000", None, "46202"], ["x", "-666666666", "18", "00602"], ["y", "abc", "18", "1"]]).encode()
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(body if code == 200 else b"busy")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = lambda year: f"http://127.0.0.1:{server.server_port}/acs?y={year}"
+    types = {"zip code tabulation area": "string", "B19013_001E": "double"}
+    try:
+        pages = paged.read_pages(spark, [url(y) for y in ("2020", "2021", "none")], types, missing=["-666666666"], wait=0.01)
+        assert pages.rdd.getNumPartitions() == 3
+        assert Counter(tuple(r)[1:] for r in pages.collect()) == Counter({("46202", 52000.0): 2, ("00602", None): 2, ("1", None): 2}) and asked["/acs?y=2021"] >= 3
+        with pytest.raises(Exception, match="404"):
+            paged.read_pages(spark, [url("gone")], types, wait=0.01).collect()
+        with pytest.raises(Exception, match="lacks"):
+            paged.read_pages(spark, [url("2020")], {"other": "string"}).collect()
+        assert paged.read_pages(spark, [], types).count() == 0
+    finally:
+        server.shutdown()
+    with pytest.raises(OSError):
+        paged.fetch(url("2020"), tries=2, wait=0.01, timeout=1)
+
 
 def test_delimited_layouts(spark, tmp_path):
     (tmp_path / "2015.txt").write_bytes("SDF_ID|County_ID|Conveyance_Date|C6_Sales_Price\n49-1|49|03/17/2015|250000\nJos\xe9\u20ac\u201c|01|x|\n".encode("cp1252"))
