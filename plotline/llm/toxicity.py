@@ -56,14 +56,17 @@ def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(starts) == 0:
         return starts, ends
     padded = np.concatenate([[32, 32], data, [32, 32]]).astype(np.uint8)
-    at = [padded[i : i + n] for i in range(5)]  # at[2] is the byte itself
+    at = [padded[i : i + n].copy() for i in range(5)]  # at[2] is the byte itself
+    for k in (-2, -1, 1, 2):  # neighbours in another document are blanks
+        for border in (offs[1:-1] - k + d for d in range(k)) if k > 0 else (offs[:-1] + d for d in range(-k)):
+            border = border[(border >= 0) & (border < n)]
+            at[2 + k][border] = 32
     letter = [LETTER[b] for b in at]
     sign = [~(x | BLANK[b]) for x, b in zip(letter, at)]
     odd = SIGNED[data] & (letter[3] | letter[1] & ~LATE[data])
     odd |= (data < 128) & letter[2] & (at[1] == data) & (at[3] == data)
     odd |= letter[2] & sign[1] & sign[3] & (letter[0] | letter[4])
     count = np.concatenate([[0], np.cumsum(odd)])
-    # words of different documents may touch: what lies across their border marks one word too many at most
     hit = count[ends] > count[starts]
     one = (ends - starts == 1) & (LETTER | SIGNED)[data[starts]]
     follows = np.zeros(len(starts), bool)
@@ -295,7 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, *, id_col: str =
         return none
     picked = [known.where(F.col("_toxic") == y).orderBy(F.xxhash64(id_col), id_col).limit(FIT_ROWS // 2) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(chosen, id_col)
+    # FIT_ROWS ids at most go to every task, so that no text is shuffled for them
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), id_col)
     rows = write_table(deobfuscate(rows.select("_text", "_toxic", id_col), costs, text_col="_text"), "toxic-rows")
     given = rows.select("_text", "_toxic")
 
