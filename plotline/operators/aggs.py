@@ -39,8 +39,9 @@ def quantile(c: Column, p: float) -> Column:
 CELLS = 2048
 
 
-def order_statistic(df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Column]) -> DataFrame:
-    """Values at 0-based ranks of the sorted non-null values; a pick is an expression over the group's size ``n``.
+def order_statistic(df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Column], size: str | None = None) -> DataFrame:
+    """Values at 0-based ranks of the sorted non-null values; a pick is an expression over the group's size ``n``, which
+    comes out as column ``size`` if that is given.
 
     No group is sorted or gathered: a sketch cuts the values' range into CELLS cells of about equal counts, a second pass
     counts rows by group and cell, and only the cells that hold a wanted rank are looked at value by value. The sketch
@@ -54,8 +55,8 @@ def order_statistic(df: DataFrame, keys: Sequence[str], value: str, picks: dict[
     by = Window.partitionBy(*keys)
     n = F.sum("_c").over(by).alias("n")
     before = (F.sum("_c").over(by.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before")
-    wanted = counts.select(*keys, "_cell", "_c", n, before).select(*keys, "_cell", "_c", "_before", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), p.cast("long").alias("at")) for k, p in picks.items()])).alias("_p"))
-    wanted = wanted.where((F.col("_p.at") >= F.col("_before")) & (F.col("_p.at") < F.col("_before") + F.col("_c"))).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_cell").alias("_in"), "_before", F.col("_p.name").alias("_name"), F.col("_p.at").alias("_at"))
+    wanted = counts.select(*keys, "_cell", "_c", n, before).select(*keys, "_cell", "_c", "_before", F.col("n").alias("_n"), F.explode(F.array(*[F.struct(F.lit(k).alias("name"), p.cast("long").alias("at")) for k, p in picks.items()])).alias("_p"))
+    wanted = wanted.where((F.col("_p.at") >= F.col("_before")) & (F.col("_p.at") < F.col("_before") + F.col("_c"))).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_cell").alias("_in"), "_before", "_n", F.col("_p.name").alias("_name"), F.col("_p.at").alias("_at"))
     same = F.col("_cell") == F.col("_in")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -64,24 +65,17 @@ def order_statistic(df: DataFrame, keys: Sequence[str], value: str, picks: dict[
     upto = F.sum("_c").over(Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     found = held.withColumn("_upto", upto).join(wanted, same)
     hit = (F.col("_at") - F.col("_before")).between(F.col("_upto") - F.col("_c"), F.col("_upto") - 1)
-    return found.where(hit).groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in picks])
+    sizes = [] if size is None else [F.max("_n").alias(size)]
+    return found.where(hit).groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in picks], *sizes)
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation (type 7) per group, by `order_statistic`: name -> probability."""
     place = lambda p: (F.col("n") - 1) * F.lit(float(p))
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    ends = order_statistic(df, keys, value, {f"_{side}_{name}": f(place(p)) for name, p in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))})
-    j = ends.join(sizes, F.lit(True) if not keys else _null_safe(ends, sizes, keys)).select(*[ends[k] for k in keys], sizes["n"], *[ends[c] for c in ends.columns if c not in keys])
-    mixed = lambda name, p: F.when(F.floor(place(p)) == F.ceil(place(p)), F.col(f"_lo_{name}").cast("double")).otherwise((F.ceil(place(p)) - place(p)) * F.col(f"_lo_{name}") + (place(p) - F.floor(place(p))) * F.col(f"_hi_{name}"))
-    return j.select(*keys, *[mixed(name, p).alias(name) for name, p in at.items()])
-
-
-def _null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & a[k].eqNullSafe(b[k])
-    return out
+    ends = order_statistic(df, keys, value, {f"_{side}_{name}": f(place(p)) for name, p in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))}, "_size")
+    at_end = lambda p: (F.col("_size") - 1) * F.lit(float(p))
+    mixed = lambda name, p: F.when(F.floor(at_end(p)) == F.ceil(at_end(p)), F.col(f"_lo_{name}").cast("double")).otherwise((F.ceil(at_end(p)) - at_end(p)) * F.col(f"_lo_{name}") + (at_end(p) - F.floor(at_end(p))) * F.col(f"_hi_{name}"))
+    return ends.select(*keys, *[mixed(name, p).alias(name) for name, p in at.items()])
 
 
 def higher(p: float) -> Column:
