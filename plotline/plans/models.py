@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotline.functions.special import chi2_p, normal_p
+from plotline.operators import aggs as A
 from plotline.operators import panel as PN
 from plotline.operators import stats as S
 from plotline.operators.absorb import fit_absorbed, fit_absorbed_many, fit_many
@@ -166,6 +167,56 @@ def transaction_panel(spark, sf):
     return p.withColumn("m", F.col("m").cast("string"))
 
 
+#: Eligible sales of each specification, as SQL: rows, tier, exposure and price.
+_TIER = "case when price <= 200000 then 'entry' when price <= 400000 then 'mid' else 'luxury' end"
+_OPEN = "o_orderstatus <> 'P' and price > 50000 and price <= 15000000"
+_ADJUSTED = "case when o_orderkey % 4 <> 0 then price * (1 - 0.05 * (o_orderkey % 3)) end"
+_SPEC_SQL = {
+    "quantile_tiers": (_OPEN, "case when price <= t1 then 'entry' when price <= t2 then 'mid' else 'luxury' end", "rate_gap", "price"),
+    "lag_3_months": (_OPEN, _TIER, "lag3", "price"), "lag_6_months": (_OPEN, _TIER, "lag6", "price"),
+    "strict_cohort": (f"{_OPEN} and o_orderstatus = 'F'", _TIER, "rate_gap", "price"), "exclude_recovered": (f"{_OPEN} and o_orderkey % 11 <> 0", _TIER, "rate_gap", "price"),
+    "exclude_recent": (f"{_OPEN} and m < date '2001-02-01'", _TIER, "rate_gap", "price"), "alternative_bounds": ("o_orderstatus <> 'P' and price > 75000 and price <= 450000", _TIER, "rate_gap", "price"),
+    "adjusted_price": (f"{_OPEN} and {_ADJUSTED} is not null", _TIER, "rate_gap", _ADJUSTED),
+}
+_X = ["1.0", "x", "mid", "lux", "treated", "x * mid", "x * lux"]
+
+
+@_rounding("estimate std_error", f"""with recursive {_SALES}, r as (select distinct m, rate_gap from sales), q as (select treated as tt, quantile_cont(price, 1/3) as t1, quantile_cont(price, 2/3) as t2 from sales where {_OPEN} group by 1),
+ s as (select sales.*, t1, t2, a.rate_gap as lag3, b.rate_gap as lag6 from sales left join q on treated = tt left join r a on a.m = (sales.m - interval 3 month)::date left join r b on b.m = (sales.m - interval 6 month)::date),
+ rows as ({' union all '.join(f"select '{n}' as spec, county, m, treated, {tier} as tier, {x} as x, {p} as p from s where {keep}" for n, (keep, tier, x, p) in _SPEC_SQL.items())}),
+ sets as (select spec, county, m, x, treated, (tier = 'mid')::int::double as mid, (tier = 'luxury')::int::double as lux, count(*)::double as transactions, ln(quantile_cont(p, 0.5)) as y from rows where x is not null group by spec, county, m, tier, x, treated),
+ {O.solved('sets', _X, 'y', 'transactions', 'spec')}, sc as (select spec, county, {'[' + ', '.join(f"sum(transactions * (y - {O.fitted(_X)}) * ({c}))" for c in _X) + ']'} as sc from sets join solved on g = spec group by all),
+ u as (select g, n, kept, beta, list_sum(list_transform(range(1, 8), lambda a: inv[2][a] * sc[a])) as u from sc join solved on g = spec)
+ select g as specification, any_value(n) as n, any_value(beta)[2] as estimate, sqrt(sum(u * u) * count(*) / (count(*) - 1) * (any_value(n) - 1) / (any_value(n) - any_value(kept))) as std_error from u group by 1""")
+def sensitivity_panels(spark, sf):
+    """The slope on panels built anew from single sales: other tiers, lagged exposures, a stricter cohort, without recovered
+    or recent rows, other bounds, another price. All panels are fitted from two passes over their union."""
+    d = sales(spark, sf)
+    months = d.select("m", "rate_gap").distinct()
+    later = lambda k: months.select(F.add_months("m", k).alias("m"), F.col("rate_gap").alias(f"lag{k}"))
+    opened = F.col("o_orderstatus") != "P"
+    inside = opened & F.col("price").between(50_000.005, 15_000_000)
+    cuts = A.quantiles(d.where(inside), ["treated"], "price", {"t1": 1 / 3, "t2": 2 / 3})
+    key = F.col("o_orderkey")
+    d = d.join(later(3), "m", "left").join(later(6), "m", "left").join(cuts, "treated", "left").withColumns({
+        "thirds": F.when(F.col("price") <= F.col("t1"), "entry").when(F.col("price") <= F.col("t2"), "mid").otherwise("luxury"), "adjusted": F.when(key % 4 != 0, F.col("price") * (1 - F.lit(0.05) * (key % 3))),
+    })
+
+    def cells(name: str, eligible=opened, *, x="rate_gap", tier="tier", price="price", lower=50_000, upper=15_000_000) -> DataFrame:
+        p = PN.transaction_panel(d, ["county", "m"], eligible, price=price, bound="price", lower=lower, upper=upper, tier=tier, schema="o_orderpriority", first=[x, "treated"])
+        return p.select(F.lit(name).alias("spec"), "county", F.col(tier).alias("tier"), F.col(x).alias("rate_gap"), "treated", "transactions", "log_price")
+
+    panels = [
+        cells("quantile_tiers", tier="thirds"), cells("lag_3_months", x="lag3"), cells("lag_6_months", x="lag6"), cells("strict_cohort", F.col("o_orderstatus") == "F"), cells("exclude_recovered", opened & (key % 11 != 0)),
+        cells("exclude_recent", opened & (F.col("m") < "2001-02-01")), cells("alternative_bounds", lower=75_000, upper=450_000), cells("adjusted_price", opened & F.col("adjusted").isNotNull(), price="adjusted"),
+    ]
+    p = reduce(DataFrame.unionByName, panels).cache()
+    columns = _columns(p, ["rate_gap*tier", "treated"])
+    fits, v = fit_many(p, {"y": F.col("log_price")}, columns, {n: (F.col("spec") == n, "y", list(columns)) for n in _SPEC_SQL}, F.col("transactions"), cluster="county")
+    rows = [(n, f.n, float(f.beta[at]), float(np.sqrt(v[n][at, at]))) for n, f in fits.items() for at in [f.names.index("rate_gap")]]
+    return _rounded(spark.createDataFrame(rows, "specification string, n long, estimate double, std_error double"))
+
+
 #: Quarters from the shock are clamped to this range, and the one before it is the reference.
 QUARTERS, REFERENCE_QUARTER = (-28, 15), -1
 
