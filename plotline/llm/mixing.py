@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.llm.common import ids_unique, keyed, write_table
+from plotline.llm.common import ids_unique, write_table
 
 CHUNK = 64
 #: First chunks of a source whose documents may be turned over for the words owed in the end.
@@ -108,13 +108,17 @@ def _turn_over(rows: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, src_null, src, size, source_size, target, copies, taken (= copies x size).
 
-    Null texts have size 0 and are never taken; a null source is a source of its own, the last. Rows with a null or
-    repeated id are told apart by a running number; equal rows may swap results. An empty table gives no rows. The
-    draws hang on ids alone, so reruns agree. Extra columns are ignored.
+    Null texts have size 0 and are never taken; a null source is a source of its own, the last. Where ids are repeated or
+    null, rows that agree in id, source and size are numbered; they may swap results, which no one can see. The draws
+    hang on these values alone, so that reruns agree under any partitioning. An empty table gives no rows. Extra columns
+    are ignored.
     """
-    salt = F.lit(0).cast("long") if ids_unique(docs.select(id_col), id_col) else F.monotonically_increasing_id()
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).isNull().alias("src_null"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), size.alias("size"), salt.alias("salt"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).isNull().alias("src_null"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), size.alias("size"))
+    if ids_unique(docs.select(id_col), id_col):
+        rows = rows.withColumn("salt", F.lit(0).cast("long"))
+    else:
+        rows = rows.groupBy(*rows.columns).count().select(*rows.columns, F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("salt"))
     rows = write_table(rows, "mix-rows")
     sizes = rows.groupBy("src_null", "src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     goals = write_table(source_targets(sizes, weights=weights, share=share, most=most), "mix-goals")
@@ -152,9 +156,13 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: ``docs`` with every document as often as it was taken, none or up to ``most`` times."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    rows = keyed(rows, "doc_id", "mix-keyed")
+    """The mix itself: ``docs`` with every document as often as it was taken, none or up to ``most`` times. Where ids are
+    repeated or null, rows go by their content, and equal rows by a number."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_rid"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    if not ids_unique(docs.select(id_col), id_col):
+        alike = rows.groupBy(F.sha2(F.to_json("row"), 256).alias("content")).agg(*[F.first(c).alias(c) for c in ("row", "text", "source")], F.count(F.lit(1)).alias("n"))
+        numbered = alike.select("row", "text", "source", "content", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+        rows = write_table(numbered.select("row", F.concat("content", F.lit("-"), F.col("k").cast("string")).alias("_rid"), "text", "source"), "mix-keyed")
     taken = mix_sources(rows.select("_rid", "text", "source"), id_col="_rid", **how).where("copies > 0").select(F.col("doc_id").alias("_rid"), "copies")
     both = rows.select("_rid", "row").join(taken, "_rid").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
     return both.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
