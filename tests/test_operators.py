@@ -299,6 +299,39 @@ def test_pages_are_fetched_by_tasks_with_retries(spark):
     with pytest.raises(OSError):
         paged.fetch(url("2020"), tries=2, wait=0.01, timeout=1)
 
+def test_simplified_neighbours_keep_equal_borders(spark):
+    from plotline.operators import geometry as G
+
+    rng = np.random.default_rng(4)
+    wave = [[10 + 0.3 * float(np.sin(k / 4)) + float(rng.normal()) * 1e-3, k / 10] for k in range(101)]  # the border between left and right, from (., 0) to (., 10)
+    left = [[0, 0], *wave, [0, 10], [0, 5.0001], [0, 0]]
+    hole = [[3, 3], [3, 4], [4, 4], [4, 3], [3, 3]]
+    right = [*wave[::-1], [20, 0], [20, 5], [20, 10], wave[-1]]
+    island = [[30 + float(np.cos(t)), float(np.sin(t))] for t in np.linspace(0, 2 * np.pi, 200)[:-1]]
+    island.append(island[0])
+    plug = hole[2:-1] + hole[:3]  # fills the hole, from another point on and the same way round
+    shapes = {
+        "left": {"type": "Polygon", "coordinates": [left, hole]}, "right": {"type": "MultiPolygon", "coordinates": [[right], [island]]}, "plug": {"type": "Polygon", "coordinates": [plug]},
+        "point": {"type": "Point", "coordinates": [1, 2]}, "none": None, "flat": {"type": "Polygon", "coordinates": [[[0, 0], [1, 1], [0, 0]]]},
+    }
+    df = spark.createDataFrame([(k, None if v is None else json.dumps(v)) for k, v in shapes.items()], "id string, geometry string")
+    out = {r.id: json.loads(r.geometry) for r in G.simplify(df, tolerance=0.02).collect()}
+    assert set(out) == {"left", "right", "plug"} and [out[k]["type"] for k in ("left", "right", "plug")] == ["Polygon", "MultiPolygon", "Polygon"]
+    edges = lambda ring: {frozenset((tuple(a), tuple(b))) for a, b in zip(ring, ring[1:])}
+    l, r = out["left"]["coordinates"][0], out["right"]["coordinates"][0][0]
+    border = {tuple(map(float, p)) for p in wave}
+    inside = lambda ring: {e for e in edges(ring) if all(p in border for p in e)}
+    assert inside(l) == inside(r) and 5 < len(inside(l)) < 60
+    assert edges(out["left"]["coordinates"][1]) == edges(out["plug"]["coordinates"][0])
+    for ring in (l, r, out["right"]["coordinates"][1][0]):
+        assert ring[0] == ring[-1] and len(ring) >= 4
+    assert [0.0, 5.0001] not in l and [20.0, 5.0] not in r and 4 < len(out["right"]["coordinates"][1][0]) < 60
+    near = lambda p, ring: min(abs((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])) / max(np.hypot(*np.subtract(b, a)), 1e-12) for a, b in zip(ring, ring[1:]) if min(np.hypot(*np.subtract(p, a)), np.hypot(*np.subtract(p, b))) <= np.hypot(*np.subtract(b, a)) + 0.02)
+    assert max(near(p, l) for p in wave) <= 0.02 + 1e-9
+    whole = {r.id: json.loads(r.geometry) for r in G.simplify(df, tolerance=1e9).collect()}  # no ring falls together
+    assert all(len({tuple(p) for p in ring}) >= 3 for ring in (whole["left"]["coordinates"][0], whole["right"]["coordinates"][0][0], whole["right"]["coordinates"][1][0], whole["plug"]["coordinates"][0]))
+    assert G.simplify(df.where("false")).count() == 0
+
 
 def test_delimited_layouts(spark, tmp_path):
     (tmp_path / "2015.txt").write_bytes("SDF_ID|County_ID|Conveyance_Date|C6_Sales_Price\n49-1|49|03/17/2015|250000\nJos\xe9\u20ac\u201c|01|x|\n".encode("cp1252"))
