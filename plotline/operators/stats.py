@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +16,8 @@ from pyspark.sql import functions as F
 from plotline.functions import special
 
 
-def design(df: DataFrame, terms: Sequence[str], factors: Mapping[str, Sequence[str]], numeric: Sequence[str]) -> dict[str, Column]:
-    """Design columns of formula terms: a name, or names joined by ':' for an interaction; 'a*b' expands to all of
-    'a', 'b', 'a:b'. A factor gives one dummy per level but the first."""
+def products(terms: Sequence[str], factors: Mapping[str, Sequence[str]], numeric: Sequence[str]) -> dict[str, list[tuple[str, object]]]:
+    """What each design column of formula terms multiplies, by its name: numeric names (with None) and factors' levels."""
     wanted: list[tuple[str, ...]] = []
     for t in terms:
         names = t.split("*")
@@ -24,19 +25,24 @@ def design(df: DataFrame, terms: Sequence[str], factors: Mapping[str, Sequence[s
             wanted.append(tuple(t.split(":")))
             continue
         for size in range(1, len(names) + 1):
-            from itertools import combinations
-
             wanted += list(combinations(names, size))
-    out: dict[str, Column] = {"(Intercept)": F.lit(1.0)}
+    out: dict[str, list[tuple[str, object]]] = {"(Intercept)": []}
     for names in sorted(dict.fromkeys(wanted), key=len):
-        cells: list[tuple[str, Column]] = [("", F.lit(1.0))]
+        cells: list[tuple[str, list[tuple[str, object]]]] = [("", [])]
         for n in names:
-            own = [(n, F.col(n).cast("double"))] if n in numeric else [(f"{n}={v}", (F.col(n) == v).cast("double")) for v in factors[n][1:]]
-            cells = [(f"{a}:{b}" if a else b, x * y) for a, x in cells for b, y in own]
+            own = [(n, (n, None))] if n in numeric else [(f"{n}={v}", (n, v)) for v in factors[n][1:]]
+            cells = [(f"{a}:{b}" if a else b, [*x, y]) for a, x in cells for b, y in own]
         out |= dict(cells)
     return out
 
 
+def design(df: DataFrame, terms: Sequence[str], factors: Mapping[str, Sequence[str]], numeric: Sequence[str]) -> dict[str, Column]:
+    """Design columns of formula terms: a name, or names joined by ':' for an interaction; 'a*b' expands to all of
+    'a', 'b', 'a:b'. A factor gives one dummy per level but the first."""
+    one = lambda n, v: F.col(n).cast("double") if v is None else (F.col(n) == v).cast("double")
+    return {name: reduce(lambda a, b: a * b, [one(*p) for p in parts], F.lit(1.0)) for name, parts in products(terms, factors, numeric).items()}
+
+
 def _cells(columns: Sequence[Column]) -> Column:
     """The non-zero design values of a row as (index, value): dummies make rows sparse."""
     cells = F.array(*[F.struct(F.lit(i).alias("i"), c.cast("double").alias("v")) for i, c in enumerate(columns)])

@@ -138,7 +138,7 @@ _TERM = {"(Intercept)": "1.0", "tier=mid": "mid", "tier=luxury": "lux"}
 
 
 def _terms(model: str) -> dict[str, str]:
-    names = list(S.design(None, SALE_MODELS[model], {"tier": TIERS}, ("rate_gap", "treated", "post", "hhi")))
+    names = list(S.products(SALE_MODELS[model], {"tier": TIERS}, ("rate_gap", "treated", "post", "hhi")))
     return {n: " * ".join(_TERM.get(x, x) for x in n.split(":")) for n in names}
 
 
