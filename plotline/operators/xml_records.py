@@ -54,7 +54,7 @@ _DTD = re.compile("<!(?:DOCTYPE|ENTITY)", re.I)
 
 
 class Rejected(ValueError):
-    """Why a member gives no record; the message is the issue's code."""
+    """Why a member gives no record; the message is the issue's code (fixed values, as are the schema variants' names)."""
 
 
 def recover(raw: bytes, *, cp1252: bool = True, repair: bool = True) -> tuple[ET.Element, str, list[str]]:

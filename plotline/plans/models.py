@@ -217,6 +217,17 @@ def sensitivity_panels(spark, sf):
     return _rounded(spark.createDataFrame(rows, "specification string, n long, estimate double, std_error double"))
 
 
+@query()
+def schema_era(spark, sf):
+    """The triple effect with controls for the schema that most of a cell's sales came in, alone and by tier and treatment."""
+    p = PN.transaction_panel(sales(spark, sf), ["county", "m"], F.col("o_orderstatus") != "P", price="price", bound="price", lower=50_000, upper=15_000_000, tier="tier", schema="o_orderpriority", first=["rate_gap", "treated", "hhi"]).cache()
+    eras = [r.dominant_schema for r in p.select("dominant_schema").distinct().orderBy("dominant_schema").collect()]  # a handful of forms
+    columns = S.design(p, ["rate_gap*tier*treated", "dominant_schema*tier*treated", "hhi"], {"tier": TIERS, "dominant_schema": eras}, ("rate_gap", "treated", "hhi"))
+    rows, fit = fit_absorbed(p, "log_price", columns, ["county", "m"], F.col("transactions"))
+    terms = S.tidy(spark, fit, S.cluster_vcov(rows, fit, "county"), True)
+    return terms.where(F.col("term") == S.select_term(fit.names, ["rate_gap", "tier=mid", "treated"]))
+
+
 #: Quarters from the shock are clamped to this range, and the one before it is the reference.
 QUARTERS, REFERENCE_QUARTER = (-28, 15), -1
 
