@@ -376,10 +376,24 @@ def test_event_study_keeps_the_earliest_quarter_out_of_the_reference(spark, monk
     from plotline.plans import models
 
     rng = np.random.default_rng(5)
-    data = [(f"{y}-01-01", y, f"c{c}", float(c % 2), float(rng.normal()), float(rng.normal()), 3.0) for y in range(1993, 2002) for c in range(8)]
-    p = spark.createDataFrame(data, "d string, y int, county string, treated double, income double, log_price double, transactions double").withColumn("m", F.to_date("d"))
+    quarters = [(y, q) for y in (1997, 1998) for q in range(4)]
+    rows = [(f"{y}-{3 * q + 1:02d}-01", f"c{c}", tier, float(c % 2), float(rng.normal()), float(rng.normal()), 3.0, 3.0 if (y, q) >= (1998, 1) else 1.0) for y, q in quarters for c in range(8) for tier in models.TIERS]
+    p = spark.createDataFrame(rows, "d string, county string, tier string, treated double, income double, log_price double, transactions double, rate_gap double").withColumn("m", F.to_date("d")).cache()
+    d, shock, found = models.event_panel(p, 1998, 2.5)
+    assert shock == 1998 * 4 + 2 and found == list(range(-5, 3)) and d.where("event_quarter = -5 and calendar_quarter = '1997Q1'").count() == 24
+    with pytest.raises(ValueError, match="no month"):
+        models.event_panel(p, 1997, 2.5)
     monkeypatch.setattr(models, "panel", lambda spark, sf: p)
-    assert any("q-4" in str(r[0]) for r in models.event_study(spark, "").collect())
+    out = {(r.event_quarter, r.comparison): (r.estimate, r.low, r.high) for r in models.event_study(spark, "").collect()}
+    assert {q for q, _ in out} == set(range(-5, 3)) and len(out) == 24
+    assert all((v == (0.0, 0.0, 0.0)) == (q == -1) for (q, _), v in out.items())
+    # the entry tier's effects by hand: differences of the treated and the others against the reference quarter, from dummies
+    f = {"county": [f"c{c}" for c in range(8)], "quarter": ["q-1", *(f"q{q}" for q in range(-5, 3) if q != -1)], "tier": models.TIERS}
+    dummies = d.withColumn("quarter", F.concat(F.lit("q"), F.col("event_quarter").cast("string")))
+    plain = S.wls(dummies, F.col("log_price"), S.design(dummies, ["quarter*treated*tier", "income", "county"], f, ("treated", "income")), F.col("transactions"))
+    for q in (-5, 2):
+        assert out[q, "entry treated minus others"][0] == pytest.approx(plain.beta[plain.names.index(f"quarter=q{q}:treated")], rel=1e-6)
+        assert out[q, "mid minus entry"][0] == pytest.approx(plain.beta[plain.names.index(f"quarter=q{q}:treated:tier=mid")], rel=1e-6)
 
 
 def test_accounting_tells_which_identity_a_lost_row_breaks(spark):
