@@ -218,7 +218,9 @@ def _split(texts: DataFrame, length: int, width: int) -> DataFrame:
 
 
 def _split_runs(hot: DataFrame, length: int, groups: bool, step: int = 0) -> DataFrame:
-    """Covered runs of the classes under hot minimizers, found in parts of their strings."""
+    """Covered runs of the classes under hot minimizers, found in parts of their strings. Without ``groups`` a class
+    has one run at most, so that its copies are not joined to every part's: all its strings hold one minimizer, so its
+    text is shorter than two strings and its parts' runs overlap."""
     parts = write_table(_split(hot, length, WIDTHS[step]), "suffix-parts")
     classes = parts.groupBy("mh2", "bh2").agg(F.any_value("at").alias("at"), F.any_value("text").alias("text"), (F.max("twice") | (F.count(F.lit(1)) > 1)).alias("twice"))
     classes = write_table(classes.withColumnsRenamed({"mh2": "mh", "bh2": "bh"}), "suffix-part-classes")
@@ -229,7 +231,8 @@ def _split_runs(hot: DataFrame, length: int, groups: bool, step: int = 0) -> Dat
         runs = runs.unionByName(_split_runs(both.where("hot").drop("hot"), length, groups, step + 1))
     back = parts.select("mh", "bh", "shift", "mh2", "bh2")
     runs = runs.withColumnsRenamed({"mh": "mh2", "bh": "bh2"}).join(back, ["mh2", "bh2"])
-    return runs.select("mh", "bh", (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"), "repeat")
+    runs = runs.select("mh", "bh", (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"), "repeat")
+    return runs if groups else runs.groupBy("mh", "bh").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.any_value("repeat").alias("repeat"))
 
 
 def _occurrences(rows: DataFrame, length: int, groups: bool) -> DataFrame:

@@ -82,6 +82,26 @@ def test_suffix_dedup_hot_minimizers_and_groups(spark, monkeypatch):
     monkeypatch.undo()
 
 
+def test_suffix_dedup_joins_a_block_once(spark, monkeypatch):
+    from plotline.llm import suffix_dedup as M
+
+    rng = random.Random(6)
+    text = words(rng, 250, 10**6)
+    rows = []
+    for i in range(40):  # near copies: many classes under each minimizer
+        w = list(text)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(w), "s"), (2 * i + 1, rows[-1][1] if rows and i % 4 == 0 else " ".join(w[5:]), "s")]
+    texts = M._rows(frame(spark, rows), "doc_id", "text")
+    blocks = M._find_blocks(texts, 400).count()
+    want = brute.removed([t for _, t, _ in rows])
+    for hot in (256, 8, 1):
+        monkeypatch.setattr(M, "HOT", hot)
+        assert 0 < M._occurrences(texts, 400, False).count() <= blocks
+        assert repeats(rows, spark) == Counter((d, *w) for (d, _, _), w in zip(rows, want))
+
+
 def test_suffix_dedup_long_text(spark):
     rng = random.Random(11)
     long = "".join(rng.choice("abcdefgh \n") for _ in range(1_300_000))
