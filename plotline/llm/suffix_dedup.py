@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ GRAM = 64
 HOT = 256
 #: Places of a hot minimizer that are dealt together, step by step.
 WIDTHS = (42, 6, 1)
-#: Bytes of text in one suffix array, unless one minimizer has more.
-CHUNK = 1 << 20
+#: Bytes of text in one suffix array, which takes about 150 times as much memory, unless one minimizer has more.
+CHUNK = 1 << 18
+#: Rows in a batch of found runs or of parts.
+ROWS = 1 << 12
 SECOND = mix(EXACT)
 _LOW = np.uint64((1 << 20) - 1)
 _PIECE = 1 << 20
@@ -105,12 +108,21 @@ def _find_blocks(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("_rid", "text").mapInArrow(run, "rid long, lo long, n long, mh long, bh long, at long")
 
 
+def _small(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of up to BLOCK_BYTES of column ``text``, or of one row: what is made of a slice is let go
+    before the next one."""
+    for b in batches:
+        for lo, hi, *_ in text_blocks(b.column(text)):
+            yield b.slice(lo, hi - lo)
+
+
 def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def repeats_in(texts: list[bytes], length: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], np.ndarray, np.ndarray]:
-    """(maximal repeats, data positions covered, offsets) of the texts; a repeat is (length, [(text, start), ...])."""
+def repeats_in(texts: list[bytes], length: int) -> tuple[Iterator[tuple[int, list[tuple[int, int]]]], np.ndarray, np.ndarray]:
+    """(maximal repeats, data positions covered, offsets) of the texts; a repeat is (length, [(text, start), ...]). Repeats
+    of near copies lie in each other, with many times as many occurrences as there are bytes: they are made one by one."""
     data, offs = _flat(texts)
     ends = np.repeat(offs[1:], np.diff(offs))
     packed = np.zeros(len(data), np.uint64)
@@ -128,7 +140,7 @@ def repeats_in(texts: list[bytes], length: int) -> tuple[list[tuple[int, list[tu
     np.add.at(edges, sa[hit], 1)
     np.add.at(edges, sa[hit] + best[hit], -1)
     owner = np.repeat(np.arange(len(texts)), np.diff(offs))
-    groups = [(n, [(int(owner[p]), int(p - offs[owner[p]])) for p in sa[lo : hi + 1]]) for lo, hi, n in spans]
+    groups = ((n, [(int(owner[p]), int(p - offs[owner[p]])) for p in sa[lo : hi + 1]]) for lo, hi, n in spans)
     return groups, np.cumsum(edges[:-1]) > 0, offs
 
 
@@ -154,7 +166,7 @@ def _suffix_runs(batches: Iterator[pa.RecordBatch], length: int, groups: bool) -
     repeat as a whole."""
     held: list[tuple[int, int, bytes, bool]] = []
 
-    def work(rows: list[tuple[int, int, bytes, bool]]) -> Iterator[pa.RecordBatch]:
+    def runs_of(rows: list[tuple[int, int, bytes, bool]]) -> Iterator[tuple[int, int, int, int, int | None]]:
         data, offs = _flat([r[2] for r in rows])
         h = _window_hashes(data, length)
         owner = np.searchsorted(offs, np.arange(len(h)), "right") - 1
@@ -164,7 +176,7 @@ def _suffix_runs(batches: Iterator[pa.RecordBatch], length: int, groups: bool) -
         same = h[order][1:] == h[order][:-1]
         some = np.zeros(len(rows), bool)  # blocks without a string that occurs twice need no suffix array
         some[owner[order[1:][same]]] = some[owner[order[:-1][same]]] = True
-        out: list[tuple[int, int, int, int, int | None]] = [(mh, bh, 0, len(t), _text_hash(t) if groups else None) for mh, bh, t, twice in rows if twice]
+        yield from ((mh, bh, 0, len(t), _text_hash(t) if groups else None) for mh, bh, t, twice in rows if twice)
         rows = [rows[i] for i in np.flatnonzero(some)]
         if rows:
             found, covered, offs = repeats_in([r[2] for r in rows], length)
@@ -172,15 +184,17 @@ def _suffix_runs(batches: Iterator[pa.RecordBatch], length: int, groups: bool) -
                 for n, places in found:
                     i, s = places[0]
                     key = _text_hash(rows[i][2][s : s + n])
-                    out += [(rows[i][0], rows[i][1], s, s + n, key) for i, s in places]
+                    yield from ((rows[i][0], rows[i][1], s, s + n, key) for i, s in places)
             else:
                 runs = zip(*(x.tolist() for x in _covered_runs(covered, offs)))
-                out += [(rows[i][0], rows[i][1], s, e, None) for i, s, e in runs if not rows[i][3]]
-        if out:
+                yield from ((rows[i][0], rows[i][1], s, e, None) for i, s, e in runs if not rows[i][3])
+
+    def work(rows: list[tuple[int, int, bytes, bool]]) -> Iterator[pa.RecordBatch]:
+        for out in batched(runs_of(rows), ROWS):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["mh", "bh", "start", "end", "repeat"])
 
     size = 0
-    for b in batches:
+    for b in _small(batches, 2):
         for row in zip(*(b.column(k).to_pylist() for k in range(4))):
             if size >= CHUNK and held[-1][0] != row[0]:
                 yield from work(held)
@@ -196,25 +210,28 @@ def _suffix_arrays(texts: DataFrame, length: int, groups: bool) -> DataFrame:
     return sorted_.mapInArrow(lambda it: _suffix_runs(it, length, groups), "mh long, bh long, start long, end long, repeat long")
 
 
+def _parts(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+    def of(b: pa.RecordBatch) -> Iterator[tuple]:
+        for mh, bh, at, text, twice in zip(*(b.column(k).to_pylist() for k in range(5))):
+            strings = len(text) - length + 1
+            for r in range(max(0, at - strings + 1) // width, at // width + 1):
+                near, far = r * width, r * width + width - 1  # places of the minimizer, counted from the string's start
+                lo, hi = max(0, at - far), min(strings - 1, at - near)
+                part, core = text[lo : hi + length], text[at - near : max(at - near, at - far + length)]
+                yield mh, bh, lo, _text_hash(b"%d %d %d " % (mh, width, r) + core), _text_hash(part), at - lo, part, twice
+
+    names = ("mh", "bh", "shift", "mh2", "bh2", "at", "text", "twice")
+    kinds = [pa.int64()] * 6 + [pa.binary(), pa.bool_()]
+    for b in _small(batches, 3):
+        for rows in batched(of(b), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
+
+
 def _split(texts: DataFrame, length: int, width: int) -> DataFrame:
     """The classes (mh, bh, at, text, twice) in parts (mh, bh, shift, mh2, bh2, at2, text, twice): of the strings with the
     minimizer at ``width`` neighbouring places, ``mh2`` hashing what they share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for mh, bh, at, text, twice in zip(*(b.column(k).to_pylist() for k in range(5))):
-                strings = len(text) - length + 1
-                for r in range(max(0, at - strings + 1) // width, at // width + 1):
-                    near, far = r * width, r * width + width - 1  # places of the minimizer, counted from the string's start
-                    lo, hi = max(0, at - far), min(strings - 1, at - near)
-                    part, core = text[lo : hi + length], text[at - near : max(at - near, at - far + length)]
-                    rows.append((mh, bh, lo, _text_hash(b"%d %d %d " % (mh, width, r) + core), _text_hash(part), at - lo, part, twice))
-            names = ("mh", "bh", "shift", "mh2", "bh2", "at", "text", "twice")
-            kinds = [pa.int64()] * 6 + [pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(8)], names=names)
-
-    return texts.select("mh", "bh", "at", "text", "twice").mapInArrow(run, "mh long, bh long, shift long, mh2 long, bh2 long, at long, text binary, twice boolean")
+    kinds = "mh long, bh long, shift long, mh2 long, bh2 long, at long, text binary, twice boolean"
+    return texts.select("mh", "bh", "at", "text", "twice").mapInArrow(lambda it: _parts(it, length, width), kinds)
 
 
 def _split_runs(hot: DataFrame, length: int, groups: bool, step: int = 0) -> DataFrame:
@@ -390,7 +407,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     both = rows.join(told, "_rid", "left").select("doc_id", "text", "found", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches, 1):
             sizes, gone, runs, kept, texts = [], [], [], [], []
             for text, found in zip(b.column(1), b.column(2)):
                 raw = text.as_py().encode("utf-8", "surrogatepass")

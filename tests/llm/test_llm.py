@@ -102,6 +102,38 @@ def test_suffix_dedup_joins_a_block_once(spark, monkeypatch):
         assert repeats(rows, spark) == Counter((d, *w) for (d, _, _), w in zip(rows, want))
 
 
+def test_suffix_dedup_memory_of_near_copies():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from plotline.llm import suffix_dedup as M
+
+    rng = random.Random(15)
+    texts = []
+    for _ in range(8):
+        text = [rng.choice("abcdefgh ") for _ in range(736)]
+        for _ in range(250):  # just under HOT; their repeats lie in each other
+            at = rng.randrange(736)
+            texts.append("".join(text[:at] + ["X"] + text[at + 1 :]).encode())
+    twice = [False] * len(texts)
+    given = lambda *c: pa.RecordBatch.from_arrays([pa.array(x) for x in c], names=[str(i) for i in range(len(c))])
+    mh, bh = [i // 250 for i in range(len(texts))], list(range(len(texts)))
+    tracemalloc.start()
+    try:
+        found = [r for b in M._suffix_runs(iter([given(mh, bh, texts, twice)]), 400, False) for r in b.to_pylist()]
+        assert tracemalloc.get_traced_memory()[1] < 120e6  # of 1.5 MB of text
+    finally:
+        tracemalloc.stop()
+    gone = Counter()
+    for r in found:
+        gone[r["bh"]] += r["end"] - r["start"]
+    assert [gone[i] for i in bh] == [n for _, n, *_ in brute.removed([t.decode() for t in texts])]
+    # a batch of classes does not come out as one batch of all its parts
+    parts = [b for b in M._parts(iter([given(mh, bh, [350] * len(texts), texts, twice)]), 400, 6)]
+    assert max(b.num_rows for b in parts) <= M.ROWS < sum(b.num_rows for b in parts) / 4
+
+
 def test_suffix_dedup_long_text(spark):
     rng = random.Random(11)
     long = "".join(rng.choice("abcdefgh \n") for _ in range(1_300_000))
