@@ -26,49 +26,79 @@ def _every(k: Column, n: int) -> Column:
     return k % n == 0
 
 
-def _members(spark, sf: str, version: int = 1) -> DataFrame:
-    """(archive, ordinal, name, bytes, content): a member for each order, its line items as child rows. Version 2 differs
-    in the deed (every 5th), the points (every 7th), the personal property (every 8th) and the uses (every 9th)."""
+def _orders(spark, sf: str) -> DataFrame:
+    """The orders with the XML of their line items: parcel, use and goods, and use_again of version 2."""
     t = Tables(spark, sf)
-    k, n = F.col("o_orderkey"), F.col("l_linenumber")
-    legacy = ~_every(k, 3)
-    again = F.lit(version == 2)
-    wrapped = lambda form, body: F.when(legacy, F.concat(F.lit(f"<{_WRAP}{form}>"), body, F.lit(f"</{_WRAP}{form}>"))).otherwise(body)
-    use = F.concat(
-        _tag("id", n), F.when(legacy & _every(k, 2), F.concat(_tag("propertyTypeCode", F.when(n < 3, "RES").otherwise("COM")), _tag("propertyUseCode", F.lit("HOUSESGL"))))
+    k, n, flag = F.col("o_orderkey"), F.col("l_linenumber"), F.col("l_returnflag")
+    # line items are dealt by order as they are, texts are made of them there
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_extendedprice").repartition("o_orderkey")
+    parcel = F.when(n == 7, F.lit("<parcels/>")).otherwise(F.concat(F.lit("<parcels>"), _tag("id", n), _tag("parcelId", F.col("l_partkey")), _tag("primary", F.when(n == 1, "true")), F.lit("</parcels>")))
+    codes = (
+        F.when(~_every(k, 3) & _every(k, 2), F.concat(_tag("propertyTypeCode", F.when(n < 3, "RES").otherwise("COM")), _tag("propertyUseCode", F.lit("HOUSESGL"))))
         .otherwise(F.concat(_tag("tier1Cde", F.when(n < 5, "RESID").otherwise("COMM")), _tag("tier2Cde", F.lit("SINGLEFAM"))))
     )
-    timing = F.when((F.col("l_returnflag") == "A") & ~(again & _every(k, 9)), "usesBeforeSale").when(F.col("l_returnflag") == "R", "plannedUses")
+    timing = F.when(flag == "A", "usesBeforeSale").when(flag == "R", "plannedUses")
+    use = F.when(timing.isNotNull(), F.concat(F.lit("<"), timing, F.lit(">"), _wrapped("PlannedUseForm", F.concat(_tag("id", n), codes)), F.lit("</"), timing, F.lit(">")))
     value = F.when(n == 4, F.lit(None)).otherwise(F.format_string("%.2f", F.col("l_extendedprice")))
     goods = F.when(F.col("l_linestatus") == "F", F.concat(F.lit("<personalProperties>"), _tag("id", n), _tag("selected", F.when(n % 2 == 1, "true").otherwise("no")), _tag("propertyValue", value), F.lit("</personalProperties>")))
-    lines = t.lineitem.select(
-        F.col("l_orderkey").alias("o_orderkey"), n,
-        F.when(n == 7, F.lit("<parcels/>")).otherwise(F.concat(F.lit("<parcels>"), _tag("id", n), _tag("parcelId", F.col("l_partkey")), _tag("primary", F.when(n == 1, "true")), F.lit("</parcels>"))).alias("parcel"),
-        timing.alias("timing"), use.alias("use"), goods.alias("goods"),
-    )
-    lines = lines.withColumn("use", F.when(F.col("timing").isNotNull(), F.concat(F.lit("<"), "timing", F.lit(">"), wrapped("PlannedUseForm", F.col("use")), F.lit("</"), "timing", F.lit(">"))))
-    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.coalesce(c, F.lit("")).alias("x")))), lambda s: s["x"]), "")
-    kids = lines.groupBy("o_orderkey").agg(*[ordered(c).alias(c) for c in ("parcel", "use", "goods")])
+    texts = lines.select("o_orderkey", F.struct(n.alias("n"), *[F.coalesce(c, F.lit("")).alias(name) for name, c in (("parcel", parcel), ("use", use), ("goods", goods))], (flag == "A").alias("before")).alias("line"))
+    kids = texts.groupBy("o_orderkey").agg(F.collect_list("line").alias("lines"))
     o = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").join(kids, "o_orderkey", "left")
+
+    def ordered(name, lines="lines"):
+        pairs = F.array_sort(F.transform(lines, lambda x: F.struct(x["n"], x[name].alias("x"))))
+        return F.coalesce(F.array_join(F.transform(pairs, lambda s: s["x"]), ""), F.lit(""))
+
+    planned = F.filter("lines", lambda x: ~F.coalesce(x["before"], F.lit(False)))
+    o = o.withColumns({name: ordered(name) for name in ("parcel", "use", "goods")} | {"lines": F.when(_every(k, 9), planned)})
+    return o.withColumn("use_again", F.when(_every(k, 9), ordered("use")).otherwise(F.col("use"))).drop("lines")
+
+
+def _wrapped(form: str, body: Column) -> Column:
+    return F.when(~_every(F.col("o_orderkey"), 3), F.concat(F.lit(f"<{_WRAP}{form}>"), body, F.lit(f"</{_WRAP}{form}>"))).otherwise(body)
+
+
+def _form(again: bool) -> Column:
+    """The text of an order's member."""
+    k = F.col("o_orderkey")
+    legacy = ~_every(k, 3)
     none = F.lit("")
     county = F.when(_every(k, 37), (k % 90).cast("string")).otherwise(F.lpad((k % 90).cast("string"), 2, "0"))
     day = F.when(_every(k, 29), F.lit("1996-02-31T00:00:00-06:00")).when(_every(k, 31), F.lit("1996-2-3")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00-06:00"))
     price = F.when(_every(k, 17), none).when(_every(k, 41), F.lit(".5")).when(_every(k, 43), F.lit("1e5")).when(_every(k, 47), F.lit("NaN")).when(_every(k, 53), F.lit("-1.50")).otherwise(F.format_string("%.4f", F.col("o_totalprice")))
-    points = F.when(_every(k, 79), F.lit("abc")).when(_every(k, 4), (k % 1000 + F.when(again & _every(k, 7), 1).otherwise(0)).cast("string"))
-    deed = F.when(again & _every(k, 5), F.lit("TRUSTEE")).when(_every(k, 10), F.lit("QUITCLAIM")).when(~_every(k, 6), F.lit("LIMWARRNTY"))
+    points = F.when(_every(k, 79), F.lit("abc")).when(_every(k, 4), (k % 1000 + (F.when(_every(k, 7), 1).otherwise(0) if again else 0)).cast("string"))
+    deed = F.when(_every(k, 10), F.lit("QUITCLAIM")).when(~_every(k, 6), F.lit("LIMWARRNTY"))
+    deed = F.when(_every(k, 5), F.lit("TRUSTEE")).otherwise(deed) if again else deed
     note = F.when(_every(k, 11), F.lit("a&#11;b")).when(_every(k, 13), F.lit("a\x0bb")).when(_every(k, 61), F.lit("a & b")).when(_every(k, 73), F.lit("café")).otherwise(F.lit(" ok "))
-    money = F.when(_every(k, 2), F.concat(F.lit("<financeArrangements>"), wrapped("FinanceForm", F.concat(_tag("id", k), _tag("selected", F.lit("true")), _tag("contractMortgageAmt", F.col("o_custkey")))), F.lit("</financeArrangements>"))).otherwise(none)
+    money = F.when(_every(k, 2), F.concat(F.lit("<financeArrangements>"), _wrapped("FinanceForm", F.concat(_tag("id", k), _tag("selected", F.lit("true")), _tag("contractMortgageAmt", F.col("o_custkey")))), F.lit("</financeArrangements>"))).otherwise(none)
     root = F.when(_every(k, 83), F.lit("other")).when(legacy, F.lit(XML.ROOTS[1])).otherwise(F.lit(XML.ROOTS[0]))
     start = F.when(_every(k, 59), F.lit(' <?xml version="1.0"?>')).when(_every(k, 67), F.lit('<?xml version="1.0" encoding="ISO-8859-1"?>')).when(_every(k, 71), F.lit("<!DOCTYPE x>")).otherwise(F.lit('<?xml version="1.0" encoding="UTF-8"?>'))
-    form = F.concat(
+    return F.concat(
         start, F.lit("<"), root, F.lit(">"), F.lit("<headerForm>"), _tag("countyCde", county), _tag("crvNumberId", k), F.lit("</headerForm><propertyForm>"),
         _tag("county", F.when(_every(k, 19), F.lit("88")).when(_every(k, 23), F.lit("  ")).when(_every(k, 2), county)), _tag("whatIsIncludedInSale", note), _tag("newBuildingsOnSaleYear", F.when(_every(k, 3), "Y").when(_every(k, 5), "maybe").otherwise("0")),
-        F.coalesce("parcel", none), F.lit("<mnPropertyAddresses>"), _tag("id", F.lit(1)), _tag("city", F.concat(F.lit(" City "), (F.col("o_custkey") % 9).cast("string"))), F.lit("</mnPropertyAddresses>"), F.coalesce("use", none),
+        F.col("parcel"), F.lit("<mnPropertyAddresses>"), _tag("id", F.lit(1)), _tag("city", F.concat(F.lit(" City "), (F.col("o_custkey") % 9).cast("string"))), F.lit("</mnPropertyAddresses>"), F.col("use_again" if again else "use"),
         F.lit("</propertyForm><salesAgreementForm>"), _tag("deedContractDate", day), _tag("totPurchaseAmt", price), _tag("sellerPdPts", points), _tag("deedTypeCde", deed), _tag("personalPropertyIncludedInTotal", F.when(_every(k, 2), "true").otherwise("false")), money,
-        F.when(again & _every(k, 8), none).otherwise(F.coalesce("goods", none)), F.lit("</salesAgreementForm><supplementaryForm>"), _tag("relatedInd", F.when(_every(k, 14), "yes").when(_every(k, 2), "no")), _tag("giftInd", F.lit("false")), F.lit("</supplementaryForm></"), root, F.lit(">"),
+        F.when(_every(k, 8), none).otherwise(F.col("goods")) if again else F.col("goods"), F.lit("</salesAgreementForm><supplementaryForm>"), _tag("relatedInd", F.when(_every(k, 14), "yes").when(_every(k, 2), "no")), _tag("giftInd", F.lit("false")), F.lit("</supplementaryForm></"), root, F.lit(">"),
     )
-    body = F.when(_every(k, 73), F.encode(form, "ISO-8859-1")).otherwise(F.encode(form, "UTF-8"))
-    return o.select(F.date_format("o_orderdate", "yyyy-MM").alias("archive"), k.cast("int").alias("ordinal"), F.concat(F.lpad((k % 90).cast("string"), 2, "0"), F.lit("_"), k.cast("string"), F.lit(".xml")).alias("name"), F.octet_length(body).cast("long").alias("bytes"), body.alias("content"))
+
+
+def _bytes_of(form: str) -> Column:
+    return F.when(_every(F.col("o_orderkey"), 73), F.encode(form, "ISO-8859-1")).otherwise(F.col(form).cast("binary"))
+
+
+def _members(spark, sf: str) -> DataFrame:
+    """(archive, ordinal, name, bytes, content): a member for each order, its line items as child rows."""
+    k = F.col("o_orderkey")
+    o = _orders(spark, sf).withColumn("form", _form(False)).withColumn("content", _bytes_of("form"))
+    return o.select(F.date_format("o_orderdate", "yyyy-MM").alias("archive"), k.cast("int").alias("ordinal"), F.concat(F.lpad((k % 90).cast("string"), 2, "0"), F.lit("_"), k.cast("string"), F.lit(".xml")).alias("name"), F.octet_length("content").cast("long").alias("bytes"), "content")
+
+
+def _two_extracts(spark, sf: str) -> DataFrame:
+    """(extract, content, repeated): the members of extracts 1 and 2, and whether both hold the same bytes. Extract 2 differs
+    in the deed (every 5th), the points (every 7th), the personal property (every 8th) and the uses (every 9th)."""
+    o = _orders(spark, sf).withColumns({"form_1": _form(False), "form_2": _form(True)}).select(_bytes_of("form_1").alias("b1"), _bytes_of("form_2").alias("b2"))
+    both = [F.struct(F.lit(v).alias("extract"), F.col(f"b{v}").alias("content"), F.col("b1").eqNullSafe(F.col("b2")).alias("repeated")) for v in (1, 2)]
+    return o.select(F.inline(F.array(*both)))
 
 
 _MALFORMED = "(k % 59 = 0 or (k % 61 = 0 and k % 11 <> 0 and k % 13 <> 0))"
@@ -127,16 +157,13 @@ xml_personal_property = query(f"with {_TOLD} {_GOODS}")(_child("personal_propert
  select field, count(*) as records from (select unnest(list_append(f, 'any_revision')) as field from x where len(f) > 0) group by 1""")
 def record_revisions(spark, sf):
     """Fields and child tables in which a record's second version differs from its first."""
-    versions = [XML.parse_members(_members(spark, sf, v)).where("issue_code = ''").withColumn("extract", F.lit(v)) for v in (1, 2)]
-    both = versions[0].unionByName(versions[1])
-    fields = [c for c in XML.TRANSACTION if c != "source_key"]
-    pairs = J.first_and_last(both.select("source_key", "extract", "analytical_hash", *fields), "source_key", [F.col("extract")], [*fields, "analytical_hash"])
-    changed = V.revised_fields(pairs.where(F.col("first_analytical_hash") != F.col("last_analytical_hash")), "source_key", fields)
-    rows = XML.child_rows(both, ["source_key", "extract"])
-    changed = changed.unionByName(V.revised_child_tables(rows, "source_key", "child", "extract", "ordinal", F.col("row"), 1, 2))
-    # a record whose child rows alone differ is explained by them
-    changed = changed.where("field <> 'unexplained'").unionByName(changed.where("field = 'unexplained'").select("source_key", F.lit("any_revision").alias("field")))
-    return changed.groupBy("field").agg(F.count(F.lit(1)).alias("records"))
+    # the same bytes are the same version: such a member has no revision, whatever its record says
+    members = _two_extracts(spark, sf).where("not repeated").drop("repeated")
+    digests = {f"{c}_digest": f"child_{c}" for c in XML.CHILDREN}
+    versions = XML.parse_members(members, fields=[*XML.TRANSACTION, *digests, "issue_code"]).where("issue_code = ''").withColumnsRenamed(digests)
+    parts = [*[c for c in XML.TRANSACTION if c != "source_key"], *digests.values()]
+    pairs = J.first_and_last(versions.repartition("source_key"), "source_key", [F.col("extract")], parts)
+    return V.revised_fields(pairs, "source_key", parts).where("field <> 'unexplained'").groupBy("field").agg(F.count(F.lit(1)).alias("records"))
 
 
 _COUNTIES = [(f"{i:02d}", f"County {i % 7}", str(27000 + i)) for i in range(1, 88)]

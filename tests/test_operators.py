@@ -184,6 +184,26 @@ def test_xml_children_and_variants(spark):
     assert XML.parse_members(spark.createDataFrame([], "ordinal int, content binary")).count() == 0
 
 
+def test_asked_fields_alone_leave_python(spark):
+    use = b"<plannedUses><id>9</id><tier1Cde>RESID</tier1Cde></plannedUses>"
+    at = lambda more: record().replace(b"<propertyForm>", b"<propertyForm>" + more)
+    turned, other = at(b"<plannedUses><tier1Cde>RESID</tier1Cde><id>9</id></plannedUses>"), at(use.replace(b"9", b"8"))
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate([at(use), turned, other, record(), record(county="0")])], "ordinal int, content binary")
+    told = XML.parse_members(rows, fields=["source_key", "uses_digest"])
+    assert told.columns == ["ordinal", "source_key", "uses_digest"]
+    d = [r.uses_digest for r in told.orderBy("ordinal").collect()]
+    assert d[0] == d[1] != d[2] and len(d[2]) == 16 and d[3] is d[4] is None
+    with pytest.raises(ValueError, match="colour"):
+        XML.parse_members(rows, fields=["colour"])
+
+
+def test_revisions_parse_each_extract_once(spark):
+    from plotline.plans import QUERIES
+
+    plan = QUERIES["record_revisions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x_2024-01-08-03-00-00.zip", "w") as z:
         for name, body in (("27_123.xml", record()), ("27_124.xml", record()), ("note.txt", b"x"), ("a.xml", record("a & b"))):
