@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plotline.functions import expr as X
 from plotline.operators.aggs import exact_sum, for_all, higher
 from plotline.operators.joins import assert_unique
+from plotline.sources.scratch import cut
 
 
 def coerce(df: DataFrame, contract: Mapping[str, str]) -> DataFrame:
@@ -105,22 +106,28 @@ def evidence(legacy: Sequence[Column], modern: Sequence[Column]) -> Column:
     return F.concat_ws("|", *[F.nullif(one(parts), F.lit("")) for parts in (legacy, modern)])
 
 
-def prepare_second_state(sales: DataFrame, uses: DataFrame, parcels: DataFrame, goods: DataFrame, *, first: int, last: int, counties: Sequence[str], urban: Sequence[str], state: str = "MN", metro: str = "MSP", eras=ERAS, floor: float = X.PRICE_FLOOR, cap: float = X.PRICE_CAP) -> DataFrame:
-    """Contract rows of the record exports of the years ``first`` to ``last`` inside the metropolitan area. Child tables
-    are summed up per sale before they are joined; a source key that occurs twice raises."""
+def _family(row: Column) -> Column:
+    """Whether a use row is of a single-family house, in either form; unknown is no."""
+    old, new = (row["propertyTypeCode"] == "RES") & (row["propertyUseCode"] == "HOUSESGL"), (row["tier1Cde"] == "RESID") & (row["tier2Cde"] == "SINGLEFAM")
+    return F.coalesce(old | new, F.lit(False))
+
+
+def _codes(row: Column) -> Column:
+    return evidence([row["propertyTypeCode"], row["propertyUseCode"]], [row["tier1Cde"], row["tier2Cde"]])
+
+
+#: The contract's columns that a state's reporting gives.
+REPORTING = ("reporting_lag_days", "reporting_maturity_days", "recent_reporting_period")
+
+
+def _in_second_state(sales: DataFrame, first: int, last: int) -> DataFrame:
+    return sales.where(X.flag(F.col("is_twin_cities"), words=True) & F.col("sale_year").between(first, last))
+
+
+def _second_state(d: DataFrame, counties: Sequence[str], urban: Sequence[str], state: str, metro: str, eras, floor: float, cap: float) -> dict[str, Column]:
+    """The contract's columns of sales with what their child rows sum up to (single_family, property_type_evidence,
+    parcel_count, items, total, complete), but for those of REPORTING."""
     flag = lambda c: X.flag(F.col(c), words=True)
-    own = assert_unique(sales.where(flag("is_twin_cities") & F.col("sale_year").between(first, last)), ["source_key"], "sales")
-    family = ((F.col("propertyTypeCode") == "RES") & (F.col("propertyUseCode") == "HOUSESGL")) | ((F.col("tier1Cde") == "RESID") & (F.col("tier2Cde") == "SINGLEFAM"))
-    codes = evidence([F.col("propertyTypeCode"), F.col("propertyUseCode")], [F.col("tier1Cde"), F.col("tier2Cde")])
-    before = uses.where(F.lower("use_timing") == "before").select("source_key", F.coalesce(family, F.lit(False)).alias("family"), codes.alias("codes"))
-    before = before.groupBy("source_key").agg(F.bool_and("family").alias("single_family"), F.array_join(F.array_sort(F.collect_set("codes")), ";").alias("property_type_evidence"))
-    plots = parcels.select("source_key", "parcelId").distinct().groupBy("source_key").agg(F.count(F.lit(1)).alias("parcel_count"))
-    value = F.col("propertyValue").try_cast("double")
-    things = personal_summary(goods.select("source_key", flag("selected").alias("chosen"), value.alias("value")), "source_key", F.col("chosen"), "value")
-    d = own.join(before, "source_key", "left").join(plots, "source_key", "left").join(things, "source_key", "left")
-    day = F.to_date("sale_date")
-    seen = F.to_timestamp("first_extract_timestamp")
-    d = reporting(d.withColumns({"_day": day, "_seen": F.to_date(seen)}), key="source_key", sale_date="_day", first_extract="_seen")
     price, deed = F.col("gross_sale_price").try_cast("double"), F.upper("deed_type")
     shared = [("price_out_of_bounds", ~F.coalesce(X.in_bounds(price, floor, cap), F.lit(False))), ("revision_conflict", F.coalesce(flag("revision_conflict"), F.lit(True)))]
     quitclaim = ("quitclaim", deed == "QUITCLAIM")
@@ -134,13 +141,57 @@ def prepare_second_state(sales: DataFrame, uses: DataFrame, parcels: DataFrame,
     complete = F.coalesce(~included | (included & (F.coalesce("items", F.lit(0)) > 0) & F.coalesce("complete", F.lit(False))), F.lit(False))
     sold = F.when(included, F.coalesce("total", F.lit(0.0))).otherwise(F.lit(0.0))
     net = price - sold - F.coalesce(points, F.lit(0.0))
-    given = {c: F.col(c) for c in "source_key sale_date sale_year sale_month county_fips single_family property_type_evidence parcel_count recovery_method".split()} | {
+    return {c: F.col(c) for c in "source_key sale_date sale_year sale_month county_fips single_family property_type_evidence parcel_count recovery_method".split()} | {
         "source_state": F.lit(state), "source_schema": F.col("schema_variant"), "source_snapshot": F.concat("archive_name", F.lit("@"), "extract_timestamp"), "source_version": F.col("version_id"), "county": _known_counties(d, "county_name", counties),
         "metro": F.lit(metro), "tier_type": F.when(F.col("county_name").isin(list(urban)), "URBAN_CORE").otherwise("SUBURBAN_COLLAR"), "gross_sale_price": price, "seller_paid_points": points,
         "personal_property_total": F.when(complete, sold), "adjusted_price": F.when(complete & (points >= 0) & (net > 0), net), "source_status_conflict": F.lit(False), "revision_conflict": flag("revision_conflict"), "parse_recovered": flag("parse_recovered"),
         "deed_type": deed, "contract_for_deed": deed == "CONFORDEED", "trustee_deed": deed == "TRUSTEE", "probate_deed": deed.isin("PROBATE", "PERREPDEED"), "limited_warranty_deed": deed == "LIMWARRNTY", "new_construction": flag("new_buildings_sale_year"),
-        "reporting_lag_days": F.col("lag_days"), "reporting_maturity_days": F.coalesce("maturity_days", F.lit(0)), "recent_reporting_period": F.col("recent"),
         "exclusion_reasons_current": current, "exclusion_reasons_strict": strict, "exclusion_reasons_research": research, "eligible_current_study": X.eligible(current), "eligible_strict_comparable": X.eligible(strict),
         "strict_eligibility_available": known, "research_eligible": X.eligible(research), "regime": X.regime(F.col("sale_year"), eras),
     }
-    return _filled(d, given)
+
+
+def _reported(d: DataFrame) -> dict[str, Column]:
+    return {"reporting_lag_days": F.col("lag_days"), "reporting_maturity_days": F.coalesce("maturity_days", F.lit(0)), "recent_reporting_period": F.col("recent")}
+
+
+def prepare_second_state(sales: DataFrame, uses: DataFrame, parcels: DataFrame, goods: DataFrame, *, first: int, last: int, counties: Sequence[str], urban: Sequence[str], state: str = "MN", metro: str = "MSP", eras=ERAS, floor: float = X.PRICE_FLOOR, cap: float = X.PRICE_CAP) -> DataFrame:
+    """Contract rows of the record exports of the years ``first`` to ``last`` inside the metropolitan area. Child tables
+    are summed up per sale before they are joined; a source key that occurs twice raises."""
+    own = assert_unique(_in_second_state(sales, first, last), ["source_key"], "sales")
+    row = {c: F.col(c) for c in ("propertyTypeCode", "propertyUseCode", "tier1Cde", "tier2Cde")}
+    before = uses.where(F.lower("use_timing") == "before").select("source_key", _family(row).alias("family"), _codes(row).alias("codes"))
+    before = before.groupBy("source_key").agg(F.bool_and("family").alias("single_family"), F.array_join(F.array_sort(F.collect_set("codes")), ";").alias("property_type_evidence"))
+    plots = parcels.select("source_key", "parcelId").distinct().groupBy("source_key").agg(F.count(F.lit(1)).alias("parcel_count"))
+    value = F.col("propertyValue").try_cast("double")
+    things = personal_summary(goods.select("source_key", X.flag(F.col("selected"), words=True).alias("chosen"), value.alias("value")), "source_key", F.col("chosen"), "value")
+    d = own.join(before, "source_key", "left").join(plots, "source_key", "left").join(things, "source_key", "left")
+    d = reporting(d.withColumns({"_day": F.to_date("sale_date"), "_seen": F.to_date(F.to_timestamp("first_extract_timestamp"))}), key="source_key", sale_date="_day", first_extract="_seen")
+    return _filled(d, _second_state(d, counties, urban, state, metro, eras, floor, cap) | _reported(d))
+
+
+def prepare_second_records(records: DataFrame, *, first: int, last: int, counties: Sequence[str], urban: Sequence[str], columns: Sequence[str] = tuple(CONTRACT), state: str = "MN", metro: str = "MSP", eras=ERAS, floor: float = X.PRICE_FLOOR, cap: float = X.PRICE_CAP) -> DataFrame:
+    """`prepare_second_state` of sales that hold their child rows themselves (uses, parcels and personal_property as
+    `xml_records.parse_members` gives them): they are summed up where they are and nothing is joined. ``columns`` are the
+    contract's columns to return; records need what these are made from only. Each record is read once: its row is
+    written (`scratch.cut`) before the keys are checked and the reporting is counted."""
+    own = _in_second_state(records, first, last)
+    before = lambda r: F.coalesce(F.lower(r["use_timing"]) == "before", F.lit(False))
+    value = lambda r: r["propertyValue"].try_cast("double")
+    total = F.aggregate("_chosen", F.lit(0).cast("decimal(28,4)"), lambda sofar, r: (sofar + F.coalesce(value(r).cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))).cast("decimal(28,4)"))
+    d = own.withColumns({
+        "single_family": F.when(F.exists("uses", before), F.forall("uses", lambda r: ~before(r) | _family(r))),
+        "property_type_evidence": F.when(F.exists("uses", before), F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("uses", before), _codes))), ";")),
+        "parcel_count": F.nullif(F.size(F.array_distinct(F.transform("parcels", lambda r: r["parcelId"]))), F.lit(0)),
+        "_chosen": F.filter("personal_property", lambda r: X.flag(r["selected"], words=True)),
+    })
+    d = d.withColumns({"items": F.size("_chosen"), "total": total.cast("double"), "complete": F.forall("_chosen", lambda r: F.coalesce(value(r) >= 0, F.lit(False)))})
+    given = _second_state(d, counties, urban, state, metro, eras, floor, cap)
+    wanted = [c for c in CONTRACT if c in columns]
+    timed = any(c in REPORTING for c in wanted)
+    kept = [given[c].alias(c) for c in given if c in wanted or c == "source_key"]
+    days = [F.to_date("sale_date").alias("_day"), F.to_date(F.to_timestamp("first_extract_timestamp")).alias("_seen")] if timed else []
+    d = assert_unique(cut(d.select(*kept, *days), "records"), ["source_key"], "sales")
+    if timed:
+        d = reporting(d, key="source_key", sale_date="_day", first_extract="_seen")
+    return _filled(d, {c: F.col(c) for c in wanted if c not in REPORTING} | (_reported(d) if timed else {})).select(*[c for c in columns])

@@ -181,10 +181,8 @@ _COUNTIES = [(f"{i:02d}", f"County {i % 7}", str(27000 + i)) for i in range(1, 8
 def second_state_from_records(spark, sf):
     """The harmonised contract of the years 1996 to 2000 straight from XML members."""
     counties = spark.createDataFrame(_COUNTIES, "code string, name string, fips string")
-    records = XML.with_counties(XML.parse_members(_members(spark, sf)).where("issue_code = ''"), counties)
-    sales = records.withColumns({
-        "revision_conflict": F.lit(False), "archive_name": F.col("archive"), "extract_timestamp": F.concat("archive", F.lit("-28")), "first_extract_timestamp": F.concat("archive", F.lit("-28")), "version_id": F.col("raw_sha256"),
-    })
-    uses, parcels, goods = (XML.child_table(records, c) for c in ("uses", "parcels", "personal_property"))
-    out = C.prepare_second_state(sales, uses, parcels, goods, first=1996, last=2000, counties=[f"County {i}" for i in range(7)], urban=["County 0"], floor=10_000, cap=200_000)
-    return out.select("source_key", "sale_date", "county", "county_fips", "gross_sale_price", "single_family", "parcel_count", "personal_property_total", "adjusted_price", "exclusion_reasons_current", "deed_type")
+    needed = ["source_key", "mn_county_code", "sale_date", "sale_year", "gross_sale_price", "seller_paid_points", "deed_type", "personal_property_included", *C.DISQUALIFYING, "uses", "parcels", "personal_property", "issue_code"]
+    valid = XML.parse_members(_members(spark, sf).select("content"), fields=needed).where("issue_code = ''")
+    records = XML.with_counties(valid, counties).withColumn("revision_conflict", F.lit(False))
+    wanted = ["source_key", "sale_date", "county", "county_fips", "gross_sale_price", "single_family", "parcel_count", "personal_property_total", "adjusted_price", "exclusion_reasons_current", "deed_type"]
+    return C.prepare_second_records(records, first=1996, last=2000, counties=[f"County {i}" for i in range(7)], urban=["County 0"], floor=10_000, cap=200_000, columns=wanted)

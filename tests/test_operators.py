@@ -204,6 +204,36 @@ def test_revisions_parse_each_extract_once(spark):
     assert plan.count("MapInArrow") == 1
 
 
+def test_contract_of_records_is_that_of_their_tables(spark):
+    goods = lambda *rows: b"".join(b"<personalProperties><selected>%s</selected><propertyValue>%s</propertyValue></personalProperties>" % r for r in rows)
+    use = lambda tag, a, b: b"<%s><tier1Cde>%s</tier1Cde><tier2Cde>%s</tier2Cde></%s>" % (tag, a, b, tag)
+    yes, sf, old, new = b"<personalPropertyIncludedInTotal>true</personalPropertyIncludedInTotal>", b"SINGLEFAM", b"usesBeforeSale", b"plannedUses"
+    made = [
+        (b"", b""), (use(old, b"RESID", sf) + use(new, b"COMM", sf), yes + goods((b"yes", b"1.25"), (b"true", b"2"), (b"no", b"x"))), (use(old, b"RESID", sf) + use(old, b"COMM", sf), yes + goods((b"1", b"x"), (b"1", b"3"))),
+        (use(new, b"RESID", sf), yes + goods((b"1", b"-1"))), (b"<usesBeforeSale/>", yes + goods((b"0", b"5"))), (use(old, b"RESID", sf) * 2, yes + goods((b"1", b""), (b"?", b"7"))),
+        (b"<parcels><parcelId>7</parcelId></parcels>" * 2, b"<sellerPdPts>5</sellerPdPts>" + goods((b"1", b"9"))),
+    ]
+    content = [record().replace(b">123<", b">%d<" % i).replace(b"<propertyForm>", b"<propertyForm>" + p).replace(b"<salesAgreementForm>", b"<salesAgreementForm>" + g) for i, (p, g) in enumerate(made, 1)]
+    content.append(record(date="2031-01-01"))  # not of these years
+    counties = spark.createDataFrame([("27", "Hennepin", "27053")], "code string, name string, fips string")
+    members = lambda c: spark.createDataFrame([(i, f"2024-0{1 + i % 3}", x) for i, x in enumerate(c)], "ordinal int, archive string, content binary")
+    day = F.concat("archive", F.lit("-28"))
+    more = {"revision_conflict": F.lit(False), "archive_name": F.col("archive"), "extract_timestamp": day, "first_extract_timestamp": day, "version_id": F.col("raw_sha256")}
+    sales = lambda c: XML.with_counties(XML.parse_members(members(c)).where("issue_code = ''"), counties).withColumns(more)
+    how = {"first": 2024, "last": 2024, "counties": ["Hennepin"], "urban": ["Hennepin"]}
+    s = sales(content)
+    a = C.prepare_second_state(s, *[XML.child_table(s, c) for c in ("uses", "parcels", "personal_property")], **how)
+    b = C.prepare_second_records(s, **how)
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert a.dtypes == b.dtypes and rows(a) == rows(b) and b.count() == len(made)
+    # what is returned was parsed once, before
+    few = C.prepare_second_records(s, columns=["parcel_count", "source_key", "recent_reporting_period"], **how)
+    assert few.columns == ["parcel_count", "source_key", "recent_reporting_period"] and rows(few) == rows(a.select(few.columns))
+    assert "MapInArrow" not in few._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError, match="not unique"):
+        C.prepare_second_records(sales([content[0], content[0]]), **how)
+
+
 def test_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x_2024-01-08-03-00-00.zip", "w") as z:
         for name, body in (("27_123.xml", record()), ("27_124.xml", record()), ("note.txt", b"x"), ("a.xml", record("a & b"))):
